@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .near_dedup import near_duplicates
 from .quality import judge
+from .toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +22,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learnt from the labels outside the held-out fold."""
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents with similar sets of three-word shingles."""
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, part=85, whole=100)
@@ -29,6 +35,7 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op3_quality_rules": op3_quality_rules,
+        "op5_toxicity": op5_toxicity,
         "op6_near_dedup": op6_near_dedup,
     }
 
