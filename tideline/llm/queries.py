@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .bpe import encode_decode
 from .near_dedup import near_duplicates
 from .quality import judge
 from .toxicity import toxicity
 
+#: Tokenizer file of the queries, on every machine.
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -32,11 +38,18 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, part=85, whole=100)
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids and of the decoded text of every document."""
+    out = encode_decode(table(spark, sf_dir, "documents"), TOKENIZER)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op3_quality_rules": op3_quality_rules,
         "op5_toxicity": op5_toxicity,
         "op6_near_dedup": op6_near_dedup,
+        "op8_bpe": op8_bpe,
     }
 
 
