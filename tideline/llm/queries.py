@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .bpe import encode_decode
 from .near_dedup import near_duplicates
+from .packing import pack
 from .quality import judge
 from .toxicity import toxicity
 
@@ -44,12 +45,18 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in windows of 2048 ids, lexical neighbours together."""
+    return pack(table(spark, sf_dir, "documents"), TOKENIZER).drop("ids")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op3_quality_rules": op3_quality_rules,
         "op5_toxicity": op5_toxicity,
         "op6_near_dedup": op6_near_dedup,
         "op8_bpe": op8_bpe,
+        "op10_packing": op10_packing,
     }
 
 
