@@ -20,11 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
+from .store import cut
 
 #: Byte lengths of the n-grams, over lower-cased text with one space for each gap.
 LENGTHS = (6, 7, 8, 9, 10, 12)
 #: Buckets of the n-gram hash.
-BUCKETS = 1 << 20
+BUCKETS = 1 << 19
 #: Bounds of the training sample, in documents.
 POSITIVES = 3000
 UNLABELLED = 9000
@@ -35,6 +36,7 @@ LIFT = 2.0
 MOST_COUNT = 15
 #: Folds of crc32(doc_id); the first is held out.
 FOLDS = 5
+SAMPLE_PARTITIONS = 8
 
 
 @dataclass
@@ -89,15 +91,36 @@ def _grams(buf: np.ndarray, off: np.ndarray, chosen: np.ndarray | None = None) -
     return pair // BUCKETS, pair % BUCKETS * (MOST_COUNT + 1) + np.minimum(count, MOST_COUNT)
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents with each bucket, of the unlabelled (kind 0) and of the toxic (kind 1)."""
+    total = np.zeros((2, BUCKETS), np.int64)
     for batch in batches:
         buf, off, _ = vec.column(batch.column(0))
+        kind = np.asarray(batch.column(1))
         for i, j in vec.chunks(off, 1 << 19):
             row, coded = _grams(buf[off[i] : off[j]], off[i : j + 1] - off[i])
-            at = np.zeros(j - i + 1, np.int32)
-            np.cumsum(np.bincount(row, minlength=j - i) * 4, out=at[1:])
-            data = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(at), pa.py_buffer(coded.astype(np.int32).tobytes())])
-            yield pa.RecordBatch.from_arrays([batch.column(1).slice(i, j - i), data], names=["kind", "buckets"])
+            for k in range(2):
+                of_kind = (kind[i:j] == k)[row]
+                total[k] += np.bincount(coded[of_kind] // (MOST_COUNT + 1), minlength=BUCKETS)
+    some = np.flatnonzero(total.any(0))
+    if len(some):
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[1, some]), pa.array(total[0, some])], names=["bucket", "p", "u"])
+
+
+def _features(chosen: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.zeros(BUCKETS, bool)
+        wanted[chosen] = True
+        for batch in batches:
+            buf, off, _ = vec.column(batch.column(0))
+            for i, j in vec.chunks(off, 1 << 19):
+                row, coded = _grams(buf[off[i] : off[j]], off[i : j + 1] - off[i], wanted)
+                at = np.zeros(j - i + 1, np.int32)
+                np.cumsum(np.bincount(row, minlength=j - i) * 4, out=at[1:])
+                data = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(at), pa.py_buffer(coded.astype(np.int32).tobytes())])
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(i, j - i), data], names=["kind", "features"])
+
+    return run
 
 
 def _value(coded: np.ndarray) -> np.ndarray:
@@ -113,16 +136,24 @@ def _sparse(rows: list[np.ndarray], index: np.ndarray) -> tuple[np.ndarray, np.n
     return row[keep], feature[keep], _value(coded[keep])
 
 
-def _choose(positive: list[np.ndarray], unlabelled: list[np.ndarray], features: int) -> np.ndarray:
-    """The buckets that are in positives ``LIFT`` times as often as in unlabelled texts, those of the highest likelihood ratio."""
-    p, u = (np.bincount(np.concatenate(x) // (MOST_COUNT + 1) if x else np.zeros(0, np.int64), minlength=BUCKETS).astype(float) for x in (positive, unlabelled))
-    n_p, n_u = max(1, len(positive)), max(1, len(unlabelled))
+def choose(sample: DataFrame, n_p: int, n_u: int, features: int = FEATURES) -> np.ndarray:
+    """The buckets in toxic texts ``LIFT`` times as often as in unlabelled ones, those of the highest likelihood ratio.
+
+    At most ``BUCKETS`` counts reach the driver, whatever the sample.
+    """
+    if not n_p or not n_u:
+        return np.zeros(0, np.int64)
+    counts = sample.mapInArrow(_frequencies, "bucket int, p long, u long").groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    rows = counts.where((F.col("p") >= 4) & (F.col("p") / n_p >= LIFT * F.col("u") / n_u)).collect()
+    if not rows:
+        return np.zeros(0, np.int64)
+    table = np.array(rows, float)
+    table = table[np.argsort(table[:, 0])]
+    p, u = table[:, 1], table[:, 2]
     share = (p + u) / (n_p + n_u)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        gain = np.where(p > 0, p * np.log(p / (n_p * share)), 0) + np.where(u > 0, u * np.log(u / (n_u * share)), 0)
-    gain[(p < 4) | (p / n_p < LIFT * u / n_u)] = 0
-    order = np.lexsort((np.arange(BUCKETS), -gain))[:features]
-    return np.sort(order[gain[order] > 0])
+    gain = p * np.log(p / (n_p * share)) + np.where(u > 0, u * np.log(np.maximum(u, 1) / (n_u * share)), 0)
+    order = np.argsort(-gain, kind="stable")[:features]
+    return np.sort(table[order, 0].astype(np.int64))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -130,10 +161,9 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def train_nnpu(
-    positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, *, features: int = FEATURES, epochs: int = 30, batch: int = 512, rate: float = 0.02, decay: float = 1e-4, beta: float = 0.0, seed: int = 7
+    positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, chosen: np.ndarray, *, epochs: int = 30, batch: int = 512, rate: float = 0.02, decay: float = 1e-4, beta: float = 0.0, seed: int = 7
 ) -> tuple[np.ndarray, float]:
     """Weights of the buckets and bias that minimise the non-negative risk with the sigmoid loss."""
-    chosen = _choose(positive, unlabelled, features)
     weight = np.zeros(BUCKETS)
     if not len(chosen) or not positive or not unlabelled:
         return weight, -1.0
@@ -225,18 +255,22 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     others = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id").orderBy(order).limit(unlabelled).select("doc_id", F.lit(0).alias("kind"))
     # 2 * positives + unlabelled rows at most, so the broadcast is bounded
     sample = F.broadcast(toxic.unionByName(clean).unionByName(others))
-    rows = docs.select("doc_id", "text").join(sample, "doc_id").select("text", "kind").mapInArrow(_features, "kind int, buckets binary").collect()
+    # bounded like the sample; few partitions, as each counts all buckets
+    texts = cut(docs.select("doc_id", "text").join(sample, "doc_id").select("text", "kind").repartition(SAMPLE_PARTITIONS))
+    size = {r[0]: r[1] for r in texts.groupBy("kind").count().collect()}
+    chosen = choose(texts, size.get(1, 0), size.get(0, 0))
     by_kind: dict[int, list[np.ndarray]] = {0: [], 1: [], 2: []}
-    for kind, data in sorted((r for r in rows), key=lambda r: (r[0], bytes(r[1]))):
+    rows = texts.mapInArrow(_features(chosen), "kind int, features binary").collect()
+    for kind, data in sorted(rows, key=lambda r: (r[0], bytes(r[1]))):
         by_kind[kind].append(np.frombuffer(data, np.int32).astype(np.int64))
     # every fourth toxic text is left out of a first training, to calibrate on what was not learnt
     apart = by_kind[1][::4]
     kept = [x for i, x in enumerate(by_kind[1]) if i % 4]
-    weight, bias = train_nnpu(kept, by_kind[0], prior)
+    weight, bias = train_nnpu(kept, by_kind[0], prior, chosen)
     raw = np.array([raw_score(weight, x) + bias for x in [*apart, *by_kind[2]]])
     label = np.concatenate([np.ones(len(apart)), np.zeros(len(by_kind[2]))])
     scale, shift = calibrate(raw, label, prior)
-    weight, bias = train_nnpu(by_kind[1], by_kind[0], prior)
+    weight, bias = train_nnpu(by_kind[1], by_kind[0], prior, chosen)
     return Model(weight, bias, scale, shift)
 
 
