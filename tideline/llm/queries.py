@@ -12,6 +12,7 @@ from .bpe import encode_decode
 from .near_dedup import near_duplicates
 from .packing import pack
 from .quality import judge
+from .secrets import digest, find_secrets
 from .toxicity import toxicity
 
 #: Tokenizer file of the queries, on every machine.
@@ -45,6 +46,11 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of every document, as counts and text."""
+    return digest(find_secrets(table(spark, sf_dir, "documents")))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in windows of 2048 ids, lexical neighbours together."""
     return pack(table(spark, sf_dir, "documents"), TOKENIZER).drop("ids")
@@ -56,6 +62,7 @@ def queries() -> dict[str, Query]:
         "op5_toxicity": op5_toxicity,
         "op6_near_dedup": op6_near_dedup,
         "op8_bpe": op8_bpe,
+        "op9_secrets": op9_secrets,
         "op10_packing": op10_packing,
     }
 
