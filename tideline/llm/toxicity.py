@@ -16,22 +16,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
 from .store import cut
 
 #: Byte lengths of the n-grams, over lower-cased text with one space for each gap.
-LENGTHS = (6, 7, 8, 9, 10, 12)
+LENGTHS = (6, 7, 8, 9, 10)
 #: Buckets of the n-gram hash.
-BUCKETS = 1 << 19
+BUCKETS = 1 << 22
 #: Bounds of the training sample, in documents.
 POSITIVES = 3000
 UNLABELLED = 9000
-#: Most buckets the model weighs, and how much commoner each must be among toxic texts.
-FEATURES = 4000
+#: Most buckets the model weighs, and how much commoner and in how many toxic texts each must be.
+FEATURES = 1500
 LIFT = 2.0
+LEAST = 4
 #: A bucket's value in a text is the logarithm of one more than its count, up to this count.
 MOST_COUNT = 15
 #: Folds of crc32(doc_id); the first is held out.
@@ -41,13 +42,14 @@ SAMPLE_PARTITIONS = 8
 
 @dataclass
 class Model:
-    weight: np.ndarray  # of each bucket
+    buckets: np.ndarray  # the chosen ones, ascending
+    weight: np.ndarray  # of each
     bias: float
     scale: float  # calibration: the score is sigmoid(scale * raw + shift)
     shift: float
 
 
-def held_out(doc_id: F.Column) -> F.Column:
+def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
@@ -91,20 +93,26 @@ def _grams(buf: np.ndarray, off: np.ndarray, chosen: np.ndarray | None = None) -
     return pair // BUCKETS, pair % BUCKETS * (MOST_COUNT + 1) + np.minimum(count, MOST_COUNT)
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents with each bucket, of the unlabelled (kind 0) and of the toxic (kind 1)."""
-    total = np.zeros((2, BUCKETS), np.int64)
-    for batch in batches:
-        buf, off, _ = vec.column(batch.column(0))
-        kind = np.asarray(batch.column(1))
-        for i, j in vec.chunks(off, 1 << 19):
-            row, coded = _grams(buf[off[i] : off[j]], off[i : j + 1] - off[i])
-            for k in range(2):
-                of_kind = (kind[i:j] == k)[row]
-                total[k] += np.bincount(coded[of_kind] // (MOST_COUNT + 1), minlength=BUCKETS)
-    some = np.flatnonzero(total.any(0))
-    if len(some):
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[1, some]), pa.array(total[0, some])], names=["bucket", "p", "u"])
+def _frequencies(kind: int, least: int, among: np.ndarray | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Buckets that at least ``least`` texts of a kind have in the partition, with the number of these."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int32)
+        wanted = None
+        if among is not None:
+            wanted = np.zeros(BUCKETS, bool)
+            wanted[among] = True
+        for batch in batches:
+            buf, off, _ = vec.column(batch.column(0))
+            own = np.asarray(batch.column(1)) == kind
+            for i, j in vec.chunks(off, 1 << 19):
+                row, coded = _grams(buf[off[i] : off[j]], off[i : j + 1] - off[i], wanted)
+                np.add.at(total, coded[own[i:j][row]] // (MOST_COUNT + 1), 1)
+        some = np.flatnonzero(total >= least)
+        if len(some):
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some].astype(np.int64))], names=["bucket", "n"])
+
+    return run
 
 
 def _features(chosen: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -127,33 +135,34 @@ def _value(coded: np.ndarray) -> np.ndarray:
     return np.log2(1.0 + coded % (MOST_COUNT + 1))
 
 
-def _sparse(rows: list[np.ndarray], index: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row numbers, feature numbers and values of the chosen buckets."""
+def _sparse(rows: list[np.ndarray], chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row numbers, feature numbers and values; the rows hold chosen buckets only."""
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     coded = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    feature = index[coded // (MOST_COUNT + 1)]
-    keep = feature >= 0
-    return row[keep], feature[keep], _value(coded[keep])
+    return row, np.searchsorted(chosen, coded // (MOST_COUNT + 1)), _value(coded)
 
 
 def choose(sample: DataFrame, n_p: int, n_u: int, features: int = FEATURES) -> np.ndarray:
     """The buckets in toxic texts ``LIFT`` times as often as in unlabelled ones, those of the highest likelihood ratio.
 
-    At most ``BUCKETS`` counts reach the driver, whatever the sample.
+    The toxic texts of the sample are counted in one task, as their number is
+    bounded; the others by partition, for the buckets that came out of it.
     """
+    none = np.zeros(0, np.int64)
     if not n_p or not n_u:
-        return np.zeros(0, np.int64)
-    counts = sample.mapInArrow(_frequencies, "bucket int, p long, u long").groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
-    rows = counts.where((F.col("p") >= 4) & (F.col("p") / n_p >= LIFT * F.col("u") / n_u)).collect()
-    if not rows:
-        return np.zeros(0, np.int64)
-    table = np.array(rows, float)
-    table = table[np.argsort(table[:, 0])]
-    p, u = table[:, 1], table[:, 2]
+        return none
+    found = sample.where("kind = 1").coalesce(1).mapInArrow(_frequencies(1, LEAST), "bucket int, n long").toPandas().sort_values("bucket")
+    among, p = found["bucket"].to_numpy(np.int64), found["n"].to_numpy(float)
+    if not len(among):
+        return none
+    counts = sample.where("kind = 0").mapInArrow(_frequencies(0, 1, among), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    u = np.zeros(len(among))
+    u[np.searchsorted(among, counts["bucket"].to_numpy(np.int64))] = counts["n"].to_numpy(float)
+    keep = p / n_p >= LIFT * u / n_u
+    among, p, u = among[keep], p[keep], u[keep]
     share = (p + u) / (n_p + n_u)
     gain = p * np.log(p / (n_p * share)) + np.where(u > 0, u * np.log(np.maximum(u, 1) / (n_u * share)), 0)
-    order = np.argsort(-gain, kind="stable")[:features]
-    return np.sort(table[order, 0].astype(np.int64))
+    return np.sort(among[np.argsort(-gain, kind="stable")[:features]])
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -163,15 +172,12 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 def train_nnpu(
     positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, chosen: np.ndarray, *, epochs: int = 30, batch: int = 512, rate: float = 0.02, decay: float = 1e-4, beta: float = 0.0, seed: int = 7
 ) -> tuple[np.ndarray, float]:
-    """Weights of the buckets and bias that minimise the non-negative risk with the sigmoid loss."""
-    weight = np.zeros(BUCKETS)
+    """Weights of the chosen buckets and bias that minimise the non-negative risk with the sigmoid loss."""
     if not len(chosen) or not positive or not unlabelled:
-        return weight, -1.0
-    index = np.full(BUCKETS, -1, np.int64)
-    index[chosen] = np.arange(len(chosen))
+        return np.zeros(len(chosen)), -1.0
     data = []
     for rows in (positive, unlabelled):
-        row, feature, value = _sparse(rows, index)
+        row, feature, value = _sparse(rows, chosen)
         data.append((np.searchsorted(row, np.arange(len(rows) + 1)), feature, value))
     w, b = np.zeros(len(chosen)), -1.0
     m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
@@ -211,8 +217,7 @@ def train_nnpu(
             move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
             w = np.maximum(w - move[:-1], 0)  # all chosen buckets speak for toxicity
             b -= move[-1]
-    weight[chosen] = w
-    return weight, float(b)
+    return w, float(b)
 
 
 def calibrate(raw: np.ndarray, label: np.ndarray, prior: float) -> tuple[float, float]:
@@ -267,30 +272,29 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     apart = by_kind[1][::4]
     kept = [x for i, x in enumerate(by_kind[1]) if i % 4]
     weight, bias = train_nnpu(kept, by_kind[0], prior, chosen)
-    raw = np.array([raw_score(weight, x) + bias for x in [*apart, *by_kind[2]]])
+    raw = np.array([raw_score(chosen, weight, x) + bias for x in [*apart, *by_kind[2]]])
     label = np.concatenate([np.ones(len(apart)), np.zeros(len(by_kind[2]))])
     scale, shift = calibrate(raw, label, prior)
     weight, bias = train_nnpu(by_kind[1], by_kind[0], prior, chosen)
-    return Model(weight, bias, scale, shift)
+    return Model(chosen, weight, bias, scale, shift)
 
 
-def raw_score(weight: np.ndarray, coded: np.ndarray) -> float:
-    return float((weight[coded // (MOST_COUNT + 1)] * _value(coded)).sum())
+def raw_score(chosen: np.ndarray, weight: np.ndarray, coded: np.ndarray) -> float:
+    return float((weight[np.searchsorted(chosen, coded // (MOST_COUNT + 1))] * _value(coded)).sum())
 
 
 def _score(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    some = np.flatnonzero(model.weight)
-    values = model.weight[some]
+    some = model.buckets[model.weight > 0]
+    values = model.weight[model.weight > 0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight = np.zeros(BUCKETS)
-        weight[some] = values
-        chosen = weight != 0
+        chosen = np.zeros(BUCKETS, bool)
+        chosen[some] = True
         for batch in batches:
             buf, off, _ = vec.column(batch.column(1))
             for i, j in vec.chunks(off):
                 row, coded = _grams(buf[off[i] : off[j]], off[i : j + 1] - off[i], chosen)
-                raw = np.bincount(row, weight[coded // (MOST_COUNT + 1)] * _value(coded), j - i) + model.bias
+                raw = np.bincount(row, values[np.searchsorted(some, coded // (MOST_COUNT + 1))] * _value(coded), j - i) + model.bias
                 score = _sigmoid(model.scale * raw + model.shift)
                 ids = [(str(x).encode() if x is not None else None) for x in batch.column(0).slice(i, j - i).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
