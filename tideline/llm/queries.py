@@ -14,6 +14,8 @@ from .packing import pack
 from .quality import judge
 from .secrets import digest, find_secrets
 from .toxicity import toxicity
+from .winnowing import digest as winnowing_digest
+from .winnowing import fingerprints
 
 #: Tokenizer file of the queries, on every machine.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -30,6 +32,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return winnowing_digest(fingerprints(table(spark, sf_dir, "documents")))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document, learnt from the labels outside the held-out fold."""
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -59,6 +66,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op3_quality_rules": op3_quality_rules,
+        "op4_winnowing": op4_winnowing,
         "op5_toxicity": op5_toxicity,
         "op6_near_dedup": op6_near_dedup,
         "op8_bpe": op8_bpe,
