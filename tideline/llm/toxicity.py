@@ -10,6 +10,7 @@ every whole text.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -32,7 +33,7 @@ UNLABELLED = 9000
 #: Most buckets the model weighs, and how much commoner and in how many toxic texts each must be.
 FEATURES = 1500
 LIFT = 2.0
-LEAST = 4
+LEAST, LEAST_SHARE = 4, 0.004
 #: A bucket's value in a text is the logarithm of one more than its count, up to this count.
 MOST_COUNT = 15
 #: Folds of crc32(doc_id); the first is held out.
@@ -109,8 +110,7 @@ def _frequencies(kind: int, least: int, among: np.ndarray | None = None) -> Call
                 row, coded = _grams(buf[off[i] : off[j]], off[i : j + 1] - off[i], wanted)
                 np.add.at(total, coded[own[i:j][row]] // (MOST_COUNT + 1), 1)
         some = np.flatnonzero(total >= least)
-        if len(some):
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some].astype(np.int64))], names=["bucket", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([some.astype(np.int32).tobytes()]), pa.array([total[some].tobytes()])], names=["buckets", "counts"])
 
     return run
 
@@ -151,18 +151,19 @@ def choose(sample: DataFrame, n_p: int, n_u: int, features: int = FEATURES) -> n
     none = np.zeros(0, np.int64)
     if not n_p or not n_u:
         return none
-    found = sample.where("kind = 1").coalesce(1).mapInArrow(_frequencies(1, LEAST), "bucket int, n long").toPandas().sort_values("bucket")
-    among, p = found["bucket"].to_numpy(np.int64), found["n"].to_numpy(float)
+    least = max(LEAST, math.ceil(LEAST_SHARE * n_p))
+    found = sample.where("kind = 1").coalesce(1).mapInArrow(_frequencies(1, least), "buckets binary, counts binary").collect()
+    among, p = (np.concatenate([np.frombuffer(r[c], np.int32) for r in found]) for c in range(2))
     if not len(among):
         return none
-    counts = sample.where("kind = 0").mapInArrow(_frequencies(0, 1, among), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     u = np.zeros(len(among))
-    u[np.searchsorted(among, counts["bucket"].to_numpy(np.int64))] = counts["n"].to_numpy(float)
+    for buckets, counts in sample.where("kind = 0").mapInArrow(_frequencies(0, 1, among), "buckets binary, counts binary").toLocalIterator():
+        u[np.searchsorted(among, np.frombuffer(buckets, np.int32))] += np.frombuffer(counts, np.int32)
     keep = p / n_p >= LIFT * u / n_u
     among, p, u = among[keep], p[keep], u[keep]
     share = (p + u) / (n_p + n_u)
     gain = p * np.log(p / (n_p * share)) + np.where(u > 0, u * np.log(np.maximum(u, 1) / (n_u * share)), 0)
-    return np.sort(among[np.argsort(-gain, kind="stable")[:features]])
+    return np.sort(among[np.argsort(-gain, kind="stable")[:features]]).astype(np.int64)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
