@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encode_decode
+from .licenses import scan as scan_licenses
 from .near_dedup import near_duplicates
 from .packing import pack
 from .quality import judge
 from .secrets import digest, find_secrets
+from .sharding import digest as sharding_digest
+from .sharding import sharded
 from .toxicity import toxicity
 from .winnowing import digest as winnowing_digest
 from .winnowing import fingerprints
@@ -27,6 +30,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License of every document, its own or that of its directory.
+
+    The table has no paths; source, language and blocks of a hundred ids stand for directories.
+    """
+    block = F.floor(F.col("doc_id") / 100).cast("string")
+    path = F.concat_ws("/", "source", "lang", block, F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return scan_licenses(table(spark, sf_dir, "documents").withColumn("path", path))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base rules and likelihood verdict of every document."""
     return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -47,6 +60,11 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, part=85, whole=100)
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document after a two-pass shuffle into 16 shards."""
+    return sharding_digest(sharded(table(spark, sf_dir, "documents"), 16))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids and of the decoded text of every document."""
     out = encode_decode(table(spark, sf_dir, "documents"), TOKENIZER)
@@ -65,10 +83,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_licenses": op1_licenses,
         "op3_quality_rules": op3_quality_rules,
         "op4_winnowing": op4_winnowing,
         "op5_toxicity": op5_toxicity,
         "op6_near_dedup": op6_near_dedup,
+        "op7_sharding": op7_sharding,
         "op8_bpe": op8_bpe,
         "op9_secrets": op9_secrets,
         "op10_packing": op10_packing,
