@@ -135,6 +135,13 @@ def log_ratio(target: np.ndarray, raw: np.ndarray, smoothing: float = SMOOTHING)
     return np.log((target_p + floor) / (raw_p + floor))
 
 
+def mean_log_ratio(buf: np.ndarray, off: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Mean weight of each text's n-grams; 0 for a text without any."""
+    n = len(off) - 1
+    bucket, row = hashed_ngrams(buf, off)
+    return np.bincount(row, weight[bucket], n) / np.maximum(np.bincount(row, minlength=n), 1)
+
+
 def _score(weight: np.ndarray, threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,9 +149,7 @@ def _score(weight: np.ndarray, threshold: float) -> Callable[[Iterator[pa.Record
             for i, j in vec.chunks(off):
                 part, o = buf[off[i] : off[j]], off[i : j + 1] - off[i]
                 base = base_counts(part, o)
-                bucket, row = hashed_ngrams(part, o)
-                n = np.bincount(row, minlength=j - i)
-                score = np.bincount(row, weight[bucket], j - i) / np.maximum(n, 1)
+                score = mean_log_ratio(part, o, weight)
                 failed = base_failed(base)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(i, j - i), *(pa.array(base[c].astype(np.int64)) for c in BASE), pa.array(failed), pa.array(~failed & (score >= threshold)), pa.array(score)],
@@ -173,3 +178,9 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
     return docs.select("doc_id", "text").mapInArrow(
         _score(weight, threshold), "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, score double"
     )
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, with all columns, that :func:`judge` keeps."""
+    weight = quality_weights(docs, labels)
+    return vec.keep_rows(docs, lambda buf, off: ~base_failed(base_counts(buf, off)) & (mean_log_ratio(buf, off, weight) >= threshold))

@@ -14,6 +14,7 @@ from .near_dedup import near_duplicates
 from .packing import pack
 from .quality import judge
 from .secrets import digest, find_secrets
+from .quotes import link_quotes
 from .sharding import digest as sharding_digest
 from .sharding import sharded
 from .toxicity import toxicity
@@ -40,6 +41,11 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents").withColumn("path", path))
 
 
+def op2_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations without quotes, every message with what it replies to."""
+    return link_quotes(table(spark, sf_dir, "conversations"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base rules and likelihood verdict of every document."""
     return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -84,6 +90,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_licenses": op1_licenses,
+        "op2_quotes": op2_quotes,
         "op3_quality_rules": op3_quality_rules,
         "op4_winnowing": op4_winnowing,
         "op5_toxicity": op5_toxicity,

@@ -7,18 +7,29 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; where that is unset (tests in local mode), a temporary folder of this machine."""
+    global _own
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        _own = _own or tempfile.mkdtemp(prefix="tideline-")
+        folder = _own
+    return folder.rstrip("/")
+
+
+_own = ""
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept as a reliable checkpoint.
+    """``df`` computed once and kept as a reliable checkpoint in the shared folder.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is
-    unset (tests in local mode) a temporary folder of this machine serves.
     Files go with the frame where ``spark.cleaner.referenceTracking.cleanCheckpoints``
     is on.
     """
     spark: SparkSession = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tideline-"))
+        context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 

@@ -284,19 +284,31 @@ def raw_score(chosen: np.ndarray, weight: np.ndarray, coded: np.ndarray) -> floa
     return float((weight[np.searchsorted(chosen, coded // (MOST_COUNT + 1))] * _value(coded)).sum())
 
 
-def _score(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def scorer(model: Model) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function that gives the score of each text of a buffer with offsets."""
     some = model.buckets[model.weight > 0]
     values = model.weight[model.weight > 0]
+    table: list[np.ndarray] = []
+
+    def run(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+        if not table:
+            table.append(np.zeros(BUCKETS, bool))
+            table[0][some] = True
+        row, coded = _grams(buf, off, table[0])
+        raw = np.bincount(row, values[np.searchsorted(some, coded // (MOST_COUNT + 1))] * _value(coded), len(off) - 1) + model.bias
+        return _sigmoid(model.scale * raw + model.shift)
+
+    return run
+
+
+def _score(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    scores = scorer(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chosen = np.zeros(BUCKETS, bool)
-        chosen[some] = True
         for batch in batches:
             buf, off, _ = vec.column(batch.column(1))
             for i, j in vec.chunks(off):
-                row, coded = _grams(buf[off[i] : off[j]], off[i : j + 1] - off[i], chosen)
-                raw = np.bincount(row, values[np.searchsorted(some, coded // (MOST_COUNT + 1))] * _value(coded), j - i) + model.bias
-                score = _sigmoid(model.scale * raw + model.shift)
+                score = scores(buf[off[i] : off[j]], off[i : j + 1] - off[i])
                 ids = [(str(x).encode() if x is not None else None) for x in batch.column(0).slice(i, j - i).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(i, j - i), pa.array([x is not None and zlib.crc32(x) % FOLDS == 0 for x in ids], pa.bool_()), pa.array(score), pa.array((score >= 0.5).astype(np.int32))],
@@ -318,3 +330,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Train on ``labels`` outside the held-out fold, score all of ``docs``."""
     return score(docs, fit(docs, labels))
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all columns, that are not predicted toxic."""
+    scores = scorer(fit(docs, labels))
+    return vec.keep_rows(docs, lambda buf, off: scores(buf, off) < 0.5)

@@ -8,10 +8,11 @@ instead of a Python loop per document.  White space is ASCII only, as in
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 U64 = np.uint64
 _MASK = (1 << 64) - 1
@@ -166,5 +167,19 @@ def ngrams(values: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.
     return out[at], at
 
 
+def keep_rows(docs: DataFrame, decide: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text ``decide(bytes, offsets)`` marks."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, off, _ = column(batch.column(at))
+            for i, j in chunks(off):
+                mask = decide(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+                yield batch.slice(i, j - i).filter(pa.array(mask))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
