@@ -27,6 +27,9 @@ from .store import cut
 LENGTHS = (6, 7, 8, 9, 10)
 #: Buckets of the n-gram hash.
 BUCKETS = 1 << 22
+_SHIFT = np.uint64(64 - 22)
+#: Bytes of text that are taken at once, which bounds a worker's memory.
+_CHUNK = 1 << 17
 #: Bounds of the training sample, in documents.
 POSITIVES = 3000
 UNLABELLED = 9000
@@ -74,23 +77,28 @@ def _grams(buf: np.ndarray, off: np.ndarray, chosen: np.ndarray | None = None) -
     text, row = text[order], row[order]
     base = vec.SYMBOL[text]
     rows, buckets = [], []
-    for length in LENGTHS:
+    h = base
+    for length in range(2, max(LENGTHS) + 1):
         m = len(text) - length + 1
         if m <= 0:
+            break
+        h = h[:m] * vec.U64(0x9E3779B97F4A7C15)
+        h += base[length - 1 :]
+        if length not in LENGTHS:
             continue
-        h = base[:m].copy()
-        for k in range(1, length):
-            h *= vec.U64(0x9E3779B97F4A7C15)
-            h += base[k : m + k]
-        bucket = (vec.mix(h + vec.U64(length)) % vec.U64(BUCKETS)).astype(np.int64)
+        bucket = (vec.mix(h + vec.U64(length)) >> _SHIFT).astype(np.int32)
         ok = row[:m] == row[length - 1 :]
         if chosen is not None:
             ok &= chosen[bucket]
-        rows.append(row[:m][ok])
-        buckets.append(bucket[ok])
+        at = np.flatnonzero(ok)
+        rows.append(row[at])
+        buckets.append(bucket[at])
     if not rows:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    pair, count = np.unique(np.concatenate(rows) * BUCKETS + np.concatenate(buckets), return_counts=True)
+    key = np.concatenate(rows) * BUCKETS
+    key += np.concatenate(buckets)
+    del rows, buckets, h
+    pair, count = np.unique(key, return_counts=True)
     return pair // BUCKETS, pair % BUCKETS * (MOST_COUNT + 1) + np.minimum(count, MOST_COUNT)
 
 
@@ -106,7 +114,7 @@ def _frequencies(kind: int, least: int, among: np.ndarray | None = None) -> Call
         for batch in batches:
             buf, off, _ = vec.column(batch.column(0))
             own = np.asarray(batch.column(1)) == kind
-            for i, j in vec.chunks(off, 1 << 19):
+            for i, j in vec.chunks(off, _CHUNK):
                 row, coded = _grams(buf[off[i] : off[j]], off[i : j + 1] - off[i], wanted)
                 np.add.at(total, coded[own[i:j][row]] // (MOST_COUNT + 1), 1)
         some = np.flatnonzero(total >= least)
@@ -121,7 +129,7 @@ def _features(chosen: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterat
         wanted[chosen] = True
         for batch in batches:
             buf, off, _ = vec.column(batch.column(0))
-            for i, j in vec.chunks(off, 1 << 19):
+            for i, j in vec.chunks(off, _CHUNK):
                 row, coded = _grams(buf[off[i] : off[j]], off[i : j + 1] - off[i], wanted)
                 at = np.zeros(j - i + 1, np.int32)
                 np.cumsum(np.bincount(row, minlength=j - i) * 4, out=at[1:])
@@ -307,7 +315,7 @@ def _score(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, off, _ = vec.column(batch.column(1))
-            for i, j in vec.chunks(off):
+            for i, j in vec.chunks(off, _CHUNK):
                 score = scores(buf[off[i] : off[j]], off[i : j + 1] - off[i])
                 ids = [(str(x).encode() if x is not None else None) for x in batch.column(0).slice(i, j - i).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
