@@ -148,8 +148,8 @@ _STOCK_R = "price st_value pct_from_high pct_above_low pct_since_flip pct_from_s
 _STOCK = "symbol_id week_end_date direction weeks_in_trend qualified f_supertrend f_sector f_trend_template f_52w_range f_rs f_liquidity f_price f_not_asm sig_fresh_flip sig_tight_stop sig_vol_confirm sig_vcp sig_accumulation sig_near_high sig_sector_leader pen_overextended pen_high_atr pen_late_stage regime"
 
 
-@registered(query(f"select {', '.join(_STOCK.split())}, {_r(_STOCK_R, 5)}, round(stock_score, 1) as stock_score from scored", ["scored"], turnover=TURNOVER))
+@registered(query(f"select {', '.join(_STOCK.split())}, {_r(_STOCK_R, 5)}, round_even(stock_score * 100, 0) / 100 as stock_score from scored", ["scored"], turnover=TURNOVER))
 def scan_stocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scan.scan(market(spark, sf_dir), scan_config()).stocks
-    return rounded(out.select(*_STOCK.split(), *_STOCK_R.split(), F.round("stock_score", 1).alias("stock_score")), 5)
+    return rounded(out.select(*_STOCK.split(), *_STOCK_R.split(), "stock_score"), 5)
 
