@@ -417,5 +417,5 @@ def _groups(docs: DataFrame, signed: DataFrame, families: DataFrame, k: int, par
 
 def keep_first(docs: DataFrame, k: int = 5, part: int = 80, whole: int = 100) -> DataFrame:
     """The rows of ``docs``, with all columns, whose document is the first of its group; rows without ``doc_id`` stay."""
-    kept = near_duplicates(docs, k, part, whole).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.where("doc_id is not null").join(kept.hint("shuffle_hash"), F.col("doc_id") == F.col("_kept"), "left_semi").unionByName(docs.where("doc_id is null"))
+    kept = near_duplicates(docs, k, part, whole).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept_id")).distinct()
+    return docs.where("doc_id is not null").join(kept.hint("shuffle_hash"), F.col("doc_id") == F.col("__kept_id"), "left_semi").unionByName(docs.where("doc_id is null"))
