@@ -77,8 +77,10 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     said_line = own.select("conv_id", "turn", F.explode(F.split("body", "\n")).alias("part")).select("conv_id", "turn", normalised(F.col("part")).alias("norm")).where(
         "norm <> ''"
     ).select("conv_id", "turn", F.md5(F.col("norm").cast("binary")).alias("hash"))
-    said = own.select("conv_id", "turn", "hash").unionByName(said_paragraph).unionByName(said_line).distinct()
     quoted = found.where("level > 0")
+    hashes = quoted.select("hash").distinct()
+    # only what somebody quotes is carried on; it is read twice, so kept
+    said = cut(own.select("conv_id", "turn", "hash").unionByName(said_paragraph).unionByName(said_line).join(hashes, "hash", "left_semi").distinct())
     # the latest earlier message that said it: sums by (conversation, hash, quoting turn), never pairs of a common passage
     asked = quoted.select("conv_id", "hash", F.col("turn").alias("at")).distinct().withColumn("asks", F.lit(1))
     told = said.select("conv_id", "hash", F.col("turn").alias("at")).withColumn("asks", F.lit(0))

@@ -16,7 +16,7 @@ from .store import shuffle_partitions
 
 #: Words a k-gram has, and hashes a window.
 K = 5
-WINDOW = 8
+WINDOW = 4
 #: Low bits of a packed hash for the position; the hash keeps the others but the sign.
 POSITION_BITS = 23
 _MASK = (1 << POSITION_BITS) - 1
