@@ -261,7 +261,7 @@ def test_sizing_modes_capital_and_bear():
 
 
 def test_swap_replaces_the_weakest_only_of_older_holdings():
-    cells = {(0, 1, "stock_score"): 50.0, (0, 2, "stock_score"): 10.0, (0, 3, "stock_score"): 10.0, (1, 1, "stock_score"): 40.0, (1, 3, "stock_score"): 95.0}
+    cells = {(0, 1, "stock_score"): 50.0, (0, 2, "stock_score"): 10.0, (0, 3, "stock_score"): 10.0, (1, 1, "stock_score"): 40.0, (1, 2, "stock_score"): 10.0, (1, 3, "stock_score"): 95.0}
     r = run(small_market(3, cells=cells), sizing="fixed", max_positions=0, position_size=990_000, min_score=45, swap_min_score=80, swap_below_score=60)
     assert list(r.trades["exit_reason"]) == ["swap", "end"] and list(r.trades["symbol"]) == ["S1", "S3"]
 
