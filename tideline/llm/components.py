@@ -25,10 +25,12 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         # large star: every larger neighbour of a node goes to the node's least neighbour
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # kept, so that both sides of the join are shuffled for it and a hub's rows can be split over tasks
+        least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # small star: every smaller neighbour, and the node, go to the least one
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = cut(large)
+        least = cut(large.groupBy("a").agg(F.min("b").alias("m")))
         small = (
             large.join(least, "a")
             .select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
