@@ -13,9 +13,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import shuffle_partitions
+
 #: Records a bucket holds on average.
 BUCKET_ROWS = 256
 SEED = 1_729
+#: Buckets a task works through, at most on average.
+TASK_BUCKETS = 128
 
 
 def _weight(shard: int) -> Column:
@@ -59,7 +63,9 @@ def sharded(docs: DataFrame, shards: int, bucket_rows: int = BUCKET_ROWS) -> Dat
     ``doc_id`` is a key like any other, a null text is an empty one; an empty
     table gives an empty result.
     """
-    per_shard = max(1, -(-docs.count() // (bucket_rows * shards)))
+    rows = docs.count()
+    per_shard = max(1, -(-rows // (bucket_rows * shards)))
+    tasks = max(shuffle_partitions(docs.sparkSession), rows // (bucket_rows * TASK_BUCKETS))
     content = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.withColumns({"shard": shard_of(shards), "grown_shard": shard_of(shards + 1)})
     # equal rows beyond doc_id and text follow each other in no order that could be told
@@ -68,7 +74,7 @@ def sharded(docs: DataFrame, shards: int, bucket_rows: int = BUCKET_ROWS) -> Dat
     before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     drawn = buckets.withColumns({"_first": F.coalesce(F.sum("_size").over(before), F.lit(0)), "_places": fisher_yates(F.col("_size"), F.col("shard"), F.col("_bucket"))})
     inside = Window.partitionBy("shard", "_bucket").orderBy(F.asc_nulls_first("doc_id"), content)
-    placed = scattered.repartition("shard", "_bucket").withColumn("_at", F.row_number().over(inside) - 1)
+    placed = scattered.repartition(tasks, "shard", "_bucket").withColumn("_at", F.row_number().over(inside) - 1)
     return (
         placed.join(drawn.select("shard", "_bucket", "_first", "_places"), ["shard", "_bucket"])
         .withColumn("slot", F.col("_first") + F.get("_places", F.col("_at")))
