@@ -372,6 +372,13 @@ def test_quotes(spark):
     assert found[2, 1] == ("", 0, 0, None, 1, None, None)
     assert found[None, 1] == ("x", 0, 0, None, 1, None, None)
     assert quotes.link_quotes(df.where("turn < 0")).count() == 0
+    import duckdb
+
+    con = duckdb.connect()
+    con.register("conversations", df.toPandas().astype({"conv_id": "Int64", "turn": "Int64"}))
+    cursor = con.execute(quotes.ORACLE_SQL)
+    names = [d[0] for d in cursor.description]
+    assert Counter(tuple(r[names.index(c)] for c in got[0].asDict()) for r in cursor.fetchall()) == Counter(map(tuple, got))
 
 
 # --------------------------------------------------------------- pipeline

@@ -14,6 +14,7 @@ from .near_dedup import near_duplicates
 from .packing import pack
 from .quality import judge
 from .secrets import digest, find_secrets
+from .quotes import ORACLE_SQL as QUOTES_SQL
 from .quotes import link_quotes
 from .sharding import digest as sharding_digest
 from .sharding import sharded
@@ -103,4 +104,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_quotes": QUOTES_SQL}

@@ -126,3 +126,42 @@ def _roots(parents: DataFrame) -> DataFrame:
             break
         reach = cut(both.select("conv_id", "turn", F.coalesce("further", "thread_turn").alias("thread_turn")))
     return reach
+
+
+_NORM = "trim(regexp_replace(translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' ')"
+_MARK = r"^(?:[ \t]*>)+[ \t]?"
+
+#: The rows of :func:`link_quotes` over ``conversations``, for DuckDB.
+ORACLE_SQL = f"""
+with recursive parsed as materialized (
+  select conv_id, turn, pos, length(regexp_replace(regexp_extract(line, '{_MARK}'), '[^>]', '', 'g')) as level, regexp_replace(line, '{_MARK}', '') as body
+  from (select distinct conv_id, turn, text, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos
+        from (select distinct conv_id, turn, text from conversations where conv_id is not null and turn is not null))
+), islands as (
+  select *, pos - row_number() over (partition by conv_id, turn, level order by pos) as island from parsed
+), found as materialized (
+  select conv_id, turn, level, first_at, body, md5({_NORM.format(x="body")}) as hash from (
+    select conv_id, turn, level, min(pos) as first_at, string_agg(body, chr(10) order by pos) as body from islands group by conv_id, turn, level, island)
+  where {_NORM.format(x="body")} <> ''
+), said as materialized (
+  select distinct conv_id, turn, hash from (
+    select conv_id, turn, hash from found where level = 0
+    union all select conv_id, turn, md5({_NORM.format(x="part")}) from (select conv_id, turn, unnest(regexp_split_to_array(body, '\\n[ \\t]*\\n')) as part from found where level = 0) where {_NORM.format(x="part")} <> ''
+    union all select conv_id, turn, md5({_NORM.format(x="part")}) from (select conv_id, turn, unnest(string_split(body, chr(10))) as part from found where level = 0) where {_NORM.format(x="part")} <> '')
+), quoted as (
+  select q.*, (select max(s.turn) from said s where s.conv_id = q.conv_id and s.hash = q.hash and s.turn < q.turn) as source from found q where level > 0
+), origins as (
+  select hash, min((conv_id, turn)) as origin from said group by hash
+), messages as materialized (
+  select conv_id, turn, count(*) as n_quoted, count(source) as n_linked, arg_min(source, (level, -source)) filter (source is not null) as parent_turn, arg_min(origin, first_at) as origin
+  from quoted left join origins using (hash) group by conv_id, turn
+), roots as (
+  select conv_id, turn, parent_turn as thread_turn from messages where parent_turn is not null
+  union all select r.conv_id, r.turn, m.parent_turn from roots r join messages m on m.conv_id = r.conv_id and m.turn = r.thread_turn where m.parent_turn is not null
+)
+select c.conv_id, c.turn, c.role,
+  regexp_replace(array_to_string(list_filter(string_split(coalesce(c.text, ''), chr(10)), lambda x: not regexp_matches(x, '{_MARK}')), chr(10)), '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g') as body,
+  coalesce(m.n_quoted, 0) as n_quoted, coalesce(m.n_linked, 0) as n_linked, m.parent_turn, coalesce(t.thread_turn, c.turn) as thread_turn, m.origin[1] as origin_conv, m.origin[2] as origin_turn
+from conversations c left join messages m on m.conv_id = c.conv_id and m.turn = c.turn
+left join (select conv_id, turn, min(thread_turn) as thread_turn from roots group by 1, 2) t on t.conv_id = c.conv_id and t.turn = c.turn
+"""
