@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.sources.lineage import cut
+
 
 def linked_symbols(rows: DataFrame, rounds: int = 50) -> DataFrame:
     """``symbol, root``: symbols that share an ISIN, directly or over others, have one root (the least symbol).
@@ -13,13 +15,14 @@ def linked_symbols(rows: DataFrame, rounds: int = 50) -> DataFrame:
     changes, over each ISIN's least label, so no pair of symbols is made.
     """
     good = F.when(F.length("isin") == 12, F.col("isin"))
-    pairs = rows.select("symbol", good.alias("isin")).distinct().persist()
-    labels = pairs.select("symbol").distinct().withColumn("root", F.col("symbol")).persist()
+    pairs = rows.select("symbol", good.alias("isin")).distinct()
+    pairs = cut(pairs)
+    labels = pairs.select("symbol").distinct().withColumn("root", F.col("symbol"))
     for _ in range(rounds):
         best = pairs.where("isin is not null").join(labels, "symbol").groupBy("isin").agg(F.min("root").alias("best"))
         offered = pairs.join(best, "isin").groupBy("symbol").agg(F.min("best").alias("best"))
         new = labels.join(offered, "symbol", "left").select("symbol", F.least("root", F.coalesce("best", "root")).alias("root"), (F.col("best") < F.col("root")).alias("moved"))
-        new = new.checkpoint() if rows.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else new.persist()
+        new = cut(new)
         if new.where("moved").isEmpty():
             return new.select("symbol", "root")
         labels = new.select("symbol", "root")

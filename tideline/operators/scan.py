@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tideline.config import Config
 from tideline.functions.columns import monday, ratio, truth
 from tideline.operators import bars, indicators, regime, scoring, sectors, trend
+from tideline.sources.lineage import cut
 from tideline.sources.market import Market
 
 
@@ -78,14 +79,14 @@ def scan(inputs: Market, cfg: Config, *, members: DataFrame | None = None, exclu
     snapshot; ``exclusions`` (as_of_date, symbol_id) flags the symbols of the
     latest list up to seven days past the week's end.
     """
-    # read by several parts of the plan, so kept; blocks that an executor takes with it are made again
-    inputs = Market(inputs.symbols, inputs.daily.persist(), inputs.benchmark)
-    weekly = bars.weekly_bars(inputs.daily).persist()
+    # read by several parts of the plan, so made once and kept where no executor's loss takes them along
+    inputs = Market(inputs.symbols, cut(inputs.daily), cut(inputs.benchmark))
+    weekly = cut(bars.weekly_bars(inputs.daily))
     bench = inputs.benchmark.where(F.col("index_name") == benchmark).select("date", "close")
     calendar = bench.select("date").distinct()
-    daily = indicators.daily_indicators(inputs.daily, calendar, cfg.indicators).persist()
+    daily = cut(indicators.daily_indicators(inputs.daily, calendar, cfg.indicators))
     by_week = indicators.weekly_indicators(weekly, bars.benchmark_weekly(inputs.benchmark, benchmark), cfg.relative_strength.sma_weeks)
-    series = trend.trend(weekly, cfg.trend.period, cfg.trend.multiplier).persist()
+    series = cut(trend.trend(weekly, cfg.trend.period, cfg.trend.multiplier))
     runs = trend.trend_runs(series)
     weeks = scan_weeks(runs)
 
@@ -109,10 +110,12 @@ def scan(inputs: Market, cfg: Config, *, members: DataFrame | None = None, exclu
         stocks = stocks.join(index_lists, "symbol_id", "left")
     else:
         stocks = stocks.withColumn("index_list", F.lit(None).cast("string"))
+    stocks = cut(stocks)
 
     directions = series.select("symbol_id", monday(F.col("week_end_date")).alias("monday"), "direction")
     panels = sectors.sector_weeks(daily.select("symbol_id", "date", "ix", "price"), inputs.symbols, bench, directions, cfg.sectors)
     metrics = sectors.sector_metrics(panels.drop("week_end_date"), stocks, cfg.sectors, cfg.indicators.near_high_breadth_pct).join(F.broadcast(weeks), "monday")
+    metrics = cut(metrics)
     breadth = stocks.groupBy("monday", "week_end_date").agg(
         (F.avg((F.col("direction") == "Bullish").cast("double")) * 100).alias("market_breadth_pct"),
         (F.avg(F.when(F.col("sma200").isNotNull(), (F.col("price") > F.col("sma200")).cast("double"))) * 100).alias("pct_above_sma200"),
