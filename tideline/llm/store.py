@@ -1,36 +1,12 @@
-"""Cutting lineage in the folder that driver and executors share."""
+"""Cutting lineage in the shared folder, and the number of shuffle partitions."""
 
 from __future__ import annotations
 
-import tempfile
+from pyspark.sql import SparkSession
 
-from pyspark.sql import DataFrame, SparkSession
+from tideline.sources.lineage import cut, shared_folder
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; where that is unset (tests in local mode), a temporary folder of this machine."""
-    global _own
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        _own = _own or tempfile.mkdtemp(prefix="tideline-")
-        folder = _own
-    return folder.rstrip("/")
-
-
-_own = ""
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept as a reliable checkpoint in the shared folder.
-
-    Files go with the frame where ``spark.cleaner.referenceTracking.cleanCheckpoints``
-    is on.
-    """
-    spark: SparkSession = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint()
+__all__ = ["cut", "shared_folder", "shuffle_partitions"]
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
