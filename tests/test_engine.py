@@ -434,3 +434,49 @@ def test_stream_upsert_counts_a_batch_once(spark, tmp_path):
     for n, rows in enumerate(([(1, "a")], [(1, "b"), (2, "c")], [(1, "b"), (2, "c")])):
         write(spark.createDataFrame(rows, "k int, s string"), n)
     assert {r.k: r.s for r in spark.read.parquet(str(tmp_path / "t" / "v2")).collect()} == {1: "b", 2: "c"}
+
+
+# --------------------------------------------------------------------- jobs
+
+
+def test_run_rows(spark):
+    from tideline.operators import jobs
+
+    runs = spark.createDataFrame([("2024-01-05", "complete")], "w string, status string").select(F.col("w").cast("date").alias("week_end_date"), "status", *(F.lit(None).cast(t).alias(c) for c, t in (("started_at", "timestamp"), ("finished_at", "timestamp"), ("error", "string"))))
+    for week in ("2024-01-05", "2024-01-12"):
+        runs = jobs.start_run(runs, week, "2024-01-13 10:00:00")
+    runs = jobs.end_run(jobs.end_run(runs, "2024-01-12", "2024-01-13 10:01:00", "broken"), "2024-01-05", "2024-01-13 10:01:00", "late")
+    assert {str(r.week_end_date): (r.status, r.error) for r in runs.collect()} == {"2024-01-05": ("complete", None), "2024-01-12": ("failed", "broken")}
+
+
+def test_ingest_of_a_day_writes_by_route(spark):
+    from tideline.operators import jobs
+
+    columns = "symbol_id int, date date, open double, high double, low double, close double, volume double, delivery_qty double, delivery_pct double, source string"
+    old = [(1, DAY(2024, 1, 4), 1.0, 2.0, 1.0, 2.0, 5.0, None, None, "v"), (2, DAY(2024, 1, 5), 1.0, 2.0, 1.0, 2.0, 5.0, None, None, "v"), (3, DAY(2024, 1, 4), 10.0, 10.0, 10.0, 10.0, 5.0, None, None, "v"), (3, DAY(2024, 1, 8), 10.0, 10.0, 10.0, 10.0, 5.0, None, None, "v")]
+    feed = [(s, 10.0, 12.0, 9.0, 11.0, 100.0, p, 50.0, 40.0) for s, p in (("A", 1.0), ("B", 2.0), ("OLDC", 5.0), ("BAD", 1.0))]
+    feed[3] = ("BAD", -1.0, 12.0, 9.0, 11.0, 100.0, 1.0, 50.0, 40.0)
+    got = jobs.ingest_day(
+        spark.createDataFrame(feed, "symbol string, open double, high double, low double, close double, volume double, prev_close double, delivery_qty double, delivery_pct double"),
+        spark.createDataFrame(old, columns), spark.createDataFrame([("A", 1), ("B", 2), ("C", 3)], "symbol string, id int"), spark.createDataFrame([("OLDC", 3), ("A", 9)], "old_symbol string, symbol_id int"), "2024-01-05", "2024-01-04",
+    )
+    rows = {(r.symbol_id, r.date): (r.close, r.volume, r.delivery_qty) for r in got.daily.collect()}
+    day = DAY(2024, 1, 5)
+    assert rows[1, day] == (11.0, 100.0, 50.0) and rows[2, day] == (2.0, 5.0, 50.0) and rows[3, day] == (22.0, 50.0, 25.0) and len(rows) == 6
+    assert [(r.symbol_id, r.ratio) for r in got.actions.collect()] == [(1, 2.0)]
+    assert [r.issue for r in got.issues.collect()] == ["bad_price"]
+
+
+def test_backtest_tables_and_lists(spark, tmp_path):
+    runs = spark.createDataFrame(
+        [(1, "a", None, '{"sizing":"fixed","min_score":70}', '{"cagr_pct":5.0}'), (2, "b", "s", '{"experiment":"x","variant":"v"}', '{"cagr_pct":7.0}'), (3, "c", "s", '{"experiment":"x","variant":"w"}', '{"cagr_pct":9.0}')],
+        "id int, name string, sweep_id string, params string, metrics string",
+    )
+    assert [(r.id, r.sizing, r.min_score) for r in api.backtests(runs).collect()] == [(1, "fixed", 70.0)]
+    assert [(r.variant, r.place) for r in api.experiment_log(runs).orderBy("place").collect()] == [("w", 1), ("v", 2)]
+    flows = spark.createDataFrame([(1, DAY(2023, 1, 1), -100.0), (1, DAY(2024, 1, 1), 110.0), (2, DAY(2023, 1, 1), 1.0)], "run_id int, date date, amount double")
+    got = {r.run_id: r.xirr_pct for r in metrics.xirr_by_run(flows).collect()}
+    assert abs(got[1] - 10) < 0.1 and (got[2] is None or math.isnan(got[2]))
+    e = spark.createDataFrame([(1, DAY(2024, 1, 5), 10.0, None, 10.0), (1, DAY(2024, 1, 12), 12.0, 11.0, 15.0)], "run_id int, date date, equity double, nav double, contributed double")
+    assert [(r.nav, r.flow) for r in study.reload(e).orderBy("date").collect()] == [(10.0, 0.0), (11.0, 5.0)]
+

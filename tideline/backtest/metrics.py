@@ -173,3 +173,14 @@ def trade_stats(trades: DataFrame, key: str = "run_id") -> DataFrame:
 def exit_reasons(trades: DataFrame, key: str = "run_id") -> DataFrame:
     """Trades, mean profit and mean return of each exit reason."""
     return trades.groupBy(key, "exit_reason").agg(F.count("*").alias("trades"), F.avg("pnl").alias("avg_pnl"), F.avg("pnl_pct").alias("avg_pnl_pct"))
+
+
+def xirr_by_run(flows: DataFrame, key: str = "run_id") -> DataFrame:
+    """``key, xirr_pct`` of dated amounts (key, date, amount; negative is paid in), by bisection in a grouped function."""
+
+    def solve(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("date", kind="stable")
+        return pd.DataFrame({key: [frame[key].iloc[0]], "xirr_pct": [xirr(list(frame["date"]), frame["amount"].to_numpy(float))]})
+
+    kind = dict(flows.dtypes)[key]
+    return flows.select(key, "date", "amount").groupBy(key).applyInPandas(solve, f"{key} {kind}, xirr_pct double")

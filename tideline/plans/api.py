@@ -242,3 +242,37 @@ def portfolio(trades: DataFrame, stocks: DataFrame, exit_score: float) -> DataFr
     joined = held.join(now, "symbol_id", "left")
     sell = ~truth(F.col("direction") == "Bullish") | (F.lit(exit_score > 0) & truth(F.col("stock_score") < exit_score))
     return joined.select("symbol_id", "symbol", "industry", "entry_date", "entry_price", "qty", "stock_score", "price", "stop", sell.alias("sell"), ((F.try_divide("price", "entry_price") - 1) * 100).alias("change_pct"))
+
+
+def list_runs(runs: DataFrame, complete_only: bool = False) -> DataFrame:
+    """Runs, newest week first."""
+    return (runs.where("status = 'complete'") if complete_only else runs).orderBy(F.desc("week_end_date"))
+
+
+def backtests(runs: DataFrame, limit: int = 200) -> DataFrame:
+    """Runs outside experiments with their main figures and parameters flattened, newest first."""
+    number = lambda column, path: F.get_json_object(column, path).cast("double")
+    rows = runs.where(F.get_json_object("params", "$.experiment").isNull())
+    return rows.orderBy(F.desc("id")).limit(limit).select(
+        "id", "name", number("metrics", "$.cagr_pct").alias("cagr_pct"), number("metrics", "$.max_drawdown_pct").alias("max_drawdown_pct"), number("metrics", "$.sharpe").alias("sharpe"),
+        number("params", "$.max_positions").alias("max_positions"), number("params", "$.min_score").alias("min_score"), F.get_json_object("params", "$.sizing").alias("sizing"),
+    )
+
+
+def experiment_log(runs: DataFrame) -> DataFrame:
+    """Variants of each experiment, the best return first."""
+    rows = runs.withColumns({"experiment": F.get_json_object("params", "$.experiment"), "variant": F.get_json_object("params", "$.variant"), "cagr_pct": F.get_json_object("metrics", "$.cagr_pct").cast("double")})
+    return rows.where("experiment is not null").select("experiment", "variant", "id", "cagr_pct", F.row_number().over(Window.partitionBy("experiment").orderBy(F.desc_nulls_last("cagr_pct"), "id")).alias("place"))
+
+
+def sweeps(runs: DataFrame) -> DataFrame:
+    """Runs and best return of each sweep."""
+    return runs.where("sweep_id is not null").groupBy("sweep_id").agg(F.count("*").alias("runs"), F.max(F.get_json_object("metrics", "$.cagr_pct").cast("double")).alias("best_cagr_pct"))
+
+
+def backtest(runs: DataFrame, equity: DataFrame, trades: DataFrame, run_id: int) -> DataFrame:
+    """One run with its curve and trades as arrays in order."""
+    own = lambda df: df.where(F.col("run_id") == run_id)
+    curve = own(equity).groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("date", "equity", "benchmark", "drawdown"))).alias("equity"))
+    sold = own(trades).groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("entry_date", "symbol", "exit_date", "qty", "pnl", "exit_reason"))).alias("trades"))
+    return own(runs).join(curve, "run_id", "left").join(sold, "run_id", "left")

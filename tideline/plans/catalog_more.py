@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tideline.backtest import metrics as figures
 from tideline.backtest import simulate, study
-from tideline.operators import bars, checks, history, ingest, scan
+from tideline.operators import bars, checks, history, ingest, jobs, scan, trend
 from tideline.plans import api
 from tideline.plans.catalog import TURNOVER, _r, registered, rounded, scan_config
 from tideline.plans.oracle import query
@@ -462,4 +462,37 @@ def stream_weekly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spark.table(name))
 
 
+# --------------------------------------------------------------------- jobs
 
+
+@registered(query("select symbol_id, monday, week_end_date, " + _r("open high low close") + ", volume, trading_days from weekly", ["weekly"]))
+def job_rebuild_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars brought up to date from a store whose last weeks are missing or wrong."""
+    d = market(spark, sf_dir).daily
+    stored = bars.weekly_bars(d).where("monday < (date '2001-10-29' - interval 7 days) or symbol_id % 2 = 0").withColumn("close", F.when((F.col("symbol_id") % 4 == 0) & (F.col("monday") >= "2001-10-22"), 1.0).otherwise(F.col("close")))
+    return rounded(jobs.rebuild_weeks(d, stored, 3).weekly.select("symbol_id", "monday", "week_end_date", "open", "high", "low", "close", "volume", "trading_days"))
+
+
+@registered(query(f"select symbol_id, week_end_date, {_r('atr upper_band lower_band st_value')}, direction, weeks_in_trend, is_flip from series", ["series"]))
+def job_update_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The series from a state half way, some symbols rewritten and some without state; equal to the series made at once."""
+    weekly = bars.weekly_bars(market(spark, sf_dir).daily)
+    half = weekly.where("week_end_date < '1999-01-01' and symbol_id % 5 <> 0")
+    series = trend.trend(half)
+    state = trend.last_state(series, 7, 3.0)
+    changed = weekly.where("symbol_id % 7 = 0").groupBy("symbol_id").agg(F.min("week_end_date").alias("first_changed"))
+    return rounded(jobs.update_trend(weekly, series, state, changed)[0].select("symbol_id", "week_end_date", "atr", "upper_band", "lower_band", "st_value", "direction", "weeks_in_trend", "is_flip"))
+
+
+@registered()
+def job_point_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = _history(spark, sf_dir).groupBy("date", "symbol", "isin").agg(F.sum("value").alias("value"))
+    rows = h.select("date", "symbol", "isin", "value", *(F.lit(100.0).alias(c) for c in ("open", "high", "low", "close")), F.col("value").alias("volume"))
+    events = spark.createDataFrame([], "symbol string, isin string, ex_date date, factor double")
+    return jobs.build_point_in_time(rows, events, 5, 10.0).entities
+
+
+@registered("select 'F' as sweep_id, count(*) as runs, round(max(o_totalprice), 4) as best_cagr_pct from orders where o_orderstatus = 'F' union all select 'O', count(*), round(max(o_totalprice), 4) from orders where o_orderstatus = 'O' union all select 'P', count(*), round(max(o_totalprice), 4) from orders where o_orderstatus = 'P' having count(*) > 0")
+def api_sweeps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    return rounded(api.sweeps(o.select(F.col("o_orderstatus").alias("sweep_id"), F.to_json(F.struct(F.col("o_totalprice").alias("cagr_pct"))).alias("metrics"))), 4)
