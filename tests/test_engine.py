@@ -369,6 +369,10 @@ def test_publish_writes_the_run_row_last(spark, tmp_path):
     assert api.resolve_week(spark.read.parquet(str(tmp_path / "scan_runs"))).first().week_end_date == DAY(2024, 1, 12)
 
 
+def test_export_has_the_published_columns():
+    assert len(files.EXPORT) == 19 and len(files.EXPORT | files.EXPORT_MORE) == 34
+
+
 def test_filter_spec_presets_and_overrides():
     spec = api.FilterSpec.from_params({"preset": "best", "grade": "B", "wmin": "x"})
     assert spec.qualified and spec.grades == ("B",) and spec.weeks_least is None

@@ -202,15 +202,25 @@ def states(stocks: DataFrame) -> DataFrame:
     return lists.select("symbol_id", F.explode(F.aggregate("weeks", start, step)["out"]).alias("w")).select("symbol_id", "w.*")
 
 
+#: Words for the filters a stock can fail; fixed values.
+FILTER_WORDS = {"f_trend_template": "trend template", "f_52w_range": "52W range", "f_rs": "RS rating", "f_liquidity": "liquidity", "f_price": "price", "f_not_asm": "ASM/GSM"}
+
+
 def run_diff(stocks: DataFrame) -> DataFrame:
-    """Against the week before: symbols that entered or left the rule, and that turned; ``change`` names it."""
-    weeks = stocks.select("week_end_date").distinct().withColumn("before", F.lag("week_end_date").over(Window.orderBy("week_end_date")))
-    now = stocks.join(F.broadcast(weeks), "week_end_date").select("week_end_date", "before", "symbol_id", "symbol", "direction", "stock_score", is_entry().alias("entry"))
-    old = stocks.select(F.col("week_end_date").alias("before"), "symbol_id", F.col("direction").alias("old_direction"), F.col("stock_score").alias("old_score"), is_entry().alias("old_entry"))
-    both = now.join(old, ["before", "symbol_id"])
-    turned = F.col("direction") != F.col("old_direction")
-    change = F.when(F.col("entry") & ~F.col("old_entry"), "entry").when(turned & (F.col("direction") == "Bearish"), "exit").when(turned, "flip").when((F.col("old_score") >= RULE["exit_score"]) & (F.col("stock_score") < RULE["exit_score"]), "score_exit")
-    return both.withColumn("change", change).where("change is not null").select("week_end_date", "symbol_id", "symbol", "change", "direction", "stock_score", "old_score")
+    """Against the week before, for every week: ``change`` is entry, exit (with ``why``), bull_flip or bear_flip; a stock may have two.
+
+    Entries qualify now and did not, or were not there; exits did and do not.
+    A stock that is gone is no exit.
+    """
+    weeks = stocks.select("week_end_date").distinct().withColumn("before", F.lag("week_end_date").over(Window.orderBy("week_end_date")))  # one row a week
+    old = stocks.select(F.col("week_end_date").alias("before"), "symbol_id", F.col("qualified").alias("_old"))
+    both = stocks.join(F.broadcast(weeks), "week_end_date").join(old, ["before", "symbol_id"], "left").withColumn("_old", F.coalesce("_old", F.lit(False)))
+    failed = F.concat_ws(", ", *(F.when(~F.col(c), w) for c, w in FILTER_WORDS.items()))
+    why = F.when(F.col("direction") == "Bearish", "Turned bearish").when(~truth(F.col("sector_tradeable")), "Sector dropped out").otherwise(F.concat(F.lit("Failed: "), F.when(failed != "", failed).otherwise("filters")))
+    membership = F.when(F.col("qualified") & ~F.col("_old"), "entry").when(F.col("_old") & ~F.col("qualified"), "exit")
+    flip = F.when(F.col("is_new_flip"), F.when(F.col("direction") == "Bullish", "bull_flip").otherwise("bear_flip"))
+    rows = both.withColumn("_why", why).withColumn("change", F.explode(F.filter(F.array(membership, flip), lambda x: x.isNotNull())))
+    return rows.select("week_end_date", "symbol_id", "symbol", "industry", "change", F.when(F.col("change") == "exit", F.col("_why")).alias("why"), "direction", "stock_score", "grade")
 
 
 def sector_detail(panels: DataFrame, industry: str, week: str, weeks: int = 156) -> DataFrame:

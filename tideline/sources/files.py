@@ -141,17 +141,34 @@ def corporate_actions(feed: DataFrame, start: str, end: str) -> DataFrame:
     return out.where(F.col("factor").isNotNull() & F.col("ex_date").between(F.lit(start).cast("date"), F.lit(end).cast("date"))).distinct()
 
 
-#: Column order of the two exports; fixed values.
-EXPORT = ["symbol", "name", "industry", "price", "direction", "weeks_in_trend", "flip_date", "st_value", "pct_from_st", "stock_score", "grade", "rs_rating", "sector_rank", "pct_from_high", "avg_turnover_20d_cr", "qualified", "stop_price", "position_qty", "reasons"]
-EXPORT_MORE = ["ret_1m", "ret_3m", "ret_6m", "ret_12m", "sma50", "sma150", "sma200", "high_52w", "low_52w", "atr_pct", "vol_ratio", "tightness_ratio", "rs_vs_sector", "sector_score", "delivery_pct_20d"]
+#: Headers and columns of the export, and those the extended one adds, in order; fixed values.
+EXPORT = {
+    "Symbol": "symbol", "Price": "price", "Direction": "direction", "Weeks in Trend": "weeks_in_trend", "Flip Date": "flip_date", "Flip Price": "flip_price", "% Since Flip": "pct_since_flip",
+    "52W High": "high_52w", "52W Low": "low_52w", "% from High": "pct_from_high", "SMA50": "sma50", "SMA150": "sma150", "SMA200": "sma200", "1M%": "ret_1m", "3M%": "ret_3m",
+    "Avg Vol (20d)": "avg_vol_20d", "Market Cap (Cr)": "market_cap_cr", "Sector": "industry", "Index": "index_list",
+}
+EXPORT_MORE = {
+    "RS Rating": "rs_rating", "Stock Score": "stock_score", "Grade": "grade", "Sector Rank": "sector_rank", "Sector Score": "sector_score", "ST Value (Stop)": "st_value", "Risk %": "risk_pct",
+    "ATR%": "atr_pct", "Vol Ratio": "vol_ratio", "Delivery %": "delivery_pct_20d", "SMA100": "sma100", "6M%": "ret_6m", "12M%": "ret_12m", "Strict 8 Filter": "qualified", "Reasons": "reasons",
+}
+EXPORT_WHOLE = {"weeks_in_trend", "avg_vol_20d", "rs_rating", "sector_rank"}
 
 
 def export_rows(stocks: DataFrame, extended: bool = False) -> DataFrame:
-    """Columns of an export in order, doubles to two places by half-even, bullish and best first."""
-    names = EXPORT + (EXPORT_MORE if extended else [])
+    """The export's columns in order, bullish and best first; numbers rounded half-even, to two places or whole."""
     kinds = dict(stocks.dtypes)
-    shown = [(F.rint(F.col(c) * 100) / 100).alias(c) if kinds[c] == "double" else F.col(c) for c in names]
-    return stocks.orderBy(F.desc("direction"), F.desc_nulls_last("stock_score"), "symbol").select(*shown)
+
+    def shown(c: str) -> Column:
+        if c in EXPORT_WHOLE:
+            return F.rint(F.col(c).cast("double")).cast("long")
+        if c == "qualified":
+            return F.when(F.col(c), "Yes").otherwise("No")
+        if kinds[c] == "date":
+            return F.date_format(c, "yyyy-MM-dd")
+        return F.rint(F.col(c) * 100) / 100 if kinds[c] in ("double", "float") else F.col(c)
+
+    names = EXPORT | (EXPORT_MORE if extended else {})
+    return stocks.orderBy(F.desc("direction"), F.desc_nulls_last("stock_score"), "symbol").select(*(shown(c).alias(h) for h, c in names.items()))
 
 
 def write_csv(stocks: DataFrame, path: str, extended: bool = False) -> None:
