@@ -185,6 +185,7 @@ def test_bpe_on_odd_text_and_after_a_reset(library, monkeypatch):
     pool = [chr(c) for c in [*range(0x20, 0x7F), *range(0xA0, 0x250), *range(0x300, 0x330), *range(0x390, 0x3D0), 0x2028, 0x3000, 0x1F600, 0x4E00, 0xAC00, 0x130, 0x17F, 0x212A]]
     odd = ["".join(rng.choice(pool, rng.integers(1, 60))) for _ in range(400)] + ["".join(rng.choice(list("ab'sSreveldtm !1é\n"), 25)) for _ in range(400)]
     monkeypatch.setattr(bpe, "MOST_KNOWN", 50)
+    monkeypatch.setattr(bpe, "PIECE", 20)
     coder = bpe.ForcedBoundaryBPE(PATH)
     for part in (odd[:300], odd[300:]):
         out = coder.encode(part)
@@ -232,6 +233,12 @@ def test_secrets_model_finds_what_patterns_miss_and_keeps_recall(spark):
     assert r.spans.startswith("model:19:") and r.spans.count("model") == 1
 
 
+def test_runs_under_base_spans_are_no_candidates():
+    base = [(0, 10, 0), (2, 4, 2), (20, 25, 1)]
+    assert secrets._uncovered([(8, 9), (10, 20), (12, 21), (24, 30), (25, 30)], base) == [(10, 20), (25, 30)]
+    assert secrets._uncovered([(1, 2)], []) == [(1, 2)]
+
+
 def test_redaction(nasty):
     out = {r.doc_id: r for r in secrets.redact_secrets(nasty).collect()}
     hit = next(r for r in out.values() if r.text and "[SECRET]" in r.text)

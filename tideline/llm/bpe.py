@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from . import vec
 
 _SLOTS = 1 << 20
+#: Characters that are taken at once; a bound of memory for very long texts, without effect on results.
+PIECE = 1 << 20
 #: Fragments a worker remembers before it starts anew; a bound of memory, without effect on results.
 MOST_KNOWN = 400_000
 _NONE = np.int64(1) << np.int64(62)
@@ -228,39 +230,63 @@ class ForcedBoundaryBPE:
         """Fragment numbers of all texts in a row, and the bounds of each text's."""
         if len(self._known) > MOST_KNOWN:
             self._reset()
-        parts: list[str] = []
-        special: list[tuple[int, int]] = []  # part number, fragment number
-        owner: list[int] = []
+        codes: list[np.ndarray] = []
+        owners: list[np.ndarray] = []
+        group: list[str] = []
+        of: list[int] = []
+        held = 0
+
+        def flush() -> None:
+            nonlocal held
+            if group:
+                got, part = self._group(group)
+                codes.append(got)
+                owners.append(np.array(of, np.int64)[part])
+            group.clear()
+            of.clear()
+            held = 0
+
         for i, text in enumerate(texts):
-            if self._special is not None and "<|" in text and self._special.search(text):
-                for piece in self._special.split(text):
-                    if piece in self._special_code:
-                        special.append((len(parts), self._special_code[piece]))
-                        piece = ""
-                    parts.append(piece)
-                    owner.append(i)
-            else:
-                parts.append(text)
-                owner.append(i)
-        joined = "\n".join(p.replace("\n", " ") for p in parts)
+            for piece in self._pieces(text):
+                if piece in self._special_code:
+                    flush()
+                    codes.append(np.array([self._special_code[piece]], np.int64))
+                    owners.append(np.array([i], np.int64))
+                    continue
+                group.append(piece)
+                of.append(i)
+                held += len(piece)
+                if held >= PIECE:
+                    flush()
+        flush()
+        none = np.zeros(0, np.int64)
+        text_of = np.concatenate([none, *owners])
+        return np.concatenate([none, *codes]), np.searchsorted(text_of, np.arange(len(texts) + 1))
+
+    def _pieces(self, text: str) -> Iterator[str]:
+        """A text cut at its special tokens, which stand for themselves, and long stretches cut at spaces."""
+        found = self._special is not None and "<|" in text
+        for part in self._special.split(text) if found else [text]:
+            at = 0
+            while len(part) - at > PIECE:
+                cut = part.find(" ", at + PIECE)
+                if cut < 0:
+                    break
+                yield part[at:cut]
+                at = cut
+            yield part[at:] if at else part
+
+    def _group(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Fragment numbers of some parts in a row, and the part each is of."""
+        joined = "\n".join([p.replace("\n", " ") for p in parts])
         if not joined.isascii():
             joined = unicodedata.normalize("NFC", joined)
             joined = joined.replace("Σ", "σ")  # no final form: letters are lowered one by one
         joined = joined.lower()
         data = np.frombuffer(joined.encode("utf-8"), np.uint8)
-        n_parts = len(parts)
         if len(data) == 0:
-            codes, part_of = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        else:
-            codes, part_of = self._cut(joined, data)
-        if special:
-            codes = np.concatenate([codes, np.array([c for _, c in special], np.int64)])
-            part_of = np.concatenate([part_of, np.array([p for p, _ in special], np.int64)])
-            order = np.argsort(part_of, kind="stable")
-            codes, part_of = codes[order], part_of[order]
-        owners = np.array(owner, np.int64)
-        text_of = owners[part_of] if n_parts else part_of
-        return codes, np.searchsorted(text_of, np.arange(len(texts) + 1))
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return self._cut(joined, data)
 
     def _cut(self, joined: str, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         lead = (data & 0xC0) != 0x80
