@@ -40,7 +40,7 @@ MISS = 1e-6
 BITS = 256
 #: Members of a bucket, or of a family, that one task compares with as many others.
 BLOCK = 512
-FAMILY_BLOCK = 256
+FAMILY_BLOCK = 128
 
 _RANDOM = np.random.Generator(np.random.PCG64(77_003)).integers(1, 1 << 63, (2, 1024), dtype=np.uint64) | vec.U64(1)
 
