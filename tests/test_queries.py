@@ -27,7 +27,8 @@ def plain(df: pd.DataFrame) -> pd.DataFrame:
     for c in out:
         column = out[c].astype(object).where(out[c].notna(), None)
         out[c] = [None if v is None else str(v)[:10] if hasattr(v, "year") else float(v) if isinstance(v, int | float) and not isinstance(v, bool) else v for v in column]
-    return out.sort_values(list(out.columns), key=lambda s: s.astype(str), ignore_index=True)
+    exact = [c for c in out if not any(isinstance(v, float) and v != int(v) for v in out[c] if v is not None and v == v)]
+    return out.sort_values([*exact, *(c for c in out if c not in exact)], key=lambda s: s.map(lambda v: f"{v:.3f}" if isinstance(v, float) else str(v)), ignore_index=True)
 
 
 @pytest.mark.parametrize("name", NAMES)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -29,7 +30,8 @@ def registered(sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         _QUERIES[f.__name__] = f
         if sql:
-            _SQL[f.__name__] = sql
+            # DuckDB rounds to a negative zero, Spark to zero
+            _SQL[f.__name__] = re.sub(r", ([2-6])\) as (?!double)", r", \1) + 0.0 as ", sql)
         return f
 
     return add
