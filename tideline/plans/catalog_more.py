@@ -232,13 +232,13 @@ def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows with renamed, reused and unlinked tickers, made from lines."""
     t = table(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("date"), F.col("l_suppkey").alias("s"), F.col("l_quantity").alias("value"))
     late = F.col("date") >= F.lit("1999-01-01")
-    return t.where(F.col("s") <= 60).select(
+    return t.select(
         "date", F.concat(F.lit("T"), (F.col("s") + F.when(late & (F.col("s") % 4 == 0), 1000).otherwise(0)).cast("string")).alias("symbol"),
         F.when(F.col("s") % 5 != 0, F.concat(F.lit("INE"), F.lpad(F.floor(F.col("s") / 2).cast("string"), 9, "0"))).alias("isin"), "value",
     )
 
 
-_HIST = "(select cast(l_shipdate as date) as date, 'T' || (l_suppkey + case when l_shipdate >= timestamp '1999-01-01' and l_suppkey % 4 = 0 then 1000 else 0 end) as symbol, case when l_suppkey % 5 <> 0 then 'INE' || lpad(cast(l_suppkey // 2 as varchar), 9, '0') end as isin, l_quantity as value from lineitem where l_suppkey <= 60)"
+_HIST = "(select cast(l_shipdate as date) as date, 'T' || (l_suppkey + case when l_shipdate >= timestamp '1999-01-01' and l_suppkey % 4 = 0 then 1000 else 0 end) as symbol, case when l_suppkey % 5 <> 0 then 'INE' || lpad(cast(l_suppkey // 2 as varchar), 9, '0') end as isin, l_quantity as value from lineitem)"
 
 
 @registered(
