@@ -287,6 +287,38 @@ def test_packing_fills_with_the_best_neighbours():
     assert np.allclose(index.scores(0), [3 * tf, 0, 2 * tf, 0])
 
 
+def test_packing_asks_the_whole_corpus(spark):
+    rng = np.random.default_rng(6)
+    texts = [" ".join("".join(rng.choice(list("abdeghiklmnoprstuw"), 6)) for _ in range(30)) for _ in range(100)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, t) for i, t in enumerate(texts)]
+    pieces = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), PATH, window=512, shard_docs=8).collect()
+    of = defaultdict(set)
+    for p in pieces:
+        of[p.doc_id].add(p.sequence_id)
+    assert sum(bool(of[i] & of[1000 + i]) for i in range(100)) >= 90
+    filled = Counter()
+    for p in pieces:
+        filled[p.sequence_id] += p.length
+    assert sum(n < 512 for n in filled.values()) <= 1
+
+
+def test_packing_neighbours_are_those_of_brute_force(spark):
+    rng = np.random.default_rng(7)
+    docs = [np.append(rng.zipf(1.3, 40) % 500 + 2, 1).astype(np.uint16) for _ in range(120)]
+    df = np.bincount(np.concatenate([np.unique(d[:-1]) for d in docs]), minlength=packing.VOCABULARY)
+    idf = np.where(df > 0, np.maximum(0.0, np.log((120 - df + 0.5) / (df + 0.5))), 0.0)
+    held = spark.createDataFrame([(i // 20, i % 20, i, d.tobytes()) for i, d in enumerate(docs)], "shard long, row long, doc_id long, ids binary")
+    index = held.repartition(3, "shard").sortWithinPartitions("shard", "row").mapInArrow(packing._postings(idf, 40.0), "shard long, sizes binary, first binary, doc binary, weight binary")
+    seed = np.arange(0, 120, 7)
+    used = np.isin(np.arange(120), seed) | (np.arange(120) % 5 == 0)
+    row, number, score = packing.neighbours(index, seed, [np.unique(docs[s][:-1]) for s in seed], used, {k: 20 * k for k in range(6)}, 9)
+    whole = packing.Index([d[:-1] for d in docs], idf, 40.0)
+    for r, s in enumerate(seed.tolist()):
+        value = np.rint(np.where(used, 0, whole.scores(s)) * packing.SCORE_PARTS)
+        want = sorted(np.flatnonzero(value), key=lambda d: (-value[d], (d - s) % 120))[:9]
+        assert np.abs(score[row == r] - value[want]).max(initial=0) <= 1 and len(set(want) ^ set(number[row == r].tolist())) <= 2
+
+
 # --------------------------------------------------------------- toxicity
 
 
