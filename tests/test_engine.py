@@ -389,6 +389,12 @@ def test_signal_states(spark):
     assert api.signals(df.where(F.col("week_end_date") <= days[2])).first().state == "exit"
 
 
+def test_history_links_long_chains(spark):
+    rows = [(f"T{i + k:04}", f"INE{i:09}") for i in range(400) for k in (0, 1)] + [("A", None), ("B", "short"), (None, "INE000000001")]
+    got = {r.symbol: r.root for r in history.linked_symbols(spark.createDataFrame(rows, "symbol string, isin string")).collect()}
+    assert got == {f"T{i:04}": "T0000" for i in range(401)} | {"A": "A", "B": "B", None: None}
+
+
 def test_history_events_and_gaps(spark):
     rows = [(DAY(2024, 1, d), "A", "INE000000001", 1) for d in (1, 2, 3)] + [(DAY(2026, 1, 1), "A", None, 1)]
     df = spark.createDataFrame(rows, "date date, symbol string, isin string, v int")

@@ -5,28 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.sources.components import connected_components
 from tideline.sources.lineage import cut
 
 
-def linked_symbols(rows: DataFrame, rounds: int = 50) -> DataFrame:
+def linked_symbols(rows: DataFrame) -> DataFrame:
     """``symbol, root``: symbols that share an ISIN, directly or over others, have one root (the least symbol).
 
-    The graph is of distinct pairs, not of rows; labels spread until none
-    changes, over each ISIN's least label, so no pair of symbols is made.
+    The graph is of distinct pairs, not of rows; its edges go from a symbol
+    to the least one of its ISIN, so no pair of symbols is made, and are
+    contracted until none changes, however long a chain is.
     """
     good = F.when(F.length("isin") == 12, F.col("isin"))
-    pairs = rows.select("symbol", good.alias("isin")).distinct()
-    pairs = cut(pairs)
-    labels = pairs.select("symbol").distinct().withColumn("root", F.col("symbol"))
-    for _ in range(rounds):
-        best = pairs.where("isin is not null").join(labels, "symbol").groupBy("isin").agg(F.min("root").alias("best"))
-        offered = pairs.join(best, "isin").groupBy("symbol").agg(F.min("best").alias("best"))
-        new = labels.join(offered, "symbol", "left").select("symbol", F.least("root", F.coalesce("best", "root")).alias("root"), (F.col("best") < F.col("root")).alias("moved"))
-        new = cut(new)
-        if new.where("moved").isEmpty():
-            return new.select("symbol", "root")
-        labels = new.select("symbol", "root")
-    return labels
+    pairs = cut(rows.select("symbol", good.alias("isin")).distinct())
+    known = pairs.where("isin is not null and symbol is not null")
+    least = known.groupBy("isin").agg(F.min("symbol").alias("b"))
+    roots = connected_components(known.join(least, "isin").select(F.col("symbol").alias("a"), "b")).select(F.col("node").alias("symbol"), "component")
+    return pairs.select("symbol").distinct().join(roots, "symbol", "left").select("symbol", F.coalesce("component", "symbol").alias("root"))
 
 
 def entities(rows: DataFrame, max_gap_days: int = 365) -> DataFrame:
