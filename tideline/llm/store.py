@@ -1,13 +1,23 @@
-"""Cutting lineage in the shared folder, and the number of shuffle partitions."""
+"""Keeping intermediate tables in the shared folder, and the number of shuffle partitions."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 from tideline.sources.lineage import cut, shared_folder
 
-__all__ = ["cut", "shared_folder", "shuffle_partitions"]
+__all__ = ["cut", "shared_folder", "shuffle_partitions", "written"]
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` computed once, written to the shared folder as Parquet and read again: smaller than a checkpoint, and outlives executors."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
