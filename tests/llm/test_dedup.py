@@ -71,6 +71,42 @@ def test_families_and_buckets_over_block_bounds(spark, monkeypatch):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows, 3, 85, 100)
 
 
+def test_texts_of_one_id_and_very_long_repeats(spark):
+    rng = np.random.default_rng(4)
+    a, b, c = (" ".join(f"w{x}" for x in rng.integers(0, 5000, 100)) for _ in range(3))
+    near = lambda t: t + " more"
+    thue = "".join("ae"[i.bit_count() % 2] for i in range(1024))
+    other = thue.translate(str.maketrans("ae", "ea"))
+    rows = [(5, a), (5, b), (3, near(a)), (7, near(b)), (9, c), (9, c), (20, thue), (21, other), (22, f"{thue} x y z"), (23, f"{other} x y z")]
+    got = nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85, 100).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows, 3, 85, 100)
+    assert {r.component_id for r in got if r.doc_id in (3, 5, 7)} == {3}
+
+
+def test_ten_thousand_repeated_rows(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = spark.range(10_000).selectExpr("id % 10 as doc_id").crossJoin(spark.createDataFrame([(text,)], "text string"))
+    got = nd.near_duplicates(rows, 3, 85, 100)
+    assert got.count() == 10_000 and got.where("component_id <> 0 or n_shingles <> 58").isEmpty()
+
+
+def test_recall_near_the_threshold(spark):
+    rng = np.random.default_rng(5)
+    rows, wanted = [], Counter()
+    for i in range(300):
+        base = [f"w{x}" for x in rng.integers(0, 50_000, 200)]
+        changed = list(base)
+        for at in rng.choice(200, rng.integers(1, 9), replace=False):
+            changed[at] = "new"
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(changed))]
+        s, t = shingles(rows[-2][1], 3), shingles(rows[-1][1], 3)
+        similar = len(s & t) / len(s | t)
+        if similar >= 0.85:
+            wanted[round(similar, 2)] += 1
+    got = {r.doc_id: r.component_id for r in nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85, 100).collect()}
+    assert sum(got[2 * i] == got[2 * i + 1] for i in range(300)) == sum(wanted.values()) > 50 and min(wanted) < 0.87
+
+
 def test_odd_sketch_estimates_similarity():
     rng = np.random.default_rng(1)
     k = 256

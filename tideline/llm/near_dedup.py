@@ -6,16 +6,20 @@ Plan
    of its shingle set, band keys of its MinHash samples, and an odd sketch:
    the samples folded into a parity bitmap, so that the population count of
    the XOR of two bitmaps tells how many samples differ.
-2. Documents with equal sets become one representative (minimum, combined
-   before the shuffle), so groups of exact copies of any size cost nothing later.
-3. Band keys of representatives are dealt by key and sorted; keys with one
-   member go.  A bucket beyond ``BLOCK`` members is cut into blocks and the
-   work spread over pairs of blocks.  Each task compares sketches and returns
-   a spanning forest of what may be similar, never the pairs.
+2. Documents with equal sets become one representative (combined before the
+   shuffle), so groups of exact copies of any size cost nothing later.
+3. Representatives that share a band key are a bucket.  Those of a bucket
+   whose sketches are near are candidates; what returns is a spanning forest,
+   never the pairs.
 4. The trees are *families*.  Only for their members the full shingle sets are
-   made, and all links inside a family are decided on full sets, block pair by
-   block pair, again returning a spanning forest.
+   made, and all links inside a family are decided on full sets.
 5. Components of the confirmed forest are the groups.
+
+A large bucket or family is dealt to blocks by a hash of the member.  First
+every member is compared with the group's leader, which visits all blocks.
+Members linked to the leader are in one group already and need no comparison
+with each other, so only the rest visit all blocks.  A group of alike members
+costs its size; only members unlike the leader cost their number times it.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import vec
 from .components import connected_components
-from .store import cut
+from .store import written
 
 #: MinHash rows a band has.
 ROWS = 5
@@ -38,10 +42,16 @@ ROWS = 5
 MISS = 1e-6
 #: Bits of an odd sketch.
 BITS = 256
-#: Members of a bucket, or of a family, that one task compares with as many others.
+#: Members of a block of a bucket, and of a family, on average.
 BLOCK = 512
 FAMILY_BLOCK = 128
 
+#: Visitors compared at once, which bounds a worker's memory.
+VISITORS = 64
+
+#: Pairs of near ones: positions in the first list and in the second, or both in the first where there is no second.
+Compare = Callable[[list[np.ndarray], list[np.ndarray] | None], tuple[np.ndarray, np.ndarray]]
+
 _RANDOM = np.random.Generator(np.random.PCG64(77_003)).integers(1, 1 << 63, (2, 1024), dtype=np.uint64) | vec.U64(1)
 
 
@@ -91,6 +101,19 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray,
     return g, np.bincount(row, minlength=n)
 
 
+def set_hashes(g: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Two 64-bit hashes of each set, from sums over its shingles."""
+    first = np.zeros(len(count) + 1, np.int64)
+    np.cumsum(count, out=first[1:])
+    m = vec.mix(g)
+    total = np.zeros(len(g) + 1, np.uint64)
+    out = np.zeros((2, len(count)), np.uint64)
+    for x in range(2):
+        np.cumsum(m if x == 0 else vec.mix(m + vec.U64(11)), out=total[1:])
+        out[x] = total[first[1:]] - total[first[:-1]]
+    return out
+
+
 def signatures(g: np.ndarray, count: np.ndarray, samples: int) -> np.ndarray:
     """MinHash values, one row for each sample, of the rows with a shingle."""
     first = np.zeros(len(count), np.int64)
@@ -122,14 +145,7 @@ def _sign(k: int, bands: int, rows: int) -> Callable[[Iterator[pa.RecordBatch]],
                 o = off[i : j + 1] - off[i]
                 g, count = shingle_sets(buf[off[i] : off[j]], o, k)
                 has = np.flatnonzero(count > 0)
-                first = np.zeros(len(count) + 1, np.int64)
-                np.cumsum(count, out=first[1:])
-                m = vec.mix(g)
-                total = np.zeros(len(g) + 1, np.uint64)
-                hashes = np.zeros((2, len(count)), np.uint64)
-                for x in range(2):
-                    np.cumsum(m if x == 0 else vec.mix(m + vec.U64(11)), out=total[1:])
-                    hashes[x] = total[first[1:]] - total[first[:-1]]
+                hashes = set_hashes(g, count)
                 sig = signatures(g, count, bands * rows)
                 keys = np.zeros((len(has), bands), np.uint64)
                 for b in range(bands):
@@ -198,24 +214,6 @@ def _bounds(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.append(start[1:], n)
 
 
-def _buckets(block: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sorted_runs(batches, 1):
-            key, ids = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            start, end = _bounds(key)
-            size = end - start
-            where = np.repeat(np.arange(len(start)), size)
-            keep = size[where] > 1
-            at = (np.arange(len(key)) - start[where])[keep]
-            blocks = -(-size[where][keep] // block)
-            if keep.any():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[keep]), pa.array(ids[keep]), pa.array((at // block).astype(np.int32)), pa.array(blocks.astype(np.int32))], names=["key", "id", "block", "blocks"]
-                )
-
-    return run
-
-
 class _Forest:
     """Union-find over any integers that tells whether an edge joins two trees."""
 
@@ -236,54 +234,36 @@ class _Forest:
         return True
 
 
-def _pairs_of(first: np.ndarray, second: np.ndarray | None) -> Iterator[tuple[int, np.ndarray]]:
-    """Each row of ``first`` with the later rows of the same, or all of ``second``."""
-    for i in range(len(first)):
-        yield i, (first[i + 1 :] if second is None else second)
-
-
-def _similar(limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    words = BITS // 64
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest = _Forest()  # over the whole partition: a forest has fewer edges than documents
-        for batch in sorted_runs(batches, 3):
-            key, bi, bj, side, ids = (np.asarray(batch.column(c)) for c in range(5))
-            data, off, _ = vec.column(batch.column(5))
-            sketch = np.ascontiguousarray(data).view(np.uint64).reshape(-1, words)
-            out: list[tuple[int, int]] = []
-            start, end = _bounds(key, bi, bj)
-            for s, e in zip(start.tolist(), end.tolist(), strict=True):
-                if bi[s] == bj[s]:
-                    groups = [(np.arange(s, e), None)]
-                else:
-                    own = side[s:e] == 0
-                    groups = [(np.arange(s, e)[own], np.arange(s, e)[~own])]
-                for first, second in groups:
-                    for i, rest in _pairs_of(first, second):
-                        if len(rest) == 0:
-                            continue
-                        x = first[i]
-                        near = np.bitwise_count(sketch[rest] ^ sketch[x]).sum(axis=1) <= limit
-                        a = int(ids[x])
-                        out += [(a, b) for b in ids[rest[near]].tolist() if forest.join(a, b)]
-            if out:
-                a = np.array(out, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], names=["a", "b"])
+def _near_sketches(limit: int) -> Compare:
+    def run(first: list[np.ndarray], second: list[np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
+        a = np.stack(first)
+        b = a if second is None else np.stack(second)
+        left, right = [], []
+        for i in range(len(a)):
+            low = i + 1 if second is None else 0
+            near = np.flatnonzero(np.bitwise_count(b[low:] ^ a[i]).sum(axis=1) <= limit) + low
+            left.append(np.full(len(near), i))
+            right.append(near)
+        return np.concatenate(left), np.concatenate(right)
 
     return run
 
 
 def _sets(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Full sets of texts, of those whose set is the one that is asked for."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, off, _ = vec.column(batch.column(0))
+            want = np.stack([np.asarray(batch.column(c)) for c in (1, 2)])
             for i, j in vec.chunks(off):
                 g, count = shingle_sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], k)
+                right = (vec.signed(set_hashes(g, count)) == want[:, i:j]).all(axis=0)
                 at = np.zeros(j - i + 1, np.int32)
                 np.cumsum(count * 8, out=at[1:])
                 sets = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(at), pa.py_buffer(g.tobytes())])
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in range(1, 5)), sets], names=["family", "block", "blocks", "id", "set"])
+                columns = [*(batch.column(c).slice(i, j - i) for c in range(3, 7)), sets]
+                yield pa.RecordBatch.from_arrays(columns, names=["group", "n", "lead", "id", "known"]).filter(pa.array(right))
 
     return run
 
@@ -308,47 +288,96 @@ def common(sets: list[np.ndarray], split: int | None) -> np.ndarray:
     return out
 
 
-def _confirm(part: int, whole: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _near_sets(part: int, whole: int) -> Compare:
+    def run(first: list[np.ndarray], second: list[np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
+        sets = first + (second or [])
+        inter = common(sets, None if second is None else len(first))
+        size = np.array([len(x) for x in sets], np.int64)
+        union = size[: len(first)][:, None] + size[len(first) if second is not None else 0 :][None, :] - inter
+        linked = (whole * inter >= part * union) & (union > 0)
+        return np.nonzero(np.triu(linked, 1) if second is None else linked)
+
+    return run
+
+
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int, int, bool], np.ndarray, list[np.ndarray]]]:
+    """Of rows sorted by group, block and role: (group, block, role, one block), members and what is known of them."""
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        group, block, role, single, ids = (np.asarray(batch.column(c).to_numpy(zero_copy_only=False)) for c in range(5))
+        buf, off, _ = vec.column(batch.column(5))
+        start, end = _bounds(group, block, role)
+        for s, e in zip(start.tolist(), end.tolist(), strict=True):
+            key = (int(group[s]), int(block[s]), int(role[s]), bool(single[s]))
+            yield key, ids[s:e], [np.frombuffer(buf[off[x] : off[x + 1]].tobytes(), np.uint64) for x in range(s, e)]
+
+
+def _compare(near: Compare) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Links of residents with each other (of a group of one block) or with their visitors, who come after them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest = _Forest()
-        for batch in sorted_runs(batches, 3):
-            family, bi, bj, side, ids = (np.asarray(batch.column(c)) for c in range(5))
-            buf, off, _ = vec.column(batch.column(5))
-            out: list[tuple[int, int]] = []
-            start, end = _bounds(family, bi, bj)
-            for s, e in zip(start.tolist(), end.tolist(), strict=True):
-                order = s + np.argsort(side[s:e], kind="stable")
-                split = None if bi[s] == bj[s] else int((side[s:e] == 0).sum())
-                if split in (0, e - s) or e - s < 2:
-                    continue
-                sets = [buf[off[x] : off[x + 1]].view(np.uint64) for x in order.tolist()]
-                size = np.array([len(x) for x in sets], np.int64)
-                inter = common(sets, split)
-                left = np.arange(len(inter))
-                right = np.arange(split or 0, len(sets))
-                union = size[left][:, None] + size[right][None, :] - inter
-                linked = (whole * inter >= part * union) & (union > 0)
-                for x, y in zip(*np.nonzero(linked), strict=True):
-                    a, b = int(ids[order[left[x]]]), int(ids[order[right[y]]])
-                    if a != b and forest.join(a, b):
-                        out.append((a, b))
-            if out:
-                a = np.array(out, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], names=["a", "b"])
+        forest = _Forest()  # over the whole partition: a forest has fewer edges than members
+        at: tuple[int, int, bool] | None = None
+        home: np.ndarray = np.zeros(0, np.int64)
+        known: list[np.ndarray] = []
+
+        def found(group: int, a: np.ndarray, b: np.ndarray, every: bool) -> Iterator[pa.RecordBatch]:
+            keep = [x != y and (forest.join(x, y) or every) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+            if any(keep):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(sum(keep), group)), pa.array(a[keep]), pa.array(b[keep])], names=["group", "a", "b"])
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            if at is not None and at[2] and len(known) > 1:
+                i, j = near(known, None)
+                yield from found(at[0], home[i], home[j], False)
+
+        for (group, block, role, single), ids, values in _segments(batches):
+            if at != (group, block, single):
+                yield from finish()
+                at, home, known = (group, block, single), ids[:0], []
+            if role == 0:
+                home, known = np.concatenate([home, ids]), known + values
+            elif known:
+                for low in range(0, len(values), VISITORS):
+                    i, j = near(values[low : low + VISITORS], known)
+                    yield from found(group, ids[low:][i], home[j], True)
+        yield from finish()
 
     return run
 
 
-def _pairs_of_blocks(df: DataFrame, group: str) -> DataFrame:
-    """Every member once for each pair of blocks that its block is in; one row where there is one block."""
-    return df.select(group, "id", *(c for c in df.columns if c not in (group, "id", "block", "blocks")), "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
-        group,
-        F.least("block", "other").alias("bi"),
-        F.greatest("block", "other").alias("bj"),
-        F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"),
-        "id",
-        *(c for c in df.columns if c not in (group, "id", "block", "blocks")),
-    )
+_ROW = ["group", "block", "role", "single", "id", "known"]
+_EDGE = "group long, a long, b long"
+
+
+def links(members: DataFrame, block: int, near: Compare) -> DataFrame:
+    """Edges ``a, b`` whose components are those of all links inside the groups.
+
+    ``members`` is ``group, n`` (its size), ``lead`` (its least id), ``id`` and
+    ``known`` (what ``near`` compares), kept by the caller.
+    """
+
+    def compared(rows: DataFrame) -> DataFrame:
+        dealt = rows.select(*_ROW).repartition("group", "block").sortWithinPartitions("group", "block", "role")
+        return written(dealt.mapInArrow(_compare(near), _EDGE))
+
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    placed = members.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("id"), blocks).cast("int"), "role": F.lit(0), "single": blocks == 1})
+    large = placed.where(~F.col("single"))
+    everywhere = lambda df: df.withColumns({"block": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "role": F.lit(1)})
+    edges = compared(placed.unionByName(everywhere(large.where("id = lead"))))
+    beside = edges.select("group", F.col("b").alias("id"))  # in groups of several blocks a is the leader
+    rest = large.where("id <> lead").join(beside, ["group", "id"], "left_anti")
+    return edges.unionByName(compared(large.unionByName(everywhere(rest)))).select("a", "b")
+
+
+def _same_document(some: DataFrame, reps: DataFrame) -> DataFrame:
+    """Edges between the representatives of the texts that stand under one ``doc_id``."""
+    text = F.struct("n_shingles", "h1", "h2")
+    several = some.groupBy("doc_id").agg(F.min(text).alias("a"), F.max(text).alias("b")).where("a <> b").select("doc_id")
+    own = written(some.join(several, "doc_id").select("doc_id", "n_shingles", "h1", "h2").distinct().join(reps, ["n_shingles", "h1", "h2"]).select("doc_id", "id"))
+    return own.join(own.groupBy("doc_id").agg(F.min("id").alias("b")), "doc_id").select(F.col("id").alias("a"), "b").where("a <> b")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, part: int = 80, whole: int = 100) -> DataFrame:
@@ -364,48 +393,46 @@ def near_duplicates(docs: DataFrame, k: int = 5, part: int = 80, whole: int = 10
     Nulls: a null text is an empty one and linked with nothing, as is a text
     without words; a row whose ``doc_id`` is null is returned with itself as
     (null) component, is kept, and links nothing.  Repeated rows keep one
-    result each; an empty table gives an empty result.
+    result each; a ``doc_id`` with several texts is one document that any of
+    them links; an empty table gives an empty result.
     """
     threshold = part / whole
     bands = bands_for(threshold)
-    signed = cut(
+    signed = written(
         docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
             _sign(k, bands, ROWS), "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, sketch binary"
         )
     )
     some = signed.where("n_shingles > 0 and doc_id is not null")
-    reps = some.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("id"))
-    rep_ids = reps.select("id").distinct()
-    own = some.join(rep_ids, some.doc_id == rep_ids.id, "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "bands", "sketch")
-    keys = own.select(F.explode("bands").alias("key"), "id")
-    buckets = cut(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_buckets(BLOCK), "key long, id long, block int, blocks int"))
-    wide = buckets.join(own.select("id", "sketch"), "id")
-    paired = _pairs_of_blocks(wide, "key")
-    maybe = paired.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj").mapInArrow(_similar(sketch_limit(threshold, bands * ROWS)), "a long, b long")
-    families = connected_components(maybe)
-    return _groups(docs, signed, families, k, part, whole)
-
-
-def _groups(docs: DataFrame, signed: DataFrame, families: DataFrame, k: int, part: int, whole: int) -> DataFrame:
-    size = families.groupBy("component").agg(F.count("*").alias("n"))
-    placed = families.join(size, "component").select(
-        F.col("component").alias("family"),
-        F.col("node").alias("id"),
-        F.ceil(F.col("n") / FAMILY_BLOCK).cast("int").alias("blocks"),
-        F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / FAMILY_BLOCK)).cast("int").alias("block"),
+    reps = written(
+        some.groupBy("n_shingles", "h1", "h2")
+        .agg(F.min("doc_id").alias("doc"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+        .withColumn("id", F.monotonically_increasing_id())
     )
-    texts = (
-        docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-        .join(placed.hint("shuffle_hash"), "id")
-        .select("text", "family", "block", "blocks", "id")
-        .mapInArrow(_sets(k), "family long, block int, blocks int, id long, set binary")
+    keys = reps.select(F.explode("bands").alias("group"), "id")
+    sizes = keys.groupBy("group").agg(F.count("*").alias("n"), F.min("id").alias("lead")).where("n > 1")
+    members = written(keys.join(sizes, "group").join(reps.select("id", F.col("sketch").alias("known")), "id"))
+    families = connected_components(links(members, BLOCK, _near_sketches(sketch_limit(threshold, bands * ROWS))))
+
+    family_sizes = families.groupBy("component").agg(F.count("*").alias("n"))
+    placed = families.join(family_sizes, "component").select(F.col("component").alias("group"), "n", F.col("component").alias("lead"), F.col("node").alias("id"))
+    asked = placed.join(reps.select("id", "doc", "h1", "h2"), "id")
+    sets = (
+        docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
+        .join(asked.hint("shuffle_hash"), "doc")
+        .select("text", "h1", "h2", "group", "n", "lead", "id")
+        .mapInArrow(_sets(k), "group long, n long, lead long, id long, known binary")
+        .dropDuplicates(["id"])  # of repeated rows one
+    )
+    edges = links(written(sets), FAMILY_BLOCK, _near_sets(part, whole)).unionByName(_same_document(some, reps))
+    groups = written(connected_components(edges))
+    first = groups.join(reps.select(F.col("id").alias("node"), "doc"), "node").groupBy("component").agg(F.min("doc").alias("component_id"))
+    found = (
+        reps.select("n_shingles", "h1", "h2", "id", "doc")
+        .join(groups.select(F.col("node").alias("id"), "component"), "id", "left")
+        .join(first, "component", "left")
+        .select("n_shingles", "h1", "h2", F.coalesce("component_id", "doc").alias("component_id"))
     )
-    paired = _pairs_of_blocks(texts, "family")
-    links = paired.repartition("family", "bi", "bj").sortWithinPartitions("family", "bi", "bj").mapInArrow(_confirm(part, whole), "a long, b long")
-    groups = connected_components(links)
-    some = signed.where("n_shingles > 0 and doc_id is not null")
-    reps = some.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep"))
-    found = reps.join(groups, reps.rep == groups.node, "left").select("n_shingles", "h1", "h2", F.coalesce("component", "rep").alias("component_id"))
     with_set = some.select("doc_id", "n_shingles", "h1", "h2").join(found, ["n_shingles", "h1", "h2"])
     without = signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return (
@@ -416,6 +443,10 @@ def _groups(docs: DataFrame, signed: DataFrame, families: DataFrame, k: int, par
 
 
 def keep_first(docs: DataFrame, k: int = 5, part: int = 80, whole: int = 100) -> DataFrame:
-    """The rows of ``docs``, with all columns, whose document is the first of its group; rows without ``doc_id`` stay."""
+    """The rows of ``docs``, with all columns, whose document is the first of its group.
+
+    Rows without ``doc_id`` stay; rows of one ``doc_id`` stay or go together.
+    An empty table gives an empty result.
+    """
     kept = near_duplicates(docs, k, part, whole).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept_id")).distinct()
     return docs.where("doc_id is not null").join(kept.hint("shuffle_hash"), F.col("doc_id") == F.col("__kept_id"), "left_semi").unionByName(docs.where("doc_id is null"))
