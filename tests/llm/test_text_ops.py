@@ -159,6 +159,53 @@ def test_sharding_laws(nasty, nothing):
     assert sharding.sharded(nothing, 16).count() == 0
 
 
+def test_sharding_of_repeated_rows_and_clashing_names(spark):
+    rows = spark.range(3000).selectExpr("if(id < 2000, 7, id) as doc_id", "if(id < 2000, 'same', concat('t', id)) as text", "id as shard", "-id as slot")
+    got = sharding.sharded(rows, 16, 4)
+    assert got.columns == ["doc_id", "text", "input_shard", "input_slot", "shard", "grown_shard", "slot"]
+    slots = defaultdict(list)
+    for r in got.collect():
+        slots[r.shard].append(r.slot)
+        assert r.input_slot == -r.input_shard
+    assert sum(map(len, slots.values())) == 3000 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_sharding_slots_are_those_of_a_plain_shuffle(spark):
+    rows = [(i, f"text {i}") for i in range(40)] + [(None, None)]
+    got = sharding.sharded(spark.createDataFrame(rows, "doc_id long, text string"), 2, 8).collect()
+    draws = spark.createDataFrame([(s, b, i) for s in range(2) for b in range(6) for i in range(1, 41)], "s int, b int, i int")
+    draw = {(r.s, r.b, r.i): r.j for r in draws.select("s", "b", "i", F.pmod(F.xxhash64(F.lit(sharding.SEED), "s", "b", "i"), (F.col("i") + 1).cast("long")).alias("j")).collect()}
+    key = spark.createDataFrame(rows, "doc_id long, text string").select(
+        "doc_id", F.xxhash64(F.xxhash64(F.lit(sharding.SEED + 1), "doc_id", F.coalesce("text", F.lit(""))), F.lit(0).cast("long")).alias("h"), F.coalesce("text", F.lit("")).alias("text")
+    )
+    of = {r.doc_id: (r.h, r.text) for r in key.collect()}
+    for shard in range(2):
+        mine = [r for r in got if r.shard == shard]
+        count = max(1, -(-len(mine) // 8))
+        at, want = 0, {}
+        for b in range(count):
+            members = sorted((r.doc_id for r in mine if of[r.doc_id][0] % count == b), key=lambda d: (d is not None, d or 0))
+            places = list(range(len(members)))
+            for i in range(len(members) - 1, 0, -1):
+                j = draw[shard, b, i]
+                places[i], places[j] = places[j], places[i]
+            want |= {d: at + p for d, p in zip(members, places, strict=True)}
+            at += len(members)
+        assert {r.doc_id: r.slot for r in mine} == want
+
+
+def test_written_shards_hold_their_slots_in_order(spark, nasty, tmp_path):
+    sharding.write_shards(nasty, 4, str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out")).select("*", F.input_file_name().alias("file"))
+    assert back.count() == nasty.count() and "input_shard" in back.columns
+    by_file = defaultdict(list)
+    for r in back.collect():
+        by_file[r.shard, r.file].append(r.slot)
+    for shard in {s for s, _ in by_file}:
+        slots = [x for (s, _), x in sorted(by_file.items()) if s == shard]
+        assert [y for x in slots for y in x] == list(range(sum(map(len, slots))))
+
+
 def test_fisher_yates_is_a_permutation_and_even(spark):
     rows = spark.range(3000).select("id", sharding.fisher_yates(F.lit(4), F.col("id")).alias("p")).collect()
     seen = Counter(tuple(r.p) for r in rows)
@@ -193,6 +240,20 @@ def test_bpe_on_odd_text_and_after_a_reset(library, monkeypatch):
             assert out.ids[out.first[n] : out.first[n + 1]].tolist() == library.encode(t, add_special_tokens=False).ids
 
 
+def test_words_of_equal_polynomials_are_told_apart(spark, library):
+    for n in (1024, 2048, 4096):
+        a = "".join("ae"[i.bit_count() % 2] for i in range(n))
+        b = a.translate(str.maketrans("ae", "ea"))
+        coder = bpe.ForcedBoundaryBPE(PATH)
+        out = coder.encode([a, b])
+        for k, t in enumerate((a, b)):
+            assert out.ids[out.first[k] : out.first[k + 1]].tolist() == library.encode(t, add_special_tokens=False).ids
+        text = f"{a}\n{b}\n{a} {b}"
+        data = np.frombuffer(text.encode(), np.uint8)
+        counts = quality.base_counts(data, np.array([0, len(data)]))
+        assert counts["n_dup_lines"][0] == 0 == plain_counts(text)[3]
+
+
 def test_forced_cuts_are_between_bytes_no_token_has():
     coder = bpe.ForcedBoundaryBPE(PATH)
     assert coder.inside[ord("t"), ord("h")] and not coder.inside[ord(" "), ord("a")]

@@ -1,10 +1,10 @@
 """Two-pass external shuffle into shards, in DataFrame functions only.
 
 First pass: a seeded hash of ``doc_id`` chooses the shard (highest random
-weight, so one more shard takes rows only into itself) and scatters the
-shard's records over buckets of about ``BUCKET_ROWS`` records, which fit in
-memory.  Second pass: each bucket is put in the order of a Fisher-Yates
-shuffle.  The permutation is drawn once for each bucket from its size and its
+weight, so one more shard takes rows only into itself), and another scatters
+the shard's records uniformly over buckets that fit in memory, counted by rows
+and bytes.  Second pass: each bucket is put in the order of a Fisher-Yates shuffle.  The permutation is
+drawn once for each bucket, in the bucket's own task, from its size and its
 own seeded hashes; records keep streaming and are never gathered in an array.
 """
 
@@ -13,11 +13,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import shuffle_partitions
+from .store import shuffle_partitions, written
 
-#: Records a bucket holds on average.
-BUCKET_ROWS = 256
+#: Records and bytes of text a bucket holds on average, at most.
+BUCKET_ROWS, BUCKET_BYTES = 256, 1 << 22
 SEED = 1_729
+#: Counters that tell records which are repeated very often.
+COUNTERS = 1 << 14
 #: Buckets a task works through, at most on average.
 TASK_BUCKETS = 128
 
@@ -53,42 +55,73 @@ def fisher_yates(size: Column, *key: Column) -> Column:
     return F.aggregate(steps, start, swap)
 
 
-def sharded(docs: DataFrame, shards: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def _salted(keyed: DataFrame, bucket_rows: int) -> DataFrame:
+    """``_salt``: 0, but for records that are repeated very often a hash of the record's number.
+
+    Repeats are counted in ``COUNTERS`` counters, so what is brought here has
+    a fixed size.  Only where there are some the records are kept, as their
+    numbers must be the same when they are counted and when they are placed.
+    """
+    counter = F.pmod("_key", F.lit(COUNTERS))
+    seen = keyed.groupBy(counter.alias("counter")).agg(F.count("*").alias("n"))
+    most = max(4 * bucket_rows, 8 * keyed.count() // COUNTERS)
+    often = {r.counter: -(-r.n // bucket_rows) for r in seen.where(F.col("n") > most).collect()}
+    if not often:
+        return keyed.withColumns({"_salt": F.lit(0).cast("long"), "_row": F.lit(0).cast("long")})
+    numbered = written(keyed.withColumn("_row", F.monotonically_increasing_id()))
+    parts = F.get(F.lit(list(often.values())), (F.array_position(F.lit(list(often)), counter) - 1).cast("int"))
+    return numbered.withColumn("_salt", F.when(counter.isin(list(often)), F.pmod(F.xxhash64(F.lit(SEED + 2), "_row"), parts.cast("long"))).otherwise(0))
+
+
+def sharded(docs: DataFrame, shards: int, bucket_rows: int = BUCKET_ROWS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Every row of ``docs`` with ``shard``, ``grown_shard`` (with one shard more) and ``slot`` (gapless in its shard).
 
     The law is ``key``: ``doc_id`` and the number of shards decide the shard.
-    All columns travel with their row; only names beginning with ``_`` are
-    used inside.  Rows of equal ``doc_id`` get the same shard, as the law
-    demands, but are spread over its buckets by their text.  A null
+    All columns travel with their row; one that has the name of a column made
+    here comes back as ``input_<name>``.  A shard has as many buckets as its
+    own records and bytes need.  A record goes to a bucket by ``doc_id`` and
+    text, so that the order does not depend on how the input is stored; a
+    record repeated very often goes to as many buckets as it fills.  A null
     ``doc_id`` is a key like any other, a null text is an empty one; an empty
     table gives an empty result.
     """
-    rows = docs.count()
-    per_shard = max(1, -(-rows // (bucket_rows * shards)))
-    tasks = max(shuffle_partitions(docs.sparkSession), rows // (bucket_rows * TASK_BUCKETS))
+    made = {"shard", "grown_shard", "slot"}
     content = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.withColumns({"shard": shard_of(shards), "grown_shard": shard_of(shards + 1)})
-    # equal rows beyond doc_id and text follow each other in no order that could be told
-    scattered = keyed.withColumn("_bucket", F.pmod(F.xxhash64(F.lit(SEED + 1), "doc_id", content), F.lit(per_shard)).cast("int"))
-    buckets = scattered.groupBy("shard", "_bucket").agg(F.count("*").cast("int").alias("_size"))
+    plain = docs.withColumnsRenamed({c: f"input_{c}" for c in docs.columns if c in made})
+    keyed = plain.withColumns({"shard": shard_of(shards), "grown_shard": shard_of(shards + 1), "_key": F.xxhash64(F.lit(SEED + 1), "doc_id", content)})
+    buckets = [1] * shards  # of each shard
+    for shard, n, size in keyed.groupBy("shard").agg(F.count("*"), F.sum(F.octet_length(content))).collect():
+        buckets[shard] = max(1, -(-n // bucket_rows), -(-size // bucket_bytes))
+    tasks = max(shuffle_partitions(docs.sparkSession), sum(buckets) // TASK_BUCKETS)
+    own = F.get(F.lit(buckets), F.col("shard")).cast("long")
+    scattered = _salted(keyed, bucket_rows).withColumn("_bucket", F.pmod(F.xxhash64("_key", "_salt"), own).cast("int"))
+    sizes = scattered.groupBy("shard", "_bucket").agg(F.count("*").cast("int").alias("_size"))
     before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    drawn = buckets.withColumns({"_first": F.coalesce(F.sum("_size").over(before), F.lit(0)), "_places": fisher_yates(F.col("_size"), F.col("shard"), F.col("_bucket"))})
-    inside = Window.partitionBy("shard", "_bucket").orderBy(F.asc_nulls_first("doc_id"), content)
+    first = sizes.withColumn("_first", F.coalesce(F.sum("_size").over(before), F.lit(0)))
+    # drawn where the bucket is, not where its shard was summed up
+    drawn = first.repartition(tasks, "shard", "_bucket").withColumn("_places", fisher_yates(F.col("_size"), F.col("shard"), F.col("_bucket")))
+    # equal rows beyond doc_id and text follow each other in no order that could be told
+    inside = Window.partitionBy("shard", "_bucket").orderBy(F.asc_nulls_first("doc_id"), content, "_row")
     placed = scattered.repartition(tasks, "shard", "_bucket").withColumn("_at", F.row_number().over(inside) - 1)
     return (
         placed.join(drawn.select("shard", "_bucket", "_first", "_places"), ["shard", "_bucket"])
         .withColumn("slot", F.col("_first") + F.get("_places", F.col("_at")))
-        .drop("_bucket", "_at", "_first", "_places")
+        .select(*plain.columns, "shard", "grown_shard", "slot")
     )
 
 
 def write_shards(docs: DataFrame, shards: int, path: str) -> None:
-    """The second pass written out: one folder for each shard, rows in the order of their slots within each file."""
+    """The second pass written out: one folder for each shard, rows in the order of their slots within each file.
+
+    Files of a shard hold ranges of slots, in the order of their names.  A
+    column named ``shard``, ``slot`` or ``grown_shard`` is renamed as in
+    :func:`sharded`; an empty table writes no shard.
+    """
     sharded(docs, shards).repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def digest(placed: DataFrame) -> DataFrame:
-    """Size and checksum of each placed record."""
+    """Size and checksum of each placed record of :func:`sharded`; a null text counts as an empty one."""
     content = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     return placed.select(
         "doc_id",
