@@ -9,9 +9,7 @@ from tideline.plans import catalog_more as _  # noqa: F401
 
 DIR = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events".split()
-#: Whole scans share most of their plan, so some of them stand for all.
-SLOW = {"scan_regime", "api_counts", "api_diff"}
-NAMES = [n for n in catalog.oracle_sql() if n not in SLOW]
+NAMES = list(catalog.oracle_sql())
 
 
 @pytest.fixture(scope="module")

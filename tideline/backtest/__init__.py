@@ -1 +1 @@
-"""Weekly portfolio simulation and what is made of its results."""
+"""Figures of backtest runs, and studies over many of them."""

@@ -1,10 +1,9 @@
-"""Figures of equity curves and trade lists: plain numpy for one curve, DataFrame forms for many runs."""
+"""Figures of equity curves and trade lists, for many runs at once."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -15,12 +14,6 @@ WEEKS = 52
 YEAR_DAYS = 365.25
 
 
-def time_weighted(equity: np.ndarray, flows: np.ndarray, start: float) -> np.ndarray:
-    """The curve without its flows: each step is taken on the value before plus the new money."""
-    growth = equity[1:] / (equity[:-1] + flows[1:])
-    return start * np.append(1.0, np.cumprod(growth))
-
-
 def xirr(dates: Sequence, amounts: np.ndarray) -> float | None:
     """Yearly money-weighted return in per cent by bisection on (-99 %, 1000 %); None without a change of sign."""
     days = np.array([(pd.Timestamp(d) - pd.Timestamp(dates[0])).days for d in dates]) / YEAR_DAYS
@@ -39,91 +32,15 @@ def xirr(dates: Sequence, amounts: np.ndarray) -> float | None:
     return (low + high) / 2 * 100
 
 
-def curve_metrics(values: np.ndarray, dates: Sequence) -> dict[str, float | None]:
-    v = np.asarray(values, float)
-    years = max((pd.Timestamp(dates[-1]) - pd.Timestamp(dates[0])).days / YEAR_DAYS, 1e-9)
-    steps = np.diff(v) / v[:-1]
-    spread = float(steps.std()) if len(steps) else 0.0
-    fall = float((v / np.maximum.accumulate(v) - 1).min()) * 100
-    total = v[-1] / v[0]
-    return {
-        "total_return_pct": (total - 1) * 100,
-        "cagr_pct": (total ** (1 / years) - 1) * 100,
-        "max_drawdown_pct": fall,
-        "sharpe": float(steps.mean()) / spread * math.sqrt(WEEKS) if spread > 0 else None,
-        "volatility_pct": spread * math.sqrt(WEEKS) * 100,
-        "years": years,
-    }
-
-
-def mar(m: dict[str, Any]) -> float | None:
-    return m["cagr_pct"] / -m["max_drawdown_pct"] if m["max_drawdown_pct"] < 0 else None
-
-
-def yearly_returns(values: np.ndarray, dates: Sequence) -> dict[str, float]:
-    """Return of each calendar year: last value against the last of the year before, the first year against the first value."""
-    last: dict[int, float] = {}
-    for d, v in zip(dates, values, strict=True):
-        last[pd.Timestamp(d).year] = float(v)
-    out, before = {}, float(values[0])
-    for year, v in last.items():
-        out[str(year)] = (v / before - 1) * 100
-        before = v
-    return out
-
-
-def run_metrics(equity: pd.DataFrame, trades: pd.DataFrame, capital: float) -> dict[str, Any]:
-    """All figures of one run from its curve (date, equity, nav, flow, contributed, benchmark, invested_pct) and trades."""
-    dates = list(equity["date"])
-    nav = equity["nav"].to_numpy(float)
-    flow = equity["flow"].to_numpy(float)
-    bench = time_weighted(equity["benchmark"].to_numpy(float), flow, capital)
-    m: dict[str, Any] = curve_metrics(nav, dates)
-    m |= {"mar": mar(m), "yearly": yearly_returns(nav, dates), "yearly_benchmark": yearly_returns(bench, dates)}
-    final, added = float(equity["equity"].iloc[-1]), float(equity["contributed"].iloc[-1])
-    m["final_equity"] = final
-    if added > capital:
-        paid = -flow
-        paid[0] -= capital
-        own, index = paid.copy(), paid.copy()
-        own[-1] += final
-        index[-1] += float(equity["benchmark"].iloc[-1])
-        m |= {
-            "capital_contributed": added,
-            "capital_added": added - capital,
-            "net_profit": final - added,
-            "return_on_capital_pct": (final / added - 1) * 100,
-            "xirr_pct": xirr(dates, own),
-            "benchmark_final": float(equity["benchmark"].iloc[-1]),
-            "benchmark_xirr_pct": xirr(dates, index),
-        }
-    m["exposure_pct"] = float(equity["invested_pct"].iloc[1:].mean()) if len(equity) > 1 else 0.0
-    return m | trade_metrics(trades, m["years"])
-
-
-def trade_metrics(trades: pd.DataFrame, years: float) -> dict[str, Any]:
-    n = len(trades)
-    out: dict[str, Any] = {"trades": n, "trades_per_year": n / years, "exit_reasons": {}}
-    names = ("win_rate_pct", "avg_win_pct", "avg_loss_pct", "profit_factor", "expectancy_pct", "expectancy_inr", "avg_weeks_held")
-    if not n:
-        return out | dict.fromkeys(names)
-    won = trades["pnl"] > 0
-    gain, loss = trades.loc[won, "pnl"].sum(), trades.loc[~won, "pnl"].sum()
-    average = lambda s: float(s.mean()) if len(s) else 0.0
-    values = (
-        won.mean() * 100,
-        average(trades.loc[won, "pnl_pct"]),
-        average(trades.loc[~won, "pnl_pct"]),
-        gain / -loss if loss < 0 else None,
-        average(trades["pnl_pct"]),
-        average(trades["pnl"]),
-        average(trades["weeks_held"]),
-    )
-    return out | dict(zip(names, values, strict=True)) | {"exit_reasons": trades["exit_reason"].value_counts().to_dict()}
+def time_weighted(equity: DataFrame, start: float, key: str = "run_id") -> DataFrame:
+    """``nav``: the curve (key, date, equity, flow) without its flows; each step is taken on the value before plus the new money."""
+    w = Window.partitionBy(key).orderBy("date")
+    step = F.coalesce(F.try_divide("equity", F.lag("equity").over(w) + F.col("flow")), F.lit(1.0))
+    return equity.withColumn("_step", step).withColumn("nav", start * F.product("_step").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_step")
 
 
 def curves(equity: DataFrame, key: str = "run_id", value: str = "nav") -> DataFrame:
-    """The figures of :func:`curve_metrics` for every run of ``equity`` (key, date, value)."""
+    """Return, yearly return, worst fall, Sharpe ratio and volatility of every run of ``equity`` (key, date, value); weekly steps."""
     w = Window.partitionBy(key).orderBy("date")
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
     steps = equity.withColumns({"_step": F.col(value) / F.lag(value).over(w) - 1, "_fall": F.col(value) / F.max(value).over(so_far) - 1})
@@ -144,7 +61,7 @@ def curves(equity: DataFrame, key: str = "run_id", value: str = "nav") -> DataFr
         F.when(F.col("_std") > 0, F.col("_mean") / F.col("_std") * math.sqrt(WEEKS)).alias("sharpe"),
         (F.col("_std") * math.sqrt(WEEKS) * 100).alias("volatility_pct"),
         F.greatest("years", F.lit(1e-9)).alias("years"),
-    )
+    ).withColumn("mar", F.when(F.col("max_drawdown_pct") < 0, F.col("cagr_pct") / -F.col("max_drawdown_pct")))
 
 
 def yearly(equity: DataFrame, key: str = "run_id", value: str = "nav") -> DataFrame:

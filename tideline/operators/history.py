@@ -46,8 +46,11 @@ def place_events(events: DataFrame, rows: DataFrame, within_days: int = 30) -> D
     by_text = seen.groupBy("_id").agg(F.max_by("entity", F.least("_b", F.date_add("ex_date", 10))).alias("_e2"))
     owned = keyed.join(by_isin, "isin", "left").join(by_text, "_id", "left").withColumn("entity", F.coalesce("_e1", "_e2")).where("entity is not null")
     merged = owned.groupBy("entity", "ex_date").agg(F.product("factor").alias("factor"))
-    days = rows.select("entity", "date").distinct()
-    return merged.join(days, "entity").where((F.col("date") >= F.col("ex_date")) & (F.col("date") <= F.date_add("ex_date", within_days))).groupBy("entity", "ex_date", "factor").agg(F.min("date").alias("date")).select("entity", "date", "factor")
+    # events and sessions of an entity in one line, the next session carried back to each event
+    line = rows.select("entity", "date").distinct().withColumn("session", F.col("date")).unionByName(merged.withColumnRenamed("ex_date", "date"), allowMissingColumns=True)
+    ahead = Window.partitionBy("entity").orderBy("date").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    met = line.withColumn("next", F.first("session", True).over(ahead)).where("factor is not null")
+    return met.where(F.col("next") <= F.date_add("date", within_days)).select("entity", F.col("next").alias("date"), "factor")
 
 
 def adjust(bars: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:

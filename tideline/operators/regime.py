@@ -24,12 +24,11 @@ def market_regime(weeks: DataFrame, trend: DataFrame, cfg: Regime | None = None)
     breadth, bear a known price below and a known falling slope or weak breadth.
     """
     cfg = cfg or Regime()
-    # as of: the benchmark rows are one a session, weeks one a week
-    joined = weeks.join(F.broadcast(trend), F.col("date") <= F.col("week_end_date"), "left")
-    keys = weeks.columns
-    latest = joined.groupBy(*keys).agg(F.max_by(F.struct("close", "sma", "sma_before"), "date").alias("b"))
+    # as of: benchmark rows (one a session) and weeks in one line, the last row carried forward to each week
+    rows = trend.select(F.struct("close", "sma", "sma_before").alias("b"), "date").unionByName(weeks.withColumn("date", F.col("week_end_date")), allowMissingColumns=True)
+    latest = rows.withColumn("b", F.last("b", True).over(Window.orderBy("date", F.col("week_end_date").isNotNull()))).where("week_end_date is not null")
     known = latest.select(
-        *keys,
+        *weeks.columns,
         F.col("b.close").alias("bench_close"),
         F.col("b.sma").alias("bench_sma200"),
         (F.col("b.close") > F.col("b.sma")).alias("above_200dma"),

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from functools import cache, cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,15 +14,30 @@ from tideline.operators import bars, indicators, regime, scoring, sectors, trend
 from tideline.sources.lineage import cut
 from tideline.sources.market import Market
 
+Part = Callable[[], DataFrame]
+
 
-@dataclass(frozen=True)
 class Scan:
-    """Results for every scan week, and what they were made of."""
+    """Results for every scan week, each made when it is first asked for."""
+
+    def __init__(self, stocks: Part, sectors: Part, regime: Part, history: Part):
+        self._parts = {"stocks": stocks, "sectors": sectors, "regime": regime, "history": history}
+
+    @cached_property
+    def stocks(self) -> DataFrame:
+        return self._parts["stocks"]()
+
+    @cached_property
+    def sectors(self) -> DataFrame:
+        return self._parts["sectors"]()
 
-    stocks: DataFrame
-    sectors: DataFrame
-    regime: DataFrame
-    history: DataFrame
+    @cached_property
+    def regime(self) -> DataFrame:
+        return self._parts["regime"]()
+
+    @cached_property
+    def history(self) -> DataFrame:
+        return self._parts["history"]()
 
 
 def as_of_snapshot(rows: DataFrame, weeks: DataFrame, date: str, lag_days: int = 0) -> DataFrame:
@@ -90,6 +106,40 @@ def scan(inputs: Market, cfg: Config, *, members: DataFrame | None = None, exclu
     runs = trend.trend_runs(series)
     weeks = scan_weeks(runs)
 
+    @cache
+    def base() -> DataFrame:
+        return cut(_stock_weeks(inputs, cfg, daily, by_week, runs, weeks, members, exclusions, index_lists))
+
+    @cache
+    def panels() -> DataFrame:
+        directions = series.select("symbol_id", monday(F.col("week_end_date")).alias("monday"), "direction")
+        return sectors.sector_weeks(daily.select("symbol_id", "date", "ix", "price"), inputs.symbols, bench, directions, cfg.sectors)
+
+    @cache
+    def metrics() -> DataFrame:
+        return cut(sectors.sector_metrics(panels().drop("week_end_date"), base(), cfg.sectors, cfg.indicators.near_high_breadth_pct).join(F.broadcast(weeks), "monday"))
+
+    @cache
+    def state() -> DataFrame:
+        breadth = base().groupBy("monday", "week_end_date").agg(
+            (F.avg((F.col("direction") == "Bullish").cast("double")) * 100).alias("market_breadth_pct"),
+            (F.avg(F.when(F.col("sma200").isNotNull(), (F.col("price") > F.col("sma200")).cast("double"))) * 100).alias("pct_above_sma200"),
+        )
+        return regime.market_regime(breadth, regime.benchmark_trend(bench, cfg.regime), cfg.regime)
+
+    def scored() -> DataFrame:
+        per_sector = metrics().select("monday", "industry", "sector_score", "sector_rank", F.col("tradeable").alias("sector_tradeable"), F.col("ret_13w").alias("_sector_13w"))
+        count = metrics().groupBy("monday").agg(F.count("*").alias("n_sectors"))
+        full = base().join(per_sector, ["monday", "industry"], "left").join(count, "monday").join(state().select("monday", "regime"), "monday")
+        return scoring.score_stocks(full.withColumn("rs_vs_sector", F.col("ret_13w") - F.col("_sector_13w")).drop("_sector_13w"), cfg, ["monday"])
+
+    return Scan(scored, metrics, state, lambda: panels().where("index_value is not null"))
+
+
+def _stock_weeks(
+    inputs: Market, cfg: Config, daily: DataFrame, by_week: DataFrame, runs: DataFrame, weeks: DataFrame, members: DataFrame | None, exclusions: DataFrame | None, index_lists: DataFrame | None
+) -> DataFrame:
+    """A row for each stock and scan week, with all that is known before sectors are ranked."""
     held = indicators.flip_volume(runs_as_of(runs, weeks, cfg.indicators.stale_weeks), by_week)
     stocks = (
         inputs.symbols.join(held, "symbol_id")
@@ -110,24 +160,7 @@ def scan(inputs: Market, cfg: Config, *, members: DataFrame | None = None, exclu
         stocks = stocks.join(index_lists, "symbol_id", "left")
     else:
         stocks = stocks.withColumn("index_list", F.lit(None).cast("string"))
-    stocks = cut(stocks)
-
-    directions = series.select("symbol_id", monday(F.col("week_end_date")).alias("monday"), "direction")
-    panels = sectors.sector_weeks(daily.select("symbol_id", "date", "ix", "price"), inputs.symbols, bench, directions, cfg.sectors)
-    metrics = sectors.sector_metrics(panels.drop("week_end_date"), stocks, cfg.sectors, cfg.indicators.near_high_breadth_pct).join(F.broadcast(weeks), "monday")
-    metrics = cut(metrics)
-    breadth = stocks.groupBy("monday", "week_end_date").agg(
-        (F.avg((F.col("direction") == "Bullish").cast("double")) * 100).alias("market_breadth_pct"),
-        (F.avg(F.when(F.col("sma200").isNotNull(), (F.col("price") > F.col("sma200")).cast("double"))) * 100).alias("pct_above_sma200"),
-    )
-    state = regime.market_regime(breadth, regime.benchmark_trend(bench, cfg.regime), cfg.regime)
-
-    per_sector = metrics.select("monday", "industry", "sector_score", "sector_rank", F.col("tradeable").alias("sector_tradeable"), F.col("ret_13w").alias("_sector_13w"))
-    count = metrics.groupBy("monday").agg(F.count("*").alias("n_sectors"))
-    full = stocks.join(per_sector, ["monday", "industry"], "left").join(count, "monday").join(state.select("monday", "regime"), "monday")
-    full = full.withColumn("rs_vs_sector", F.col("ret_13w") - F.col("_sector_13w")).drop("_sector_13w")
-    scored = scoring.score_stocks(full, cfg, ["monday"])
-    return Scan(scored, metrics, state, panels.where("index_value is not null"))
+    return stocks
 
 
 def in_order(stocks: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tideline.config import Config
 from tideline.functions.columns import clipped, half_even, linear, percent_rank, ratio, truth
 
-FILTERS = ["f_supertrend", "f_sector", "f_trend_template", "f_52w_range", "f_rs", "f_liquidity", "f_price", "f_not_asm"]
+FILTERS = ["f_trend", "f_sector", "f_trend_template", "f_52w_range", "f_rs", "f_liquidity", "f_price", "f_not_asm"]
 SIGNALS = ["sig_fresh_flip", "sig_tight_stop", "sig_vol_confirm", "sig_vcp", "sig_accumulation", "sig_near_high", "sig_sector_leader"]
 PENALTIES = ["pen_overextended", "pen_high_atr", "pen_late_stage"]
 
@@ -38,7 +38,7 @@ def with_filters(stocks: DataFrame, cfg: Config) -> DataFrame:
     template = (c("price") > c("sma50")) & (c("sma50") > c("sma150")) & (c("sma150") > c("sma200")) & (c("sma200") > c("sma200_prev"))
     out = stocks.withColumns(
         {
-            "f_supertrend": bullish(),
+            "f_trend": bullish(),
             "f_sector": truth(c("sector_tradeable")),
             "f_trend_template": truth(template),
             "f_52w_range": truth((c("pct_above_low") >= f.min_above_low_pct) & (c("pct_from_high") <= f.max_from_high_pct)),

@@ -173,7 +173,7 @@ def signals(stocks: DataFrame) -> DataFrame:
     after = first.select("symbol_id", "signal_ix").join(rows.select("symbol_id", "ix", "direction", "stock_score"), "symbol_id").where(F.col("ix") > F.col("signal_ix"))
     order = Window.partitionBy("symbol_id").orderBy("ix")
     stepped = after.withColumn("_gap", F.col("ix") - F.coalesce(F.lag("ix").over(order), F.col("signal_ix")))
-    why = F.when(F.col("_gap") > 1, "stale").when(F.col("direction") != "Bullish", "supertrend").when(F.col("stock_score") < RULE["exit_score"], "score")
+    why = F.when(F.col("_gap") > 1, "stale").when(F.col("direction") != "Bullish", "trend").when(F.col("stock_score") < RULE["exit_score"], "score")
     at = F.when(F.col("_gap") > 1, F.col("ix") - F.col("_gap") + 1).otherwise(F.col("ix"))
     ended = stepped.withColumns({"_why": why, "_at": at}).where("_why is not null").groupBy("symbol_id").agg(F.min_by(F.struct(F.col("_at").alias("ix"), F.col("_why").alias("why")), "ix").alias("x"))
     current = rows.join(F.broadcast(last), F.col("ix") == F.col("now")).select("symbol_id", "now", F.col("price").alias("price"), F.col("stock_score").alias("score"), "grade", F.col("st_value").alias("stop"))
@@ -188,18 +188,22 @@ def signals(stocks: DataFrame) -> DataFrame:
 def states(stocks: DataFrame) -> DataFrame:
     """For every symbol and week ``label``: buy where the rule is met while out, hold after, sell where it ends.
 
-    Two states in a row over ascending weeks: a fold, as no window can tell it.
+    A week that only meets the rule leaves a holding, one that only ends it
+    leaves none, whatever was before; one that does both turns the state, and
+    one that does neither keeps it.  So the state is that of the last decisive
+    week, turned as often as weeks turned it since.
     """
-    row = F.struct("week_end_date", is_entry().alias("entry"), truth((F.col("direction") != "Bullish") | (F.col("stock_score") < RULE["exit_score"])).alias("leave"))
-    lists = stocks.groupBy("symbol_id").agg(F.array_sort(F.collect_list(row)).alias("weeks"))
-    start = F.expr("named_struct('held', false, 'out', cast(array() as array<struct<week_end_date: date, label: string>>))")
-
-    def step(acc: Column, x: Column) -> Column:
-        label = F.when(acc["held"] & x["leave"], "sell").when(acc["held"], "hold").when(x["entry"], "buy")
-        held = (acc["held"] & ~x["leave"]) | (~acc["held"] & x["entry"])
-        return F.struct(held.alias("held"), F.concat(acc["out"], F.array(F.struct(x["week_end_date"].alias("week_end_date"), label.alias("label")))).alias("out"))
-
-    return lists.select("symbol_id", F.explode(F.aggregate("weeks", start, step)["out"]).alias("w")).select("symbol_id", "w.*")
+    leave = truth((F.col("direction") != "Bullish") | (F.col("stock_score") < RULE["exit_score"]))
+    w = Window.partitionBy("symbol_id").orderBy("week_end_date")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = stocks.select("symbol_id", "week_end_date", is_entry().alias("entry"), leave.alias("leave"))
+    sure = F.when(F.col("entry") != F.col("leave"), F.col("entry"))
+    counted = rows.withColumns({"sure": sure, "turns": F.sum((F.col("entry") & F.col("leave")).cast("int")).over(so_far)})
+    since = F.col("turns") - F.coalesce(F.last(F.when(F.col("sure").isNotNull(), F.col("turns")), True).over(so_far), F.lit(0))
+    held = F.coalesce(F.last("sure", True).over(so_far), F.lit(False)) != (since % 2 == 1)
+    before = counted.withColumn("held", held).withColumn("before", F.coalesce(F.lag("held").over(w), F.lit(False)))
+    label = F.when(F.col("before") & F.col("leave"), "sell").when(F.col("before"), "hold").when(F.col("entry"), "buy")
+    return before.select("symbol_id", "week_end_date", label.alias("label"))
 
 
 #: Words for the filters a stock can fail; fixed values.

@@ -74,7 +74,7 @@ def weekly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered(query(f"select symbol_id, week_end_date, {_r('atr upper_band lower_band st_value')}, direction, weeks_in_trend, is_flip, {_r('close')} from series", ["series"]))
-def supertrend(spark: SparkSession, sf_dir: str) -> DataFrame:
+def trend_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_trend(market(spark, sf_dir)))
 
 
@@ -147,7 +147,7 @@ def scan_regime(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _STOCK_R = "price st_value pct_from_high pct_above_low pct_since_flip pct_from_st confirm_vol_ratio rs_raw rs_rating rs_vs_sector score_rs score_sector score_near_high score_volume score_tightness"
-_STOCK = "symbol_id week_end_date direction weeks_in_trend qualified f_supertrend f_sector f_trend_template f_52w_range f_rs f_liquidity f_price f_not_asm sig_fresh_flip sig_tight_stop sig_vol_confirm sig_vcp sig_accumulation sig_near_high sig_sector_leader pen_overextended pen_high_atr pen_late_stage regime"
+_STOCK = "symbol_id week_end_date direction weeks_in_trend qualified f_trend f_sector f_trend_template f_52w_range f_rs f_liquidity f_price f_not_asm sig_fresh_flip sig_tight_stop sig_vol_confirm sig_vcp sig_accumulation sig_near_high sig_sector_leader pen_overextended pen_high_atr pen_late_stage regime"
 
 
 @registered(query(f"select {', '.join(_STOCK.split())}, {_r(_STOCK_R, 5)}, round_even(stock_score * 100, 0) / 100 as stock_score from scored", ["scored"], turnover=TURNOVER))

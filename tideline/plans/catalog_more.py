@@ -1,20 +1,20 @@
-"""Registered queries of stores, quality, ingest, universes, read API, backtests and streams."""
+"""Registered queries of stores, quality, ingest, universes, read API, figures of runs, and streams."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.backtest import metrics as figures
-from tideline.backtest import simulate, study
+from tideline.backtest import study
 from tideline.operators import bars, checks, history, ingest, jobs, scan, trend
 from tideline.plans import api
 from tideline.plans.catalog import TURNOVER, _r, registered, rounded, scan_config
 from tideline.plans.oracle import query
 from tideline.sources import files, store
+from tideline.sources.lineage import shared_folder
 from tideline.sources.market import market, table
 from tideline.streaming import live
 
@@ -120,6 +120,21 @@ def store_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.upsert(*_orders(spark, sf_dir), ["k"])
 
 
+@registered(f"with b as (select c as k, k as c, v, s from ({_O}) qualify row_number() over (partition by c order by v desc, k desc) = 1), o as (select * from ({_O}) where k % 3 = 0) select * from b union all select * from o where k not in (select k from b)")
+def store_upsert_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch with many rows a key, of which the last by an order counts."""
+    o, _ = _orders(spark, sf_dir)
+    batch = o.select(F.col("c").alias("k"), F.col("k").alias("c"), "v", "s")
+    return store.upsert(o.where("k % 3 = 0"), batch, ["k"], order=F.struct("v", "c"))
+
+
+@registered(f"select * from ({_O}) union all select k, c, case when k % 4 = 0 then null else v end, null from ({_O}) where k % 9 = 0")
+def store_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, _ = _orders(spark, sf_dir)
+    more = o.where("k % 9 = 0").select("k", "c", F.when(F.col("k") % 4 == 0, F.lit(float("nan"))).otherwise(F.col("v")).alias("v"))
+    return store.append(o, more)
+
+
 @registered(f"select * from ({_O}) union all select * from {_NEW} n where not exists (select 1 from ({_O}) o where n.k = o.k)")
 def store_insert_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.upsert(*_orders(spark, sf_dir), ["k"], [])
@@ -137,9 +152,12 @@ def store_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.replace_where(old, new, F.col("s") == "F")
 
 
-@registered("select 'orders' as \"table\", count(*) as rows from orders union all select 'part', count(*) from part")
+_TABLES = ("customer", "events", "lineitem", "nation", "orders", "part", "region", "supplier")
+
+
+@registered(" union all ".join(f"select '{t}' as \"table\", count(*) as rows from {t}" for t in _TABLES))
 def store_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.row_counts(spark, {"orders": table(spark, sf_dir, "orders"), "part": table(spark, sf_dir, "part")})
+    return store.row_counts(spark, {t: table(spark, sf_dir, t) for t in _TABLES})
 
 
 @registered(
@@ -288,11 +306,15 @@ def members_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.member_of(d, members).select("symbol_id", "date")
 
 
+_ACTION = "case c_custkey % 5 when 0 then 'Bonus ' || (c_custkey % 3 + 1) || ':' || (c_custkey % 4 + 1) when 1 then 'Stock Split From Rs ' || (c_custkey % 9 + 2) || ' To Re 1' when 2 then 'Debenture Bonus 1:1' when 3 then 'Bonus issue 1 : 2 / split from Rs 10 to Rs 2' else 'Dividend' end"
+
+
 @registered(
-    """select c_custkey as id, case when regexp_matches(t, '(?i)debenture') then null when f = 1.0 then null else round(f, 6) end as factor from (select c_custkey, t, coalesce(case when b1 > 0 and b2 > 0 then b2 / (b1 + b2) end, 1.0) * coalesce(case when x > 0 and y > 0 then y / x end, 1.0) as f from (
-    select c_custkey, t, try_cast(regexp_extract(t, '(?i)bonus(?:\\s+issue)?\\s*-?\\s*(\\d+)\\s*:\\s*(\\d+)', 1) as double) as b1, try_cast(regexp_extract(t, '(?i)bonus(?:\\s+issue)?\\s*-?\\s*(\\d+)\\s*:\\s*(\\d+)', 2) as double) as b2,
-    try_cast(regexp_extract(t, '(?i)split.*?r[se]\\.?\\s*([\\d.]+).*?to\\s*r[se]\\.?\\s*([\\d.]+)', 1) as double) as x, try_cast(regexp_extract(t, '(?i)split.*?r[se]\\.?\\s*([\\d.]+).*?to\\s*r[se]\\.?\\s*([\\d.]+)', 2) as double) as y
-    from (select c_custkey, case c_custkey % 5 when 0 then 'Bonus ' || (c_custkey % 3 + 1) || ':' || (c_custkey % 4 + 1) when 1 then 'Stock Split From Rs ' || (c_custkey % 9 + 2) || ' To Re 1' when 2 then 'Debenture Bonus 1:1' when 3 then 'Bonus issue 1 : 2 / split from Rs 10 to Rs 2' else 'Dividend' end as t from customer)))"""
+    f"""with t as (select c_custkey as id, lower({_ACTION}) as t from customer), parts as (
+      select *, string_split(substr(t, instr(t, 'bonus') + 5), ':') as sides, string_split(substr(t, instr(t, 'split') + 5), ' to ') as ends from t), numbers as (
+      select *, regexp_extract_all(sides[1], '[0-9]+') as a, regexp_extract_all(sides[2], '[0-9]+') as b, regexp_extract_all(ends[1], '[0-9]+') as x, regexp_extract_all(ends[2], '[0-9]+') as y from parts), factors as (
+      select id, t, case when contains(t, 'bonus') and len(a) > 0 and len(b) > 0 then cast(b[1] as double) / (cast(a[-1] as double) + cast(b[1] as double)) else 1.0 end * case when contains(t, 'split') and len(x) > 0 and len(y) > 0 then cast(y[1] as double) / cast(x[-1] as double) else 1.0 end as f from numbers)
+    select id, case when not contains(t, 'debenture') and f <> 1.0 then round(f, 6) end as factor from factors"""
 )
 def price_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
@@ -309,8 +331,23 @@ def price_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ----------------------------------------------------------------- read API
 
+_PUBLISHED: dict[tuple[str, str], str] = {}
+
+
+def published(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the published snapshots of all weeks, a partition each; the scan is run and published once for a session and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _PUBLISHED:
+        root = f"{shared_folder(spark)}/published-{uuid.uuid4().hex}"
+        done = scan.scan(market(spark, sf_dir), scan_config())
+        for part, frame in (("stocks", done.stocks), ("sectors", done.sectors), ("history", done.history)):
+            store.write_slices(frame.repartition("week_end_date"), f"{root}/{part}", ["week_end_date"])
+        _PUBLISHED[key] = root
+    return spark.read.parquet(f"{_PUBLISHED[key]}/{name}")
+
+
 def _stocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan.scan(market(spark, sf_dir), scan_config()).stocks
+    return published(spark, sf_dir, "stocks")
 
 
 @registered(
@@ -328,8 +365,7 @@ def api_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(query("select industry, week_end_date, round(rs_ratio, 5) as rs_ratio, round(rs_momentum, 5) as rs_momentum, cast(row_number() over (partition by industry order by week_end_date) as integer) as place from sector_panel where week_end_date <= date '2000-06-30' and week_end_date > date '2000-06-30' - 35 and rs_ratio is not null and rs_momentum is not null", ["sector_panel"]))
 def api_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = scan.scan(market(spark, sf_dir), scan_config()).history
-    return rounded(api.sector_tails(out, "2000-06-30"), 5)
+    return rounded(api.sector_tails(published(spark, sf_dir, "history"), "2000-06-30"), 5)
 
 
 @registered(
@@ -346,35 +382,145 @@ def api_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def api_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Differences of weeks, with fewer filters for ``qualified``, as hardly a stock of the test market passes all."""
-    stocks = _stocks(spark, sf_dir).withColumn("qualified", F.col("f_supertrend") & F.col("f_liquidity") & F.col("f_price"))
+    stocks = _stocks(spark, sf_dir).withColumn("qualified", F.col("f_trend") & F.col("f_liquidity") & F.col("f_price"))
     return api.run_diff(stocks).select("week_end_date", "symbol_id", "change", "why", "stock_score")
 
 
+def _shown(header: str, column: str) -> str:
+    if column in files.EXPORT_WHOLE:
+        return f'cast(round_even({column}, 0) as bigint) as "{header}"'
+    if column == "qualified":
+        return f"case when qualified then 'Yes' else 'No' end as \"{header}\""
+    if column == "flip_date":
+        return f'cast(flip_date as varchar) as "{header}"'
+    text = {"symbol", "direction", "industry", "grade", "reasons"}
+    if column in text:
+        return f'{column} as "{header}"'
+    if column == "index_list":
+        return f'cast(null as varchar) as "{header}"'
+    value = "price * (symbol_id * 100000) / 1e7" if column == "market_cap_cr" else column
+    return f'round_even({value} * 100, 0) / 100 as "{header}"'
+
+
 @registered(
-    query(
-        """select symbol as "Symbol", round_even(price * 100, 0) / 100 as "Price", direction as "Direction", cast(weeks_in_trend as bigint) as "Weeks in Trend", cast(flip_date as varchar) as "Flip Date", cast(round_even(rs_rating, 0) as bigint) as "RS Rating",
-        round_even(stock_score * 100, 0) / 100 as "Stock Score", case when qualified then 'Yes' else 'No' end as "Strict 8 Filter" from scored where week_end_date = (select max(week_end_date) from scored)""",
-        ["scored"], turnover=TURNOVER,
-    )
-)
+    query(f"select {', '.join(_shown(h, x) for h, x in (files.EXPORT | files.EXPORT_MORE).items())} from planned where week_end_date = (select max(week_end_date) from planned)", ["planned"], turnover=TURNOVER)
+)
 def export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest week's export, of its 34 columns those without double rounding."""
+    """The newest week's export, all its columns."""
     stocks = _stocks(spark, sf_dir)
     newest = stocks.agg(F.max("week_end_date").alias("_w"))
-    rows = files.export_rows(stocks.join(F.broadcast(newest), F.col("week_end_date") == F.col("_w")), extended=True)
-    return rows.select("Symbol", "Price", "Direction", "Weeks in Trend", "Flip Date", "RS Rating", "Stock Score", "Strict 8 Filter")
+    return files.export_rows(stocks.join(F.broadcast(newest), F.col("week_end_date") == F.col("_w")), extended=True)
+
+
+_PLAN = "score_freshness score_risk penalty stop_price risk_pct position_value"
+
+
+@registered(query(f"select symbol_id, week_end_date, grade, {_r(_PLAN, 4)}, cast(position_qty as bigint) as position_qty from planned", ["planned"], turnover=TURNOVER))
+def stock_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grade, penalty and trade plan of every stock and week."""
+    return rounded(_stocks(spark, sf_dir).select("symbol_id", "week_end_date", "grade", *_PLAN.split(), F.col("position_qty").cast("long").alias("position_qty")), 4)
+
+
+@registered(query("select symbol_id, week_end_date, reasons from planned", ["planned"], turnover=TURNOVER))
+def stock_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stocks(spark, sf_dir).select("symbol_id", "week_end_date", "reasons")
+
+
+_ENTRY = f"(direction = 'Bullish' and weeks_in_trend <= {api.RULE['max_weeks']} and shown >= {api.RULE['min_score']} and f_liquidity and f_price and f_not_asm)"
+_RULE_ROWS = f"rule_rows as (select *, {_ENTRY} as entry, direction <> 'Bullish' or shown < {api.RULE['exit_score']} as leave, dense_rank() over (order by week_end_date) as ix from (select *, round_even(stock_score * 100, 0) / 100 as shown from scored))"
 
 
-@registered()
+def _with(sql: str, more: str) -> str:
+    """A further expression before the final select of a statement."""
+    head, tail = sql.rsplit("\nselect", 1)
+    return f"{head},\n{more}\nselect{tail}"
+
+
+@registered(
+    _with(
+        query("select symbol_id, symbol, industry, signal_week, round(signal_price, 5) as signal_price, entry_score, round(price, 5) as price, score, grade, round(stop, 5) as stop, weeks, state, exit_reason, round((price / signal_price - 1) * 100, 5) as change_pct, round((price / stop - 1) * 100, 5) as stop_dist_pct from states", ["scored"], turnover=TURNOVER),
+        f"""{_RULE_ROWS}, firsts as (
+          select * from rule_rows where entry qualify row_number() over (partition by symbol_id order by ix - weeks_in_trend desc, ix) = 1
+        ), walked as (
+          select r.symbol_id, r.ix, r.direction, r.shown, r.ix - coalesce(lag(r.ix) over (partition by r.symbol_id order by r.ix), f.ix) as gap from rule_rows r join firsts f on f.symbol_id = r.symbol_id and r.ix > f.ix
+        ), ends as (
+          select symbol_id, case when gap > 1 then ix - gap + 1 else ix end as end_ix, case when gap > 1 then 'stale' when direction <> 'Bullish' then 'trend' when shown < {api.RULE['exit_score']} then 'score' end as why from walked
+        ), ended as (
+          select symbol_id, min(end_ix) as end_ix, arg_min(why, end_ix) as why from ends where why is not null group by 1
+        ), states as (
+          select f.symbol_id, f.symbol, f.industry, f.week_end_date as signal_week, f.price as signal_price, f.shown as entry_score, n.price, n.shown as score, case when n.direction = 'Bullish' then case when n.shown >= 80 then 'A+' when n.shown >= 70 then 'A' when n.shown >= 60 then 'B' else 'Watch' end end as grade, n.st_value as stop,
+            n.ix - f.ix as weeks, case when f.ix = n.ix then 'buy' when e.end_ix is null then 'open' when e.end_ix = n.ix then 'exit' else 'closed' end as state, case when e.end_ix <= n.ix then e.why end as exit_reason
+          from firsts f join rule_rows n on n.symbol_id = f.symbol_id and n.ix = (select max(ix) from rule_rows) left join ended e on e.symbol_id = f.symbol_id)""",
+    )
+)
 def api_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return api.signals(_stocks(spark, sf_dir))
+    return rounded(api.signals(_stocks(spark, sf_dir)), 5)
 
 
-@registered()
+@registered(
+    _with(
+        query("select symbol_id, week_end_date, label from walk", ["scored"], turnover=TURNOVER),
+        f"""{_RULE_ROWS}, steps as (select symbol_id, week_end_date, coalesce(entry, false) as entry, coalesce(leave, false) as leave, row_number() over (partition by symbol_id order by week_end_date) as n from rule_rows),
+        walk as (select symbol_id, week_end_date, n, case when entry then 'buy' end as label, entry as held from steps where n = 1
+          union all select s.symbol_id, s.week_end_date, s.n, case when w.held and s.leave then 'sell' when w.held then 'hold' when s.entry then 'buy' end, (w.held and not s.leave) or (not w.held and s.entry) from walk w join steps s on s.symbol_id = w.symbol_id and s.n = w.n + 1)""",
+    )
+)
 def api_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return api.states(_stocks(spark, sf_dir))
 
 
+@registered(query("select symbol_id, week_end_date, round_even(stock_score * 100, 0) / 100 as stock_score from scored where week_end_date = date '1999-06-04' order by direction desc, round_even(stock_score * 100, 0) / 100 desc nulls last, symbol limit 7 offset 7", ["scored"], turnover=TURNOVER))
+def api_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page of a week in its usual order."""
+    return api.scanner(_stocks(spark, sf_dir), "1999-06-04", {"page": "2", "size": "7"}).select("symbol_id", "week_end_date", "stock_score")
+
+
+@registered(query("select symbol_id, round(pct_from_high, 5) as pct_from_high from scored where week_end_date = date '1999-06-04' and symbol like '%2%' order by pct_from_high desc nulls last, symbol limit 5", ["scored"], turnover=TURNOVER))
+def api_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search in a week, sorted by a column."""
+    return rounded(api.scanner(_stocks(spark, sf_dir), "1999-06-04", {"q": "2", "sort": "pct_from_high", "desc": "1", "size": "5"}).select("symbol_id", "pct_from_high"), 5)
+
+
+@registered(
+    query(
+        """select 'sector' as part, week_end_date, industry as name, cast(sector_rank as integer) as place from sectors where sector_rank <= 2
+        union all select 'stock', week_end_date, symbol, cast(k as integer) from (select week_end_date, symbol, row_number() over (partition by week_end_date order by qualified desc, stock_score desc, symbol) as k from planned where direction = 'Bullish' and grade in ('A+', 'A')) where k <= 3""",
+        ["planned"], turnover=TURNOVER,
+    )
+)
+def api_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every week's best sectors and best graded stocks."""
+    sectors = api.top_sectors(published(spark, sf_dir, "sectors"), 2).select(F.lit("sector").alias("part"), "week_end_date", F.col("industry").alias("name"), F.col("sector_rank").cast("int").alias("place"))
+    stocks = api.top_stocks(_stocks(spark, sf_dir), 3).select(F.lit("stock").alias("part"), "week_end_date", F.col("symbol").alias("name"), F.col("place").cast("int").alias("place"))
+    return sectors.unionByName(stocks)
+
+
+@registered(query("select week_end_date, round(index_value, 5) as index_value, round(bench_value, 5) as bench_value, round(st_breadth, 5) as st_breadth from sector_panel where industry = 'Sector 1' and index_value is not null and week_end_date <= date '2000-06-30' order by week_end_date desc limit 156", ["sector_panel"]))
+def api_sector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(api.sector_detail(published(spark, sf_dir, "history"), "Sector 1", "2000-06-30"), 5)
+
+
+@registered(query("select distinct 'sector' as kind, industry as value from scored", ["scored"], turnover=TURNOVER))
+def api_filter_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return api.filter_options(_stocks(spark, sf_dir))
+
+
+@registered(
+    query(
+        """select symbol_id, round(price, 5) as price, round(st_value, 5) as stop, round_even(stock_score * 100, 0) / 100 as stock_score, not coalesce(direction = 'Bullish', false) or coalesce(round_even(stock_score * 100, 0) / 100 < 40, false) as sell, round((price / 50 - 1) * 100, 5) as change_pct
+        from (select symbol_id from symbols where symbol_id % 2 = 1) h left join (select * from scored where week_end_date = date '1999-06-04') s using (symbol_id)""",
+        ["scored", "symbols"], turnover=TURNOVER,
+    )
+)
+def api_portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Holdings in every second symbol against a week's rows."""
+    held = market(spark, sf_dir).symbols.where("symbol_id % 2 = 1").select(
+        "symbol_id", "symbol", "industry", F.lit("1999-01-04").cast("date").alias("entry_date"), F.lit(50.0).alias("entry_price"), F.lit(10).alias("qty"), F.lit("end").alias("exit_reason")
+    )
+    week = _stocks(spark, sf_dir).where("week_end_date = date '1999-06-04'")
+    return rounded(api.portfolio(held, week, 40.0).select("symbol_id", "price", "stop", "stock_score", "sell", "change_pct"), 5)
+
+
 @registered(query("select * from (select symbol_id, date, round(close, 6) as close, " + ", ".join(f"round(case when count(close) over (order by date rows {n - 1} preceding) >= {n} then avg(close) over (order by date rows {n - 1} preceding) end, 6) as sma{n}" for n in (50, 100, 150, 200)) + " from daily where symbol_id = 23) order by date desc limit 520", ["daily"]))
 def api_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(api.stock_detail(market(spark, sf_dir).daily, 23))
@@ -388,29 +534,12 @@ def api_rebased(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- backtests
 
 
-def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = market(spark, sf_dir)
-    s = scan.scan(m, scan_config())
-    shared = simulate.signals(s.stocks, s.sectors, s.regime, bars.weekly_bars(m.daily), bars.benchmark_weekly(m.benchmark, "ALL"))
-    return simulate.simulate_many(spark, shared, [o for _, _, o in study.experiment_sets({"positions", "trim_swap"})], live=True)
-
-
-@registered()
-def backtest_equity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simulate.equity_of(_runs(spark, sf_dir))
-
-
-@registered()
-def backtest_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simulate.trades_of(_runs(spark, sf_dir))
-
-
 _CURVE = "(select symbol_id as run_id, date, close as nav from daily)"
 
 
 @registered(
     query(
-        f"""select run_id, round((b / a - 1) * 100, 5) as total_return_pct, round((power(b / a, 1 / greatest(years, 1e-9)) - 1) * 100, 5) as cagr_pct, round(fall * 100, 5) as max_drawdown_pct, round(case when s > 0 then m / s * sqrt(52) end, 5) as sharpe, round(s * sqrt(52) * 100, 5) as volatility_pct, round(greatest(years, 1e-9), 5) as years
+        f"""select run_id, round((b / a - 1) * 100, 5) as total_return_pct, round((power(b / a, 1 / greatest(years, 1e-9)) - 1) * 100, 5) as cagr_pct, round(fall * 100, 5) as max_drawdown_pct, round(case when s > 0 then m / s * sqrt(52) end, 5) as sharpe, round(s * sqrt(52) * 100, 5) as volatility_pct, round(greatest(years, 1e-9), 5) as years, round(case when fall < 0 then (power(b / a, 1 / greatest(years, 1e-9)) - 1) / -fall end, 5) as mar
         from (select run_id, arg_min(nav, date) as a, arg_max(nav, date) as b, date_diff('day', min(date), max(date)) / 365.25 as years, avg(step) as m, stddev_pop(step) as s, min(fall) as fall from (select *, nav / lag(nav) over (partition by run_id order by date) - 1 as step, nav / max(nav) over (partition by run_id order by date) - 1 as fall from {_CURVE}) group by 1)""",
         ["daily"],
     )
@@ -468,15 +597,13 @@ def monte_carlo_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered(query("select symbol_id, monday, week_end_date, " + _r("open high low close") + ", volume, trading_days from weekly where monday < (select date_trunc('week', max(date) - 21) from daily)", ["weekly", "daily"]))
 def stream_weekly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weekly bars of a stream over the daily rows; weeks the watermark has not passed are not out yet."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tideline-")
-    folder = f"{shared}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     m = market(spark, sf_dir).daily.select("symbol_id", F.col("date").cast("timestamp").alias("ts"), "open", "high", "low", "close", "volume")
     m.write.parquet(f"{folder}/in")
-    name = f"bars_{uuid.uuid4().hex}"
     stream = live.weekly_bars(spark.readStream.schema(m.schema).parquet(f"{folder}/in"))
-    q = stream.writeStream.format("memory").queryName(name).option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
+    q = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
-    return rounded(spark.table(name))
+    return rounded(spark.read.schema(stream.schema).parquet(f"{folder}/out"))
 
 
 # --------------------------------------------------------------------- jobs
@@ -501,12 +628,29 @@ def job_update_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(jobs.update_trend(weekly, series, state, changed)[0].select("symbol_id", "week_end_date", "atr", "upper_band", "lower_band", "st_value", "direction", "weeks_in_trend", "is_flip"))
 
 
-@registered()
+_ARCHIVE = f"(select date, symbol, isin, sum(value) as value, 100.0 * case when date < date '1998-06-01' and isin is not null then 2 else 1 end as price from {_HIST} group by date, symbol, isin)"
+
+
+@registered(
+    f"""with recursive h as materialized (select * from {_ARCHIVE}), pairs as materialized (select distinct symbol, isin from h), edges as materialized (select distinct a.symbol as a, b.symbol as b from pairs a join pairs b on a.isin = b.isin),
+    reach as (select symbol as a, symbol as b from pairs union select r.a, e.b from reach r join edges e on e.a = r.b), roots as materialized (select a as symbol, min(b) as root from reach group by 1),
+    days as (select root, date, coalesce(cast(date_diff('day', lag(date) over (partition by root order by date), date) > 365 as integer), 0) as new from (select distinct root, date from h join roots using (symbol))),
+    segments as materialized (select root, date, root || '#' || sum(new) over (partition by root order by date) as entity from days),
+    linked as materialized (select h.*, s.entity from h join roots using (symbol) join segments s on s.root = roots.root and s.date = h.date)
+    select entity, min(date) as listed_date, max(date) as last_date, list_sort(list(distinct isin) filter (isin is not null)) as isins from linked where entity in (select entity from linked where isin like 'INE%') group by 1"""
+)
 def job_point_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All entities of an archive in which shares were split in two in the middle of 1998, with the split as an event of each ISIN."""
+    built = _point_in_time(spark, sf_dir)
+    return built.entities.select("entity", "listed_date", "last_date", "isins")
+
+
+def _point_in_time(spark: SparkSession, sf_dir: str) -> jobs.PointInTime:
     h = _history(spark, sf_dir).groupBy("date", "symbol", "isin").agg(F.sum("value").alias("value"))
-    rows = h.select("date", "symbol", "isin", "value", *(F.lit(100.0).alias(c) for c in ("open", "high", "low", "close")), F.col("value").alias("volume"))
-    events = spark.createDataFrame([], "symbol string, isin string, ex_date date, factor double")
-    return jobs.build_point_in_time(rows, events, 5, 10.0).entities
+    price = F.when((F.col("date") < "1998-06-01") & F.col("isin").isNotNull(), 200.0).otherwise(100.0)
+    rows = h.select("date", "symbol", "isin", "value", *(price.alias(x) for x in ("open", "high", "low", "close")), F.col("value").alias("volume"))
+    events = h.where("isin is not null").select("symbol", "isin").groupBy("isin").agg(F.min("symbol").alias("symbol")).select("symbol", "isin", F.lit("1998-06-01").cast("date").alias("ex_date"), F.lit(0.5).alias("factor"))
+    return jobs.build_point_in_time(rows, events, 1_000_000, 0.0)
 
 
 @registered("select 'F' as sweep_id, count(*) as runs, round(max(o_totalprice), 4) as best_cagr_pct from orders where o_orderstatus = 'F' union all select 'O', count(*), round(max(o_totalprice), 4) from orders where o_orderstatus = 'O' union all select 'P', count(*), round(max(o_totalprice), 4) from orders where o_orderstatus = 'P' having count(*) > 0")

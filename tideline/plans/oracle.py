@@ -205,7 +205,7 @@ _cte(
 )
 _cte(
     "flags", ["stocks_in"],
-    """select *, direction = 'Bullish' as f_supertrend, coalesce(sector_tradeable, false) as f_sector, coalesce(price > sma50 and sma50 > sma150 and sma150 > sma200 and sma200 > sma200_prev, false) as f_trend_template,
+    """select *, direction = 'Bullish' as f_trend, coalesce(sector_tradeable, false) as f_sector, coalesce(price > sma50 and sma50 > sma150 and sma150 > sma200 and sma200 > sma200_prev, false) as f_trend_template,
        coalesce(pct_above_low >= 30 and pct_from_high <= 25, false) as f_52w_range, coalesce(rs_rating >= 70, false) as f_rs, coalesce(avg_turnover_20d_cr >= {turnover}, false) as f_liquidity, coalesce(price >= 50, false) as f_price, true as f_not_asm,
        coalesce(direction = 'Bullish' and weeks_in_trend between 1 and 6, false) as sig_fresh_flip, coalesce(direction = 'Bullish' and pct_from_st <= 10, false) as sig_tight_stop,
        coalesce(direction = 'Bullish' and confirm_vol_ratio >= 1.5, false) as sig_vol_confirm, coalesce(tightness_ratio <= 0.75 and atr_pct < atr_pct_prev, false) as sig_vcp, coalesce(delivery_pct_latest > delivery_pct_20d, false) as sig_accumulation,
@@ -217,7 +217,7 @@ _cte(
     "parts", ["flags"],
     f"""select *, {_rank('rs_rating', 'monday')} as score_rs, least(greatest(100.0 * (n_sectors - sector_rank) / greatest(n_sectors - 1, 1), 0), 100) as score_sector_raw, {_rank('round(-pct_from_high, 9)', 'monday')} as score_near_high,
         {_lin('confirm_vol_ratio', 0.8, 2.0)} as score_volume, 0.7 * coalesce({_lin('tightness_ratio', 1.25, 0.5)}, 0) + 0.3 * case when coalesce(atr_pct < atr_pct_prev, false) then 100.0 else 0.0 end as score_tightness,
-        f_supertrend and f_sector and f_trend_template and f_52w_range and f_rs and f_liquidity and f_price and f_not_asm as qualified from flags""",
+        f_trend and f_sector and f_trend_template and f_52w_range and f_rs and f_liquidity and f_price and f_not_asm as qualified from flags""",
 )
 _cte(
     "scored", ["parts"],
@@ -226,6 +226,27 @@ _cte(
 )
 
 
+_cte(
+    "graded", ["scored"],
+    f"""select * exclude (stock_score), round_even(stock_score * 100, 0) / 100 as stock_score, case when direction = 'Bullish' then least(greatest(100.0 - greatest(weeks_in_trend - 6, 0) * 6.0, 0), 100) else 0.0 end as score_freshness,
+       case when direction = 'Bullish' then {_lin('pct_from_st', 15, 3)} else 0.0 end as score_risk, 0.0 as penalty from scored""",
+)
+_cte(
+    "planned", ["graded"],
+    """select *, case when direction = 'Bullish' then case when stock_score >= 80 then 'A+' when stock_score >= 70 then 'A' when stock_score >= 60 then 'B' else 'Watch' end end as grade, st_stop as stop_price,
+       case when price > st_stop then (price - st_stop) / price * 100 end as risk_pct, qty as position_qty, qty * price as position_value,
+       concat_ws(', ', case when direction <> 'Bullish' then case when is_new_flip then 'Bearish (new flip)' else 'Bearish' end end,
+         case when direction = 'Bullish' and sig_fresh_flip then printf('Fresh flip %dw', cast(weeks_in_trend as bigint)) end, case when direction = 'Bullish' and sig_near_high then printf('Near high %.1f%%', pct_from_high) end,
+         case when direction = 'Bullish' and sig_vol_confirm then printf('Vol %.1fx', confirm_vol_ratio) end, case when direction = 'Bullish' and sig_tight_stop then printf('Stop %.1f%%', pct_from_st) end,
+         case when direction = 'Bullish' and sig_vcp then 'VCP' end, case when direction = 'Bullish' and sig_accumulation then 'Accumulation' end, case when direction = 'Bullish' and sig_sector_leader then 'Sector leader' end,
+         case when pen_overextended then 'Overextended' end, case when pen_high_atr then 'High ATR' end, case when pen_late_stage then printf('Late stage %dw', cast(weeks_in_trend as bigint)) end,
+         '✗ ' || nullif(concat_ws(', ', case when not f_sector then 'Sector' end, case when not f_trend_template then 'Trend template' end, case when not f_52w_range then '52W range' end,
+           case when not f_rs then case when rs_rating is not null then printf('RS %d', cast(trunc(rs_rating) as bigint)) else 'RS n/a' end end, case when not f_liquidity then 'Liquidity' end, case when not f_price then 'Price' end, case when not f_not_asm then 'ASM/GSM' end), ''),
+         case when direction = 'Bullish' and regime = 'bear' then 'Bear regime: reduce size' end) as reasons
+       from (select *, case when direction = 'Bullish' then st_value end as st_stop, case when direction = 'Bullish' and price > st_value and price <> 0 then least(floor(1000000.0 * 1.0 / 100 * case when regime = 'bear' then 0.5 else 1 end / (price - st_value)), floor(1000000.0 * 25.0 / 100 / price)) end as qty from graded)""",
+)
+
+
 def query(select: str, needs: list[str], **values: float) -> str:
     """A whole statement from a final ``select`` and the expressions it needs."""
     order: list[str] = []

@@ -28,8 +28,11 @@ def coerce(df: DataFrame, schema: T.StructType, drop_unknown: bool = False) -> D
     return known(df.select(*(cast(f).alias(f.name) for f in schema.fields)))
 
 
-def last_of(batch: DataFrame, keys: list[str], order: str | Column) -> DataFrame:
-    """The last row of each key by ``order``."""
+def last_of(batch: DataFrame, keys: list[str], order: str | Column | None = None) -> DataFrame:
+    """The last row of each key by ``order``; without one, in the order in which the rows stand."""
+    if order is None:
+        batch = batch.withColumn("_at", F.monotonically_increasing_id())
+        return last_of(batch, keys, "_at").drop("_at")
     w = Window.partitionBy(*keys).orderBy(F.desc(order) if isinstance(order, str) else order.desc())
     return batch.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
@@ -41,13 +44,20 @@ def _match(keys: list[str]) -> Column:
     return out
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str], update: list[str] | None = None) -> DataFrame:
+def append(old: DataFrame, new: DataFrame) -> DataFrame:
+    """``old`` with the rows of ``new`` in its columns and types; an unknown column is an error."""
+    return old.unionByName(coerce(new, old.schema))
+
+
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], update: list[str] | None = None, order: str | Column | None = None) -> DataFrame:
     """``old`` with the rows of ``new`` put in by key.
 
     ``update`` names the columns a match overwrites (all by default); with none
-    of them rows are only added where the key is absent.  ``new`` has one row a key.
+    of them rows are only added where the key is absent.  Of several rows of a
+    key in ``new`` the last one counts, by ``order`` or as they stand.
     """
     columns = old.columns
+    new = last_of(new, keys, order).select(*new.columns)
     update = [c for c in columns if c not in keys and c in new.columns] if update is None else update
     if not update:
         return old.unionByName(new.join(old.select(*keys), keys, "left_anti"), allowMissingColumns=True).select(*columns)

@@ -53,17 +53,27 @@ def trend(bars: DataFrame, period: int = 7, multiplier: float = 3.0) -> DataFram
     return bars.groupBy("symbol_id").applyInPandasWithState(update, _TREND, _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def upsert_each_batch(path: str, keys: list[str]):  # noqa: ANN201
-    """A ``foreachBatch`` writer that puts a batch into a Parquet folder by key, so a batch written twice counts once."""
-    from tideline.sources.store import upsert
+def upsert_each_batch(path: str, keys: list[str], by: list[str], order: str):  # noqa: ANN201
+    """A ``foreachBatch`` writer that puts a batch into a Parquet table by key.
+
+    The table is partitioned by ``by`` (columns among ``keys``), and only
+    partitions that the batch has rows for are read and written; of several
+    rows of a key the last by ``order`` stays, also against the table, so a
+    batch written twice counts once and a late one undoes nothing.
+    """
+    from tideline.sources.lineage import cut
+    from tideline.sources.store import last_of, write_slices
+
+    if not set(by) <= set(keys):
+        raise ValueError("a key must lie in one partition")
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        folder = f"{path}/v{number}"
-        before = f"{path}/v{number - 1}"
-        fs = spark._jvm.org.apache.hadoop.fs.Path(before).getFileSystem(spark._jsc.hadoopConfiguration())
-        old = spark.read.parquet(before) if number and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(before)) else None
-        once = batch.dropDuplicates(keys)
-        (once if old is None else upsert(old, once, keys)).write.mode("overwrite").parquet(folder)
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        merged = batch
+        if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+            old = spark.read.schema(batch.schema).parquet(path)
+            merged = old.join(batch.select(*by).distinct(), by, "left_semi").select(*batch.columns).unionByName(batch)
+        write_slices(cut(last_of(merged, keys, order)), path, by)  # kept first: what is read is what is written
 
     return write
