@@ -3,9 +3,11 @@
 A linear model over hashed byte n-grams is trained with the non-negative
 positive-unlabelled risk: the share of toxic text among the unlabelled is
 taken out of the negative part of the risk by the class prior, and where that
-part turns negative for a batch its gradient is reversed.  Training takes a
-bounded sample (``POSITIVES`` and ``UNLABELLED`` documents); scoring takes
-every whole text.
+part turns negative for a batch its gradient is reversed.  The class prior and
+the score of 0.5 are estimated from toxic and unlabelled texts too; no text
+labelled clean is used.  The gradient steps take a bounded sample
+(``POSITIVES`` and ``UNLABELLED`` documents), n-gram counts all documents
+outside the held-out fold, and scoring takes every whole text.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
-from .store import cut
+from .store import shuffle_partitions, written
 
 #: Byte lengths of the n-grams, over lower-cased text with one space for each gap.
 LENGTHS = (6, 7, 8, 9, 10)
@@ -42,6 +44,10 @@ MOST_COUNT = 15
 #: Folds of crc32(doc_id); the first is held out.
 FOLDS = 5
 SAMPLE_PARTITIONS = 8
+#: Slices in which counts are summed up.
+SLICES = 64
+#: Class prior of the first training; the next ones estimate it.
+FIRST_PRIOR = 0.2
 
 
 @dataclass
@@ -102,27 +108,58 @@ def _grams(buf: np.ndarray, off: np.ndarray, chosen: np.ndarray | None = None) -
     return pair // BUCKETS, pair % BUCKETS * (MOST_COUNT + 1) + np.minimum(count, MOST_COUNT)
 
 
-def _frequencies(kind: int, least: int, among: np.ndarray | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Buckets that at least ``least`` texts of a kind have in the partition, with the number of these."""
+def _sliced(total: np.ndarray) -> pa.RecordBatch:
+    """Counts cut into slices of equal length, so that each can be summed up in a task of its own."""
+    parts = np.concatenate([total, np.zeros(-len(total) % SLICES, total.dtype)]).reshape(SLICES, -1)
+    some = np.flatnonzero(parts.any(axis=1))
+    data = [pa.compress(parts[k].astype(np.int64).tobytes(), codec="zstd", asbytes=True) for k in some.tolist()]
+    return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(data, pa.binary())], names=["slice", "counts"])
+
+
+def _frequencies(among: np.ndarray | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """In how many texts of the partition each bucket is, of all or of those ``among``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int32)
+        total = np.zeros(BUCKETS if among is None else len(among), np.int32)
         wanted = None
         if among is not None:
             wanted = np.zeros(BUCKETS, bool)
             wanted[among] = True
         for batch in batches:
             buf, off, _ = vec.column(batch.column(0))
-            own = np.asarray(batch.column(1)) == kind
             for i, j in vec.chunks(off, _CHUNK):
-                row, coded = _grams(buf[off[i] : off[j]], off[i : j + 1] - off[i], wanted)
-                np.add.at(total, coded[own[i:j][row]] // (MOST_COUNT + 1), 1)
-        some = np.flatnonzero(total >= least)
-        yield pa.RecordBatch.from_arrays([pa.array([some.astype(np.int32).tobytes()]), pa.array([total[some].tobytes()])], names=["buckets", "counts"])
+                bucket = _grams(buf[off[i] : off[j]], off[i : j + 1] - off[i], wanted)[1] // (MOST_COUNT + 1)
+                np.add.at(total, bucket if among is None else np.searchsorted(among, bucket), 1)
+        yield _sliced(total)
+
+    return run
+
+
+def _sum_slices(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    length = -(-size // SLICES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                part = np.frombuffer(pa.decompress(data, 8 * length, codec="zstd", asbytes=True), np.int64)
+                total[k] = total[k] + part if k in total else part
+        for k, part in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([pa.compress(part.tobytes(), codec="zstd", asbytes=True)], pa.binary())], names=["slice", "counts"])
 
     return run
 
 
+def text_counts(texts: DataFrame, among: np.ndarray | None = None) -> np.ndarray:
+    """In how many texts of ``texts`` (its first column) each bucket is: as many numbers at any size of the input."""
+    size = BUCKETS if among is None else len(among)
+    out = np.zeros((SLICES, -(-size // SLICES)), np.int64)
+    parts = texts.mapInArrow(_frequencies(among), "slice int, counts binary")
+    for k, data in parts.repartition(min(SLICES, shuffle_partitions(texts.sparkSession)), "slice").mapInArrow(_sum_slices(size), "slice int, counts binary").collect():
+        out[k] = np.frombuffer(pa.decompress(data, 8 * out.shape[1], codec="zstd", asbytes=True), np.int64)
+    return out.ravel()[:size]
+
+
 def _features(chosen: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = np.zeros(BUCKETS, bool)
@@ -150,23 +187,20 @@ def _sparse(rows: list[np.ndarray], chosen: np.ndarray) -> tuple[np.ndarray, np.
     return row, np.searchsorted(chosen, coded // (MOST_COUNT + 1)), _value(coded)
 
 
-def choose(sample: DataFrame, n_p: int, n_u: int, features: int = FEATURES) -> np.ndarray:
+def choose(toxic: DataFrame, n_p: int, every: DataFrame, n_u: int, features: int = FEATURES) -> np.ndarray:
     """The buckets in toxic texts ``LIFT`` times as often as in unlabelled ones, those of the highest likelihood ratio.
 
-    The toxic texts of the sample are counted in one task, as their number is
-    bounded; the others by partition, for the buckets that came out of it.
+    ``toxic`` are the toxic texts of the sample, ``every`` all texts that may
+    be read in training; both are counted where they are.
     """
     none = np.zeros(0, np.int64)
     if not n_p or not n_u:
         return none
-    least = max(LEAST, math.ceil(LEAST_SHARE * n_p))
-    found = sample.where("kind = 1").coalesce(1).mapInArrow(_frequencies(1, least), "buckets binary, counts binary").collect()
-    among, p = (np.concatenate([np.frombuffer(r[c], np.int32) for r in found]) for c in range(2))
+    p = text_counts(toxic)
+    among = np.flatnonzero(p >= max(LEAST, math.ceil(LEAST_SHARE * n_p)))
     if not len(among):
         return none
-    u = np.zeros(len(among))
-    for buckets, counts in sample.where("kind = 0").mapInArrow(_frequencies(0, 1, among), "buckets binary, counts binary").toLocalIterator():
-        u[np.searchsorted(among, np.frombuffer(buckets, np.int32))] += np.frombuffer(counts, np.int32)
+    p, u = p[among].astype(float), text_counts(every, among).astype(float)
     keep = p / n_p >= LIFT * u / n_u
     among, p, u = among[keep], p[keep], u[keep]
     share = (p + u) / (n_p + n_u)
@@ -229,61 +263,78 @@ def train_nnpu(
     return w, float(b)
 
 
-def calibrate(raw: np.ndarray, label: np.ndarray, prior: float) -> tuple[float, float]:
-    """Scale and shift of the score: 0.5 lies in the middle of the gap where the expected error is least.
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, least: float = 0.5) -> float:
+    """Share of toxic texts among the unlabelled: the least ratio of the shares beyond a raw score, of scores that ``least`` of the toxic texts reach."""
+    if not len(positive) or not len(unlabelled):
+        return 0.1
+    at = np.unique(positive[positive <= np.quantile(positive, 1 - least)])
+    p = 1 - np.searchsorted(np.sort(positive), at, "left") / len(positive)
+    u = 1 - np.searchsorted(np.sort(unlabelled), at, "left") / len(unlabelled)
+    return float(np.clip((u / p).min(initial=1.0), 0.005, 0.9))
+
+
+def calibrate(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[float, float]:
+    """Scale and shift of the score: 0.5 lies in the middle of the widest gap where the estimated error is least.
 
-    Errors of both classes are weighed by the class prior; the scale puts the
-    middle of either class beyond it at least two logits from 0.5.
+    The error is that of the positive-unlabelled risk: missed toxic texts by
+    the class prior, and unlabelled ones beyond the score, less those that the
+    prior explains, but not below zero.  The scale puts the middle of either
+    side at least two logits from 0.5.
     """
-    if len(raw) == 0 or label.min() == label.max():
+    if not len(positive) or not len(unlabelled):
         return 1.0, 0.0
-    order = np.argsort(raw, kind="stable")
-    x, y = raw[order], label[order]
-    missed = np.concatenate([[0.0], np.cumsum(y)]) / y.sum() * prior
-    wrong = np.concatenate([[0.0], np.cumsum(1 - y)])
-    wrong = (wrong[-1] - wrong) / wrong[-1] * (1 - prior)
-    edge = np.ones(len(x) + 1, bool)
-    edge[1:-1] = x[1:] > x[:-1]  # ties fall on one side
-    error = np.where(edge, missed + wrong, np.inf)
-    best = np.flatnonzero(error <= error.min() + 1e-12)
-    bounded = np.concatenate([[x[0] - 1.0], x, [x[-1] + 1.0]])
+    x = np.sort(np.concatenate([positive, unlabelled]))
+    edges = np.unique(x)
+    bounded = np.concatenate([[edges[0] - 1.0], edges, [edges[-1] + 1.0]])
+    # texts at or beyond each edge
+    p = 1 - np.searchsorted(np.sort(positive), np.append(edges, np.inf), "left") / len(positive)
+    u = 1 - np.searchsorted(np.sort(unlabelled), np.append(edges, np.inf), "left") / len(unlabelled)
+    error = prior * (1 - p) + np.maximum(0, u - prior * p)
+    best = np.flatnonzero(error <= error.min() + prior * 0.01)
     k = best[np.argmax(bounded[best + 1] - bounded[best])]
     at = (bounded[k] + bounded[k + 1]) / 2
-    reach = max(min(np.median(x[y > 0]) - at, at - np.median(x[y == 0])), 1e-3)
+    below = unlabelled[unlabelled < at]
+    reach = max(min(np.median(positive) - at, at - np.median(below) if len(below) else np.inf), 1e-3)
     return float(2 / reach), float(-2 / reach * at)
 
 
 def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
-    """Train on at most ``positives`` labelled toxic and ``unlabelled`` other documents.
+    """Train on at most ``positives`` confirmed toxic and ``unlabelled`` other documents.
 
-    Only labels outside the held-out fold are read.  The class prior is the
-    share of toxic among them.  Which documents are taken depends on a hash of
-    ``doc_id`` alone.
+    Of the labels only the toxic ones outside the held-out fold are read.
+    Which documents are taken depends on a hash of ``doc_id`` alone; a
+    ``doc_id`` is taken once, with the least of its texts, however often it
+    stands in ``docs``.  N-grams are chosen by counts over all documents
+    outside the held-out fold.
     """
     order = F.xxhash64("doc_id")
-    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    share = known.agg(F.sum((F.col("toxic") == 1).cast("long")), F.count("*")).first()
-    prior = min(0.9, max(0.01, (share[0] or 0) / share[1])) if share[1] else 0.1
-    toxic = known.where("toxic = 1").select("doc_id").distinct().orderBy(order).limit(positives).select("doc_id", F.lit(1).alias("kind"))
-    clean = known.where("toxic = 0").select("doc_id").distinct().orderBy(order).limit(positives).select("doc_id", F.lit(2).alias("kind"))
-    others = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id").orderBy(order).limit(unlabelled).select("doc_id", F.lit(0).alias("kind"))
-    # 2 * positives + unlabelled rows at most, so the broadcast is bounded
-    sample = F.broadcast(toxic.unionByName(clean).unionByName(others))
-    # bounded like the sample; few partitions, as each counts all buckets
-    texts = cut(docs.select("doc_id", "text").join(sample, "doc_id").select("text", "kind").repartition(SAMPLE_PARTITIONS))
+    readable = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long"), "text")
+    toxic = labels.where((F.col("toxic") == 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    taken = toxic.select(F.col("doc_id").cast("long")).distinct().orderBy(order).limit(positives).select("doc_id", F.lit(1).alias("kind"))
+    others = readable.select("doc_id").distinct().orderBy(order).limit(unlabelled).select("doc_id", F.lit(0).alias("kind"))
+    # positives + unlabelled rows at most, so the broadcast is bounded
+    sample = F.broadcast(taken.unionByName(others))
+    texts = written(readable.join(sample, "doc_id").groupBy("doc_id", "kind").agg(F.min("text").alias("text")).select("text", "kind").repartition(SAMPLE_PARTITIONS))
     size = {r[0]: r[1] for r in texts.groupBy("kind").count().collect()}
-    chosen = choose(texts, size.get(1, 0), size.get(0, 0))
-    by_kind: dict[int, list[np.ndarray]] = {0: [], 1: [], 2: []}
+    chosen = choose(texts.where("kind = 1").select("text"), size.get(1, 0), readable.select("text"), readable.count())
+    by_kind: dict[int, list[np.ndarray]] = {0: [], 1: []}
+    # of each text at most its chosen buckets, so what comes here is bounded too
     rows = texts.mapInArrow(_features(chosen), "kind int, features binary").collect()
     for kind, data in sorted(rows, key=lambda r: (r[0], bytes(r[1]))):
         by_kind[kind].append(np.frombuffer(data, np.int32).astype(np.int64))
-    # every fourth toxic text is left out of a first training, to calibrate on what was not learnt
-    apart = by_kind[1][::4]
-    kept = [x for i, x in enumerate(by_kind[1]) if i % 4]
-    weight, bias = train_nnpu(kept, by_kind[0], prior, chosen)
-    raw = np.array([raw_score(chosen, weight, x) + bias for x in [*apart, *by_kind[2]]])
-    label = np.concatenate([np.ones(len(apart)), np.zeros(len(by_kind[2]))])
-    scale, shift = calibrate(raw, label, prior)
+    # a quarter of either side is left out of a first training: the class prior and 0.5 come from what was not learnt
+    apart = {k: x[::4] for k, x in by_kind.items()}
+    kept = {k: [x for i, x in enumerate(v) if i % 4] for k, v in by_kind.items()}
+
+    def raw_of(weight: np.ndarray, bias: float, k: int) -> np.ndarray:
+        return np.array([raw_score(chosen, weight, x) + bias for x in apart[k]])
+
+    prior = FIRST_PRIOR
+    for _ in range(2):
+        weight, bias = train_nnpu(kept[1], kept[0], prior, chosen)
+        raw_p, raw_u = raw_of(weight, bias, 1), raw_of(weight, bias, 0)
+        prior = class_prior(raw_p, raw_u)
+    scale, shift = calibrate(raw_p, raw_u, prior)
     weight, bias = train_nnpu(by_kind[1], by_kind[0], prior, chosen)
     return Model(chosen, weight, bias, scale, shift)
 
