@@ -1,8 +1,13 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-A text's k-gram hashes roll over its words; of every ``window`` consecutive
+A text's units are its words; where scripts have no blanks, and in very long
+words, its characters.  The hash of ``k`` units is the Rabin-Karp polynomial
+of their hashes modulo a prime.  An array function has no running value, so
+the hash does not roll unit by unit: those of two, four, ... units are made
+from two of half the length each, for all positions at once, which gives the
+rolling hash's values in ``log k`` steps.  Of every ``window`` consecutive
 hashes the least is chosen, of equal ones the rightmost, and kept with its
-position.  Any passage of ``window + k - 1`` words that two texts share leaves
+position.  Any passage of ``window + k - 1`` units that two texts share leaves
 a common hash in both fingerprints.
 """
 
@@ -14,14 +19,20 @@ from pyspark.sql.window import WindowSpec
 
 from .store import shuffle_partitions
 
-#: Words a k-gram has, and hashes a window.
+#: Units a k-gram has, and hashes a window.
 K = 5
 WINDOW = 4
-#: Low bits of a packed hash for the position; the hash keeps the others but the sign.
-POSITION_BITS = 23
+#: Modulus and base of the polynomial: products stay below 2**62.
+PRIME = (1 << 31) - 1
+BASE = 1_000_003
+#: Low bits of a packed hash for the position; the 31 bits of the hash stand above them.
+POSITION_BITS = 32
 _MASK = (1 << POSITION_BITS) - 1
 
 WORDS = r"[\x20\x09-\x0D]+"
+#: Letters of scripts that set no blanks between words, and words so long that their characters are the units.
+UNSPACED = r"[\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{2E80}-\x{9FFF}\x{AC00}-\x{D7AF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}]"
+LONG_WORD = 64
 
 
 def let(value: Column, body) -> Column:  # noqa: ANN001
@@ -47,31 +58,50 @@ def _window_minima(packed: Column, window: int) -> Column:
     return let(out, lambda m: F.slice(m, 1, F.greatest(F.size(m) - (window - 1), F.least(F.size(m), F.lit(1)))))
 
 
+def units(text: Column) -> Column:
+    """The words of a text; letters of unspaced scripts, and those of words of more than ``LONG_WORD`` characters, one by one."""
+    spaced = F.when(text.rlike(UNSPACED), F.regexp_replace(text, f"({UNSPACED})", " $1 ")).otherwise(text)
+
+    def words_of(t: Column) -> Column:
+        words = F.filter(F.split(t, WORDS), lambda w: w != "")
+        single = lambda w: F.when(F.length(w) > LONG_WORD, F.filter(F.split(w, ""), lambda c: c != "")).otherwise(F.array(w))
+        return F.when(t.rlike(rf"[^\x20\x09-\x0D]{{{LONG_WORD + 1}}}"), F.flatten(F.transform(words, single))).otherwise(words)
+
+    return let(spaced, words_of)
+
+
+def gram_hashes(hashes: Column, k: int) -> Column:
+    """The polynomial of every ``k`` consecutive hashes; that of all where there are fewer, none of none."""
+
+    def joined(left: Column, right: Column, length: int, shift: int) -> Column:
+        """Grams of ``shift`` units followed by grams of ``length``, from those of either length at every position."""
+        power = pow(BASE, length, PRIME)
+        return let(right, lambda r: F.transform(F.slice(left, 1, F.greatest(F.size(r) - shift, F.lit(0))), lambda x, i: (x * power + F.get(r, i + shift)) % PRIME))
+
+    def of(length: int, one: Column) -> Column:
+        if length == 1:
+            return one
+        if length % 2:
+            return joined(of(length - 1, one), one, 1, length - 1)
+        return let(of(length // 2, one), lambda half: joined(half, half, length // 2, length // 2))
+
+    short = F.array(F.aggregate(hashes, F.lit(0).cast("long"), lambda acc, h: (acc * BASE + h) % PRIME))
+    return F.when(F.size(hashes) >= k, of(k, hashes)).when(F.size(hashes) > 0, short).otherwise(hashes)
+
+
 def fingerprint(text: Column, k: int = K, window: int = WINDOW) -> Column:
     """The chosen hashes of a text in order of position, each packed with its position into one ``long``.
 
-    A text of fewer than ``k`` words has one k-gram of all its words, one
-    without words none.  Positions count words modulo 2**23; a text of more
-    words is whole, its positions start again at 0.
+    A text of fewer than ``k`` units has one k-gram of all its units, one
+    without any none.
     """
-    words = F.filter(F.split(F.coalesce(text, F.lit("")), WORDS), lambda w: w != "")
-
-    def grams(hashes: Column) -> Column:
-        full = F.transform(
-            F.slice(hashes, 1, F.greatest(F.size(hashes) - (k - 1), F.lit(0))),
-            lambda h, i: F.xxhash64(h, *(F.get(hashes, i + j) for j in range(1, k))),
-        )
-        short = F.array(F.xxhash64(hashes))
-        return F.when(F.size(hashes) >= k, full).when(F.size(hashes) > 0, short).otherwise(full)
 
     def packed(g: Column) -> Column:
         # least hash first; of equal hashes the larger position has the smaller value
-        return F.transform(
-            g, lambda h, i: F.shiftleft(F.shiftrightunsigned(h, POSITION_BITS + 1), POSITION_BITS).bitwiseOR(F.lit(_MASK) - i.cast("long").bitwiseAND(F.lit(_MASK)))
-        )
+        return F.transform(g, lambda h, i: F.shiftleft(h, POSITION_BITS).bitwiseOR(F.lit(_MASK) - i.cast("long")))
 
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    chosen = let(let(let(hashes, grams), packed), lambda p: _window_minima(p, window))
+    hashes = F.transform(units(F.coalesce(text, F.lit(""))), lambda w: F.pmod(F.xxhash64(w), F.lit(PRIME).cast("long")))
+    chosen = let(let(let(hashes, lambda h: gram_hashes(h, k)), packed), lambda p: _window_minima(p, window))
     # neighbouring windows mostly choose the same k-gram
     return let(chosen, lambda c: F.filter(c, lambda x, i: F.coalesce(x != F.get(c, i - 1), F.lit(True)) | (i == 0)))
 
