@@ -1,172 +1,214 @@
 """License scan: sparse TF-IDF cosine to templates, then inheritance by directory.
 
-Every line of every document is compared with short license notices; a
-document's own license is the best template at or above ``THRESHOLD``.  A
-document most of whose words are a notice is a license *file* and speaks for
-its directory; documents without a notice of their own take the license of the
-nearest ancestor directory that has such a file, found by equality joins on
-the ancestors' paths.
+A text is compared line by line (short notices), paragraph by paragraph
+(standard headers of several lines) and as a whole (license texts) with
+templates of all three kinds; its own license is the best one at or above
+``THRESHOLD``.  A text that is a license text as a whole, or most of whose
+words are in notices and headers, is a license *file* and speaks for its
+directory; documents without a license of their own take that of the nearest
+ancestor directory that has such a file, found by equality joins on the
+ancestors' paths.
 """
 
 from __future__ import annotations
 
+import functools
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
+from .store import written
 
-#: Least cosine of a line to a notice, and share of a text's words in notices that makes it a license file.
+#: Least cosine of a line, paragraph or text to a template, and share of a text's words in notices that makes it a license file.
 THRESHOLD = 0.75
 FILE_SHARE = 0.5
 
-#: Short forms of the notices that licenses ask for; fixed values.
-TEMPLATES = {
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0."],
+#: Short notices and standard headers that licenses ask for; fixed values.
+NOTICES = {
+    "Apache-2.0": [
+        "Licensed under the Apache License, Version 2.0.",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
+        'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+    ],
     "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", "The MIT License (MIT)"],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "GNU General Public License version 3"],
-    "GPL-2.0": ["This program is licensed under the GNU General Public License, version 2."],
-    "LGPL-3.0": ["Licensed under the GNU Lesser General Public License, version 3."],
-    "AGPL-3.0": ["Licensed under the GNU Affero General Public License, version 3."],
-    "BSD-3-Clause": ["Redistributed under the BSD 3-Clause License."],
+    "ISC": ["Licensed under the ISC License."],
+    "GPL-3.0": [
+        "This work is licensed under the GNU General Public License, version 3.",
+        "GNU General Public License version 3",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
+    "GPL-2.0": [
+        "This program is licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    ],
+    "LGPL-3.0": [
+        "Licensed under the GNU Lesser General Public License, version 3.",
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
+    "LGPL-2.1": [
+        "Licensed under the GNU Lesser General Public License, version 2.1.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    ],
+    "AGPL-3.0": [
+        "Licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
+    "BSD-3-Clause": ["Redistributed under the BSD 3-Clause License.", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."],
     "BSD-2-Clause": ["Redistributed under the BSD 2-Clause License."],
-    "MPL-2.0": ["Subject to the terms of the Mozilla Public License, version 2.0."],
+    "MPL-2.0": [
+        "Subject to the terms of the Mozilla Public License, version 2.0.",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    ],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "Creative Commons Attribution 4.0 International License"],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "Creative Commons Attribution-ShareAlike 4.0 International License"],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "Creative Commons Attribution-NonCommercial 4.0 International License"],
     "CC0-1.0": ["Dedicated to the public domain under CC0 1.0."],
     "Proprietary": ["Copyright. All rights reserved."],
 }
-
-NAMES = [name for name, notices in TEMPLATES.items() for _ in notices]
-NOTICES = [notice for notices in TEMPLATES.values() for notice in notices]
-
-
-def _tokens(buf: np.ndarray, off: np.ndarray) -> tuple[vec.Spans, np.ndarray]:
-    """Lower-cased runs of letters, digits, dots inside numbers left apart, with their hashes."""
-    low = vec.LOWER[buf]
-    inside = (low >= 0x80) | ((low >= 0x61) & (low <= 0x7A)) | ((low >= 0x30) & (low <= 0x39))
-    spans = vec.runs(inside, off)
-    return spans, vec.Hasher(low).of(spans.start, spans.end)
+#: Every template has one of these; a line, paragraph or text without any is not compared.
+MARKERS = ("licen[cs]e", "copyright", "rights reserved", "public domain", "redistribut", "mozilla", "spdx", "creative commons", "permission", "warrant", "merchantability")
+_MARKER = re.compile("|".join(MARKERS), re.IGNORECASE)
+_WORD = re.compile(r"[a-z0-9\x80-\U0010FFFF]+")
+_CAPITALS = {c: c + 32 for c in range(0x41, 0x5B)}
+
+
+def words_of(text: str) -> list[str]:
+    """Runs of ASCII letters, digits and all beyond ASCII, ASCII letters small."""
+    return _WORD.findall(text.translate(_CAPITALS))
+
+
+@functools.cache
+def templates() -> list[tuple[str, str]]:
+    """Name and text of all templates: notices, headers, tags by rule, and full license texts."""
+    out = [(name, text) for name, notices in NOTICES.items() for text in notices]
+    out += [(name, f"SPDX-License-Identifier: {name}") for name in NOTICES if name != "Proprietary"]
+    folder = resources.files(__package__) / "license_texts"
+    for file in sorted(folder.iterdir(), key=lambda f: f.name):
+        text = file.read_text("utf-8")
+        out.append((file.name.removesuffix(".txt"), text))
+        if file.name == "BSD-3-Clause.txt":  # without the third clause
+            out.append(("BSD-2-Clause", re.sub(r"3\. Neither.*?permission\.\n", "", text, flags=re.DOTALL)))
+    return out
 
 
-def _notice_tokens() -> list[np.ndarray]:
-    out = []
-    for notice in NOTICES:
-        raw = np.frombuffer(notice.encode(), np.uint8)
-        out.append(_tokens(raw, np.array([0, len(raw)]))[1])
-    return out
+@functools.cache
+def vocabulary() -> list[str]:
+    return sorted({w for _, text in templates() for w in words_of(text)})
 
 
 class Matcher:
-    """TF-IDF cosines of lines to all notices; ``df`` counts lines of the corpus with each vocabulary word."""
+    """TF-IDF cosines of texts to all templates; ``df`` counts documents of the corpus with each vocabulary word."""
 
-    def __init__(self, df: np.ndarray, lines: int):
-        tokens = _notice_tokens()
-        self.vocabulary = vocabulary()
-        self.idf = np.log((1 + lines) / (1 + df)) + 1
+    def __init__(self, df: np.ndarray, n: int):
+        self.names = [name for name, _ in templates()]
+        self.at = {w: i for i, w in enumerate(vocabulary())}
+        self.idf = np.log((1 + n) / (1 + df)) + 1
         #: words outside the vocabulary weigh as one seen once
-        self.other = float(np.log((1 + lines) / 2) + 1)
-        rows = np.zeros((len(self.vocabulary), len(tokens)))
-        for j, t in enumerate(tokens):
-            np.add.at(rows[:, j], np.searchsorted(self.vocabulary, t), 1)
-        rows *= self.idf[:, None]
-        self.matrix = rows / np.maximum(np.sqrt((rows**2).sum(0)), 1e-12)
-
-    def lines(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of lines that reach ``THRESHOLD``: their row, notice, cosine and number of words; and words by row."""
-        line = vec.lines(buf, off)
-        spans, h = _tokens(buf, off)
-        start = np.append(line.start, len(buf) + 1)
-        of = np.searchsorted(start, spans.start, "right") - 1
-        # of lines that begin at the same byte only the last can have words
-        at = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
-        known = self.vocabulary[at] == h
-        rare = known & ~_COMMON[at]
-        touched = np.unique(of[rare])
-        pick = np.isin(of, touched)
-        of_p, at_p, known_p, h_p = of[pick], at[pick], known[pick], h[pick]
-        where = np.searchsorted(touched, of_p)
-        # term counts of known words, and the squared weight of the others
-        key = where[known_p] * len(self.vocabulary) + at_p[known_p]
-        pair, count = np.unique(key, return_counts=True)
-        row, term = pair // len(self.vocabulary), pair % len(self.vocabulary)
-        weight = count * self.idf[term]
-        square = np.bincount(row, weight**2, len(touched))
-        other_key = vec.mix(h_p[~known_p] + vec.mix(where[~known_p].astype(np.uint64) + vec.U64(5)))
-        unique, index, other_count = np.unique(other_key, return_index=True, return_counts=True)
-        square += np.bincount(where[~known_p][index], (other_count * self.other) ** 2, len(touched))
-        score = np.zeros((len(touched), self.matrix.shape[1]))
-        np.add.at(score, row, weight[:, None] * self.matrix[term])
-        score /= np.maximum(np.sqrt(square), 1e-12)[:, None]
-        best = score.argmax(1) if len(touched) else np.zeros(0, np.int64)
-        cosine = score[np.arange(len(touched)), best]
-        good = cosine >= THRESHOLD
-        words = np.bincount(where, minlength=len(touched))
-        return line.row[touched[good]], best[good], cosine[good], words[good]
-
-
-def vocabulary() -> np.ndarray:
-    return np.unique(np.concatenate(_notice_tokens()))
-
-
-def _common() -> np.ndarray:
-    """Vocabulary words that say nothing of a license by themselves."""
-    raw = np.frombuffer(b"the this is to of under version by work program all", np.uint8)
-    words = _tokens(raw, np.array([0, len(raw)]))[1]
-    return np.isin(vocabulary(), words)
-
-
-_COMMON = _common()
+        self.other = float(np.log((1 + n) / 2) + 1)
+        rows = np.zeros((len(self.at), len(self.names)))
+        for j, (_, text) in enumerate(templates()):
+            for w, k in Counter(words_of(text)).items():
+                rows[self.at[w], j] = k * self.idf[self.at[w]]
+        self.matrix = rows / np.sqrt((rows**2).sum(0))
+
+    def best(self, words: list[str]) -> tuple[float, str]:
+        """Highest cosine and its license; of equal ones the first template."""
+        known, weight, square = [], [], 0.0
+        for w, k in Counter(words).items():
+            i = self.at.get(w)
+            if i is None:
+                square += (k * self.other) ** 2
+            else:
+                known.append(i)
+                weight.append(k * self.idf[i])
+        if not known:
+            return 0.0, ""
+        value = np.array(weight)
+        score = value @ self.matrix[known] / np.sqrt(square + (value**2).sum())
+        return float(score.max()), self.names[int(score.argmax())]
+
+    def judge(self, text: str) -> tuple[str | None, float, bool]:
+        """Own license of a text, its cosine (0 without), and whether the text is a license file."""
+        found: list[tuple[float, str]] = []
+
+        def look(words: list[str]) -> bool:
+            cosine, name = self.best(words)
+            if cosine >= THRESHOLD:
+                found.append((cosine, name))
+            return cosine >= THRESHOLD
+
+        words = [words_of(line) for line in text.split("\n")]
+        every = sum(map(len, words))
+        covered, paragraph = 0, []
+        for line in [*words, []]:
+            if line:
+                paragraph.append(line)
+                continue
+            if paragraph:
+                joined = [w for part in paragraph for w in part]
+                if _MARKER.search(" ".join(joined)):
+                    alone = [len(part) for part in paragraph if _MARKER.search(" ".join(part)) and look(part)]
+                    covered += len(joined) if look(joined) else sum(alone)
+                paragraph = []
+        whole = every > 0 and look([w for line in words for w in line])
+        if not found:
+            return None, 0.0, False
+        cosine, name = max(found, key=lambda f: f[0])
+        return name, cosine, whole or covered >= FILE_SHARE * every
+
+
+def _vocabulary_hashes() -> tuple[np.ndarray, np.ndarray]:
+    raw = [w.encode() for w in vocabulary()]
+    end = np.cumsum([len(w) for w in raw])
+    h = vec.Hasher(np.frombuffer(b"".join(raw), np.uint8)).of(np.append(0, end[:-1]), end)
+    order = np.argsort(h)
+    return h[order], order
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words = vocabulary()
-    total = np.zeros(len(words) + 1, np.int64)
+    hashes, word = _vocabulary_hashes()
+    total = np.zeros(len(word) + 1, np.int64)
     for batch in batches:
         buf, off, _ = vec.column(batch.column(0))
         for i, j in vec.chunks(off):
-            part, o = buf[off[i] : off[j]], off[i : j + 1] - off[i]
-            line = vec.lines(part, o)
-            spans, h = _tokens(part, o)
-            at = np.minimum(np.searchsorted(words, h), len(words) - 1)
-            known = words[at] == h
-            of = np.searchsorted(np.append(line.start, len(part) + 1), spans.start[known], "right") - 1
-            pair = np.unique(of * len(words) + at[known])
-            total[:-1] += np.bincount(pair % len(words), minlength=len(words))
-            total[-1] += len(line)
+            part, o = vec.LOWER[buf[off[i] : off[j]]], off[i : j + 1] - off[i]
+            spans = vec.runs((part >= 0x80) | ((part >= 0x61) & (part <= 0x7A)) | ((part >= 0x30) & (part <= 0x39)), o)
+            h = vec.Hasher(part).of(spans.start, spans.end)
+            at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            known = hashes[at] == h
+            pair = np.unique(spans.row[known] * len(word) + word[at[known]])
+            total[:-1] += np.bincount(pair % len(word), minlength=len(word))
+            total[-1] += j - i
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], names=["term", "n"])
 
 
+def matcher_for(docs: DataFrame) -> Matcher:
+    """The matcher with document frequencies of all of ``docs``: as many numbers as the templates have words."""
+    counts = np.zeros(len(vocabulary()) + 1, np.int64)
+    for term, n in docs.select("text").mapInArrow(_frequencies, "term int, n long").groupBy("term").agg(F.sum("n")).collect():
+        counts[term] = n
+    return Matcher(counts[:-1], int(counts[-1]))
+
+
 def _scan(matcher: Matcher) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            buf, off, _ = vec.column(batch.column(1))
-            for i, j in vec.chunks(off):
-                part, o = buf[off[i] : off[j]], off[i : j + 1] - off[i]
-                n = j - i
-                row, notice, cosine, words = matcher.lines(part, o)
-                all_words = _tokens(part, o)[0].per_row(n)
-                best = np.zeros(n)
-                name: list[str | None] = [None] * n
-                covered = np.bincount(row, words, n)
-                for r, t, c in sorted(zip(row.tolist(), notice.tolist(), cosine.tolist(), strict=True)):
-                    if c > best[r]:
-                        best[r], name[r] = c, NAMES[t]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(i, n),
-                        batch.column(2).slice(i, n),
-                        pa.array(name, pa.string()),
-                        pa.array(best),
-                        pa.array((covered > 0) & (covered >= FILE_SHARE * all_words)),
-                    ],
-                    names=["doc_id", "path", "own_license", "cosine", "is_file"],
-                )
+            marked = pc.match_substring_regex(batch.column(1), "|".join(MARKERS).replace(" ", r"[^a-z0-9\x{80}-\x{10FFFF}]+"), ignore_case=True)
+            own: list[tuple[str | None, float, bool]] = [(None, 0.0, False)] * batch.num_rows
+            for k in np.flatnonzero(np.asarray(marked.fill_null(False))).tolist():
+                own[k] = matcher.judge(batch.column(1)[k].as_py())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), pa.array([o[0] for o in own], pa.string()), pa.array([o[1] for o in own], pa.float64()), pa.array([o[2] for o in own], pa.bool_())],
+                names=["doc_id", "path", "own_license", "cosine", "is_file"],
+            )
 
     return run
 
@@ -181,31 +223,24 @@ def scan(docs: DataFrame) -> DataFrame:
     """License of every document of ``docs`` (``doc_id``, ``text``, ``path``; others play no part).
 
     Returns ``doc_id``, ``path``, ``own_license``, ``cosine`` (of its best
-    line, 0 without), ``is_file``, ``license`` and ``inherited_from`` (the
-    directory, null where the license is its own or there is none).  Of
-    several license files in a directory the highest cosine decides, then the
-    first name.
+    line, paragraph or whole, 0 without), ``is_file``, ``license`` and
+    ``inherited_from`` (the directory, null where the license is its own or
+    there is none).  Of several license files in a directory the highest
+    cosine decides, then the first name.
 
     A null text is an empty one and has no license of its own; a null path has
     no directory and inherits nothing.  Repeated rows get one result each; an
     empty table gives an empty result.
     """
-    words = vocabulary()
-    counts = np.zeros(len(words) + 1, np.int64)
-    for term, n in docs.select("text").mapInArrow(_frequencies, "term int, n long").groupBy("term").agg(F.sum("n")).collect():
-        counts[term] = n
-    matcher = Matcher(counts[:-1], int(counts[-1]))
-    own = docs.select("doc_id", "text", "path").mapInArrow(_scan(matcher), "doc_id long, path string, own_license string, cosine double, is_file boolean")
+    own = written(docs.select("doc_id", "text", "path").mapInArrow(_scan(matcher_for(docs)), "doc_id long, path string, own_license string, cosine double, is_file boolean"))
+    directory = F.element_at(ancestors(F.col("path")), 1)
     files = own.where("is_file and path is not null")
-    by_directory = (
-        files.groupBy(F.element_at(ancestors(F.col("path")), 1).alias("directory"))
-        .agg(F.max_by("own_license", F.struct("cosine", F.lit(0))).alias("directory_license"))
-    )
+    by_directory = files.groupBy(directory.alias("directory")).agg(F.min_by("own_license", F.struct(-F.col("cosine"), "own_license")).alias("directory_license"))
     # which directories a path lies in is the same for all its directory's documents
-    places = own.where("path is not null and own_license is null").select(F.element_at(ancestors(F.col("path")), 1).alias("at"), F.col("path")).groupBy("at").agg(F.min("path").alias("path"))
+    places = own.where("path is not null and own_license is null").select(directory.alias("at"), "path").groupBy("at").agg(F.min("path").alias("path"))
     up = places.select("at", F.posexplode(ancestors(F.col("path"))).alias("distance", "directory"))
     nearest = up.join(by_directory, "directory").groupBy("at").agg(F.min_by(F.struct("directory", "directory_license"), "distance").alias("nearest"))
-    keyed = own.withColumn("at", F.when(F.col("own_license").isNull(), F.element_at(ancestors(F.col("path")), 1)))
+    keyed = own.withColumn("at", F.when(F.col("own_license").isNull(), directory))
     with_place = keyed.where("at is not null").join(nearest, "at", "left")
     without = keyed.where("at is null").withColumn("nearest", F.lit(None).cast(nearest.schema["nearest"].dataType))
     return with_place.unionByName(without).select(
@@ -219,16 +254,13 @@ def scan(docs: DataFrame) -> DataFrame:
     )
 
 
-def plain_cosine(line: str, df: dict[str, int], lines: int) -> list[float]:
-    """Cosines of one line to all notices, the plain way; for tests and for explaining a find."""
-    split = lambda s: re.findall(r"[a-z0-9\x80-\U0010FFFF]+", re.sub("[A-Z]", lambda m: m[0].lower(), s))
-    known = {t for notice in NOTICES for t in split(notice)}
-    idf = lambda t: np.log((1 + lines) / (1 + df.get(t, 0))) + 1 if t in known else np.log((1 + lines) / 2) + 1
-    vector = lambda s: {t: split(s).count(t) * idf(t) for t in set(split(s))}
-    a = vector(line)
-    out = []
-    for notice in NOTICES:
-        b = vector(notice)
-        dot = sum(a[t] * b[t] for t in a.keys() & b.keys())
-        out.append(dot / max(1e-12, np.sqrt(sum(x * x for x in a.values())) * np.sqrt(sum(x * x for x in b.values()))))
-    return out
+def with_paths(docs: DataFrame) -> DataFrame:
+    """``docs`` with a ``path`` where there is none: the digits of ``doc_id`` are nested folders, and the first documents of a folder stand above it.
+
+    1234 is ``1/2/3/1234.txt``, 1230 is ``1/2/1230.txt``, 1200 is ``1/1200.txt``.
+    """
+    if "path" in docs.columns:
+        return docs
+    digits = F.col("doc_id").cast("string")
+    stem = F.regexp_replace(digits, ".0*$", "")
+    return docs.withColumn("path", F.concat(F.regexp_replace(stem, "(.)", "$1/"), digits, F.lit(".txt")))

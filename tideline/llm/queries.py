@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from .bpe import encode_decode
 from .licenses import scan as scan_licenses
+from .licenses import with_paths
 from .near_dedup import near_duplicates
 from .packing import pack
 from .quality import judge
 from .secrets import digest, find_secrets
 from .quotes import ORACLE_SQL as QUOTES_SQL
-from .quotes import link_quotes
+from .quotes import REPLIES_SQL, link_quotes, with_replies
+from .quotes import oracle_sql as quotes_sql
 from .sharding import digest as sharding_digest
 from .sharding import sharded
 from .toxicity import toxicity
@@ -33,13 +35,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """License of every document, its own or that of its directory.
-
-    The table has no paths; source, language and blocks of a hundred ids stand for directories.
-    """
-    block = F.floor(F.col("doc_id") / 100).cast("string")
-    path = F.concat_ws("/", "source", "lang", block, F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-    return scan_licenses(table(spark, sf_dir, "documents").withColumn("path", path))
+    """License of every document, its own or that of its directory; where the table has no paths, digits of the id stand for directories."""
+    return scan_licenses(with_paths(table(spark, sf_dir, "documents")))
 
 
 def op2_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +44,11 @@ def op2_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_quotes(table(spark, sf_dir, "conversations"))
 
 
+def replies_with_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over conversations in which every third message quotes those before it, as the table has no quote."""
+    return link_quotes(with_replies(table(spark, sf_dir, "conversations")))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base rules and likelihood verdict of every document."""
     return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -92,6 +94,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_licenses": op1_licenses,
         "op2_quotes": op2_quotes,
+        "replies_with_quotes": replies_with_quotes,
         "op3_quality_rules": op3_quality_rules,
         "op4_winnowing": op4_winnowing,
         "op5_toxicity": op5_toxicity,
@@ -104,4 +107,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quotes": QUOTES_SQL}
+    return {"op2_quotes": QUOTES_SQL, "replies_with_quotes": quotes_sql(REPLIES_SQL)}
