@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 
 U64 = np.uint64
@@ -28,26 +29,14 @@ LOWER[0x41:0x5B] += 0x20
 #: A random 64-bit value for each byte; the seed is part of the format.
 SYMBOL = np.random.Generator(np.random.PCG64(20_240_611)).integers(1, 1 << 63, 256, dtype=np.uint64) | U64(1)
 
-#: Second base, modulo a prime: spans whose polynomials agree modulo 2**64 whatever the base (Thue-Morse words) differ here.
-_PRIME = (1 << 31) - 1
-_BASE_P = 1_103_515_245
-_INV_P = pow(_BASE_P, -1, _PRIME)
-_SYMBOL_P = (SYMBOL >> U64(33)) + U64(1)
+#: Spans of this many bytes are hashed a second time: polynomials modulo 2**64 agree for certain words of 1,024 letters, whatever the base.
+LONG = 512
 
-_powers: tuple[np.ndarray, ...] = (np.ones(1, np.uint64),) * 4
+_powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
 
-def _modulo(x: np.ndarray) -> np.ndarray:
-    """Values up to 2**62 to values up to 2**31 of the same remainder; in place."""
-    for _ in range(2):
-        high = x >> U64(31)
-        x &= U64(_PRIME)
-        x += high
-    return x
-
-
-def _tables(n: int) -> tuple[np.ndarray, ...]:
-    """Powers of either base and of its inverse, up to ``n``."""
+def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, up to ``n``."""
     global _powers
     if len(_powers[0]) <= n:
         size = 1 << n.bit_length()
@@ -57,16 +46,9 @@ def _tables(n: int) -> tuple[np.ndarray, ...]:
             out[0] = 1
             np.multiply.accumulate(out, out=out)
             made.append(out)
-        for base in (_BASE_P, _INV_P):
-            out = np.ones(size, np.uint64)
-            have = 1
-            while have < size:
-                out[have : 2 * have] = _modulo(out[: min(have, size - have)] * U64(pow(base, have, _PRIME)))
-                have *= 2
-            made.append(out)
         if size > 1 << 23:  # one huge document: not kept
-            return tuple(made)
-        _powers = tuple(made)
+            return made[0], made[1]
+        _powers = (made[0], made[1])
     return _powers
 
 
@@ -158,23 +140,21 @@ def lines(buf: np.ndarray, offsets: np.ndarray) -> Spans:
 
 
 class Hasher:
-    """64-bit hashes of any spans of a buffer, from prefix sums of two polynomials: modulo 2**64 and modulo a prime.
-
-    The first alone is equal for certain words of 1,024 letters; the second tells them apart.
-    """
+    """64-bit hashes of any spans of a buffer, from prefix sums of a polynomial; long spans by their bytes too."""
 
     def __init__(self, buf: np.ndarray):
-        power, self._inverse, power_p, self._inverse_p = _tables(len(buf) + 1)
+        self._buf = np.ascontiguousarray(buf)
+        power, self._inverse = _tables(len(buf) + 1)
         self._sum = np.zeros(len(buf) + 1, np.uint64)
         np.cumsum(SYMBOL[buf] * power[: len(buf)], out=self._sum[1:])
-        self._sum_p = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum(_modulo(_SYMBOL_P[buf] * power_p[: len(buf)]), out=self._sum_p[1:])  # no overflow below 2**33 bytes
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        value = (self._sum[end] - self._sum[start]) * self._inverse[start]
-        other = _modulo(_modulo(self._sum_p[end] - self._sum_p[start]) * self._inverse_p[start])
-        other[other >= _PRIME] -= U64(_PRIME)
-        return mix(value + mix(other + U64(1)) + (end - start).astype(np.uint64))
+        value = mix((self._sum[end] - self._sum[start]) * self._inverse[start] + (end - start).astype(np.uint64))
+        long = np.flatnonzero(end - start >= LONG)
+        if len(long):
+            data = memoryview(self._buf)
+            value[long] ^= np.array([xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True)], np.uint64)
+        return value
 
 
 def code_points(buf: np.ndarray) -> np.ndarray:
