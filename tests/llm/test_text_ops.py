@@ -92,18 +92,24 @@ def test_quality_separates_the_labelled(spark):
 
 
 def plain_fingerprint(t, k=winnowing.K, w=winnowing.WINDOW):
-    mask = (1 << 64) - 1
-    h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in re.findall(WORD, t)]
+    units = []
+    for x in re.findall(WORD, re.sub("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003ffff])", r" \1 ", t)):
+        units += list(x) if len(x) > winnowing.LONG_WORD else [x]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    h = [signed(xxhash.xxh64_intdigest(x.encode(), 42)) % winnowing.PRIME for x in units]
     if not h:
         return []
 
-    def combine(xs):
-        seed = 42
-        for x in xs:
-            seed = xxhash.xxh64_intdigest((x & mask).to_bytes(8, "little"), seed)
-        return seed >> (winnowing.POSITION_BITS + 1)
+    def roll(xs, k):
+        value = 0
+        for x in xs[:k]:
+            value = (value * winnowing.BASE + x) % winnowing.PRIME
+        yield value
+        for old, new in zip(xs, xs[k:], strict=False):
+            value = ((value - old * pow(winnowing.BASE, k - 1, winnowing.PRIME)) * winnowing.BASE + new) % winnowing.PRIME
+            yield value
 
-    g = [combine(h[i : i + k]) for i in range(len(h) - k + 1)] or [combine(h)]
+    g = list(roll(h, k))
     out = []
     for i in range(max(1, len(g) - w + 1)):
         part = g[i : i + w]
@@ -142,6 +148,22 @@ def test_winnowing_guarantee_and_empty(spark, nothing):
     assert one.edited == "a b a b"[: len("a b c d") - 3] + "a b" and one.near_next == 1.0
 
 
+@pytest.mark.parametrize("k", [1, 2, 3, 4, 5, 6, 7, 8])
+def test_winnowing_grams_of_any_length(spark, k):
+    text = " ".join(f"w{i % 7}" for i in range(20))
+    row = spark.createDataFrame([(text,), ("a b",), ("",)], "t string").select(winnowing.written(winnowing.fingerprint(F.col("t"), k, 3)).alias("f")).collect()
+    for r, t in zip(row, (text, "a b", ""), strict=True):
+        assert r.f == ",".join(f"{a:X}@{b}" for a, b in plain_fingerprint(t, k, 3))
+
+
+def test_winnowing_of_text_without_blanks(spark):
+    han = "".join(chr(0x4E00 + (i * 37) % 900) for i in range(300))
+    code = "".join(chr(97 + (i * i + i // 3) % 26) for i in range(400))
+    rows = [(1, han), (2, han[:150] + "\u4e00" + han[150:]), (3, code), (4, code[:200] + "x" + code[200:])]
+    got = {r.doc_id: r for r in winnowing.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].near_next > 0.8 and got[3].near_next > 0.8 and got[2].near_next < 0.2
+
+
 # --------------------------------------------------------------- sharding
 
 
@@ -382,13 +404,13 @@ def test_packing_neighbours_are_those_of_brute_force(spark):
     words = lexicon(rng, 600)
     docs = [(i, " ".join(words[k] for k in rng.zipf(1.2, packing.QUERY) % 600)) for i in range(300)]  # so short that all words are asked for
     encoded = packing.encode(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), PATH)
-    n, tokens = encoded.count(), encoded.agg({"doc_tokens": "sum"}).first()[0]
+    n, tokens = 300, encoded.agg({"doc_tokens": "sum"}).first()[0]
     ends = packing.word_ends(PATH)
     got = defaultdict(dict)
     for seed, rid, score in packing.neighbours(encoded, ends, n, tokens, want=10).collect():
         got[seed][rid] = score
     bags, sizes = {}, {}
-    for r in encoded.collect():
+    for r in encoded.where("rid is not null").collect():
         ids = packing._unpack(r.ids, r.doc_tokens, np.uint16)[:-1].tolist()
         bag, word = Counter(), []
         for x in ids:
@@ -492,20 +514,65 @@ def test_nnpu_learns_from_positives_and_unlabelled():
 # ------------------------------------------------------- licenses, quotes
 
 
-def test_license_cosines_are_the_plain_ones(spark):
-    lines = ["Released under the MIT License.", "Licensed under CC BY-NC 4.0.", "some words of prose", "licensed under the Apache License"]
-    df, n = Counter({"license": 2, "licensed": 2, "under": 3}), 4
-    words = licenses.vocabulary()
-    counts = np.zeros(len(words), np.int64)
-    for t, c in df.items():
-        raw = np.frombuffer(t.encode(), np.uint8)
-        counts[np.searchsorted(words, vec.Hasher(raw).of(np.array([0]), np.array([len(raw)])))] = c
-    m = licenses.Matcher(counts, n)
-    buf = np.frombuffer("\n".join(lines).encode(), np.uint8)
-    row, notice, cosine, count = m.lines(buf, np.array([0, len(buf)]))
-    want = [max(licenses.plain_cosine(x, df, n)) for x in lines]
-    assert np.allclose(sorted(cosine), sorted(x for x in want if x >= licenses.THRESHOLD))
-    assert {licenses.NAMES[t] for t in notice} >= {"MIT", "CC-BY-NC-4.0"}
+def plain_license(text, df, n):
+    """The best cosine of a line, paragraph or whole text, the plain way."""
+    split = lambda t: re.findall(r"[a-z0-9\x80-\U0010FFFF]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+    known = {w for _, t in licenses.templates() for w in split(t)}
+    idf = lambda w: np.log((1 + n) / (1 + df[w])) + 1 if w in known else np.log((1 + n) / 2) + 1
+    vector = lambda t: {w: k * idf(w) for w, k in Counter(split(t)).items()}
+
+    def cosine(a, b):
+        size = lambda v: np.sqrt(sum(x * x for x in v.values()))
+        return sum(a[w] * b[w] for w in a.keys() & b.keys()) / (size(a) * size(b))
+
+    made = [(name, vector(t)) for name, t in licenses.templates()]
+    marker = re.compile("|".join(licenses.MARKERS))
+    units = [*text.split("\n"), *re.split(r"\n(?:[^a-z0-9A-Z\x80-\U0010FFFF]*\n)+", text), text]
+    best = (0.0, None)
+    for unit in units:
+        if split(unit) and marker.search(" ".join(split(unit))):
+            for name, v in made:
+                c = cosine(vector(unit), v)
+                if c >= licenses.THRESHOLD and c > best[0] + 1e-12:
+                    best = (c, name)
+    return best
+
+
+PROSE = "some words of prose about nothing in particular that go on for a while"
+MIT_TEXT = dict(licenses.templates()[::-1])["MIT"]
+
+
+def license_rows():
+    full = {}
+    for name, text in licenses.templates():
+        if len(text) > 500:
+            full[name] = text
+    mit = full["MIT"].replace("<year> <copyright holders>", "2021 Jane Example and others")
+    header = "#!/bin/sh\n#\n# " + "\n# ".join(
+        ["This program is free software: you can redistribute it and/or modify", "it under the terms of the GNU General Public License as published by", "the Free Software Foundation, either version 3 of the License, or", "(at your option) any later version."]
+    )
+    apache = "/*\n * Copyright 2020 Someone\n *\n * Licensed under the Apache License, Version 2.0 (the \"License\");\n * you may not use this file except in compliance with the License.\n * You may obtain a copy of the License at\n *\n *     http://www.apache.org/licenses/LICENSE-2.0\n */\n"
+    texts = [mit, full["Apache-2.0"], full["GPL-3.0"], full["BSD-3-Clause"], full["BSD-2-Clause"], full["MPL-2.0"]]
+    return [*texts, header + "\n\n" + (PROSE + "\n") * 30, apache + (PROSE + "\n") * 30, PROSE, "the license of this prose is a matter of permission, " + PROSE, "// SPDX-License-Identifier: MIT\n" + PROSE * 5, None, ""]
+
+
+def test_license_texts_and_headers_are_found(spark):
+    rows = [(i, t) for i, t in enumerate([*license_rows(), *[PROSE] * 200])]
+    got = {r.doc_id: r for r in licenses.scan(licenses.with_paths(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))).collect()}
+    names = ["MIT", "Apache-2.0", "GPL-3.0", "BSD-3-Clause", "BSD-2-Clause", "MPL-2.0", "GPL-3.0", "Apache-2.0", None, None, "MIT", None, None]
+    assert [got[i].own_license for i in range(13)] == names
+    assert [got[i].is_file for i in range(13)] == [True] * 6 + [False] * 7
+    df = Counter(w for _, t in rows for w in set(licenses.words_of(t or "")))
+    for i, t in rows[:13]:
+        cosine, name = plain_license(t or "", df, len(rows))
+        assert abs(cosine - got[i].cosine) < 1e-9 and name == got[i].own_license
+
+
+def test_paths_of_ids_are_nested(spark):
+    ids = spark.createDataFrame([(1234,), (1230,), (1200,), (7,), (0,), (None,)], "doc_id long")
+    assert [r.path for r in licenses.with_paths(ids).collect()] == ["1/2/3/1234.txt", "1/2/1230.txt", "1/1200.txt", "7.txt", "0.txt", None]
+    given = spark.createDataFrame([(1, "a/b")], "doc_id long, path string")
+    assert licenses.with_paths(given).first().path == "a/b"
 
 
 def test_license_inheritance_from_the_nearest_directory(spark, nothing):
@@ -540,13 +607,59 @@ def test_quotes(spark):
     assert found[2, 1] == ("", 0, 0, None, 1, None, None)
     assert found[None, 1] == ("x", 0, 0, None, 1, None, None)
     assert quotes.link_quotes(df.where("turn < 0")).count() == 0
+    same_as_sql(df)
+
+
+def same_as_sql(df):
     import duckdb
 
+    got = quotes.link_quotes(df).collect()
     con = duckdb.connect()
     con.register("conversations", df.toPandas().astype({"conv_id": "Int64", "turn": "Int64"}))
     cursor = con.execute(quotes.ORACLE_SQL)
     names = [d[0] for d in cursor.description]
     assert Counter(tuple(r[names.index(c)] for c in got[0].asDict()) for r in cursor.fetchall()) == Counter(map(tuple, got))
+    return {(r.conv_id, r.turn): r for r in got}
+
+
+def test_parts_of_quotes_are_linked(spark):
+    said = "First line here.\nSecond line here.\nThird line here.\n\nAnother paragraph\nof two lines."
+    rows = [
+        (1, 0, "u", said), (1, 1, "u", "Something else.\nSecond line here."),
+        (1, 2, "u", "> First line here.\n> Second line here.\ntwo of three"), (1, 3, "u", "> Third line here.\n>\n> Another paragraph\n> of two\ntrimmed"),
+        (1, 4, "u", "> Another paragraph\n> of two lines.\nfine"), (1, 5, "u", "> > > First line here.\n> > trimmed\n> hm\ndeep"), (1, 5, "u", "another text of this turn"),
+        (2, 0, "u", "> Second line here.\nstranger"),
+    ]
+    got = same_as_sql(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert [got[1, t].parent_turn for t in range(6)] == [None, None, 0, 0, 0, 3]
+    assert (got[1, 5].n_quoted, got[1, 5].n_linked) == (3, 2) and (got[2, 0].origin_conv, got[2, 0].origin_turn) == (1, 0)
+    assert [got[1, t].position for t in range(6)] == [0, 5, 1, 2, 4, 3]
+
+
+def test_reply_order_of_long_chains_and_wide_trees(spark):
+    rng = np.random.default_rng(9)
+    parent = {(1, t): t - 1 if t else None for t in range(200)} | {(2, t): None for t in range(100)} | {(3, t): int(rng.integers(0, t)) if t % 7 else None for t in range(150)}
+    df = spark.createDataFrame([(c, t, p) for (c, t), p in parent.items()], "conv_id long, turn long, parent_turn long")
+    got = {(r.conv_id, r.turn): r.position for r in quotes.reply_order(df).collect()}
+    for c in (1, 2, 3):
+        order = []
+
+        def visit(t, c=c, order=order):
+            stack = [t]
+            while stack:
+                x = stack.pop()
+                order.append(x)
+                stack += sorted((k for (d, k), p in parent.items() if d == c and p == x), reverse=True)
+
+        for root in sorted(t for (d, t), p in parent.items() if d == c and p is None):
+            visit(root)
+        assert [got[c, t] for t in order] == list(range(len(order)))
+
+
+def test_quotes_of_a_table_with_replies(spark):
+    df = quotes.with_replies(spark.read.parquet("/root/testdata/sf0.001/conversations.parquet"))
+    got = same_as_sql(df)
+    assert sum(r.n_linked for r in got.values()) >= 0.9 * sum(r.n_quoted for r in got.values()) > 10
 
 
 # --------------------------------------------------------------- pipeline
