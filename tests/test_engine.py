@@ -396,3 +396,48 @@ def test_backtest_tables_and_lists(spark, tmp_path):
     e = spark.createDataFrame([(1, DAY(2024, 1, 5), 10.0, None, 10.0), (1, DAY(2024, 1, 12), 12.0, 11.0, 15.0)], "run_id int, date date, equity double, nav double, contributed double")
     assert [(r.nav, r.flow) for r in study.reload(e).orderBy("date").collect()] == [(10.0, 0.0), (11.0, 5.0)]
 
+
+
+def test_clock_of_the_last_complete_session():
+    from tideline.operators import jobs
+
+    assert jobs.last_complete_session(dt.datetime(2024, 1, 5, 16, 0)) == DAY(2024, 1, 5)
+    assert jobs.last_complete_session(dt.datetime(2024, 1, 1, 15, 59)) == DAY(2023, 12, 31)
+
+
+def test_resolved_actions_are_marked(spark):
+    from tideline.operators import jobs
+
+    columns = "symbol_id int, date date, open double, high double, low double, close double, volume double, delivery_qty double, delivery_pct double, source string"
+    bar = lambda s, d, x, q: (s, DAY(2024, 1, d), x, x, x, x, 10.0, q, 50.0, "file")
+    old = spark.createDataFrame([bar(s, d, 100.0 if d < 4 else 50.0, 7.0) for s in (1, 2) for d in (2, 3, 4)], columns)
+    fresh = spark.createDataFrame([bar(1, d, 50.0, None) for d in (2, 3)] + [bar(2, d, 100.0, None) for d in (2, 3)], columns)
+    actions = spark.createDataFrame([(s, DAY(2024, 1, 4), 2.0, "open", False) for s in (1, 2)], "symbol_id int, ex_date date, ratio double, action_type string, resolved boolean")
+    bars_out, marked = jobs.resolve_actions(old, fresh, actions)
+    got = {(r.symbol_id, r.date.day): (r.close, r.delivery_qty, r.source) for r in bars_out.collect()}
+    assert got[1, 3] == (50.0, 14.0, "fresh") and got[1, 4] == (50.0, 7.0, "file") and got[2, 3] == (100.0, 7.0, "file") and len(got) == 6
+    assert {r.symbol_id: (r.action_type, r.resolved) for r in marked.collect()} == {1: ("split", True), 2: ("open", False)}
+
+
+def test_backfill_adds_what_is_missing(spark):
+    from tideline.operators import jobs
+
+    daily_ = spark.createDataFrame([(1, DAY(2024, 1, 2), 9.0, 9.0, 9.0, 9.0, 1.0, "file")], "symbol_id int, date date, open double, high double, low double, close double, volume double, source string")
+    symbols = spark.createDataFrame([("A", 1, None), ("B", 2, None), ("C", 3, None)], "symbol string, id int, listed_date date")
+    fresh = [(s, DAY(2024, 1, d), 1.0, 2.0, 1.0, 2.0, 5.0, 0) for s in ("A", "B") for d in (2, 3, 4, 5) if (s, d) != ("B", 3)] + [("B", DAY(2024, 1, 8), -1.0, 2.0, 1.0, 2.0, 5.0, 0)]
+    got = jobs.backfill(daily_, symbols, spark.createDataFrame(fresh, "symbol string, date date, open double, high double, low double, close double, volume double, seq int"), "2023-12-01")
+    rows = {(r.symbol_id, r.date.day): (r.close, r.source) for r in got.daily.collect()}
+    assert rows[1, 2] == (9.0, "file") and rows[1, 3] == (2.0, "backfill") and len(rows) == 7
+    assert {r.symbol: r.listed_date for r in got.symbols.collect()} == {"A": DAY(2024, 1, 2), "B": DAY(2024, 1, 2), "C": None}
+    assert sorted((r.symbol, r.issue) for r in got.issues.collect()) == [("B", "bad_price"), ("B", "gap"), ("C", "no_data")]
+
+
+def test_index_refresh_keeps_days_and_adds_one_snapshot(spark):
+    from tideline.operators import jobs
+
+    members = spark.createDataFrame([(1, 1, DAY(2020, 1, 1)), (1, 2, None), (3, 9, None)], "index_id int, symbol_id int, added_on date")
+    snapshots = spark.createDataFrame([(1, 1, DAY(2024, 1, 1))], "index_id int, symbol_id int, snapshot_date date")
+    fresh = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (2, 5), (2, 5)], "index_id int, symbol_id int")
+    now, dated = jobs.refresh_index(members, snapshots, fresh, "2024-01-08")
+    assert {(r.index_id, r.symbol_id): r.added_on for r in now.collect()} == {(1, 1): DAY(2020, 1, 1), (1, 2): None, (1, 3): DAY(2024, 1, 8), (2, 5): None, (3, 9): None}
+    assert dated.count() == 5 and jobs.refresh_index(now, dated, fresh, "2024-01-08")[1].count() == 5

@@ -1,11 +1,11 @@
-"""Jobs composed of the operators: incremental rebuilds, ingest of a day, point-in-time builds, runs."""
+"""Jobs composed of the operators: incremental rebuilds, ingest, repairs, backfills, universes, point-in-time builds, runs."""
 
 from __future__ import annotations
 
 import datetime as dt
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.functions.columns import monday
@@ -82,6 +82,117 @@ def ingest_day(feed: DataFrame, daily: DataFrame, symbols: DataFrame, aliases: D
     )
 
 
+def last_complete_session(now: dt.datetime, ready: str = "16:00") -> dt.date:
+    """The latest date whose bars are final at ``now`` (in the market's time): today from ``ready`` on, else yesterday."""
+    return now.date() if now.time() >= dt.time.fromisoformat(ready) else now.date() - dt.timedelta(days=1)
+
+
+def resolve_actions(daily: DataFrame, fresh: DataFrame, actions: DataFrame, threshold: float = 0.03) -> tuple[DataFrame, DataFrame]:
+    """Bars and actions after history before each open action's ex-date was replaced by fresh one that joins on without a step.
+
+    ``actions`` is ``symbol_id, ex_date, ratio, action_type, resolved``, at most one open action a symbol.
+    """
+    new = ingest.resolve_action(daily, fresh, actions.where("not resolved"), threshold)
+    done = new.select("symbol_id", "ex_date").distinct()
+    kept = daily.join(done, "symbol_id", "left").where("ex_date is null or date >= ex_date").select(*daily.columns)
+    bars_in = new.withColumn("source", F.lit("fresh"))
+    marked = actions.join(done.withColumn("_done", F.lit(True)), ["symbol_id", "ex_date"], "left")
+    settled = {"resolved": F.col("resolved") | F.col("_done").isNotNull(), "action_type": F.when(F.col("_done"), F.when(F.col("ratio") > 1, "split").otherwise("unknown")).otherwise(F.col("action_type"))}
+    return kept.unionByName(bars_in.select(*(F.col(c) for c in daily.columns))), marked.withColumns(settled).select(*actions.columns)
+
+
+def repair_gaps(daily: DataFrame, calendar: DataFrame, archive: DataFrame) -> DataFrame:
+    """Bars for sessions that a symbol misses between its first and last one, from archived rows scaled onto its history.
+
+    ``archive`` is ``symbol_id, date, open .. volume, prev_close``.  A row is
+    scaled by the close of the session before over its own ``prev_close``.  In
+    a run of missing sessions each goes on from the one repaired before, so
+    the scale of a run is a running product; a missing archive row or a scale
+    out of 0.01 to 100 ends it.
+    """
+    sessions = calendar.select("date", F.row_number().over(Window.orderBy("date")).alias("ix"))  # a row a session
+    missing = checks.missing_sessions(daily, calendar, "symbol_id").join(archive, ["symbol_id", "date"]).join(F.broadcast(sessions), "date")
+    before = daily.join(F.broadcast(sessions), "date").select("symbol_id", (F.col("ix") + 1).alias("ix"), F.col("close").alias("_stored"))
+    w = Window.partitionBy("symbol_id").orderBy("ix")
+    rows = missing.join(before, ["symbol_id", "ix"], "left").withColumn("_run", F.col("ix") - F.row_number().over(w))
+    run = Window.partitionBy("symbol_id", "_run").orderBy("ix")
+    so_far = run.rowsBetween(Window.unboundedPreceding, 0)
+    step = F.try_divide(F.coalesce("_stored", F.lag("close").over(run)), "prev_close")
+    scaled = rows.withColumn("_step", step).withColumn("_scale", F.product("_step").over(so_far))
+    fits = F.coalesce(F.first("_stored").over(so_far).isNotNull() & F.col("_scale").between(0.01, 100.0), F.lit(False))
+    good = scaled.withColumn("_ok", F.min(fits).over(so_far)).where("_ok")
+    return good.select("symbol_id", "date", *((F.col(c) * F.col("_scale")).alias(c) for c in ("open", "high", "low", "close")), (F.col("volume") / F.col("_scale")).alias("volume"))
+
+
+@dataclass(frozen=True)
+class Backfill:
+    """Daily bars, symbols with listing dates, and issues after a backfill."""
+
+    daily: DataFrame
+    symbols: DataFrame
+    issues: DataFrame
+
+
+def backfill(daily: DataFrame, symbols: DataFrame, fresh: DataFrame, start: str, full: bool = False) -> Backfill:
+    """Fresh history (symbol, date, open .. volume, seq) checked and put where there is no bar yet, or in place of all bars where ``full``.
+
+    A symbol whose first bar is more than ten days after ``start`` is a new
+    listing.  Gaps against the sessions that most symbols have are issues, and
+    so is a symbol without any bar.
+    """
+    clean, found = checks.validate(fresh, "seq")
+    clean = clean.drop("seq")
+    gaps = checks.gap_issues(clean, checks.trading_calendar(clean)).select("symbol", "date", F.lit("gap").alias("issue"), F.to_json(F.struct("missing", "dates")).alias("details"))
+    ids = symbols.select("symbol", F.col("id").alias("symbol_id"))
+    rows = clean.join(ids, "symbol").withColumn("source", F.lit("backfill"))
+    base = daily.join(ids.select("symbol_id"), "symbol_id", "left_anti") if full else daily
+    after = store.upsert(base, rows.select(*(c for c in daily.columns if c in rows.columns)), ["symbol_id", "date"], [])
+    first = after.groupBy("symbol_id").agg(F.min("date").alias("_first"))
+    known = symbols.join(first, symbols.id == first.symbol_id, "left").drop("symbol_id")
+    none = known.where("_first is null").select("symbol", F.lit(None).cast("date").alias("date"), F.lit("no_data").alias("issue"), F.lit(None).cast("string").alias("details"))
+    new = F.col("listed_date").isNull() & (F.col("_first") > F.date_add(F.lit(start).cast("date"), 10))
+    listed = known.withColumn("listed_date", F.when(new, F.col("_first")).otherwise(F.col("listed_date"))).select(*symbols.columns)
+    return Backfill(after, listed, found.unionByName(gaps).unionByName(none))
+
+
+def refresh_symbols(symbols: DataFrame, aliases: DataFrame, listing: DataFrame, today: str) -> tuple[DataFrame, DataFrame]:
+    """Symbols and aliases after a new listing: renamed by ISIN with the old text kept as alias, owners of a taken text parked, the unlisted inactive.
+
+    ``symbols`` is ``id, symbol, isin, name, is_active``, ``listing`` is
+    ``symbol, isin, name``; new ISINs get ids after the largest one, by ISIN.
+    """
+    changes = ingest.symbol_changes(listing, symbols)
+    parked = changes.where("kind = 'collision'").select(F.col("symbol_id").alias("id"), F.col("new_symbol").alias("_parked"))
+    renamed = changes.where("kind = 'rename'").select(F.col("old_symbol"), "symbol_id", F.lit(today).cast("date").alias("changed_on"))
+    more = store.upsert(aliases, renamed, ["old_symbol", "changed_on"])
+    offered = listing.select("isin", F.col("symbol").alias("_symbol"), F.col("name").alias("_name"))
+    known = symbols.join(parked, "id", "left").join(offered, "isin", "left")
+    is_listed = F.col("_symbol").isNotNull()
+    now = known.select(
+        "id", F.coalesce("_symbol", "_parked", "symbol").alias("symbol"), "isin", F.when(is_listed, F.col("_name")).otherwise(F.col("name")).alias("name"), is_listed.alias("is_active")
+    )
+    # ids of new ISINs: a listing is an exchange's list of shares, so one window over its new rows is small
+    top = symbols.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
+    new = listing.join(symbols.select("isin"), "isin", "left_anti").crossJoin(F.broadcast(top))
+    added = new.select((F.col("_top") + F.row_number().over(Window.orderBy("isin"))).cast(dict(symbols.dtypes)["id"]).alias("id"), "symbol", "isin", "name", F.lit(True).alias("is_active"))
+    return now.unionByName(added), more
+
+
+def refresh_index(members: DataFrame, snapshots: DataFrame, fresh: DataFrame, today: str) -> tuple[DataFrame, DataFrame]:
+    """Members of the indices in ``fresh`` (index_id, symbol_id) replaced, and today's snapshot of them added once.
+
+    The day a member was added stays; a new one gets today, but on an index's
+    first load it is not known.  Indices without fresh rows stay as they are.
+    """
+    listed = fresh.select("index_id", "symbol_id").distinct()
+    touched = listed.select("index_id").distinct()
+    before = members.select("index_id").distinct().withColumn("_known", F.lit(True))
+    dated = listed.join(members.select("index_id", "symbol_id", "added_on", F.lit(True).alias("_member")), ["index_id", "symbol_id"], "left").join(before, "index_id", "left")
+    added = F.when(F.col("_member"), F.col("added_on")).when(F.col("_known"), F.lit(today).cast("date"))
+    now = members.join(touched, "index_id", "left_anti").unionByName(dated.select("index_id", "symbol_id", added.alias("added_on")))
+    return now, store.upsert(snapshots, listed.withColumn("snapshot_date", F.lit(today).cast("date")), ["index_id", "snapshot_date", "symbol_id"], [])
+
+
 def refresh_exclusions(lists: DataFrame, symbols: DataFrame, old: DataFrame, today: str) -> DataFrame:
     """Today's slice of the exclusion lists replaced; rows of unknown symbols go, one row a list and symbol."""
     found = ingest.map_ids(files.parse_surveillance(lists), symbols).where("symbol_id is not null")
@@ -132,8 +243,3 @@ def session_calendar(benchmark: DataFrame, name: str, since: str) -> DataFrame:
     return benchmark.where((F.col("index_name") == name) & (F.col("date") >= F.lit(since).cast("date"))).select("date").distinct()
 
 
-def registry(spark: SparkSession, root: str, names: list[str]) -> dict[str, DataFrame]:
-    """The tables of a folder, lazily."""
-    return {n: spark.read.parquet(f"{root}/{n}") for n in names}
-
-

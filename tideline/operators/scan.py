@@ -161,8 +161,3 @@ def _stock_weeks(
     else:
         stocks = stocks.withColumn("index_list", F.lit(None).cast("string"))
     return stocks
-
-
-def in_order(stocks: DataFrame) -> DataFrame:
-    """Bullish first, best score first, then by symbol."""
-    return stocks.orderBy(F.desc("direction"), F.desc_nulls_last("stock_score"), "symbol")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideline.backtest import metrics as figures
@@ -243,6 +243,64 @@ def index_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.index_lists(members, indices)
 
 
+@registered(
+    query(
+        """with fresh as (select symbol_id, date, close, case when symbol_id % 3 = 0 then 0.9 when date < date '1998-06-10' then 0.5 else 1 end as k from daily), joins as (
+          select a.symbol_id, a.ex_date, a.ratio from (select symbol_id, date '1998-06-10' as ex_date, 2.0 as ratio from symbols where symbol_id % 2 = 1) a
+          where abs((select arg_max(close * k, date) from fresh f where f.symbol_id = a.symbol_id and date < ex_date) / ((select arg_max(close, date) from daily d where d.symbol_id = a.symbol_id and date < ex_date) / ratio) - 1) <= 0.03)
+        select d.symbol_id, d.date, round(case when j.ex_date > d.date then d.close * 0.5 else d.close end, 6) as close, case when j.ex_date > d.date then 'fresh' else 'file' end as source, round(case when j.ex_date > d.date then 200.0 else 100.0 end, 6) as delivery_qty
+        from daily d left join joins j on j.symbol_id = d.symbol_id""",
+        ["daily", "symbols"],
+    ).replace("\nwith fresh", ",\nfresh", 1)
+)
+def job_resolve_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fresh history takes the place of the old one before a split, where it joins on."""
+    m = market(spark, sf_dir)
+    daily = m.daily.select("symbol_id", "date", "open", "high", "low", "close", "volume", F.lit(100.0).alias("delivery_qty"), F.lit(50.0).alias("delivery_pct"), F.lit("file").alias("source"))
+    k = F.when(F.col("symbol_id") % 3 == 0, 0.9).when(F.col("date") < "1998-06-10", 0.5).otherwise(1.0)
+    fresh = daily.withColumns({c: F.col(c) * k for c in ("open", "high", "low", "close")})
+    actions = m.symbols.where("symbol_id % 2 = 1").select("symbol_id", F.lit("1998-06-10").cast("date").alias("ex_date"), F.lit(2.0).alias("ratio"), F.lit("open").alias("action_type"), F.lit(False).alias("resolved"))
+    return rounded(jobs.resolve_actions(daily, fresh, actions)[0].select("symbol_id", "date", "close", "source", "delivery_qty"))
+
+
+@registered(
+    query(
+        """with cal as materialized (select distinct date from bench), seq as materialized (select date, row_number() over (order by date) as ix from cal), kept as materialized (select * from daily where (symbol_id + extract('doy' from date)) % 9 > 1),
+        spans as (select symbol_id, min(date) as a, max(date) as b from kept group by 1), missing as (select s.symbol_id, c.date from spans s join cal c on c.date between s.a and s.b where not exists (select 1 from kept k where k.symbol_id = s.symbol_id and k.date = c.date)),
+        raw as materialized (select symbol_id, date, close * 2 as close, lag(close) over (partition by symbol_id order by date) * 2 as prev_close, lag(date) over (partition by symbol_id order by date) as prev_date from daily),
+        fixed as (select m.symbol_id, m.date, q.ix, r.close, r.prev_close, (select k.close from kept k join seq b on b.date = k.date where k.symbol_id = m.symbol_id and b.ix = q.ix - 1) as stored from missing m join raw r on r.symbol_id = m.symbol_id and r.date = m.date join seq q on q.date = m.date where r.prev_close is not null),
+        walk as (select symbol_id, date, ix, close, stored / prev_close as scale from fixed where stored is not null
+          union all select f.symbol_id, f.date, f.ix, f.close, w.scale * w.close / f.prev_close from walk w join fixed f on f.symbol_id = w.symbol_id and f.ix = w.ix + 1 and f.stored is null)
+        select symbol_id, date, round(close * scale, 6) as close from walk where scale between 0.01 and 100""",
+        ["daily", "bench"],
+    ).replace("\nwith cal", ",\ncal", 1)
+)
+def job_repair_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions left out by rule, filled from an archive whose prices are twice as high."""
+    m = market(spark, sf_dir)
+    kept = m.daily.where((F.col("symbol_id") + F.dayofyear("date")) % 9 > 1)
+    before = Window.partitionBy("symbol_id").orderBy("date")
+    archive = m.daily.select("symbol_id", "date", *((F.col(c) * 2).alias(c) for c in ("open", "high", "low", "close")), "volume", (F.lag("close").over(before) * 2).alias("prev_close")).where("prev_close is not null")
+    return rounded(jobs.repair_gaps(kept, m.benchmark.select("date").distinct(), archive).select("symbol_id", "date", "close"))
+
+
+@registered(
+    """with listing as (select 'I' || p_partkey as isin, case when p_partkey % 7 = 0 then 'X' else 'P' end || p_partkey as symbol, 'new ' || p_partkey as name from part where p_partkey % 10 <> 3 union all select 'N' || p_partkey, 'P' || p_partkey, 'other ' || p_partkey from part where p_partkey % 70 = 7 or p_partkey % 10 = 3),
+    old as (select p_partkey as id, 'P' || p_partkey as symbol, 'I' || p_partkey as isin, 'old ' || p_partkey as name from part)
+    select o.id, coalesce(l.symbol, case when c.symbol is not null then o.symbol || '#' || o.id end, o.symbol) as symbol, o.isin, coalesce(l.name, o.name) as name, l.isin is not null as is_active from old o left join listing l using (isin) left join listing c on c.symbol = o.symbol and c.isin <> o.isin
+    union all select (select max(p_partkey) from part) + row_number() over (order by isin), symbol, isin, name, true from listing where isin not in (select isin from old)"""
+)
+def job_refresh_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A listing in which some are renamed, some are gone, and some texts have new owners."""
+    k, text = F.col("p_partkey"), lambda p: F.concat(F.lit(p), F.col("p_partkey").cast("string"))
+    part = table(spark, sf_dir, "part")
+    symbols = part.select(k.alias("id"), text("P").alias("symbol"), text("I").alias("isin"), text("old ").alias("name"), F.lit(True).alias("is_active"))
+    listed = part.where("p_partkey % 10 <> 3").select(text("I").alias("isin"), F.when(k % 7 == 0, text("X")).otherwise(text("P")).alias("symbol"), text("new ").alias("name"))
+    others = part.where("p_partkey % 70 = 7 or p_partkey % 10 = 3").select(text("N").alias("isin"), text("P").alias("symbol"), text("other ").alias("name"))
+    aliases = spark.createDataFrame([], "old_symbol string, symbol_id long, changed_on date")
+    return jobs.refresh_symbols(symbols, aliases, listed.unionByName(others), "2002-01-01")[0]
+
+
 # ---------------------------------------------------------------- universes
 
 
