@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tideline.sources.lineage import cut, shared_folder
 
-__all__ = ["cut", "shared_folder", "shuffle_partitions", "written"]
+__all__ = ["cut", "exists", "remove", "shared_folder", "shuffle_partitions", "written"]
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -21,3 +21,14 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """A folder of this library's own that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
