@@ -15,7 +15,7 @@ from tideline.llm.packing import pack
 from tideline.llm.quality import keep_good
 from tideline.llm.queries import TOKENIZER, table
 from tideline.llm.secrets import redact_secrets
-from tideline.llm.store import shared_folder
+from tideline.llm.store import exists, remove, shared_folder
 from tideline.llm.toxicity import keep_clean
 
 
@@ -50,11 +50,23 @@ STAGES = [("toxicity", toxicity), ("quality", quality), ("near_dedup", near_dedu
 ORACLE_SQL: str | None = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after the other over ``documents``; an unfinished run leaves its finished stages in the shared folder."""
+def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """The stages one after the other over ``documents``.
+
+    With ``folder`` (in a file system that driver and executors share) a run
+    goes on where an earlier one over the same tables stopped: a stage that
+    was written to its end is read, not made again.  Without it the run has a
+    folder of its own, and a stage's table goes when the next one is written.
+    """
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    root = folder or f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = ""
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        path = f"{root}/{name}"
+        if not exists(spark, f"{path}/_SUCCESS"):
+            stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
+        docs = spark.read.parquet(path)
+        if before and not folder:
+            remove(spark, before)
+        before = path
     return docs
