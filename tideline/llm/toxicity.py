@@ -187,17 +187,22 @@ def _sparse(rows: list[np.ndarray], chosen: np.ndarray) -> tuple[np.ndarray, np.
     return row, np.searchsorted(chosen, coded // (MOST_COUNT + 1)), _value(coded)
 
 
-def choose(toxic: DataFrame, n_p: int, every: DataFrame, n_u: int, features: int = FEATURES) -> np.ndarray:
+def choose(toxic: DataFrame, n_p: int, others: DataFrame, n_o: int, every: DataFrame, n_u: int, features: int = FEATURES) -> np.ndarray:
     """The buckets in toxic texts ``LIFT`` times as often as in unlabelled ones, those of the highest likelihood ratio.
 
-    ``toxic`` are the toxic texts of the sample, ``every`` all texts that may
-    be read in training; both are counted where they are.
+    ``toxic`` and ``others`` are the texts of the sample, ``every`` all texts
+    that may be read in training.  What is not half as much commoner in toxic
+    texts than in the sample's others is left out first, so that the pass over
+    all texts counts few buckets; its counts decide.
     """
     none = np.zeros(0, np.int64)
-    if not n_p or not n_u:
+    if not n_p or not n_o:
         return none
     p = text_counts(toxic)
     among = np.flatnonzero(p >= max(LEAST, math.ceil(LEAST_SHARE * n_p)))
+    if not len(among):
+        return none
+    among = among[p[among] / n_p >= LIFT / 2 * text_counts(others, among) / n_o]
     if not len(among):
         return none
     p, u = p[among].astype(float), text_counts(every, among).astype(float)
@@ -316,7 +321,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     sample = F.broadcast(taken.unionByName(others))
     texts = written(readable.join(sample, "doc_id").groupBy("doc_id", "kind").agg(F.min("text").alias("text")).select("text", "kind").repartition(SAMPLE_PARTITIONS))
     size = {r[0]: r[1] for r in texts.groupBy("kind").count().collect()}
-    chosen = choose(texts.where("kind = 1").select("text"), size.get(1, 0), readable.select("text"), readable.count())
+    chosen = choose(texts.where("kind = 1").select("text"), size.get(1, 0), texts.where("kind = 0").select("text"), size.get(0, 0), readable.select("text"), readable.count())
     by_kind: dict[int, list[np.ndarray]] = {0: [], 1: []}
     # of each text at most its chosen buckets, so what comes here is bounded too
     rows = texts.mapInArrow(_features(chosen), "kind int, features binary").collect()
