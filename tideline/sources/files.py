@@ -32,15 +32,31 @@ class PriceSource(Protocol):
     def shares(self, symbols: list[str]) -> DataFrame: ...
 
 
+class FolderSource:
+    """A source of what was landed as Parquet: ``daily`` (symbol, date, ...), ``index`` (index_name, date, ...) and ``shares`` (symbol, shares)."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self._read = lambda name: spark.read.parquet(f"{root}/{name}")
+
+    def daily(self, symbols: list[str], start: str, end: str) -> DataFrame:
+        return self._read("daily").where(F.col("symbol").isin(symbols) & F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+
+    def index(self, names: list[str], start: str, end: str) -> DataFrame:
+        return self._read("index").where(F.col("index_name").isin(names) & F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+
+    def shares(self, symbols: list[str]) -> DataFrame:
+        return self._read("shares").where(F.col("symbol").isin(symbols))
+
+
 def number(c: Column) -> Column:
     """A trimmed number; a dash or anything else is NULL."""
     return F.nullif(F.trim(c), F.lit("-")).try_cast("double")
 
 
 def preferred(rows: DataFrame, series: list[str], by: list[str]) -> DataFrame:
-    """Rows of the wanted series, one a key, by the order of the list."""
+    """Rows of the wanted series, one a key, by the order of the list; inside a series the least row by its other columns."""
     place = F.array_position(F.array(*map(F.lit, series)), F.col("series"))
-    w = Window.partitionBy(*by).orderBy(place)
+    w = Window.partitionBy(*by).orderBy(place, *(c for c in rows.columns if c not in by))
     return rows.where(F.col("series").isin(*series)).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
