@@ -510,6 +510,17 @@ def test_toxicity_never_reads_held_out_labels(spark):
     assert all(r.predicted == int(r.doc_id >= 1000) for r in a)
 
 
+def test_toxicity_sample_is_bounded_with_repeated_rows(spark, monkeypatch):
+    rows = spark.range(10_000).selectExpr("id % 5 as doc_id", "concat('some words ', id % 50) as text").unionByName(spark.range(40).selectExpr("100 + id as doc_id", "concat('other idiot words ', id) as text"))
+    lab = spark.range(140).selectExpr("id as doc_id", "int(id < 5 or id >= 120) as toxic").unionByName(spark.range(1000).selectExpr("id % 5 as doc_id", "1 as toxic"))
+    sizes = []
+    train = toxicity.train_nnpu
+    monkeypatch.setattr(toxicity, "train_nnpu", lambda positive, unlabelled, *rest: sizes.append((len(positive), len(unlabelled))) or train(positive, unlabelled, *rest))
+    model = toxicity.fit(rows, lab, 9, 12)
+    assert max(p for p, _ in sizes) <= 9 and max(u for _, u in sizes) <= 12 and len(model.buckets) <= toxicity.FEATURES
+    assert toxicity.score(rows, model).count() == 10_040
+
+
 def test_nnpu_learns_from_positives_and_unlabelled():
     rng = np.random.default_rng(4)
     code = lambda buckets: np.sort(np.array(buckets, np.int64)) * (toxicity.MOST_COUNT + 1) + 1
