@@ -37,6 +37,8 @@ POSITIVES = 3000
 UNLABELLED = 9000
 #: Most buckets the model weighs, and how much commoner and in how many toxic texts each must be.
 FEATURES = 1500
+#: Buckets drawn by the sample for each one that is chosen by the counts over all texts.
+DRAWN = 4
 LIFT = 2.0
 LEAST, LEAST_SHARE = 4, 0.004
 #: A bucket's value in a text is the logarithm of one more than its count, up to this count.
@@ -191,26 +193,28 @@ def choose(toxic: DataFrame, n_p: int, others: DataFrame, n_o: int, every: DataF
     """The buckets in toxic texts ``LIFT`` times as often as in unlabelled ones, those of the highest likelihood ratio.
 
     ``toxic`` and ``others`` are the texts of the sample, ``every`` all texts
-    that may be read in training.  What is not half as much commoner in toxic
-    texts than in the sample's others is left out first, so that the pass over
-    all texts counts few buckets; its counts decide.
+    that may be read in training.  ``DRAWN`` times as many buckets as wanted
+    are drawn by the sample, so that the pass over all texts counts few; its
+    counts decide.
     """
     none = np.zeros(0, np.int64)
     if not n_p or not n_o:
         return none
+
+    def best(p: np.ndarray, u: np.ndarray, n: int, lift: float, most: int) -> np.ndarray:
+        keep = np.flatnonzero(p / n_p >= lift * u / n)
+        p, u = p[keep].astype(float), u[keep].astype(float)
+        share = (p + u) / (n_p + n)
+        gain = p * np.log(p / (n_p * share)) + np.where(u > 0, u * np.log(np.maximum(u, 1) / (n * share)), 0)
+        return np.sort(keep[np.argsort(-gain, kind="stable")[:most]])
+
     p = text_counts(toxic)
     among = np.flatnonzero(p >= max(LEAST, math.ceil(LEAST_SHARE * n_p)))
+    if len(among):
+        among = among[best(p[among], text_counts(others, among), n_o, LIFT * 0.75, DRAWN * features)]
     if not len(among):
         return none
-    among = among[p[among] / n_p >= LIFT / 2 * text_counts(others, among) / n_o]
-    if not len(among):
-        return none
-    p, u = p[among].astype(float), text_counts(every, among).astype(float)
-    keep = p / n_p >= LIFT * u / n_u
-    among, p, u = among[keep], p[keep], u[keep]
-    share = (p + u) / (n_p + n_u)
-    gain = p * np.log(p / (n_p * share)) + np.where(u > 0, u * np.log(np.maximum(u, 1) / (n_u * share)), 0)
-    return np.sort(among[np.argsort(-gain, kind="stable")[:features]]).astype(np.int64)
+    return among[best(p[among], text_counts(every, among), n_u, LIFT, features)].astype(np.int64)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
