@@ -313,8 +313,11 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, in
             yield key, ids[s:e], [np.frombuffer(buf[off[x] : off[x + 1]].tobytes(), np.uint64) for x in range(s, e)]
 
 
-def _compare(near: Compare) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Links of residents with each other (of a group of one block) or with their visitors, who come after them."""
+def _compare(near: Compare, every: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Links of residents with each other (of a group of one block) or with their visitors, who come after them.
+
+    With ``every`` all links with visitors are told; else, as of residents, a spanning forest of them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = _Forest()  # over the whole partition: a forest has fewer edges than members
@@ -322,8 +325,8 @@ def _compare(near: Compare) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
         home: np.ndarray = np.zeros(0, np.int64)
         known: list[np.ndarray] = []
 
-        def found(group: int, a: np.ndarray, b: np.ndarray, every: bool) -> Iterator[pa.RecordBatch]:
-            keep = [x != y and (forest.join(x, y) or every) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+        def found(group: int, a: np.ndarray, b: np.ndarray, told: bool) -> Iterator[pa.RecordBatch]:
+            keep = [x != y and (forest.join(x, y) or told) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
             if any(keep):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(sum(keep), group)), pa.array(a[keep]), pa.array(b[keep])], names=["group", "a", "b"])
 
@@ -341,7 +344,7 @@ def _compare(near: Compare) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
             elif known:
                 for low in range(0, len(values), VISITORS):
                     i, j = near(values[low : low + VISITORS], known)
-                    yield from found(group, ids[low:][i], home[j], True)
+                    yield from found(group, ids[low:][i], home[j], every)
         yield from finish()
 
     return run
@@ -358,18 +361,18 @@ def links(members: DataFrame, block: int, near: Compare) -> DataFrame:
     ``known`` (what ``near`` compares), kept by the caller.
     """
 
-    def compared(rows: DataFrame) -> DataFrame:
+    def compared(rows: DataFrame, every: bool) -> DataFrame:
         dealt = rows.select(*_ROW).repartition("group", "block").sortWithinPartitions("group", "block", "role")
-        return written(dealt.mapInArrow(_compare(near), _EDGE))
+        return written(dealt.mapInArrow(_compare(near, every), _EDGE))
 
     blocks = F.ceil(F.col("n") / block).cast("int")
     placed = members.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("id"), blocks).cast("int"), "role": F.lit(0), "single": blocks == 1})
     large = placed.where(~F.col("single"))
     everywhere = lambda df: df.withColumns({"block": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "role": F.lit(1)})
-    edges = compared(placed.unionByName(everywhere(large.where("id = lead"))))
+    edges = compared(placed.unionByName(everywhere(large.where("id = lead"))), True)
     beside = edges.select("group", F.col("b").alias("id"))  # in groups of several blocks a is the leader
     rest = large.where("id <> lead").join(beside, ["group", "id"], "left_anti")
-    return edges.unionByName(compared(large.unionByName(everywhere(rest)))).select("a", "b")
+    return edges.unionByName(compared(large.unionByName(everywhere(rest)), False)).select("a", "b").distinct()
 
 
 def _same_document(some: DataFrame, reps: DataFrame) -> DataFrame:
