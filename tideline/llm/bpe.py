@@ -27,7 +27,7 @@ _SLOTS = 1 << 20
 #: Characters that are taken at once; a bound of memory for very long texts, without effect on results.
 PIECE = 1 << 20
 #: Fragments a worker remembers before it starts anew; a bound of memory, without effect on results.
-MOST_KNOWN = 400_000
+MOST_KNOWN = 200_000
 _NONE = np.int64(1) << np.int64(62)
 
 
