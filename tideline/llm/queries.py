@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encode_decode
+from .exact_dedup import ORACLE_SQL as DEDUP_SQL
+from .exact_dedup import exact_duplicates
+from .kmeans import cluster
+from .kmeans import oracle_sql as kmeans_sql
 from .licenses import scan as scan_licenses
 from .licenses import with_paths
 from .near_dedup import near_duplicates
@@ -90,6 +94,16 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), TOKENIZER).drop("ids")
 
 
+def op12_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every usable vector after ten rounds over all of them."""
+    return cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The document that stays for every document, by a digest index to which the table is added in two batches."""
+    return exact_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_licenses": op1_licenses,
@@ -103,8 +117,10 @@ def queries() -> dict[str, Query]:
         "op8_bpe": op8_bpe,
         "op9_secrets": op9_secrets,
         "op10_packing": op10_packing,
+        "op12_kmeans": op12_kmeans,
+        "op13_exact_dedup": op13_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quotes": QUOTES_SQL, "replies_with_quotes": quotes_sql(REPLIES_SQL)}
+    return {"op2_quotes": QUOTES_SQL, "replies_with_quotes": quotes_sql(REPLIES_SQL), "op12_kmeans": kmeans_sql(), "op13_exact_dedup": DEDUP_SQL}
