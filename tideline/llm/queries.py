@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from .bpe import encode_decode
 from .exact_dedup import ORACLE_SQL as DEDUP_SQL
 from .exact_dedup import exact_duplicates
+from .hard_negatives import ORACLE_SQL as NEGATIVES_SQL
+from .hard_negatives import hard_negatives
 from .kmeans import cluster
 from .kmeans import oracle_sql as kmeans_sql
 from .licenses import scan as scan_licenses
@@ -94,6 +96,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), TOKENIZER).drop("ids")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every anchor and positive, by searches of key intervals around pivots."""
+    return hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 def op12_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cluster of every usable vector after ten rounds over all of them."""
     return cluster(table(spark, sf_dir, "embeddings"))
@@ -117,10 +124,11 @@ def queries() -> dict[str, Query]:
         "op8_bpe": op8_bpe,
         "op9_secrets": op9_secrets,
         "op10_packing": op10_packing,
+        "op11_hard_negatives": op11_hard_negatives,
         "op12_kmeans": op12_kmeans,
         "op13_exact_dedup": op13_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quotes": QUOTES_SQL, "replies_with_quotes": quotes_sql(REPLIES_SQL), "op12_kmeans": kmeans_sql(), "op13_exact_dedup": DEDUP_SQL}
+    return {"op2_quotes": QUOTES_SQL, "replies_with_quotes": quotes_sql(REPLIES_SQL), "op11_hard_negatives": NEGATIVES_SQL, "op12_kmeans": kmeans_sql(), "op13_exact_dedup": DEDUP_SQL}
