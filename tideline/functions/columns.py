@@ -31,6 +31,20 @@ def half_even(x: Column, places: int) -> Column:
     return F.rint(x * 10.0**places) / 10.0**places
 
 
+def one_decimal(x: Column) -> Column:
+    """``x`` as text with one decimal: of its binary value, ties to even.
+
+    Ten times a double is rounded once more; what that rounding lost (the
+    error of the sum 8x + 2x, whose parts are exact) tells on which side of a
+    tie the value was.
+    """
+    ten = x * 8.0 + x * 2.0
+    lost = x * 2.0 - (ten - x * 8.0)
+    tie = ten - F.floor(ten) == 0.5
+    whole = F.when(tie & (lost > 0), F.ceil(ten).cast("double")).when(tie & (lost < 0), F.floor(ten).cast("double")).otherwise(F.rint(ten))
+    return F.format_string("%.1f", whole / 10.0)
+
+
 def percent_rank(x: Column, by: list[str]) -> Column:
     """Average-tie rank over the number of known values, 0 to 100; NULL stays NULL."""
     over = Window.partitionBy(*by)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -59,18 +59,43 @@ def pending_dates(log: DataFrame, start: str, end: str, most: int = 10) -> DataF
     return last.join(log.where("status in ('ok', 'holiday')").select(F.col("trade_date").alias("date")), "date", "left_anti")
 
 
-def resolve_action(old: DataFrame, fresh: DataFrame, actions: DataFrame, threshold: float = 0.03) -> DataFrame:
-    """Bars before each ex-date replaced by fresh history where the join is continuous; ``symbol_id, date, ..., resolved``.
+def settle_actions(old: DataFrame, fresh: DataFrame, actions: DataFrame, threshold: float = 0.03) -> DataFrame:
+    """``actions`` (symbol_id, ex_date, ratio) whose fresh history joins on without a step, taken in the order of their ex-dates.
 
-    ``actions`` is ``symbol_id, ex_date, ratio``.  Delivery figures of the old bars stay, scaled.
+    An action holds where the last fresh close before its ex-date is the last
+    stored one over its ratio.  What is stored then are the bars that earlier
+    actions of the symbol have left: from the latest settled ex-date on the
+    old ones, before it the fresh ones.  So a symbol's few actions are folded
+    in order, the settled date carried along.
     """
     a = actions.select("symbol_id", "ex_date", "ratio")
-    last = lambda df, name: df.join(a, "symbol_id").where("date < ex_date").groupBy("symbol_id", "ex_date").agg(F.max_by("close", "date").alias(name))
+    last = lambda df, name: df.join(a.select("symbol_id", "ex_date"), "symbol_id").where("date < ex_date").groupBy("symbol_id", "ex_date").agg(F.max(F.struct("date", "close")).alias(name))
     ends = a.join(last(old, "_old"), ["symbol_id", "ex_date"]).join(last(fresh, "_new"), ["symbol_id", "ex_date"])
-    good = ends.where(F.abs(F.try_divide("_new", F.col("_old") / F.col("ratio")) - 1) <= threshold).select("symbol_id", "ex_date", "ratio")
+    step = F.struct("ex_date", "ratio", F.col("_old.date").alias("at"), F.col("_old.close").alias("stored"), F.col("_new.close").alias("fresh"))
+    none = F.struct(F.lit(None).cast("date").alias("since"), F.lit(None).cast("double").alias("left"), F.array().cast("array<struct<ex_date:date,ratio:double>>").alias("done"))
+
+    def take(state: Column, x: Column) -> Column:
+        before = F.when(state["since"].isNull() | (x["at"] >= state["since"]), x["stored"]).otherwise(state["left"])
+        holds = F.coalesce(F.abs(F.try_divide(x["fresh"], before / x["ratio"]) - 1) <= threshold, F.lit(False))
+        settled = F.struct(x["ex_date"].alias("since"), x["fresh"].cast("double").alias("left"), F.concat(state["done"], F.array(F.struct(x["ex_date"].alias("ex_date"), x["ratio"].cast("double").alias("ratio")))).alias("done"))
+        return F.when(holds, settled).otherwise(state)
+
+    folded = ends.groupBy("symbol_id").agg(F.array_sort(F.collect_list(step)).alias("_all")).select("symbol_id", F.aggregate("_all", none, take)["done"].alias("done"))
+    return folded.select("symbol_id", F.explode("done").alias("d")).select("symbol_id", "d.ex_date", "d.ratio")
+
+
+def resolve_action(old: DataFrame, fresh: DataFrame, actions: DataFrame, threshold: float = 0.03) -> tuple[DataFrame, DataFrame]:
+    """Fresh bars before the last settled ex-date of each symbol, and the settled actions.
+
+    Delivery figures of the old bars stay; the quantity of a day is multiplied
+    by the ratio of every settled action after it.
+    """
+    done = settle_actions(old, fresh, actions, threshold)
+    each = done.groupBy("symbol_id").agg(F.max("ex_date").alias("_until"), F.collect_list(F.struct("ex_date", "ratio")).alias("_done"))
+    after = F.aggregate("_done", F.lit(1.0), lambda total, x: total * F.when(x["ex_date"] > F.col("date"), x["ratio"]).otherwise(1.0))
     kept = old.select("symbol_id", "date", "delivery_qty", "delivery_pct")
-    new = fresh.select("symbol_id", "date", "open", "high", "low", "close", "volume").join(good, "symbol_id").where("date < ex_date").join(kept, ["symbol_id", "date"], "left")
-    return new.withColumn("delivery_qty", F.col("delivery_qty") * F.col("ratio")).drop("ratio")
+    new = fresh.select("symbol_id", "date", "open", "high", "low", "close", "volume").join(each, "symbol_id").where("date < _until").join(kept, ["symbol_id", "date"], "left")
+    return new.withColumn("delivery_qty", F.col("delivery_qty") * after).drop("_done", "_until"), done
 
 
 def plan_downloads(state: DataFrame, default_start: str, end: str) -> DataFrame:
@@ -110,7 +135,7 @@ def refresh_members(old: DataFrame, new: DataFrame, today: str) -> DataFrame:
 
 def index_lists(members: DataFrame, indices: DataFrame) -> DataFrame:
     """``symbol_id, index_list``: names by category, then id, joined by ``|``."""
-    named = members.join(F.broadcast(indices), members.index_id == indices.id).select("symbol_id", "category", "id", "name")
+    named = members.join(indices, members.index_id == indices.id).select("symbol_id", "category", "id", "name")
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("category", "id", "name"))), lambda s: s["name"])
     return named.groupBy("symbol_id").agg(F.array_join(ordered, "|").alias("index_list"))
 

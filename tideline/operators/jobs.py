@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tideline.functions.columns import monday
 from tideline.operators import bars, checks, history, ingest, trend
 from tideline.sources import files, store
+from tideline.sources.lineage import cut
 
 
 @dataclass(frozen=True)
@@ -88,15 +89,17 @@ def last_complete_session(now: dt.datetime, ready: str = "16:00") -> dt.date:
 
 
 def resolve_actions(daily: DataFrame, fresh: DataFrame, actions: DataFrame, threshold: float = 0.03) -> tuple[DataFrame, DataFrame]:
-    """Bars and actions after history before each open action's ex-date was replaced by fresh one that joins on without a step.
+    """Bars and actions after history before open actions' ex-dates was replaced by fresh one that joins on without a step.
 
-    ``actions`` is ``symbol_id, ex_date, ratio, action_type, resolved``, at most one open action a symbol.
+    ``actions`` is ``symbol_id, ex_date, ratio, action_type, resolved``; a
+    symbol's open actions are taken in the order of their ex-dates, at most
+    one an ex-date.  One that does not hold stays open and is left out.
     """
-    new = ingest.resolve_action(daily, fresh, actions.where("not resolved"), threshold)
-    done = new.select("symbol_id", "ex_date").distinct()
-    kept = daily.join(done, "symbol_id", "left").where("ex_date is null or date >= ex_date").select(*daily.columns)
+    new, done = ingest.resolve_action(daily, fresh, actions.where("not resolved"), threshold)
+    until = done.groupBy("symbol_id").agg(F.max("ex_date").alias("_until"))
+    kept = daily.join(until, "symbol_id", "left").where("_until is null or date >= _until").select(*daily.columns)
     bars_in = new.withColumn("source", F.lit("fresh"))
-    marked = actions.join(done.withColumn("_done", F.lit(True)), ["symbol_id", "ex_date"], "left")
+    marked = actions.join(done.select("symbol_id", "ex_date", F.lit(True).alias("_done")), ["symbol_id", "ex_date"], "left")
     settled = {"resolved": F.col("resolved") | F.col("_done").isNotNull(), "action_type": F.when(F.col("_done"), F.when(F.col("ratio") > 1, "split").otherwise("unknown")).otherwise(F.col("action_type"))}
     return kept.unionByName(bars_in.select(*(F.col(c) for c in daily.columns))), marked.withColumns(settled).select(*actions.columns)
 
@@ -133,28 +136,51 @@ class Backfill:
     issues: DataFrame
 
 
-def backfill(daily: DataFrame, symbols: DataFrame, fresh: DataFrame, start: str, full: bool = False) -> Backfill:
-    """Fresh history (symbol, date, open .. volume, seq) checked and put where there is no bar yet, or in place of all bars where ``full``.
+#: Days after which a symbol whose last bar is that old counts as one without data; a fixed value.
+STALE_DAYS = 7
 
-    A symbol whose first bar is more than ten days after ``start`` is a new
-    listing.  Gaps against the sessions that most symbols have are issues, and
-    so is a symbol without any bar.
+
+def backfill(daily: DataFrame, symbols: DataFrame, fresh: DataFrame, start: str, full: bool = False, benchmark: DataFrame | None = None, end: str | None = None) -> Backfill:
+    """Fresh history (symbol, date, open .. volume, seq) checked and put where there is no bar yet, or where ``full`` in place of all bars of the symbols that have any.
+
+    A symbol without clean fresh rows keeps what it has, so a download that
+    failed loses nothing.  A symbol whose first bar is more than ten days
+    after ``start`` is a new listing.  Sessions that a symbol lacks are issues:
+    sessions are the dates of ``benchmark`` from the first fresh one on, or
+    where it has none the days on which most symbols traded.  A symbol that
+    nothing came for is an issue if it never had a bar or its last one is
+    stale at ``end`` (without one: if it has none at all).
     """
     clean, found = checks.validate(fresh, "seq")
     clean = clean.drop("seq")
-    gaps = checks.gap_issues(clean, checks.trading_calendar(clean)).select("symbol", "date", F.lit("gap").alias("issue"), F.to_json(F.struct("missing", "dates")).alias("details"))
+    calendar = checks.trading_calendar(clean)
+    if benchmark is not None:
+        since = clean.agg(F.min("date").alias("_since"))
+        held = benchmark.select("date").distinct().join(F.broadcast(since)).where(F.col("date") >= F.col("_since")).select("date")
+        calendar = held.unionByName(calendar.join(F.broadcast(held.limit(1).select(F.lit(1).alias("_any"))), how="left").where("_any is null").select("date"))
+    gaps = checks.gap_issues(clean, calendar).select("symbol", "date", F.lit("gap").alias("issue"), F.to_json(F.struct("missing", "dates")).alias("details"))
     ids = symbols.select("symbol", F.col("id").alias("symbol_id"))
     rows = clean.join(ids, "symbol").withColumn("source", F.lit("backfill"))
-    base = daily.join(ids.select("symbol_id"), "symbol_id", "left_anti") if full else daily
+    base = daily.join(rows.select("symbol_id").distinct(), "symbol_id", "left_anti") if full else daily
     after = store.upsert(base, rows.select(*(c for c in daily.columns if c in rows.columns)), ["symbol_id", "date"], [])
-    first = after.groupBy("symbol_id").agg(F.min("date").alias("_first"))
-    known = symbols.join(first, symbols.id == first.symbol_id, "left").drop("symbol_id")
-    none = known.where("_first is null").select("symbol", F.lit(None).cast("date").alias("date"), F.lit("no_data").alias("issue"), F.lit(None).cast("string").alias("details"))
+    spans = after.groupBy("symbol_id").agg(F.min("date").alias("_first"), F.max("date").alias("_last"))
+    known = symbols.join(spans, symbols.id == spans.symbol_id, "left").drop("symbol_id").join(clean.select("symbol", F.lit(True).alias("_came")).distinct(), "symbol", "left")
+    missed = F.col("_came").isNull() & (F.col("_first").isNull() | (F.lit(False) if end is None else F.datediff(F.lit(end).cast("date"), "_last") > STALE_DAYS))
+    none = known.where(missed).select("symbol", F.lit(end).cast("date").alias("date"), F.lit("no_data").alias("issue"), F.to_json(F.struct(F.lit(start).alias("requested_from"))).alias("details"))
     new = F.col("listed_date").isNull() & (F.col("_first") > F.date_add(F.lit(start).cast("date"), 10))
     listed = known.withColumn("listed_date", F.when(new, F.col("_first")).otherwise(F.col("listed_date"))).select(*symbols.columns)
     return Backfill(after, listed, found.unionByName(gaps).unionByName(none))
 
 
+def numbered(rows: DataFrame, order: str, name: str) -> DataFrame:
+    """``rows`` numbered from 1 in the order of a column, range by range: places within a range, and the sizes of the ranges before it."""
+    ranged = cut(rows.repartitionByRange(order).withColumn("_part", F.spark_partition_id()))
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_size"))  # a row a range
+    before = sizes.select("_part", (F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(order))
+    return ranged.withColumn(name, place).join(F.broadcast(before), "_part").withColumn(name, F.col(name) + F.col("_before")).drop("_part", "_before")
+
+
 def refresh_symbols(symbols: DataFrame, aliases: DataFrame, listing: DataFrame, today: str) -> tuple[DataFrame, DataFrame]:
     """Symbols and aliases after a new listing: renamed by ISIN with the old text kept as alias, owners of a taken text parked, the unlisted inactive.
 
@@ -171,10 +197,9 @@ def refresh_symbols(symbols: DataFrame, aliases: DataFrame, listing: DataFrame,
     now = known.select(
         "id", F.coalesce("_symbol", "_parked", "symbol").alias("symbol"), "isin", F.when(is_listed, F.col("_name")).otherwise(F.col("name")).alias("name"), is_listed.alias("is_active")
     )
-    # ids of new ISINs: a listing is an exchange's list of shares, so one window over its new rows is small
     top = symbols.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    new = listing.join(symbols.select("isin"), "isin", "left_anti").crossJoin(F.broadcast(top))
-    added = new.select((F.col("_top") + F.row_number().over(Window.orderBy("isin"))).cast(dict(symbols.dtypes)["id"]).alias("id"), "symbol", "isin", "name", F.lit(True).alias("is_active"))
+    new = numbered(listing.join(symbols.select("isin"), "isin", "left_anti"), "isin", "_n").join(F.broadcast(top))  # one row
+    added = new.select((F.col("_top") + F.col("_n")).cast(dict(symbols.dtypes)["id"]).alias("id"), "symbol", "isin", "name", F.lit(True).alias("is_active"))
     return now.unionByName(added), more
 
 

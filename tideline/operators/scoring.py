@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.config import Config
-from tideline.functions.columns import clipped, half_even, linear, percent_rank, ratio, truth
+from tideline.functions.columns import clipped, half_even, linear, one_decimal, percent_rank, ratio, truth
 
 FILTERS = ["f_trend", "f_sector", "f_trend_template", "f_52w_range", "f_rs", "f_liquidity", "f_price", "f_not_asm"]
 SIGNALS = ["sig_fresh_flip", "sig_tight_stop", "sig_vol_confirm", "sig_vcp", "sig_accumulation", "sig_near_high", "sig_sector_leader"]
@@ -106,9 +106,9 @@ def reasons(regime: Column) -> Column:
     said = [
         F.when(down, F.when(c("is_new_flip"), "Bearish (new flip)").otherwise("Bearish")),
         F.when(up & c("sig_fresh_flip"), one("Fresh flip %dw", whole(c("weeks_in_trend")))),
-        F.when(up & c("sig_near_high"), one("Near high %.1f%%", c("pct_from_high"))),
-        F.when(up & c("sig_vol_confirm"), one("Vol %.1fx", c("confirm_vol_ratio"))),
-        F.when(up & c("sig_tight_stop"), one("Stop %.1f%%", c("pct_from_st"))),
+        F.when(up & c("sig_near_high"), F.concat(F.lit("Near high "), one_decimal(c("pct_from_high")), F.lit("%"))),
+        F.when(up & c("sig_vol_confirm"), F.concat(F.lit("Vol "), one_decimal(c("confirm_vol_ratio")), F.lit("x"))),
+        F.when(up & c("sig_tight_stop"), F.concat(F.lit("Stop "), one_decimal(c("pct_from_st")), F.lit("%"))),
         F.when(up & c("sig_vcp"), "VCP"),
         F.when(up & c("sig_accumulation"), "Accumulation"),
         F.when(up & c("sig_sector_leader"), "Sector leader"),

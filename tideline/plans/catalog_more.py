@@ -14,7 +14,7 @@ from tideline.plans import api
 from tideline.plans.catalog import TURNOVER, _r, registered, rounded, scan_config
 from tideline.plans.oracle import query
 from tideline.sources import files, store
-from tideline.sources.lineage import shared_folder
+from tideline.sources.lineage import shared_folder, version
 from tideline.sources.market import market, table
 from tideline.streaming import live
 
@@ -243,24 +243,31 @@ def index_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.index_lists(members, indices)
 
 
+_RAW = "select symbol_id, date, close * case when date < date '1997-03-12' then 3 when date < date '1998-06-10' then 2 else 1 end as close, date as d from daily"
+
+
 @registered(
     query(
-        """with fresh as (select symbol_id, date, close, case when symbol_id % 3 = 0 then 0.9 when date < date '1998-06-10' then 0.5 else 1 end as k from daily), joins as (
-          select a.symbol_id, a.ex_date, a.ratio from (select symbol_id, date '1998-06-10' as ex_date, 2.0 as ratio from symbols where symbol_id % 2 = 1) a
-          where abs((select arg_max(close * k, date) from fresh f where f.symbol_id = a.symbol_id and date < ex_date) / ((select arg_max(close, date) from daily d where d.symbol_id = a.symbol_id and date < ex_date) / ratio) - 1) <= 0.03)
-        select d.symbol_id, d.date, round(case when j.ex_date > d.date then d.close * 0.5 else d.close end, 6) as close, case when j.ex_date > d.date then 'fresh' else 'file' end as source, round(case when j.ex_date > d.date then 200.0 else 100.0 end, 6) as delivery_qty
-        from daily d left join joins j on j.symbol_id = d.symbol_id""",
+        f"""with raw as ({_RAW}), fresh as (select symbol_id, date, close * case when symbol_id % 3 = 0 and date < date '1998-06-10' then 1.5 when symbol_id % 5 = 0 and date < date '1997-03-12' then 1.4 else 1 end as close from daily),
+        kind as (select symbol_id, case when symbol_id % 2 = 0 then null when symbol_id % 3 = 0 then null when symbol_id % 5 = 0 then date '1998-06-10' else date '1998-06-10' end as until,
+          symbol_id % 2 = 1 and symbol_id % 3 <> 0 and symbol_id % 5 <> 0 as first_too from symbols)
+        select r.symbol_id, r.date, round(case when r.date < until then f.close else r.close end, 6) as close, case when r.date < until then 'fresh' else 'file' end as source,
+          case when r.date < until then 100.0 * 2 * case when first_too and r.date < date '1997-03-12' then 3 else 1 end else 100.0 end as delivery_qty
+        from raw r join kind using (symbol_id) join fresh f on f.symbol_id = r.symbol_id and f.date = r.date""",
         ["daily", "symbols"],
-    ).replace("\nwith fresh", ",\nfresh", 1)
+    ).replace("\nwith raw", ",\nraw", 1)
 )
 def job_resolve_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fresh history takes the place of the old one before a split, where it joins on."""
+    """Two open actions a symbol, 3:1 and then 2:1; fresh history joins on at both, at the second only, or at none."""
     m = market(spark, sf_dir)
-    daily = m.daily.select("symbol_id", "date", "open", "high", "low", "close", "volume", F.lit(100.0).alias("delivery_qty"), F.lit(50.0).alias("delivery_pct"), F.lit("file").alias("source"))
-    k = F.when(F.col("symbol_id") % 3 == 0, 0.9).when(F.col("date") < "1998-06-10", 0.5).otherwise(1.0)
-    fresh = daily.withColumns({c: F.col(c) * k for c in ("open", "high", "low", "close")})
-    actions = m.symbols.where("symbol_id % 2 = 1").select("symbol_id", F.lit("1998-06-10").cast("date").alias("ex_date"), F.lit(2.0).alias("ratio"), F.lit("open").alias("action_type"), F.lit(False).alias("resolved"))
-    return rounded(jobs.resolve_actions(daily, fresh, actions)[0].select("symbol_id", "date", "close", "source", "delivery_qty"))
+    first, second = F.lit("1997-03-12").cast("date"), F.lit("1998-06-10").cast("date")
+    priced = lambda k: {c: F.col(c) * k for c in ("open", "high", "low", "close")}
+    base = m.daily.select("symbol_id", "date", "open", "high", "low", "close", "volume", F.lit(100.0).alias("delivery_qty"), F.lit(50.0).alias("delivery_pct"), F.lit("file").alias("source"))
+    daily = base.withColumns(priced(F.when(F.col("date") < first, 3.0).when(F.col("date") < second, 2.0).otherwise(1.0)))
+    wrong = F.when((F.col("symbol_id") % 3 == 0) & (F.col("date") < second), 1.5).when((F.col("symbol_id") % 5 == 0) & (F.col("date") < first), 1.4).otherwise(1.0)
+    odd = m.symbols.where("symbol_id % 2 = 1").select("symbol_id", F.explode(F.array(F.struct(first.alias("ex_date"), F.lit(3.0).alias("ratio")), F.struct(second.alias("ex_date"), F.lit(2.0).alias("ratio")))).alias("a"))
+    actions = odd.select("symbol_id", "a.ex_date", "a.ratio", F.lit("open").alias("action_type"), F.lit(False).alias("resolved"))
+    return rounded(jobs.resolve_actions(daily, base.withColumns(priced(wrong)), actions)[0].select("symbol_id", "date", "close", "source", "delivery_qty"))
 
 
 @registered(
@@ -364,37 +371,34 @@ def members_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.member_of(d, members).select("symbol_id", "date")
 
 
-_ACTION = "case c_custkey % 5 when 0 then 'Bonus ' || (c_custkey % 3 + 1) || ':' || (c_custkey % 4 + 1) when 1 then 'Stock Split From Rs ' || (c_custkey % 9 + 2) || ' To Re 1' when 2 then 'Debenture Bonus 1:1' when 3 then 'Bonus issue 1 : 2 / split from Rs 10 to Rs 2' else 'Dividend' end"
+#: Subjects of announcements and what prices before them are multiplied by.
+SUBJECTS = [
+    ("Bonus 1:1", 0.5), ("Bonus 3:2", 0.4), ("BONUS ISSUE 1 : 2", 2 / 3), ("Bonus - 2:5", 5 / 7), ("Bonus Issue - 1:4 and dividend", 0.8), ("Bonus 0:1", None),
+    ("Bonus declared, record date 12:30", None), ("Bonus of 1:1", None), ("Bonus debenture 1:1", None), ("Preference shares bonus 1:1", None), ("Ncrps bonus 4:1", None),
+    ("Face Value Split (Sub-Division) - From Rs 10/- Per Share To Re 1/- Per Share", 0.1), ("Stock Split From Rs.10/- To Rs.2/-", 0.2), ("Fv Splt Frm Rs 5 To Re 1", 0.2),
+    ("Sub Division of shares of Rs 100 each into shares of Rs 10", None), ("Sub- Division From Rs 2.50 To Re 1", 0.4), ("Consolidation From Re 1 To Rs 10", 10.0),
+    ("Consolidation of shares, book closure from 5 March to 9 March", None), ("Share split, record date 12 to be told, ratio 3", None), ("Split from 10 to 2", None),
+    ("Split from Rs 10 to 2", None), ("Split from 10 to Rs 2", None), ("Split Rs 10 to be told to Rs 5", 0.5), ("From Rs 10 To Rs 5 split", None),
+    ("Bonus 1:1 / Stock Split From Rs 10 To Rs 5", 0.25), ("Split Rs 10 To Rs 5 And Bonus 1:1", 0.25), ("Dividend - Rs 4 Per Share", None), ("Rights 1:5 @ Premium Rs 10", None),
+    ("Annual General Meeting", None), ("Split From Rs 10 To Rs 10", None), ("Bonus\t1:3", 0.75), ("", None),
+]
 
 
-@registered(
-    f"""with t as (select c_custkey as id, lower({_ACTION}) as t from customer), parts as (
-      select *, string_split(substr(t, instr(t, 'bonus') + 5), ':') as sides, string_split(substr(t, instr(t, 'split') + 5), ' to ') as ends from t), numbers as (
-      select *, regexp_extract_all(sides[1], '[0-9]+') as a, regexp_extract_all(sides[2], '[0-9]+') as b, regexp_extract_all(ends[1], '[0-9]+') as x, regexp_extract_all(ends[2], '[0-9]+') as y from parts), factors as (
-      select id, t, case when contains(t, 'bonus') and len(a) > 0 and len(b) > 0 then cast(b[1] as double) / (cast(a[-1] as double) + cast(b[1] as double)) else 1.0 end * case when contains(t, 'split') and len(x) > 0 and len(y) > 0 then cast(y[1] as double) / cast(x[-1] as double) else 1.0 end as f from numbers)
-    select id, case when not contains(t, 'debenture') and f <> 1.0 then round(f, 6) end as factor from factors"""
-)
+@registered("select c_custkey as id, round(factor, 6) as factor from customer join (values " + ", ".join(f"({i}, {'null' if f is None else f}::double)" for i, (_, f) in enumerate(SUBJECTS)) + f") v(k, factor) on k = c_custkey % {len(SUBJECTS)}")
 def price_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("c_custkey")
-    s = lambda c: c.cast("string")
-    text = (
-        F.when(k % 5 == 0, F.concat(F.lit("Bonus "), s(k % 3 + 1), F.lit(":"), s(k % 4 + 1)))
-        .when(k % 5 == 1, F.concat(F.lit("Stock Split From Rs "), s(k % 9 + 2), F.lit(" To Re 1")))
-        .when(k % 5 == 2, "Debenture Bonus 1:1")
-        .when(k % 5 == 3, "Bonus issue 1 : 2 / split from Rs 10 to Rs 2")
-        .otherwise("Dividend")
-    )
-    return rounded(table(spark, sf_dir, "customer").select(k.alias("id"), files.price_factor(text).alias("factor")))
+    """Factors of announcements; the SQL has them as literal values, not by a rule."""
+    text = F.get(F.lit([t for t, _ in SUBJECTS]), (F.col("c_custkey") % len(SUBJECTS)).cast("int"))
+    return rounded(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), files.price_factor(text).alias("factor")))
 
 
 # ----------------------------------------------------------------- read API
 
-_PUBLISHED: dict[tuple[str, str], str] = {}
+_PUBLISHED: dict[tuple, str] = {}
 
 
 def published(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the published snapshots of all weeks, a partition each; the scan is run and published once for a session and folder."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """A table of the published snapshots of all weeks, a partition each; the scan is run and published once for a session and the files it is made of."""
+    key = (spark.sparkContext.applicationId, sf_dir, *(version(spark, f"{sf_dir}/{t}.parquet") for t in ("lineitem", "part")))
     if key not in _PUBLISHED:
         root = f"{shared_folder(spark)}/published-{uuid.uuid4().hex}"
         done = scan.scan(market(spark, sf_dir), scan_config())

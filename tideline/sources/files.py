@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterator
+from functools import reduce
 from typing import Protocol
 
 import pandas as pd
@@ -138,26 +139,49 @@ def parse_surveillance(rows: DataFrame) -> DataFrame:
     return out.where("symbol is not null").withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-#: Words of an action's subject, for a bonus, a change of face value, and for papers that are no shares; fixed values.
-BONUS_WORDS = "bonus"
-SPLIT_WORDS = "split|splt|sub-?\\s*division|consolidat"
-NO_SHARE_WORDS = "debenture|preference|ncrps"
+#: Words of an action's subject, in lower case: of a bonus, of a change of face value, and of papers that are no shares; fixed values.
+BONUS = "bonus"
+FACE_VALUE = ["split", "splt", "sub-division", "sub division", "subdivision", "sub- division", "consolidat"]
+NO_SHARES = ["debenture", "preference", "ncrps"]
+
+
+def _amount(text: Column, leading: bool = False) -> Column:
+    """The first amount of money in a text (one that it begins with): a currency mark, ``re`` or ``rs`` with or without a dot, and the number behind it."""
+    number = F.regexp_extract(text, ("^ *" if leading else "") + r"(?:re|rs)\.? *([0-9][0-9.]*|\.[0-9.]+)", 1)
+    return F.rtrim(number, F.lit(".")).try_cast("double")
+
+
+def bonus_factor(subject: Column) -> Column:
+    """``b / (a + b)`` of the first clause ``bonus a:b`` (also ``bonus issue a:b`` or ``bonus - a:b``), else 1."""
+    clauses = F.slice(F.split(subject, BONUS), 2, 1 << 30)
+    # what a clause has on either side of its first colon: nothing but a number on the left, a number at the beginning on the right
+    bare = lambda c: F.regexp_replace(c, "^(?: +issue)? *-? *", "")
+    left = lambda c: F.rtrim(F.substring_index(bare(c), ":", 1))
+    right = lambda c: F.regexp_extract(F.substring(bare(c), F.instr(bare(c), ":") + 1, F.lit(1 << 30)), "^ *([0-9]+)", 1)
+    fits = F.filter(clauses, lambda c: c.contains(":") & left(c).rlike("^[0-9]+$") & (right(c) != ""))
+    a, b = left(F.get(fits, F.lit(0))).try_cast("double"), right(F.get(fits, F.lit(0))).try_cast("double")
+    return F.when((a > 0) & (b > 0), b / (a + b)).otherwise(1.0)
+
+
+def split_factor(subject: Column) -> Column:
+    """New over old face value of ``split .. Rs x .. to Rs y``, also of its other words, else 1; a number without a currency mark is no face value."""
+    one = FACE_VALUE[0]
+    named = reduce(lambda text, word: F.replace(text, F.lit(word), F.lit(one)), FACE_VALUE[1:], subject)
+    behind = F.substring(named, F.instr(named, one) + len(one), F.lit(1 << 30))
+    # pieces between the "to"s: the first with an amount, and the first after it that begins with one
+    pieces = F.transform(F.split(behind, "to"), lambda p: F.struct(_amount(p).alias("any"), _amount(p, True).alias("new")))
+    first = F.array_position(F.transform(pieces, lambda p: p["any"].isNotNull()), True).cast("int")
+    later = F.slice(pieces, first + 1, F.greatest(F.size(pieces) - first, F.lit(0)))
+    x, y = F.get(pieces, first - 1)["any"], F.get(F.filter(later, lambda p: p["new"].isNotNull()), F.lit(0))["new"]
+    return F.when((F.instr(named, one) > 0) & (first > 0) & (x > 0) & (y > 0), y / x).otherwise(1.0)
 
 
 def price_factor(subject: Column) -> Column:
-    """What prices before an action are multiplied by: bonus a:b gives b/(a+b), face value X to Y gives Y/X, both multiply; NULL without either."""
-    low = F.lower(subject)
-    numbers = lambda text: F.transform(F.regexp_extract_all(text, F.lit(r"[0-9]+(?:\.[0-9]+)?"), F.lit(0)), lambda n: n.cast("double"))
-    after = lambda words: F.get(F.split(low, words, 2), F.lit(1))
-    # a bonus: the numbers on either side of the first colon behind the word
-    sides = F.split(after(BONUS_WORDS), ":", 2)
-    a, b = F.element_at(numbers(F.get(sides, F.lit(0))), -1), F.get(numbers(F.get(sides, F.lit(1))), F.lit(0))
-    # a split: the last number before "to" and the first one after it, behind the word
-    ends = F.split(after(SPLIT_WORDS), r"\bto\b", 2)
-    x, y = F.element_at(numbers(F.get(ends, F.lit(0))), -1), F.get(numbers(F.get(ends, F.lit(1))), F.lit(0))
-    by_bonus = F.when((a > 0) & (b > 0), b / (a + b)).otherwise(1.0)
-    by_split = F.when((x > 0) & (y > 0), y / x).otherwise(1.0)
-    return F.when(~low.rlike(NO_SHARE_WORDS) & (by_bonus * by_split != 1.0), by_bonus * by_split)
+    """What prices before an action are multiplied by: for a bonus, for a new face value, or for both; NULL for neither, and for papers that are no shares."""
+    low = F.regexp_replace(F.lower(subject), r"\s+", " ")
+    other = reduce(lambda a, b: a | b, (low.contains(w) for w in NO_SHARES))
+    factor = bonus_factor(low) * split_factor(low)
+    return F.when(~other & (factor != 1.0), factor)
 
 
 def corporate_actions(feed: DataFrame, start: str, end: str) -> DataFrame:
