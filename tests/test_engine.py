@@ -228,12 +228,14 @@ def test_delivery_file(spark, tmp_path):
 def test_archive_of_both_layouts(spark, tmp_path):
     import zipfile
 
+    from tideline.sources import archive
+
     old = "SYMBOL,SERIES,OPEN,HIGH,LOW,CLOSE,PREVCLOSE,TOTTRDQTY,TOTTRDVAL,ISIN\nAAA,EQ,1,2,1,2,1,10,20,INE1\n"
     new = "FinInstrmTp,TckrSymb,SctySrs,ISIN,OpnPric,HghPric,LwPric,ClsPric,PrvsClsgPric,TtlTradgVol,TtlTrfVal\nSTK,AAA,EQ,INE1,1,2,1,3,1,10,20\nIDX,MARKET,EQ,INE2,1,2,1,3,1,10,20\n"
     for name, text in (("cm20200102.zip", old), ("cm20240102.zip", new)):
         with zipfile.ZipFile(tmp_path / name, "w") as z:
             z.writestr("x.csv", text)
-    rows = files.read_archive(spark, str(tmp_path / "*.zip"), ["EQ"]).orderBy("date").collect()
+    rows = archive.archive(spark, str(tmp_path / "*.zip"), ["EQ"]).orderBy("date").collect()
     assert [(r.date, r.symbol, r.close) for r in rows] == [(DAY(2020, 1, 2), "AAA", 2.0), (DAY(2024, 1, 2), "AAA", 3.0)]
 
 

@@ -54,12 +54,6 @@ def test_csv_export_round_trip(spark, tmp_path):
     assert len(list((tmp_path / "out").glob("*.csv"))) == 1
 
 
-def test_folder_source(spark, tmp_path):
-    spark.createDataFrame([("A", DAY(2024, 1, d), 1.0) for d in (1, 2, 3)] + [("B", DAY(2024, 1, 2), 1.0)], "symbol string, date date, close double").write.parquet(str(tmp_path / "daily"))
-    source: files.PriceSource = files.FolderSource(spark, str(tmp_path))
-    assert source.daily(["A"], "2024-01-02", "2024-01-09").count() == 2
-
-
 def test_archive_ties_are_ordered(spark):
     rows = spark.createDataFrame([("A", "EQ", 2.0), ("A", "EQ", 1.0), ("A", "BE", 0.5)], "symbol string, series string, close double")
     assert [files.preferred(r, ["EQ", "BE"], ["symbol"]).first().close for r in (rows, rows.orderBy("close"))] == [1.0, 1.0]
