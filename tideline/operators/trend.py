@@ -1,18 +1,18 @@
-"""The recursive volatility-band trend of weekly bars, whole and from saved state."""
+"""The recursive volatility-band trend of weekly bars, whole and from saved state.
+
+In batch the recurrence is a fold in the JVM; :class:`Bands` is the same step
+for streams, whose state is kept by the stateful operator.
+"""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import astuple, dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SERIES = "symbol_id int, week_end_date date, atr double, upper_band double, lower_band double, st_value double, direction int, weeks_in_trend int, is_flip boolean, close double"
-
-
 @dataclass
 class Bands:
     """State of one symbol after a bar; ``atr`` is NaN while it warms up."""
@@ -73,21 +73,104 @@ def run_bands(bars: Iterator[tuple], state: Bands, period: int, multiplier: floa
     return out
 
 
-def trend(weekly: DataFrame, period: int = 7, multiplier: float = 3.0) -> DataFrame:
-    """Trend rows of every symbol from scratch; warm-up weeks have none."""
+#: Bars that are folded before their rows are put behind the others: a long series is copied once a block, not once a bar.
+FOLD_BLOCK = 128
 
-    def grouped(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("week_end_date", kind="stable")
-        rows = run_bands(zip(frame["week_end_date"], frame["high"].to_numpy(float), frame["low"].to_numpy(float), frame["close"].to_numpy(float), strict=True), Bands(), period, multiplier)
-        return _series(frame["symbol_id"].iloc[0], rows)
+_STATE = "close double, atr double, upper double, lower double, direction int, weeks int, warm_sum double, warm_bars int"
+_ROW = "week_end_date date, atr double, upper_band double, lower_band double, st_value double, direction int, weeks_in_trend int, is_flip boolean, close double"
 
-    return weekly.select("symbol_id", "week_end_date", "high", "low", "close").groupBy("symbol_id").applyInPandas(grouped, SERIES)
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is made once."""
+    return F.transform(F.array(value), body)[0]
 
-def _series(symbol: int, rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["week_end_date", "atr", "upper_band", "lower_band", "st_value", "direction", "weeks_in_trend", "is_flip", "close"])
-    out.insert(0, "symbol_id", symbol)
-    return out
+
+def _step(s: Column, x: Column, period: int, multiplier: float) -> Column:
+    """State after a bar (tr, mid, close, ...) that follows state ``s``: :meth:`Bands.step`, number by number."""
+    warm = s["atr"].isNotNull()
+    total, count = s["warm_sum"] + x["tr"], s["warm_bars"] + 1
+    atr = F.when(warm, (s["atr"] * (period - 1) + x["tr"]) / period).when(count >= period, total / period)
+    known = F.struct(
+        atr.alias("atr"), F.when(warm, s["warm_sum"]).otherwise(total).alias("warm_sum"), F.when(warm, s["warm_bars"]).otherwise(count).alias("warm_bars"), (x["mid"] - multiplier * atr).alias("low"), (x["mid"] + multiplier * atr).alias("high")
+    )
+
+    def bands(k: Column) -> Column:
+        lower = F.when(k["atr"].isNotNull() & ((k["low"] > s["lower"]) | (s["close"] < s["lower"])), k["low"]).otherwise(s["lower"])
+        upper = F.when(k["atr"].isNotNull() & ((k["high"] < s["upper"]) | (s["close"] > s["upper"])), k["high"]).otherwise(s["upper"])
+        return _let(F.struct(lower.alias("lower"), upper.alias("upper")), lambda b: turn(k, b))
+
+    def turn(k: Column, b: Column) -> Column:
+        d = F.when(k["atr"].isNull(), s["direction"]).when(~warm, -1).when(s["direction"] == -1, F.when(x["close"] > b["upper"], 1).otherwise(-1)).otherwise(F.when(x["close"] < b["lower"], -1).otherwise(1))
+        return _let(F.struct(d.cast("int").alias("d"), k.alias("k"), b.alias("b")), done)
+
+    def done(t: Column) -> Column:
+        weeks = F.when(t["k"]["atr"].isNull(), s["weeks"]).when((s["direction"] == 0) | (s["direction"] != t["d"]), 1).otherwise(s["weeks"] + 1)
+        return F.struct(
+            x["close"].alias("close"), t["k"]["atr"].alias("atr"), t["b"]["upper"].alias("upper"), t["b"]["lower"].alias("lower"), t["d"].alias("direction"), weeks.alias("weeks"), t["k"]["warm_sum"].alias("warm_sum"), t["k"]["warm_bars"].alias("warm_bars")
+        )
+
+    return _let(known, bands)
+
+
+def fold(weekly: DataFrame, start: DataFrame | None = None, period: int = 7, multiplier: float = 3.0) -> DataFrame:
+    """``symbol_id, rows, state``: trend rows of each symbol in order, and the state after its last bar.
+
+    The recurrence is a fold over a symbol's bars inside the JVM, in blocks:
+    the state goes from block to block, and a block's rows are appended
+    together.  ``start`` (symbol_id, s) has states to begin with.  A bar's
+    true range needs only the close before, so it is a window function.
+    """
+    w = Window.partitionBy("symbol_id").orderBy("week_end_date")
+    high, low, close = (F.col(c).cast("double") for c in ("high", "low", "close"))
+    bars = weekly.select("symbol_id", "week_end_date", high.alias("high"), low.alias("low"), close.alias("close"))
+    before = F.lag("close").over(w)
+    if start is not None:
+        bars = bars.join(start.select("symbol_id", "s"), "symbol_id", "left")
+        before = F.coalesce(before, F.col("s.close"))
+    spread = F.col("high") - F.col("low")
+    first = F.lit(None).cast(f"struct<{_colons(_STATE)}>") if start is None else F.col("s")
+    timed = bars.withColumn("_before", before).select(
+        "symbol_id", first.alias("s"),
+        F.struct("week_end_date", F.when(F.col("_before").isNull(), spread).otherwise(F.greatest(spread, F.abs(F.col("high") - F.col("_before")), F.abs(F.col("low") - F.col("_before")))).alias("tr"), ((F.col("high") + F.col("low")) / 2).alias("mid"), "close").alias("x"),
+    )
+    one = timed.groupBy("symbol_id").agg(F.array_sort(F.collect_list("x")).alias("bars"), F.first("s").alias("s"))
+    none = {"close": F.lit(None).cast("double"), "atr": F.lit(None).cast("double"), "upper": F.lit(0.0), "lower": F.lit(0.0), "direction": F.lit(0), "weeks": F.lit(0), "warm_sum": F.lit(0.0), "warm_bars": F.lit(0)}
+    begin = F.struct(*(F.coalesce(F.col(f"s.{c}"), v).alias(c) for c, v in none.items()))
+    empty = F.array().cast(f"array<struct<{_colons(_ROW)}>>")
+
+    def bar(acc: Column, x: Column) -> Column:
+        def put(n: Column) -> Column:
+            value = F.when(n["direction"] == 1, n["lower"]).otherwise(n["upper"])
+            row = F.struct(
+                x["week_end_date"].alias("week_end_date"), n["atr"].alias("atr"), n["upper"].alias("upper_band"), n["lower"].alias("lower_band"), value.alias("st_value"), n["direction"].alias("direction"), n["weeks"].alias("weeks_in_trend"),
+                ((acc["s"]["direction"] != 0) & (acc["s"]["direction"] != n["direction"])).alias("is_flip"), x["close"].alias("close"),
+            )
+            return F.struct(n.alias("s"), F.when(n["atr"].isNull(), acc["rows"]).otherwise(F.concat(acc["rows"], F.array(row))).alias("rows"))
+
+        return _let(_step(acc["s"], x, period, multiplier), put)
+
+    def block(acc: Column, i: Column) -> Column:
+        some = F.aggregate(F.slice(F.col("bars"), i * FOLD_BLOCK + 1, F.lit(FOLD_BLOCK)), F.struct(acc["s"].alias("s"), empty.alias("rows")), bar)
+        return _let(some, lambda n: F.struct(n["s"].alias("s"), F.concat(acc["rows"], n["rows"]).alias("rows")))
+
+    blocks = F.sequence(F.lit(0), F.floor((F.size("bars") - 1) / FOLD_BLOCK).cast("int"))
+    folded = one.select("symbol_id", F.aggregate(blocks, F.struct(begin.alias("s"), empty.alias("rows")), block).alias("f"))
+    return folded.select("symbol_id", F.col("f.rows").alias("rows"), F.col("f.s").alias("state"))
+
+
+def _colons(ddl: str) -> str:
+    return ", ".join(f.replace(" ", ":", 1) for f in ddl.split(", "))
+
+
+def trend(weekly: DataFrame, period: int = 7, multiplier: float = 3.0) -> DataFrame:
+    """Trend rows of every symbol from scratch; warm-up weeks have none."""
+    return fold(weekly, None, period, multiplier).select("symbol_id", F.inline("rows"))
+
+
+def usable_state(state: DataFrame) -> DataFrame:
+    """``symbol_id, s``: what :func:`fold` starts from, of saved states (close, atr, upper_band, lower_band, direction, weeks_in_trend); those without ATR are none."""
+    held = F.struct("close", "atr", F.col("upper_band").alias("upper"), F.col("lower_band").alias("lower"), "direction", F.col("weeks_in_trend").alias("weeks"), F.lit(0.0).alias("warm_sum"), F.lit(0).alias("warm_bars"))
+    return state.where("atr is not null").select("symbol_id", held.cast(f"struct<{_colons(_STATE)}>").alias("s"))
 
 
 def trend_from_state(weekly: DataFrame, state: DataFrame, period: int = 7, multiplier: float = 3.0) -> DataFrame:
@@ -95,21 +178,7 @@ def trend_from_state(weekly: DataFrame, state: DataFrame, period: int = 7, multi
 
     ``weekly`` holds the weeks after the state for the former, all weeks for the latter.
     """
-
-    def grouped(bars: pd.DataFrame, saved: pd.DataFrame) -> pd.DataFrame:
-        if bars.empty:
-            return _series(0, [])
-        bars = bars.sort_values("week_end_date", kind="stable")
-        start = Bands()
-        if len(saved) and pd.notna(saved["atr"].iloc[0]):
-            s = saved.iloc[0]
-            start = Bands(float(s["close"]), float(s["atr"]), float(s["upper_band"]), float(s["lower_band"]), int(s["direction"]), int(s["weeks_in_trend"]))
-        rows = run_bands(zip(bars["week_end_date"], bars["high"].to_numpy(float), bars["low"].to_numpy(float), bars["close"].to_numpy(float), strict=True), start, period, multiplier)
-        return _series(bars["symbol_id"].iloc[0], rows)
-
-    a = weekly.select("symbol_id", "week_end_date", "high", "low", "close").groupBy("symbol_id")
-    b = state.select("symbol_id", "close", "atr", "upper_band", "lower_band", "direction", "weeks_in_trend").groupBy("symbol_id")
-    return a.cogroup(b).applyInPandas(grouped, SERIES)
+    return fold(weekly, usable_state(state), period, multiplier).select("symbol_id", F.inline("rows"))
 
 
 def last_state(series: DataFrame, period: int, multiplier: float, prior: DataFrame | None = None) -> DataFrame:
