@@ -6,6 +6,7 @@ import pytest
 
 from tideline.plans import catalog
 from tideline.plans import catalog_more as _  # noqa: F401
+from tideline.plans import catalog_sources as _sources  # noqa: F401
 
 DIR = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events".split()

@@ -1,0 +1,141 @@
+"""Registered queries of the archive, of backfills from it, and of streams that catch up."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tideline.operators import bars, jobs, trend
+from tideline.plans.catalog import _r, registered, rounded
+from tideline.plans.oracle import query
+from tideline.sources import archive
+from tideline.sources.lineage import cut, shared_folder
+from tideline.sources.market import market
+from tideline.streaming import live
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+# ------------------------------------------------------------------ archive
+
+
+def _zipped(spark: SparkSession, sf_dir: str) -> str:
+    """All bars as an archive, the new layout from the middle of 1998; some symbols in two series, some in the second only."""
+    d = market(spark, sf_dir).daily.select("symbol_id", "date", "open", "high", "low", "close", F.col("volume").cast("double").alias("volume"))
+    names = d.withColumns({"symbol": F.concat(F.lit("S"), F.col("symbol_id").cast("string")), "isin": F.concat(F.lit("INE"), F.lpad(F.col("symbol_id").cast("string"), 9, "0")), "prev_close": F.col("open"), "value": F.col("close") * F.col("volume")})
+    main = names.where("symbol_id % 7 <> 0").withColumn("series", F.lit("EQ"))
+    other = names.where("symbol_id % 7 = 0 or symbol_id % 2 = 0").withColumns({"series": F.lit("BE"), "close": F.col("close") * 2})
+    path = _folder(spark, "archive")
+    archive.write_archive(main.unionByName(other), path, new_from="1998-06-15")
+    return path
+
+
+@registered(
+    query(
+        f"""select 'S' || symbol_id as symbol, date, case when symbol_id % 7 = 0 then 'BE' else 'EQ' end as series, 'INE' || lpad(cast(symbol_id as varchar), 9, '0') as isin, {_r('open high low')},
+        round(close * case when symbol_id % 7 = 0 then 2 else 1 end, 6) as close, cast(volume as double) as volume from daily where date between date '1998-01-01' and date '1998-12-31'""",
+        ["daily"],
+    )
+)
+def archive_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One year of the archive, read through the data source; files of other years are not opened."""
+    rows = archive.archive(spark, _zipped(spark, sf_dir), ["EQ", "BE"])
+    return rounded(rows.where("date between '1998-01-01' and '1998-12-31'").select("symbol", "date", "series", "isin", "open", "high", "low", "close", "volume"))
+
+
+@registered(
+    query(
+        """select symbol_id, date, round(case when date < date '1998-02-01' and symbol_id % 2 = 0 then close * 3 else close end, 6) as close, case when date < date '1998-02-01' and symbol_id % 2 = 0 then 'file' else 'backfill' end as source
+        from daily where symbol_id % 7 <> 0 and date <= date '1998-12-31' and (date >= date '1998-01-01' or symbol_id % 2 = 0)
+        union all select symbol_id, date, round(close * 3, 6), 'file' from daily where symbol_id % 7 = 0 and symbol_id % 2 = 0 and date < date '1998-02-01'""",
+        ["daily"],
+    )
+)
+def job_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars of half the symbols to January 1998, and a backfill of that year from the archive; stored bars are not overwritten."""
+    m = market(spark, sf_dir)
+    kept = m.daily.where("symbol_id % 2 = 0 and date < '1998-02-01'").select("symbol_id", "date", *((F.col(c) * 3).alias(c) for c in ("open", "high", "low", "close")), F.col("volume").cast("double").alias("volume"), F.lit("file").alias("source"))
+    symbols = m.symbols.select(F.concat(F.lit("S"), F.col("symbol_id").cast("string")).alias("symbol"), F.col("symbol_id").alias("id"), F.lit(None).cast("date").alias("listed_date"))
+    fresh = archive.archive(spark, _zipped(spark, sf_dir), ["EQ"], start="1998-01-01", end="1998-12-31").select("symbol", "date", "open", "high", "low", "close", "volume", F.lit(0).alias("seq"))
+    done = jobs.backfill(kept, symbols, fresh, "1998-01-01", benchmark=m.benchmark.where("index_name = 'ALL'"), end="1998-12-31")
+    return rounded(done.daily.select("symbol_id", "date", "close", "source"))
+
+
+# ------------------------------------------------------------------ streams
+
+
+def _run(stream_writer, folder: str) -> None:  # noqa: ANN001
+    stream_writer.option("checkpointLocation", f"{folder}/{uuid.uuid4().hex}").trigger(availableNow=True).start().awaitTermination()
+
+
+@registered(query("select symbol_id, monday, week_end_date, " + _r("open high low close") + ", volume, trading_days from weekly where monday < (select date_trunc('week', max(date) - 21) from daily)", ["weekly", "daily"]))
+def stream_late_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weekly bars of a stream whose rows of every ninth day come five weeks late: the gate keeps what a watermark would drop, and the repair makes those weeks anew."""
+    folder = _folder(spark, "late")
+    m = market(spark, sf_dir).daily.select("symbol_id", F.col("date").cast("timestamp").alias("ts"), "open", "high", "low", "close", "volume")
+    delay = F.when((F.dayofyear("ts") + F.col("symbol_id")) % 9 == 0, 35).otherwise(0)
+    arriving = cut(m.withColumn("quarter", F.date_trunc("quarter", F.date_add(F.to_date("ts"), delay))))
+    quarters = [r.quarter for r in arriving.select("quarter").distinct().orderBy("quarter").collect()]  # of some years
+    for q in quarters:  # as they arrive
+        arriving.where(F.col("quarter") == F.lit(q)).drop("quarter").coalesce(1).write.mode("append").parquet(f"{folder}/landed")
+    landed = spark.readStream.schema(m.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/landed")
+    _run(landed.writeStream.foreachBatch(live.late_gate(folder)), folder)
+    closed = live.weekly_bars(spark.readStream.schema(m.schema).parquet(f"{folder}/ontime"))
+    _run(closed.writeStream.format("parquet").option("path", f"{folder}/weekly").outputMode("append"), folder)
+    weekly = spark.read.schema(closed.schema).parquet(f"{folder}/weekly")
+    out = live.repair_weeks(weekly, live.dealt(spark, folder, "ontime", m.schema), live.dealt(spark, folder, "late", m.schema))
+    return rounded(out)
+
+
+@registered(query(f"select symbol_id, week_end_date, {_r('atr upper_band lower_band st_value')}, direction, weeks_in_trend, is_flip, {_r('close')} from series", ["series"]))
+def stream_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trend in batch to 1998 and as a stream after it, begun from the batch's states; symbols divisible by three are new to the stream."""
+    folder = _folder(spark, "trend")
+    weekly = cut(bars.weekly_bars(market(spark, sf_dir).daily).select("symbol_id", "week_end_date", "high", "low", "close"))
+    before = weekly.where("week_end_date < '1999-01-01' and symbol_id % 3 <> 0")
+    batch = cut(trend.fold(before))
+    after = weekly.join(before.select("symbol_id", "week_end_date"), ["symbol_id", "week_end_date"], "left_anti")
+    for years in ("week_end_date < '1999-07-01'", "week_end_date >= '1999-07-01'"):
+        after.where(years).coalesce(2).write.mode("append").parquet(f"{folder}/landed")
+    stream = live.trend(spark.readStream.schema(weekly.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/landed"), start=batch.select("symbol_id", F.col("state").alias("s")))
+    _run(stream.writeStream.format("parquet").option("path", f"{folder}/out").outputMode("append"), folder)
+    rows = batch.select("symbol_id", F.inline("rows")).unionByName(spark.read.schema(stream.schema).parquet(f"{folder}/out"))
+    return rounded(rows.select("symbol_id", "week_end_date", "atr", "upper_band", "lower_band", "st_value", "direction", "weeks_in_trend", "is_flip", "close"))
+
+
+#: The file of this day holds the rows of the day before: a holiday.
+_HOLIDAY, _NEWEST = "1998-06-24", "1998-06-30"
+
+
+@registered(
+    query(
+        f"""with days as (select cast(unnest(generate_series(date '{_NEWEST}' - 10, date '{_NEWEST}', interval 1 day)) as date) as d)
+        select d as trade_date, case when d = date '{_HOLIDAY}' or isodow(d) = 6 then 'holiday' else 'ok' end as status, case when d = date '{_HOLIDAY}' then 0 else count(date) end as rows,
+        case when d <> date '{_HOLIDAY}' then round(sum(close), 4) end as total_close from days left join daily on date = d where isodow(d) <> 7 group by d""",
+        ["daily"],
+    ).replace("\nwith days", ",\ndays", 1)
+)
+def stream_catch_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of a day each land for eight weeks; those of the last ten days are gone through, each day once, onto bars that end in April."""
+    folder = _folder(spark, "days")
+    m = market(spark, sf_dir)
+    text = lambda c: F.col(c).cast("string")
+    d = cut(m.daily.where(f"date between '1998-05-01' and '{_NEWEST}'"))
+    wanted = F.explode(F.expr(f"case when date = '{_HOLIDAY}' then array() when date = date '{_HOLIDAY}' - 1 then array(date, date '{_HOLIDAY}') else array(date) end"))
+    lines = d.withColumn("wanted", wanted).select(
+        "wanted", F.concat(F.lit("S"), text("symbol_id")).alias("SYMBOL"), F.lit(" EQ").alias("SERIES"), F.date_format("date", " dd-MMM-yyyy").alias("DATE1"), text("open").alias("PREV_CLOSE"), text("open").alias("OPEN_PRICE"), text("high").alias("HIGH_PRICE"), text("low").alias("LOW_PRICE"),
+        text("close").alias("LAST_PRICE"), text("close").alias("CLOSE_PRICE"), text("close").alias("AVG_PRICE"), text("volume").alias("TTL_TRD_QNTY"), F.lit("0").alias("TURNOVER_LACS"), F.lit("1").alias("NO_OF_TRADES"), F.lit("-").alias("DELIV_QTY"), F.lit("-").alias("DELIV_PER"),
+    )
+    live.land_days(lines, f"{folder}/landed")
+    stored = m.daily.where("date < '1998-05-01'").select("symbol_id", "date", "open", "high", "low", "close", F.col("volume").cast("double").alias("volume"), F.lit(None).cast("double").alias("delivery_qty"), F.lit(None).cast("double").alias("delivery_pct"), F.lit("first").alias("source"))
+    stored.repartition("date").write.partitionBy("date").parquet(f"{folder}/bars")
+    symbols = m.symbols.select(F.concat(F.lit("S"), F.col("symbol_id").cast("string")).alias("symbol"), F.col("symbol_id").alias("id"))
+    aliases = spark.createDataFrame([], "old_symbol string, symbol_id int")
+    _run(live.day_files(spark, f"{folder}/landed").writeStream.foreachBatch(live.catch_up(folder, "day", symbols, aliases, ["EQ"])), folder)
+    now = spark.read.parquet(f"{folder}/bars").where("date >= '1998-05-01'").groupBy("date").agg(F.sum("close").alias("total_close"))
+    log = live.ledger(spark, folder)
+    return rounded(log.join(now, log.trade_date == now.date, "left").select("trade_date", "status", "rows", "total_close"), 4)

@@ -36,11 +36,13 @@ def read_delivery(spark: SparkSession, path: str, series: list[str]) -> DataFram
     raw = raw.toDF(*(c.strip() for c in raw.columns))
     if missing := [c for c in DELIVERY if c not in raw.columns]:
         raise ValueError(f"missing columns: {missing}")
+    return preferred(delivery_rows(raw), series, ["symbol", "date"])
+
+
+def delivery_rows(raw: DataFrame, *more: str) -> DataFrame:
+    """Typed rows of the delivery file's text columns, and other columns as they are."""
     text = {"symbol", "series"}
-    out = raw.select(
-        *(F.trim(c).alias(n) if n in text else F.try_to_date(F.trim(c), "dd-MMM-yyyy").alias(n) if n == "date" else number(F.col(c)).alias(n) for c, n in DELIVERY.items())
-    )
-    return preferred(out, series, ["symbol", "date"])
+    return raw.select(*more, *(F.trim(c).alias(n) if n in text else F.try_to_date(F.trim(c), "dd-MMM-yyyy").alias(n) if n == "date" else number(F.col(c)).alias(n) for c, n in DELIVERY.items()))
 
 
 def file_status(rows: DataFrame, wanted: str) -> DataFrame:
