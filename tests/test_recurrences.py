@@ -87,7 +87,8 @@ def test_recursive_means_are_those_of_the_loop(spark, alpha, least, missing):
     pd.testing.assert_series_equal(pdf["y"], want, check_names=False, rtol=1e-9, atol=0)
 
 
-def test_a_mean_has_one_shuffle_of_its_rows(spark):
+def test_a_mean_has_one_shuffle_and_keeps_all_columns(spark):
     df = spark.range(100).select((F.col("id") % 3).alias("k"), "id", F.col("id").cast("double").alias("x"))
-    plan = indicators.ewm(df, "k", "id", "x", "y", 0.5)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange") == 1
+    out = indicators.ewm(df.withColumns({"s": F.lit("a"), "y": F.lit(9)}), "k", "id", "x", "y", 0.5)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert out.columns == ["k", "id", "x", "s", "y"] and out.where("s = 'a' and y <= x").count() == 100

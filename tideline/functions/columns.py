@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -53,6 +55,25 @@ def percent_rank(x: Column, by: list[str]) -> Column:
     return F.when(x.isNotNull(), (position + (ties - 1) / 2) / F.count(x).over(over) * 100)
 
 
+#: Values that are folded into one list: lists of a few are made and joined at the end, as a list is copied for each value put to it.
+FOLD_BLOCK = 32
+
+
+def folded(values: str, begin: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """The states after each of an array's values, of a recurrence ``step(state, value)`` from ``begin``."""
+    last = lambda states: F.try_element_at(states, F.lit(-1))
+    own = lambda block: F.slice(block, F.lit(2), F.lit(FOLD_BLOCK))
+
+    def block(done: Column, i: Column) -> Column:
+        some = F.slice(F.col(values), i * FOLD_BLOCK + 1, F.lit(FOLD_BLOCK))
+        carried = F.array(F.coalesce(last(last(done)), begin))  # a block's first state is the last of the block before
+        return F.array_append(done, F.aggregate(some, carried, lambda states, x: F.array_append(states, step(last(states), x))))
+
+    blocks = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / FOLD_BLOCK).cast("int"))
+    none = F.slice(F.array(F.array(begin)), F.lit(2), F.lit(1))
+    return F.flatten(F.transform(F.aggregate(blocks, none, block), own))
+
+
 def rolling(agg: Column, x: Column, w: WindowSpec, rows: int, least: int | None = None, end: int = 0) -> Column:
     """An aggregate over the ``rows`` rows that end ``end`` rows from here, NULL with under ``least`` known values."""
     frame = w.rowsBetween(end - rows + 1, end)

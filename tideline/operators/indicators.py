@@ -7,11 +7,11 @@ row exactly what was known on its day.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.config import Indicators
-from tideline.functions.columns import change, mean, monday, ratio, rolling
+from tideline.functions.columns import change, folded, mean, monday, ratio, rolling
 
 #: Sessions in each horizon of return.
 HORIZONS = {"1m": 21, "3m": 63, "6m": 126, "9m": 189, "12m": 252}
@@ -34,44 +34,29 @@ def densify(rows: DataFrame, grid: DataFrame, on: str) -> DataFrame:
     return every.join(rows, ["symbol_id", on], "left")
 
 
-#: A block of a recursive mean ends where older values weigh less than e to the minus this: nothing, next to a double.
-DECAY = 46.0
-
-
 def ewm(rows: DataFrame, key: str, order: str, value: str, out: str, alpha: float, least: int = 1) -> DataFrame:
     """``rows`` with the recursive mean ``out`` of ``value``: weight ``alpha`` for the newest, over gaps decayed further.
 
-    A step is y -> a y + b x, where after g rows without value a is
-    w / (w + alpha), b is alpha / (w + alpha) and w is (1 - alpha) ^ (g + 1).
-    Steps compose, so y is a sum of b x times the products of later a's: a
-    running sum of b x / p times p, where p is the running product of the
-    a's.  So that p stays a double, a key's rows are cut in blocks by the
-    product's logarithm, in each of which it starts anew; what came before
-    the block before decays to nothing, and what that block has comes in once.
-    All are window functions over one partitioning.
+    A step is y -> (w y + alpha x) / (w + alpha), where w is 1 - alpha to the
+    number of rows since the last value.  A key's rows, as many as it has
+    sessions or weeks, are folded in order inside the JVM and come back as
+    rows.  ``order`` must tell a key's rows apart.
     """
-    w = Window.partitionBy(key).orderBy(order)
-    so_far, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
     x = F.col(value).cast("double")
-    placed = rows.withColumns({"_x": F.when(~F.isnan(x), x), "_rn": F.row_number().over(w)})
-    last = F.last(F.when(F.col("_x").isNotNull(), F.col("_rn")), True).over(before)
-    held = F.pow(F.lit(1 - alpha), F.col("_rn") - F.col("_last"))
-    first = F.col("_last").isNull()
-    steps = placed.withColumn("_last", last).withColumns({"_w": held}).withColumns(
-        {
-            "_log": F.when(F.col("_x").isNull() | first, 0.0).otherwise(F.ln(F.col("_w") / (F.col("_w") + alpha))),
-            "_in": F.when(F.col("_x").isNull(), 0.0).when(first, F.col("_x")).otherwise(alpha / (F.col("_w") + alpha) * F.col("_x")),
-        }
-    )
-    decayed = steps.withColumns({"_log": F.sum(F.greatest("_log", F.lit(-700.0))).over(so_far), "_seen": F.count("_x").over(so_far)}).withColumn("_block", F.floor(-F.col("_log") / DECAY))
-    b = Window.partitionBy(key, "_block").orderBy(order)
-    within = b.rowsBetween(Window.unboundedPreceding, 0)
-    own = decayed.withColumn("_p", F.exp(F.col("_log") - F.first("_log").over(within))).withColumn("_own", F.col("_p") * F.sum(F.col("_in") / F.col("_p")).over(within))
-    # the end of the block before, as the block's first row sees it
-    edge = own.withColumns({"_end": F.lag("_own").over(w), "_at": F.lag("_log").over(w)})
-    carried = F.coalesce(F.first("_end").over(within) * F.exp(F.col("_log") - F.first("_at").over(within)), F.lit(0.0))
-    mean = edge.withColumn("_carried", carried).withColumn(out, F.when(F.col("_seen") >= max(least, 1), F.col("_own") + F.col("_carried")))
-    return mean.select(*(c for c in rows.columns if c != out), out)
+    item = F.struct(F.col(order).alias("__order"), F.when(~F.isnan(x), x).alias("__value"), *(F.col(c) for c in rows.columns if c not in (key, order, out)))
+    lists = rows.groupBy(key).agg(F.sort_array(F.collect_list(item)).alias("_rows"))
+
+    def step(s: Column, v: Column) -> Column:
+        w = s["w"] * (1 - alpha)
+        mean = F.when(v.isNull(), s["y"]).when(s["y"].isNull(), v).otherwise((w * s["y"] + alpha * v) / (w + alpha))
+        return F.struct(mean.alias("y"), F.when(v.isNull(), w).otherwise(1.0).alias("w"), (s["n"] + v.isNotNull().cast("int")).alias("n"))
+
+    begin = F.struct(F.lit(None).cast("double").alias("y"), F.lit(1.0).alias("w"), F.lit(0).alias("n"))
+    states = folded("_values", begin, step)
+    made = lists.withColumn("_values", F.transform("_rows", lambda r: r["__value"])).withColumn("_means", F.transform(states, lambda s: F.when(s["n"] >= max(least, 1), s["y"])))
+    back = made.select(key, F.explode(F.arrays_zip("_rows", "_means")).alias("_r"))
+    columns = {key: F.col(key), order: F.col("_r._rows.__order")} | {c: F.col(f"_r._rows.{c}") for c in rows.columns if c not in (key, order, out)}
+    return back.select(*(columns[c].alias(c) for c in rows.columns if c != out), F.col("_r._means").alias(out))
 
 
 def true_range(high, low, before):  # noqa: ANN001, ANN201

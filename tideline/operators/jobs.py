@@ -66,15 +66,20 @@ class Ingested:
     skipped: DataFrame
 
 
-def ingest_day(feed: DataFrame, daily: DataFrame, symbols: DataFrame, aliases: DataFrame, day: str, previous: str | None, threshold: float = 0.03) -> Ingested:
-    """Put one day's rows (symbol, open .. delivery_pct) into the bars: names mapped, rows checked, routed, written by route."""
+def ingest_day(feed: DataFrame, daily: DataFrame, symbols: DataFrame, aliases: DataFrame, day: str, previous: str | None, threshold: float = 0.03, base: DataFrame | None = None) -> Ingested:
+    """Put one day's rows (symbol, open .. delivery_pct) into the bars: names mapped, rows checked, routed, written by route.
+
+    ``base`` are the bars that come back changed, all by default; a part of
+    them that holds the day is enough where only that is written.
+    """
+    base = daily if base is None else base
     clean, issues = checks.validate(feed.select("symbol", F.lit(day).cast("date").alias("date"), "open", "high", "low", "close", "volume", F.lit(0).alias("_seq")), "_seq")
     rows = clean.drop("_seq").join(feed.select("symbol", "prev_close", "delivery_qty", "delivery_pct"), "symbol").join(ingest.symbol_map(symbols, aliases), "symbol")
     ids = rows.select("symbol_id").distinct()
-    planned = ingest.plan_day(rows, ingest.symbol_state(daily, ids, day), previous, threshold)
+    planned = cut(ingest.plan_day(rows, ingest.symbol_state(daily, ids, day), previous, threshold))  # a day's rows, used by each route
     columns = daily.columns
     bars_in = planned.where("route in ('append', 'repair')").withColumn("source", F.lit("file")).select(*(F.col(c) for c in columns))
-    with_delivery = store.update_from(daily, planned.where("route = 'delivery'").select("symbol_id", "date", "delivery_qty", "delivery_pct"), ["symbol_id", "date"])
+    with_delivery = store.update_from(base, planned.where("route = 'delivery'").select("symbol_id", "date", "delivery_qty", "delivery_pct"), ["symbol_id", "date"])
     return Ingested(
         store.upsert(with_delivery, bars_in, ["symbol_id", "date"]),
         planned.where("is_action").select("symbol_id", F.col("date").alias("ex_date"), "ratio"),

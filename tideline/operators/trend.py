@@ -13,6 +13,8 @@ from dataclasses import astuple, dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.functions.columns import folded
+
 @dataclass
 class Bands:
     """State of one symbol after a bar; ``atr`` is NaN while it warms up."""
@@ -73,11 +75,7 @@ def run_bands(bars: Iterator[tuple], state: Bands, period: int, multiplier: floa
     return out
 
 
-#: Bars that are folded before their rows are put behind the others: a long series is copied once a block, not once a bar.
-FOLD_BLOCK = 128
-
 _STATE = "close double, atr double, upper double, lower double, direction int, weeks int, warm_sum double, warm_bars int"
-_ROW = "week_end_date date, atr double, upper_band double, lower_band double, st_value double, direction int, weeks_in_trend int, is_flip boolean, close double"
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -104,10 +102,11 @@ def _step(s: Column, x: Column, period: int, multiplier: float) -> Column:
         return _let(F.struct(d.cast("int").alias("d"), k.alias("k"), b.alias("b")), done)
 
     def done(t: Column) -> Column:
-        weeks = F.when(t["k"]["atr"].isNull(), s["weeks"]).when((s["direction"] == 0) | (s["direction"] != t["d"]), 1).otherwise(s["weeks"] + 1)
+        turned = (s["direction"] != 0) & (s["direction"] != t["d"])
+        weeks = F.when(t["k"]["atr"].isNull(), s["weeks"]).when((s["direction"] == 0) | turned, 1).otherwise(s["weeks"] + 1)
         return F.struct(
-            x["close"].alias("close"), t["k"]["atr"].alias("atr"), t["b"]["upper"].alias("upper"), t["b"]["lower"].alias("lower"), t["d"].alias("direction"), weeks.alias("weeks"), t["k"]["warm_sum"].alias("warm_sum"), t["k"]["warm_bars"].alias("warm_bars")
-        )
+            x["close"].alias("close"), t["k"]["atr"].alias("atr"), t["b"]["upper"].alias("upper"), t["b"]["lower"].alias("lower"), t["d"].alias("direction"), weeks.alias("weeks"), t["k"]["warm_sum"].alias("warm_sum"), t["k"]["warm_bars"].alias("warm_bars"), turned.alias("turned"),
+        )
 
     return _let(known, bands)
 
@@ -133,29 +132,22 @@ def fold(weekly: DataFrame, start: DataFrame | None = None, period: int = 7, mul
         "symbol_id", first.alias("s"),
         F.struct("week_end_date", F.when(F.col("_before").isNull(), spread).otherwise(F.greatest(spread, F.abs(F.col("high") - F.col("_before")), F.abs(F.col("low") - F.col("_before")))).alias("tr"), ((F.col("high") + F.col("low")) / 2).alias("mid"), "close").alias("x"),
     )
-    one = timed.groupBy("symbol_id").agg(F.array_sort(F.collect_list("x")).alias("bars"), F.first("s").alias("s"))
+    one = timed.groupBy("symbol_id").agg(F.sort_array(F.collect_list("x")).alias("bars"), F.first("s").alias("s"))
     none = {"close": F.lit(None).cast("double"), "atr": F.lit(None).cast("double"), "upper": F.lit(0.0), "lower": F.lit(0.0), "direction": F.lit(0), "weeks": F.lit(0), "warm_sum": F.lit(0.0), "warm_bars": F.lit(0)}
-    begin = F.struct(*(F.coalesce(F.col(f"s.{c}"), v).alias(c) for c, v in none.items()))
-    empty = F.array().cast(f"array<struct<{_colons(_ROW)}>>")
-
-    def bar(acc: Column, x: Column) -> Column:
-        def put(n: Column) -> Column:
-            value = F.when(n["direction"] == 1, n["lower"]).otherwise(n["upper"])
-            row = F.struct(
-                x["week_end_date"].alias("week_end_date"), n["atr"].alias("atr"), n["upper"].alias("upper_band"), n["lower"].alias("lower_band"), value.alias("st_value"), n["direction"].alias("direction"), n["weeks"].alias("weeks_in_trend"),
-                ((acc["s"]["direction"] != 0) & (acc["s"]["direction"] != n["direction"])).alias("is_flip"), x["close"].alias("close"),
-            )
-            return F.struct(n.alias("s"), F.when(n["atr"].isNull(), acc["rows"]).otherwise(F.concat(acc["rows"], F.array(row))).alias("rows"))
-
-        return _let(_step(acc["s"], x, period, multiplier), put)
-
-    def block(acc: Column, i: Column) -> Column:
-        some = F.aggregate(F.slice(F.col("bars"), i * FOLD_BLOCK + 1, F.lit(FOLD_BLOCK)), F.struct(acc["s"].alias("s"), empty.alias("rows")), bar)
-        return _let(some, lambda n: F.struct(n["s"].alias("s"), F.concat(acc["rows"], n["rows"]).alias("rows")))
-
-    blocks = F.sequence(F.lit(0), F.floor((F.size("bars") - 1) / FOLD_BLOCK).cast("int"))
-    folded = one.select("symbol_id", F.aggregate(blocks, F.struct(begin.alias("s"), empty.alias("rows")), block).alias("f"))
-    return folded.select("symbol_id", F.col("f.rows").alias("rows"), F.col("f.s").alias("state"))
+    begin = F.struct(*(F.coalesce(F.col(f"s.{c}"), v).alias(c) for c, v in none.items()), F.lit(False).alias("turned"))
+    # the fold's value is the list of states alone: whatever passes through a lambda of transform is copied
+    states = folded("bars", begin, lambda s, x: _step(s, x, period, multiplier))
+    done = one.select("symbol_id", "bars", begin.alias("begin"), states.alias("states"))
+
+    def row(x: Column, n: Column) -> Column:
+        value = F.when(n["direction"] == 1, n["lower"]).otherwise(n["upper"])
+        return F.struct(
+            x["week_end_date"].alias("week_end_date"), n["atr"].alias("atr"), n["upper"].alias("upper_band"), n["lower"].alias("lower_band"), value.alias("st_value"), n["direction"].alias("direction"), n["weeks"].alias("weeks_in_trend"), n["turned"].alias("is_flip"), x["close"].alias("close"),
+        )
+
+    rows = F.filter(F.zip_with("bars", "states", row), lambda r: r["atr"].isNotNull())
+    last = F.coalesce(F.try_element_at("states", F.lit(-1)), F.col("begin"))
+    return done.select("symbol_id", rows.alias("rows"), F.struct(*(last[c].alias(c) for c in none)).alias("state"))
 
 
 def _colons(ddl: str) -> str:

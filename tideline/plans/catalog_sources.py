@@ -78,10 +78,10 @@ def stream_late_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _folder(spark, "late")
     m = market(spark, sf_dir).daily.select("symbol_id", F.col("date").cast("timestamp").alias("ts"), "open", "high", "low", "close", "volume")
     delay = F.when((F.dayofyear("ts") + F.col("symbol_id")) % 9 == 0, 35).otherwise(0)
-    arriving = cut(m.withColumn("quarter", F.date_trunc("quarter", F.date_add(F.to_date("ts"), delay))))
-    quarters = [r.quarter for r in arriving.select("quarter").distinct().orderBy("quarter").collect()]  # of some years
-    for q in quarters:  # as they arrive
-        arriving.where(F.col("quarter") == F.lit(q)).drop("quarter").coalesce(1).write.mode("append").parquet(f"{folder}/landed")
+    arrival = F.date_add(F.to_date("ts"), delay)
+    arriving = cut(m.withColumn("half", F.year(arrival) * 2 + (F.month(arrival) > 6).cast("int")))
+    for half in sorted(r.half for r in arriving.select("half").distinct().collect()):  # two a year, as they arrive
+        arriving.where(F.col("half") == half).drop("half").coalesce(1).write.mode("append").parquet(f"{folder}/landed")
     landed = spark.readStream.schema(m.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/landed")
     _run(landed.writeStream.foreachBatch(live.late_gate(folder)), folder)
     closed = live.weekly_bars(spark.readStream.schema(m.schema).parquet(f"{folder}/ontime"))
@@ -132,7 +132,7 @@ def stream_catch_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     live.land_days(lines, f"{folder}/landed")
     stored = m.daily.where("date < '1998-05-01'").select("symbol_id", "date", "open", "high", "low", "close", F.col("volume").cast("double").alias("volume"), F.lit(None).cast("double").alias("delivery_qty"), F.lit(None).cast("double").alias("delivery_pct"), F.lit("first").alias("source"))
-    stored.repartition("date").write.partitionBy("date").parquet(f"{folder}/bars")
+    stored.withColumn("month", F.to_date(F.date_trunc("month", "date"))).repartition("month").write.partitionBy("month").parquet(f"{folder}/bars")
     symbols = m.symbols.select(F.concat(F.lit("S"), F.col("symbol_id").cast("string")).alias("symbol"), F.col("symbol_id").alias("id"))
     aliases = spark.createDataFrame([], "old_symbol string, symbol_id int")
     _run(live.day_files(spark, f"{folder}/landed").writeStream.foreachBatch(live.catch_up(folder, "day", symbols, aliases, ["EQ"])), folder)

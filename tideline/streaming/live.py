@@ -203,13 +203,13 @@ def pending(log: list, end: dt.date, stored: dt.date | None, most: int = 10) ->
 
 
 def catch_up(root: str, source: str, symbols: DataFrame, aliases: DataFrame, series: list[str], most: int = 10, threshold: float = 0.03, query: str = "") -> Sink:
-    """A ``foreachBatch`` writer that puts the files of missed days into ``root/bars`` (a partition a date), each day once.
+    """A ``foreachBatch`` writer that puts the files of missed days into ``root/bars`` (a partition a ``month``), each day once.
 
     The days are those :func:`pending` at the newest file of the batch, at
     most some ten, taken in order as each needs the closes of the one before.
     A file whose rows are of another day is a holiday's; a weekend without a
-    file is one, any other day without is missing.  A day is written as its
-    partition of bars, its actions, its issues, and last its row in the
+    file is one, any other day without is missing.  A day is written with its
+    month of bars, its actions, its issues, and last its row in the
     ledger; a day without that row is made again after a crash, as if nothing
     of it were there.  ``query`` names the stream, whose batch numbers tell an
     attempt made again from a new one.
@@ -251,12 +251,14 @@ def _ingest(spark: SparkSession, root: str, batch: DataFrame, day: dt.date, symb
     dates = stored.where(F.col("date") < F.lit(day)).agg(F.max("date")).first()[0]
     okay = ledger(spark, root).where((F.col("source") == source) & (F.col("status") == "ok") & (F.col("trade_date") < F.lit(day))).agg(F.max("trade_date")).first()[0]
     previous = max((d for d in (dates, okay) if d is not None), default=None)
-    got = jobs.ingest_day(feed, stored, symbols, aliases, str(day), None if previous is None else str(previous), threshold)
+    month = day.replace(day=1)
+    base = stored.where(F.col("month") == F.lit(month)).drop("month")
+    got = jobs.ingest_day(feed, stored.drop("month"), symbols, aliases, str(day), None if previous is None else str(previous), threshold, base)
     write_slices(cut(got.actions.withColumn("day", F.lit(day))), f"{root}/actions", ["day"])
     write_slices(cut(got.issues.withColumn("day", F.lit(day))), f"{root}/issues", ["day"])
-    today = cut(got.daily.where(F.col("date") == F.lit(day)))
-    write_slices(today, f"{root}/bars", ["date"])
-    return today.count()
+    now = cut(got.daily.withColumn("month", F.lit(month)))
+    write_slices(now, f"{root}/bars", ["month"])
+    return now.where(F.col("date") == F.lit(day)).count()
 
 
 def upsert_each_batch(path: str, keys: list[str], by: list[str], order: str) -> Sink:
