@@ -7,18 +7,20 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WEEKS = 52
 YEAR_DAYS = 365.25
+#: Range of the yearly money-weighted return, and halvings of it: as many as a double has digits for.
+XIRR_LOW, XIRR_HIGH, HALVINGS = -0.99, 10.0, 64
 
 
 def xirr(dates: Sequence, amounts: np.ndarray) -> float | None:
     """Yearly money-weighted return in per cent by bisection on (-99 %, 1000 %); None without a change of sign."""
     days = np.array([(pd.Timestamp(d) - pd.Timestamp(dates[0])).days for d in dates]) / YEAR_DAYS
     value = lambda rate: float(np.sum(amounts / (1 + rate) ** days))
-    low, high = -0.99, 10.0
+    low, high = XIRR_LOW, XIRR_HIGH
     at_low = value(low)
     if at_low * value(high) > 0:
         return None
@@ -93,11 +95,25 @@ def exit_reasons(trades: DataFrame, key: str = "run_id") -> DataFrame:
 
 
 def xirr_by_run(flows: DataFrame, key: str = "run_id") -> DataFrame:
-    """``key, xirr_pct`` of dated amounts (key, date, amount; negative is paid in), by bisection in a grouped function."""
-
-    def solve(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("date", kind="stable")
-        return pd.DataFrame({key: [frame[key].iloc[0]], "xirr_pct": [xirr(list(frame["date"]), frame["amount"].to_numpy(float))]})
-
-    kind = dict(flows.dtypes)[key]
-    return flows.select(key, "date", "amount").groupBy(key).applyInPandas(solve, f"{key} {kind}, xirr_pct double")
+    """``key, xirr_pct`` of dated amounts (key, date, amount; negative is paid in), NULL where no return in the range fits.
+
+    A run's flows are summed by day, and the bisection is a fold over a fixed
+    number of halvings, each a sum over the run's days; the value at the lower
+    end is carried along, so a halving is worked out once.
+    """
+    days = flows.groupBy(key, "date").agg(F.sum(F.col("amount").cast("double")).alias("amount"))
+    lists = days.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("date", "amount"))).alias("f"))
+    timed = lists.select(key, F.transform("f", lambda x: F.struct((F.datediff(x["date"], F.col("f")[0]["date"]) / YEAR_DAYS).alias("t"), x["amount"].alias("a"))).alias("f"))
+    value = lambda rate: F.aggregate("f", F.lit(0.0), lambda total, x: total + x["a"] / F.pow(1 + rate, x["t"]))
+    low, high = F.lit(XIRR_LOW), F.lit(XIRR_HIGH)
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = (s["low"] + s["high"]) / 2
+        one = F.transform(F.array(F.struct(middle.alias("r"), value(middle).alias("v"))), lambda m: F.when(
+            s["v"] * m["v"] <= 0, F.struct(s["low"].alias("low"), m["r"].alias("high"), s["v"].alias("v"))
+        ).otherwise(F.struct(m["r"].alias("low"), s["high"].alias("high"), m["v"].alias("v"))))
+        return one[0]
+
+    ends = timed.select(key, "f", value(low).alias("_low"), value(high).alias("_high"))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(HALVINGS)), F.struct(low.alias("low"), high.alias("high"), F.col("_low").alias("v")), halve)
+    return ends.withColumn("_s", F.when(F.col("_low") * F.col("_high") <= 0, found)).select(key, ((F.col("_s.low") + F.col("_s.high")) / 2 * 100).alias("xirr_pct"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.operators.intervals import within
+
 PRICES = ["open", "high", "low", "close"]
 ISSUES = "symbol string, date date, issue string, details string"
 
@@ -54,10 +56,10 @@ def trading_calendar(daily: DataFrame, min_fraction: float = 0.5) -> DataFrame:
 def missing_sessions(daily: DataFrame, calendar: DataFrame, key: str = "symbol") -> DataFrame:
     """``key, date`` of calendar sessions between a symbol's first and last bar that it has no bar for.
 
-    The calendar is small; each symbol meets it once, by a range join.
+    A symbol's span meets the calendar month by month.
     """
     spans = daily.groupBy(key).agg(F.min("date").alias("_a"), F.max("date").alias("_b"))
-    due = spans.join(F.broadcast(calendar.select("date")), F.col("date").between(F.col("_a"), F.col("_b"))).select(key, "date")
+    due = within(spans, calendar.select("date"), "_a", "_b").select(key, "date")
     return due.join(daily.select(key, "date"), [key, "date"], "left_anti")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.operators.intervals import latest_at, within
 from tideline.sources.components import connected_components
 from tideline.sources.lineage import cut
 
@@ -76,10 +77,10 @@ def rebalances(sessions: DataFrame) -> DataFrame:
     both = years.select("first", "last", "y", F.explode(F.array(F.struct(F.lit(3).alias("at"), F.lit(1).alias("to")), F.struct(F.lit(9).alias("at"), F.lit(7).alias("to")))).alias("m"))
     end = lambda month: F.last_day(F.make_date("y", month, F.lit(1)))
     planned = both.select("first", "last", end(F.col("m.at")).alias("effective"), end(F.col("m.to")).alias("window_end")).withColumn("window_start", F.date_add(F.add_months("window_end", -6), 1))
-    # a few rows a year against the calendar
-    met = planned.join(F.broadcast(sessions.select("date").distinct())).groupBy("first", "last", "effective", "window_start", "window_end").agg(
-        F.max(F.when(F.col("date") <= F.col("effective"), F.col("date"))).alias("snapshot_date"), F.count_if(F.col("date").between(F.col("window_start"), F.col("window_end"))).alias("sessions")
-    )
+    days = sessions.select("date").distinct()
+    held = latest_at(planned, days.select(F.col("date").alias("snapshot_date")), "effective", "snapshot_date")
+    counts = within(held.select("window_start", "window_end"), days, "window_start", "window_end").groupBy("window_start", "window_end").agg(F.count("*").alias("sessions"))
+    met = held.join(counts, ["window_start", "window_end"], "left").withColumn("sessions", F.coalesce("sessions", F.lit(0)))
     return met.where("snapshot_date is not null and window_start >= first and snapshot_date <= last and snapshot_date > window_end").select("snapshot_date", "window_start", "window_end", "sessions")
 
 
@@ -90,7 +91,7 @@ def snapshots(rows: DataFrame, top_n: int, min_traded_pct: float = 80.0) -> Data
     """
     plan = rebalances(rows.select("date").distinct())
     shares = rows.where(F.col("isin").startswith("INE"))
-    inside = shares.join(F.broadcast(plan), F.col("date").between(F.col("window_start"), F.col("window_end")))
+    inside = within(plan, shares, "window_start", "window_end")
     g = inside.groupBy("snapshot_date", "sessions", "entity").agg(F.countDistinct("date").alias("days"), F.sum("value").alias("value"))
     eligible = g.where(F.col("days") >= F.col("sessions") * min_traded_pct / 100).withColumn("average", F.col("value") / F.col("sessions"))
     w = Window.partitionBy("snapshot_date").orderBy(F.desc("average"), "entity")
@@ -99,7 +100,5 @@ def snapshots(rows: DataFrame, top_n: int, min_traded_pct: float = 80.0) -> Data
 
 def member_of(rows: DataFrame, members: DataFrame, date: str = "date") -> DataFrame:
     """``rows`` whose symbol is in the latest snapshot at or before their date; before the first snapshot there is none."""
-    dates = members.select("snapshot_date").distinct()
-    spans = dates.withColumn("_to", F.lead("snapshot_date").over(Window.orderBy("snapshot_date")))
-    placed = rows.join(F.broadcast(spans), (F.col(date) >= F.col("snapshot_date")) & (F.col("_to").isNull() | (F.col(date) < F.col("_to"))))
-    return placed.join(members.select("snapshot_date", "symbol_id").distinct(), ["snapshot_date", "symbol_id"], "left_semi").drop("_to")
+    placed = latest_at(rows, members, date, "snapshot_date")
+    return placed.join(members.select("snapshot_date", "symbol_id").distinct(), ["snapshot_date", "symbol_id"], "left_semi")

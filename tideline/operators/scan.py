@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tideline.config import Config
 from tideline.functions.columns import monday, ratio, truth
+from tideline.operators.intervals import latest_at
 from tideline.operators import bars, indicators, regime, scoring, sectors, trend
 from tideline.sources.lineage import cut
 from tideline.sources.market import Market
@@ -46,10 +47,7 @@ def as_of_snapshot(rows: DataFrame, weeks: DataFrame, date: str, lag_days: int =
     Distinct snapshot dates are few; each becomes the interval up to the next,
     so a week meets one snapshot by a range join and no week sees all of them.
     """
-    dates = rows.select(F.col(date).alias("_from")).distinct()
-    spans = dates.withColumn("_to", F.lead("_from").over(Window.orderBy("_from")))
-    at = F.date_add("week_end_date", lag_days)
-    chosen = weeks.join(F.broadcast(spans), (at >= F.col("_from")) & (F.col("_to").isNull() | (at < F.col("_to"))))
+    chosen = latest_at(weeks.withColumn("_at", F.date_add("week_end_date", lag_days)), rows.select(F.col(date).alias("_from")), "_at", "_from")
     return chosen.select("week_end_date", "_from").join(rows, F.col("_from") == F.col(date)).drop("_from")
 
 

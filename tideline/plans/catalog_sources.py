@@ -7,12 +7,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideline.backtest import metrics as figures
 from tideline.operators import bars, jobs, trend
 from tideline.plans.catalog import _r, registered, rounded
 from tideline.plans.oracle import query
 from tideline.sources import archive
 from tideline.sources.lineage import cut, shared_folder
-from tideline.sources.market import market
+from tideline.sources.market import market, table
 from tideline.streaming import live
 
 
@@ -65,6 +66,24 @@ def job_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(done.daily.select("symbol_id", "date", "close", "source"))
 
 
+# -------------------------------------------------------------- recurrences
+
+
+@registered(
+    f"""with recursive days as materialized (select o_custkey as k, cast(o_orderdate as date) as d, sum(case when o_orderkey % 2 = 0 then -o_totalprice else o_totalprice * 1.2 end) as a from orders group by 1, 2),
+    flows as materialized (select k, list({{'t': date_diff('day', first, d) / 365.25, 'a': a}} order by d) as f from (select *, min(d) over (partition by k) as first from days) group by k),
+    halved as (select k, f, -0.99::double as lo, 10.0::double as hi, list_sum(list_transform(f, lambda x: x.a / pow(0.01, x.t))) as v, 0 as i from flows
+      union all select k, f, case when v * m <= 0 then lo else mid end, case when v * m <= 0 then mid else hi end, case when v * m <= 0 then v else m end, i + 1
+      from (select *, list_sum(list_transform(f, lambda x: x.a / pow(1 + mid, x.t))) as m from (select *, (lo + hi) / 2 as mid from halved where i < {figures.HALVINGS})))
+    select k as run_id, case when list_sum(list_transform(f, lambda x: x.a / pow(0.01, x.t))) * list_sum(list_transform(f, lambda x: x.a / pow(11.0, x.t))) <= 0 then round((lo + hi) / 2 * 100, 6) end as xirr_pct from halved where i = {figures.HALVINGS}"""
+)
+def money_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Money-weighted return of every customer's orders, every second one paid in."""
+    o = table(spark, sf_dir, "orders")
+    amount = F.when(F.col("o_orderkey") % 2 == 0, -F.col("o_totalprice")).otherwise(F.col("o_totalprice") * 1.2)
+    return rounded(figures.xirr_by_run(o.select(F.col("o_custkey").alias("run_id"), F.to_date("o_orderdate").alias("date"), amount.alias("amount"))))
+
+
 # ------------------------------------------------------------------ streams
 
 

@@ -194,11 +194,9 @@ def ledger(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(_LEDGER).parquet(path) if exists(spark, path) else spark.createDataFrame([], _LEDGER)
 
 
-def pending(log: list, end: dt.date, stored: dt.date | None, most: int = 10) -> list[dt.date]:
+def pending(done: dt.date | None, end: dt.date, most: int = 10) -> list[dt.date]:
     """Days up to ``end`` after the last one that is done, at most ``most`` back, without Sundays."""
-    done = [r.trade_date for r in log if r.status in ("ok", "holiday")]
-    last = max(done) if done else stored or end
-    first = max(last + dt.timedelta(days=1), end - dt.timedelta(days=most))
+    first = max((done or end) + dt.timedelta(days=1), end - dt.timedelta(days=most))
     return [d for i in range((end - first).days + 1) if (d := first + dt.timedelta(days=i)).weekday() != 6]
 
 
@@ -211,7 +209,8 @@ def catch_up(root: str, source: str, symbols: DataFrame, aliases: DataFrame, ser
     file is one, any other day without is missing.  A day is written with its
     month of bars, its actions, its issues, and last its row in the
     ledger; a day without that row is made again after a crash, as if nothing
-    of it were there.  ``query`` names the stream, whose batch numbers tell an
+    of it were there, and an attempt made again goes by the days that the
+    first one planned.  ``query`` names the stream, whose batch numbers tell an
     attempt made again from a new one.
     """
 
@@ -221,15 +220,16 @@ def catch_up(root: str, source: str, symbols: DataFrame, aliases: DataFrame, ser
         if not seen:
             return
         recorded = ledger(spark, root).where(F.col("source") == source)
-        end, stored = seen[0].wanted, None
-        recent = recorded.where(F.col("trade_date") >= F.lit(end - dt.timedelta(days=most + 1))).collect()
-        older = recorded.where(F.col("status") != "missing").orderBy(F.desc("trade_date")).limit(1).collect()
-        if exists(spark, f"{root}/bars") and not (recent or older):
-            stored = spark.read.parquet(f"{root}/bars").agg(F.max("date")).first()[0]
-        own = {r.trade_date for r in recent if r.batch == name and r.status != "missing"}  # of an attempt before
-        begun = [r for r in [*recent, *older] if r.batch != name]
+        plan = f"{root}/plans/{source}/{query}-{number}"
+        if not exists(spark, f"{plan}/_SUCCESS"):  # an attempt made again goes by the days of the first
+            done = recorded.where(F.col("status") != "missing").agg(F.max("trade_date")).first()[0]
+            if done is None and exists(spark, f"{root}/bars"):
+                done = spark.read.parquet(f"{root}/bars").agg(F.max("date")).first()[0]
+            days = pending(done, seen[0].wanted, most)
+            spark.createDataFrame([(d,) for d in days], "day date").coalesce(1).write.mode("overwrite").parquet(plan)
+        own = {r.trade_date for r in recorded.where(F.col("batch") == name).collect()}  # at most the days of one plan
         there = {r.wanted: r for r in seen}
-        for day in pending(begun, end, stored, most):
+        for day in sorted(r.day for r in spark.read.schema("day date").parquet(plan).collect()):
             if day in own:
                 continue
             rows = 0
