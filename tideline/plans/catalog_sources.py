@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideline.backtest import metrics as figures
+from tideline.backtest.store import Result, RunStore
 from tideline.operators import bars, jobs, trend
 from tideline.plans.catalog import _r, registered, rounded
 from tideline.plans.oracle import query
@@ -66,6 +67,41 @@ def job_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(done.daily.select("symbol_id", "date", "close", "source"))
 
 
+# -------------------------------------------------------------- store of runs
+
+
+def _results(spark: SparkSession, sf_dir: str, factor: float = 1.0) -> Result:
+    """A run for every customer: its orders are the curve, those of status F the trades."""
+    o = table(spark, sf_dir, "orders")
+    worth = F.sum(F.col("o_totalprice") * factor).over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    none = lambda kind: F.lit(None).cast(kind)
+    runs = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").cast("long").alias("run_id"), F.col("c_mktsegment").alias("sweep_id"), F.col("c_name").alias("name"), F.lit("{}").alias("params"), F.lit("{}").alias("metrics"), none("timestamp").alias("created_at"), F.concat(F.lit("e"), (F.col("c_custkey") % 3).cast("string")).alias("experiment")
+    )
+    day = o.select(F.col("o_custkey").cast("long").alias("run_id"), F.date_add(F.to_date("o_orderdate"), (F.col("o_orderkey") % 3).cast("int")).alias("date"), worth.alias("equity"), "o_orderkey")
+    curve = day.select("run_id", "date", "equity", none("double").alias("benchmark"), (-(F.col("o_orderkey") % 40)).cast("double").alias("drawdown"), none("double").alias("invested_pct"), none("int").alias("positions"), F.lit(0.0).alias("flow"))
+    sold = o.where("o_orderstatus = 'F'").select(
+        F.col("o_custkey").cast("long").alias("run_id"), F.lit(1).alias("symbol_id"), F.lit("A").alias("symbol"), none("string").alias("industry"), none("date").alias("signal_date"), F.to_date("o_orderdate").alias("entry_date"), none("double").alias("entry_price"), none("date").alias("exit_date"),
+        none("double").alias("exit_price"), F.lit(1.0).alias("qty"), (F.col("o_totalprice") * factor).alias("pnl"), none("double").alias("pnl_pct"), none("int").alias("weeks_held"), none("string").alias("exit_reason"), none("double").alias("entry_score"),
+    )
+    return Result(runs, curve, sold)
+
+
+@registered(
+    """select c_custkey as run_id, 'e' || (c_custkey % 3) as experiment, c_name as name, c_mktsegment as sweep_id, cast(min(-(o_orderkey % 40)) as double) as worst_drawdown, count(*) filter (o_orderstatus = 'F') as trades,
+    round(coalesce(sum(o_totalprice) filter (o_orderstatus = 'F'), 0) * case when c_custkey % 3 = 1 then 2 else 1 end, 4) as pnl from customer left join orders on o_custkey = c_custkey where c_custkey % 3 < 2 group by c_custkey, c_name, c_mktsegment"""
+)
+def run_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two experiments saved, one of them a second time with doubled results in place of the first; read back and joined by run without a shuffle."""
+    store = RunStore(spark, _folder(spark, "runs"), 8)
+    for experiment, factor in (("e0", 1.0), ("e1", 1.0), ("e1", 2.0)):
+        made = _results(spark, sf_dir, factor)
+        mine = made.runs.where(F.col("experiment") == experiment)
+        own = lambda df: df.join(mine.select("run_id"), "run_id", "left_semi")  # noqa: B023, E731
+        store.save(experiment, Result(mine, own(made.equity), own(made.trades)))
+    return rounded(store.overview().drop("final_equity"), 4)
+
+
 # -------------------------------------------------------------- recurrences
 
 
