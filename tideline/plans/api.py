@@ -273,6 +273,44 @@ def backtests(runs: DataFrame, limit: int = 200) -> DataFrame:
     )
 
 
+def _plain(numbers: Column) -> Column:
+    """Numbers as text, whole ones without a point, joined by commas."""
+    text = F.transform(numbers, lambda x: F.when(x == F.floor(x), F.floor(x).cast("string")).otherwise(x.cast("string")))
+    return F.array_join(text, ", ")
+
+
+def backtest_rows(runs: DataFrame) -> DataFrame:
+    """Every run with its parameters and metrics flattened, from JSON whose fields come and go.
+
+    ``runs`` is ``id, sweep_id, name, cagr, max_drawdown, sharpe,
+    profit_factor, win_rate, trades`` and JSON texts ``params, metrics,
+    benchmark_metrics``, each parsed once, to a variant.  A field that is absent
+    or of another kind is NULL or its default; a text that is no JSON has no
+    fields.
+    """
+    p, m, b = (F.try_parse_json(c) for c in ("params", "metrics", "benchmark_metrics"))
+    parsed = runs.withColumns({"_p": p, "_m": m, "_b": b})
+    param = lambda path, kind: F.try_variant_get("_p", f"$.{path}", kind)
+    metric = lambda path: F.try_variant_get("_m", f"$.{path}", "double")
+    bench = lambda path: F.try_variant_get("_b", f"$.{path}", "double")
+    leaves = F.when(param("sector_exit", "boolean") == F.lit(False), "st").otherwise("st+sector")
+    return parsed.select(
+        "id", "sweep_id", "name", F.coalesce(param("kind", "string"), F.lit("run")).alias("kind"), "cagr", "max_drawdown", "sharpe", "profit_factor", "win_rate", "trades",
+        F.coalesce(_plain(param("supertrend", "array<double>")), F.lit("")).alias("st"), param("sector_weights", "string").alias("weights"), param("top_n_sectors", "int").alias("top_n"), param("min_rs", "double").alias("min_rs"),
+        F.coalesce(param("min_score", "double"), F.lit(0.0)).alias("min_score"), param("max_positions", "int").alias("k"), param("sizing", "string").alias("sizing"), F.coalesce(param("entry_max_weeks_in_trend", "int"), F.lit(0)).alias("entry_weeks"),
+        F.coalesce(param("entry_filters", "string"), F.lit("all")).alias("filters"), F.coalesce(param("variants.exit", "string"), leaves).alias("exit_rule"), F.coalesce(param("variants.rank", "string"), F.lit("scanner")).alias("rank"),
+        F.coalesce(param("variants.regime", "string"), param("bear_mode", "string")).alias("regime"), metric("mar").alias("mar"), metric("exposure_pct").alias("exposure"), bench("cagr_pct").alias("bench_cagr"), bench("universe_ew.cagr_pct").alias("ew_cagr"),
+        (F.col("cagr") - bench("cagr_pct")).alias("alpha"), metric("oos.cagr_pct").alias("oos_cagr"), metric("oos.max_drawdown_pct").alias("oos_dd"), metric("oos.benchmark_cagr_pct").alias("oos_bench"), param("experiment", "string").alias("experiment"),
+    )
+
+
+def run_parameters(runs: DataFrame) -> DataFrame:
+    """``id, name, value``: every parameter of every run, also those nobody has asked for yet; the value as JSON."""
+    each = runs.select(F.col("id").alias("run"), F.try_parse_json("params").alias("_p")).where("_p is not null")
+    fields = each.lateralJoin(runs.sparkSession.tvf.variant_explode(F.col("_p").outer()))
+    return fields.select(F.col("run").alias("id"), F.col("key").alias("name"), F.to_json("value").alias("value"))
+
+
 def experiment_log(runs: DataFrame) -> DataFrame:
     """Variants of each experiment, the best return first."""
     rows = runs.withColumns({"experiment": F.get_json_object("params", "$.experiment"), "variant": F.get_json_object("params", "$.variant"), "cagr_pct": F.get_json_object("metrics", "$.cagr_pct").cast("double")})

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tideline.backtest import metrics as figures
 from tideline.backtest.store import Result, RunStore
 from tideline.operators import bars, jobs, trend
+from tideline.plans import api
 from tideline.plans.catalog import _r, registered, rounded
 from tideline.plans.oracle import query
 from tideline.sources import archive
@@ -102,6 +103,41 @@ def run_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(store.overview().drop("final_equity"), 4)
 
 
+def _parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run for every order, with JSON parameters of which some are absent, some of another kind, and some unknown."""
+    k, when = F.col("o_orderkey"), F.when
+    some = lambda every, value: when(k % every == 0, value)
+    params = F.struct(
+        some(5, F.lit("walk_forward")).alias("kind"), F.array((k % 9 + 1).cast("double"), F.lit(2.5)).alias("supertrend"), (k % 7).alias("top_n_sectors"), some(2, (k % 90).cast("double")).alias("min_score"), (k % 30).alias("max_positions"), F.lit("equal").alias("sizing"),
+        when(k % 3 == 0, False).when(k % 3 == 1, True).alias("sector_exit"), some(4, F.struct(F.lit("ma").alias("exit"), some(8, F.lit("cash")).alias("regime"))).alias("variants"), F.lit("half").alias("bear_mode"), (k % 11).alias("not_known_before"),
+    )
+    metrics = F.struct((F.col("o_totalprice") / 1000).alias("mar"), when(k % 10 == 0, F.lit("none")).otherwise(F.lit(None)).alias("exposure_pct"), some(6, F.struct((k % 13).cast("double").alias("cagr_pct"))).alias("oos"))
+    none = lambda kind: F.lit(None).cast(kind)
+    return table(spark, sf_dir, "orders").select(
+        k.alias("id"), none("long").alias("sweep_id"), F.lit("run").alias("name"), F.col("o_totalprice").alias("cagr"), *(none("double").alias(c) for c in ("max_drawdown", "sharpe", "profit_factor", "win_rate")), none("int").alias("trades"),
+        when(k % 17 == 0, "{broken").otherwise(F.to_json(params)).alias("params"), F.to_json(metrics).alias("metrics"), F.to_json(F.struct(F.lit(7.5).alias("cagr_pct"))).alias("benchmark_metrics"),
+    )
+
+
+@registered(
+    """with o as (select o_orderkey as id, o_orderkey % 17 <> 0 as whole, o_orderkey as k, o_totalprice as x from orders)
+    select id, case when whole and k % 5 = 0 then 'walk_forward' else 'run' end as kind, case when whole then (k % 9 + 1) || ', 2.5' else '' end as st, case when whole then cast(k % 7 as integer) end as top_n, case when whole and k % 2 = 0 then cast(k % 90 as double) else 0.0 end as min_score,
+    case when whole then cast(k % 30 as integer) end as k, case when whole then 'equal' end as sizing, case when whole and k % 4 = 0 then 'ma' when whole and k % 3 = 0 then 'st' else 'st+sector' end as exit_rule, 'scanner' as rank,
+    case when whole and k % 8 = 0 then 'cash' when whole then 'half' end as regime, round(x / 1000, 6) as mar, cast(null as double) as exposure, 7.5 as bench_cagr, round(x - 7.5, 6) as alpha, case when k % 6 = 0 then cast(k % 13 as double) end as oos_cagr from o"""
+)
+def backtest_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list of backtests, their parameters flattened from variants."""
+    rows = api.backtest_rows(_parameters(spark, sf_dir))
+    return rounded(rows.select("id", "kind", "st", "top_n", "min_score", "k", "sizing", "exit_rule", "rank", "regime", "mar", "exposure", "bench_cagr", "alpha", "oos_cagr"))
+
+
+@registered("select name, count(*) as runs, count(distinct value) as \"values\" from (select unnest([{'name': 'not_known_before', 'value': cast(o_orderkey % 11 as varchar)}, {'name': 'sizing', 'value': 'equal'}], recursive := true) from orders where o_orderkey % 17 <> 0) group by 1")
+def parameter_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often a parameter is given and in how many values: one that the list has, and one that nothing here knows of."""
+    every = api.run_parameters(_parameters(spark, sf_dir)).where("name in ('not_known_before', 'sizing')")
+    return every.groupBy("name").agg(F.count("*").alias("runs"), F.countDistinct("value").alias("values"))
+
+
 # -------------------------------------------------------------- recurrences
 
 
