@@ -81,3 +81,20 @@ def test_rows_must_be_whole_and_sessions_in_one_task(spark, tmp_path):
     with pytest.raises(Exception, match="several tasks"):
         prices(spark, (2,)).repartition(3).write.format(archive.NAME).mode("append").save(str(tmp_path))
     assert not list(tmp_path.rglob("*.zip"))
+
+
+def test_a_landing_zone_puts_bad_lines_aside(spark, tmp_path):
+    from tideline.sources import files
+
+    head = ",".join(files.DAY_FILE) + "\n"
+    line = lambda s="A", d="02-Jan-2024", c="5.0": f"{s}, EQ, {d}, 1, 1, 1, 1, 1, {c}, 1, 1, 1, 1, -, -\n"
+    put = lambda day, text: (tmp_path / f"sec_{day}.csv").write_text(head + text)
+    put("20240102", line() + "A, EQ, 02-Jan-2024\n" + line("") + line("B", "32-Jan-2024") + line("C", c="-") + line("D"))
+    put("20240103", line())  # rows of the day before
+    put("20240104", "")
+    put("20240105", "one,two\n")
+    got = files.land(spark, str(tmp_path))
+    assert sorted((r.wanted.day, r.status, r.rows, r.bad) for r in got.status.collect()) == [(2, "ok", 2, 4), (3, "holiday", 1, 0), (4, "unavailable", 0, 0), (5, "unavailable", 0, 1)]
+    assert sorted((r.wanted.day, r.symbol, r.close) for r in got.rows.collect()) == [(2, "A", 5.0), (2, "D", 5.0), (3, "A", 5.0)]
+    aside = sorted((r.wanted.day, r.reason, r.text.split(",")[0]) for r in got.quarantine.collect())
+    assert aside == [(2, "close", "C"), (2, "date", "B"), (2, "fields", "A"), (2, "symbol", ""), (5, "fields", "one")]

@@ -13,7 +13,7 @@ from tideline.operators import bars, jobs, trend
 from tideline.plans import api
 from tideline.plans.catalog import _r, registered, rounded
 from tideline.plans.oracle import query
-from tideline.sources import archive
+from tideline.sources import archive, files
 from tideline.sources.lineage import cut, shared_folder
 from tideline.sources.market import market, table
 from tideline.streaming import live
@@ -158,6 +158,36 @@ def money_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------------------ streams
 
+#: The file of this day holds the rows of the day before: a holiday.
+_HOLIDAY, _NEWEST = "1998-06-24", "1998-06-30"
+
+
+def _day_lines(daily: DataFrame) -> DataFrame:
+    """Text columns of the day's file, with the day of the file they are in; the holiday's file holds the rows of the day before."""
+    text = lambda c: F.col(c).cast("string")
+    wanted = F.explode(F.expr(f"case when date = '{_HOLIDAY}' then array() when date = date '{_HOLIDAY}' - 1 then array(date, date '{_HOLIDAY}') else array(date) end"))
+    values = {
+        "SYMBOL": F.concat(F.lit("S"), text("symbol_id")), "SERIES": F.lit(" EQ"), "DATE1": F.date_format("date", " dd-MMM-yyyy"), "PREV_CLOSE": text("open"), "OPEN_PRICE": text("open"), "HIGH_PRICE": text("high"), "LOW_PRICE": text("low"), "LAST_PRICE": text("close"),
+        "CLOSE_PRICE": text("close"), "AVG_PRICE": text("close"), "TTL_TRD_QNTY": text("volume"), "TURNOVER_LACS": F.lit("0"), "NO_OF_TRADES": F.lit("1"), "DELIV_QTY": F.lit("-"), "DELIV_PER": F.lit("-"),
+    }
+    return cut(daily).withColumn("wanted", wanted).select("wanted", *(values[c].alias(c) for c in files.DAY_FILE))
+
+
+@registered(
+    query(
+        f"""select date as wanted, case when holiday then 'holiday' else 'ok' end as status, count(*) filter (not bad) as rows, count(*) filter (bad) as bad from (
+        select f.date, f.date = date '{_HOLIDAY}' as holiday, (d.symbol_id + extract('day' from d.date)) % 5 = 0 as bad from (select distinct date from daily) f join daily d on d.date = case when f.date = date '{_HOLIDAY}' then f.date - 1 else f.date end) group by date, holiday""",
+        ["daily"],
+    )
+)
+def landing_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All days as files, one line in five without a date that can be read: a status for each file, the lines put aside counted."""
+    folder = _folder(spark, "landing")
+    lines = _day_lines(market(spark, sf_dir).daily)
+    day, number = F.substring(F.trim("DATE1"), 1, 2).cast("int"), F.substring("SYMBOL", 2, 9).cast("int")
+    live.land_days(lines.withColumn("DATE1", F.when((number + day) % 5 == 0, "no date").otherwise(F.col("DATE1"))), folder)
+    return files.land(spark, folder).status
+
 
 def _run(stream_writer, folder: str) -> None:  # noqa: ANN001
     stream_writer.option("checkpointLocation", f"{folder}/{uuid.uuid4().hex}").trigger(availableNow=True).start().awaitTermination()
@@ -198,10 +228,6 @@ def stream_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.select("symbol_id", "week_end_date", "atr", "upper_band", "lower_band", "st_value", "direction", "weeks_in_trend", "is_flip", "close"))
 
 
-#: The file of this day holds the rows of the day before: a holiday.
-_HOLIDAY, _NEWEST = "1998-06-24", "1998-06-30"
-
-
 @registered(
     query(
         f"""with days as (select cast(unnest(generate_series(date '{_NEWEST}' - 10, date '{_NEWEST}', interval 1 day)) as date) as d)
@@ -214,13 +240,7 @@ def stream_catch_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of a day each land for eight weeks; those of the last ten days are gone through, each day once, onto bars that end in April."""
     folder = _folder(spark, "days")
     m = market(spark, sf_dir)
-    text = lambda c: F.col(c).cast("string")
-    d = cut(m.daily.where(f"date between '1998-05-01' and '{_NEWEST}'"))
-    wanted = F.explode(F.expr(f"case when date = '{_HOLIDAY}' then array() when date = date '{_HOLIDAY}' - 1 then array(date, date '{_HOLIDAY}') else array(date) end"))
-    lines = d.withColumn("wanted", wanted).select(
-        "wanted", F.concat(F.lit("S"), text("symbol_id")).alias("SYMBOL"), F.lit(" EQ").alias("SERIES"), F.date_format("date", " dd-MMM-yyyy").alias("DATE1"), text("open").alias("PREV_CLOSE"), text("open").alias("OPEN_PRICE"), text("high").alias("HIGH_PRICE"), text("low").alias("LOW_PRICE"),
-        text("close").alias("LAST_PRICE"), text("close").alias("CLOSE_PRICE"), text("close").alias("AVG_PRICE"), text("volume").alias("TTL_TRD_QNTY"), F.lit("0").alias("TURNOVER_LACS"), F.lit("1").alias("NO_OF_TRADES"), F.lit("-").alias("DELIV_QTY"), F.lit("-").alias("DELIV_PER"),
-    )
+    lines = _day_lines(m.daily.where(f"date between '1998-05-01' and '{_NEWEST}'"))
     live.land_days(lines, f"{folder}/landed")
     stored = m.daily.where("date < '1998-05-01'").select("symbol_id", "date", "open", "high", "low", "close", F.col("volume").cast("double").alias("volume"), F.lit(None).cast("double").alias("delivery_qty"), F.lit(None).cast("double").alias("delivery_pct"), F.lit("first").alias("source"))
     stored.withColumn("month", F.to_date(F.date_trunc("month", "date"))).repartition("month").write.partitionBy("month").parquet(f"{folder}/bars")

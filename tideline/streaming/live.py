@@ -161,16 +161,14 @@ def trend(bars: DataFrame, period: int = 7, multiplier: float = 3.0, start: Data
 
 # ------------------------------------------------------------------ catch-up
 
-#: Columns of the day's file in their order, as text; fixed values.
-_FILE = ", ".join(f"{c} string" for c in ("SYMBOL", "SERIES", "DATE1", "PREV_CLOSE", "OPEN_PRICE", "HIGH_PRICE", "LOW_PRICE", "LAST_PRICE", "CLOSE_PRICE", "AVG_PRICE", "TTL_TRD_QNTY", "TURNOVER_LACS", "NO_OF_TRADES", "DELIV_QTY", "DELIV_PER"))
+_FILE = ", ".join(f"{c} string" for c in files.DAY_FILE)
 _LEDGER = "source string, trade_date date, status string, rows long, batch string"
 
 
 def day_files(spark: SparkSession, path: str) -> DataFrame:
     """A stream of the rows of landed files of a day each, ``..yyyymmdd.csv``, with the day that was ``wanted``."""
     raw = spark.readStream.schema(_FILE).option("header", True).csv(path)
-    wanted = F.to_date(F.regexp_extract(F.col("_metadata.file_name"), r"(\d{8})\.csv", 1), "yyyyMMdd")
-    return files.delivery_rows(raw.withColumn("wanted", wanted), "wanted")
+    return files.delivery_rows(raw.withColumn("wanted", files.day_wanted(F.col("_metadata.file_name"))), "wanted")
 
 
 def land_days(lines: DataFrame, path: str) -> None:
