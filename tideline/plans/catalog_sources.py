@@ -15,7 +15,7 @@ from tideline.plans.catalog import _r, registered, rounded
 from tideline.plans.oracle import query
 from tideline.sources import archive, files
 from tideline.sources.lineage import cut, shared_folder
-from tideline.sources.market import market, table
+from tideline.sources.market import daily_returns, market, supplier_ticks, table, walk
 from tideline.streaming import live
 
 
@@ -68,6 +68,16 @@ def job_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(done.daily.select("symbol_id", "date", "close", "source"))
 
 
+@registered(
+    query(
+        f"select symbol_id, monday, week_end_date, week_start_date, {_r('open high low close')}, volume, trading_days from weekly", ["weekly"]
+    ).replace("cast(regexp_extract(p_brand, '([0-9]+)$', 1) as integer) as symbol_id", "cast(l_suppkey as integer) as symbol_id", 1).replace("from lineitem join part on l_partkey = p_partkey where", "from lineitem where", 1)
+)
+def supplier_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weekly bars of a market whose symbols are the suppliers, so that it grows with the tables."""
+    return rounded(bars.weekly_bars(walk(daily_returns(supplier_ticks(spark, sf_dir)))))
+
+
 # -------------------------------------------------------------- store of runs
 
 

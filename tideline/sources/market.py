@@ -39,6 +39,14 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.where(F.weekday("date") < 5).join(brands, F.col("l_partkey") == F.col("p_partkey")).drop("l_partkey", "p_partkey")
 
 
+def supplier_ticks(spark: SparkSession, sf_dir: str, most: int | None = None) -> DataFrame:
+    """The same rows with the supplier as their symbol, all suppliers or those up to a number: a market that grows with the tables."""
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").cast("int").alias("symbol_id"), F.to_date("l_shipdate").alias("date"), F.round(F.col("l_discount") * 100).cast("long").alias("hundredths"), "l_tax", "l_quantity", "l_returnflag"
+    )
+    return lines.where((F.weekday("date") < 5) & (F.lit(True) if most is None else F.col("symbol_id") <= most))
+
+
 def daily_returns(trades: DataFrame) -> DataFrame:
     """``symbol_id, date, ret, spread, volume, delivery_pct`` of each symbol and session."""
     n = F.count("*")
