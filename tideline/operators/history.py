@@ -34,6 +34,12 @@ def entities(rows: DataFrame, max_gap_days: int = 365) -> DataFrame:
     return rooted.join(cut, ["root", "date"]).withColumn("entity", F.concat_ws("#", "root", F.col("_segment").cast("string"))).drop("root", "_segment")
 
 
+def one_a_day(rows: DataFrame) -> DataFrame:
+    """Of an entity's rows of one day the most traded; a change of symbol can overlap a day."""
+    w = Window.partitionBy("entity", "date").orderBy(F.desc_nulls_last("value"), "symbol")
+    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
 def place_events(events: DataFrame, rows: DataFrame, within_days: int = 30) -> DataFrame:
     """``entity, date, factor``: events (symbol, isin, ex_date, factor) on the entity's first session from the ex-date on.
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.functions.columns import monday
-from tideline.operators import bars, checks, history, ingest, trend
+from tideline.operators import bars, checks, history, ingest, trend, universe_store
 from tideline.sources import files, store
 from tideline.sources.lineage import cut
 
@@ -241,16 +241,17 @@ class PointInTime:
 
 
 def build_point_in_time(rows: DataFrame, events: DataFrame, top_n: int, min_traded_pct: float = 80.0, max_gap_days: int = 365) -> PointInTime:
-    """From an archive (date, symbol, isin, open .. volume, value) to a universe without survivors' bias."""
-    linked = history.entities(rows, max_gap_days)
-    adjusted, applied = history.adjust(linked.select("entity", "date", "open", "high", "low", "close", "volume"), history.place_events(events, linked))
+    """From an archive (date, symbol, isin, open .. volume, value) to a universe without survivors' bias, at once.
+
+    ``universe_store`` publishes the same tables and brings them forward.
+    """
+    traded = rows.where("open > 0 and high > 0 and low > 0 and close > 0")
+    linked = history.one_a_day(history.entities(traded, max_gap_days))
     members = history.snapshots(linked.select("entity", "date", "value", "isin"), top_n, min_traded_pct)
-    kept = members.select("entity").distinct()
-    last = linked.join(kept, "entity", "left_semi").groupBy("entity").agg(
-        F.max_by(F.struct("symbol", "isin"), "date").alias("s"), F.min("date").alias("listed_date"), F.max("date").alias("last_date"), F.array_sort(F.collect_set("isin")).alias("isins")
-    )
-    names = last.select("entity", "s.symbol", "s.isin", "listed_date", "last_date", "isins")
-    return PointInTime(names, adjusted.join(kept, "entity", "left_semi"), applied, members)
+    kept = linked.join(members.select("entity").distinct(), "entity", "left_semi")
+    adjusted, applied = history.adjust(kept.select("entity", "date", "open", "high", "low", "close", "volume"), history.place_events(events, kept))
+    ordered = adjusted.withColumns({"high": F.greatest("high", "open", "close"), "low": F.least("low", "open", "close")})
+    return PointInTime(universe_store.entity_rows(kept), ordered, applied, members)
 
 
 def start_run(runs: DataFrame, week: str, started: str) -> DataFrame:

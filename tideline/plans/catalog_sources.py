@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from tideline.backtest import metrics as figures
 from tideline.backtest.store import Result, RunStore
 from tideline.operators import bars, jobs, trend
+from tideline.operators.universe_store import UniverseStore
 from tideline.plans import api
 from tideline.plans.catalog import _r, registered, rounded
+from tideline.plans.catalog_more import _HIST, _history
 from tideline.plans.oracle import query
 from tideline.sources import archive, files
-from tideline.sources.lineage import cut, shared_folder
+from tideline.sources.lineage import cut, shared_folder, version
 from tideline.sources.market import daily_returns, market, supplier_ticks, table, walk
 from tideline.streaming import live
 
@@ -78,6 +80,70 @@ def supplier_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(bars.weekly_bars(walk(daily_returns(supplier_ticks(spark, sf_dir)))))
 
 
+# ------------------------------------------------------ point-in-time tables
+
+
+_PIT: dict[tuple, UniverseStore] = {}
+
+
+def _universe(spark: SparkSession, sf_dir: str) -> UniverseStore:
+    """The universe of an archive with a split of every share in June 1998, published to 1997, then for 1998, then for what follows; once for a session and its file."""
+    key = (spark.sparkContext.applicationId, sf_dir, version(spark, f"{sf_dir}/lineitem.parquet"))
+    if key not in _PIT:
+        h = cut(_history(spark, sf_dir).groupBy("date", "symbol", "isin").agg(F.sum("value").alias("value")))
+        price = (F.col("value") + 100) * F.when((F.col("date") < "1998-06-01") & F.col("isin").isNotNull(), 2.0).otherwise(1.0)
+        rows = h.select("date", "symbol", "isin", "value", price.alias("open"), (price - 1).alias("high"), (price + 1).alias("low"), price.alias("close"), (F.col("value") * 10).alias("volume"))
+        events = h.where("isin is not null").groupBy("isin").agg(F.min("symbol").alias("symbol")).select("symbol", "isin", F.lit("1998-06-01").cast("date").alias("ex_date"), F.lit(0.5).alias("factor"))
+        made = UniverseStore(spark, _folder(spark, "universe"), 20, 10.0)
+        for years in ("date < '1998-01-01'", "year(date) = 1998", "date >= '1999-01-01'"):
+            made.publish(rows.where(years), events)
+        _PIT[key] = made
+    return _PIT[key]
+
+
+_PIT_SQL = """with recursive h as materialized (select date, symbol, isin, sum(value) as value, (sum(value) + 100) * case when date < date '1998-06-01' and isin is not null then 2.0::double else 1.0 end as price from {hist} group by date, symbol, isin),
+    pairs as materialized (select distinct symbol, isin from h), edges as materialized (select distinct a.symbol as a, b.symbol as b from pairs a join pairs b on a.isin = b.isin),
+    reach as (select symbol as a, symbol as b from pairs union select r.a, e.b from reach r join edges e on e.a = r.b), roots as materialized (select a as symbol, min(b) as root from reach group by 1),
+    days as (select root, date, coalesce(cast(date_diff('day', lag(date) over (partition by root order by date), date) > 365 as integer), 0) as new from (select distinct root, date from h join roots using (symbol))),
+    segments as materialized (select root, date, root || '#' || sum(new) over (partition by root order by date) as entity from days),
+    best as materialized (select h.*, s.entity from h join roots using (symbol) join segments s on s.root = roots.root and s.date = h.date qualify row_number() over (partition by s.entity, h.date order by value desc, symbol) = 1),
+    s as materialized (select distinct date from h), plan as materialized (select max(s.date) filter (s.date <= eff) as snapshot_date, ws, we, count(*) filter (s.date between ws and we) as n, min(s.date) as f, max(s.date) as l
+      from (select last_day(make_date(y, e, 1)) as eff, last_day(make_date(y, w, 1)) as we, cast(last_day(make_date(y, w, 1)) - interval 6 month as date) + 1 as ws from range(1990, 2003) t(y), (values (3, 1), (9, 7)) v(e, w)) cross join s group by eff, ws, we),
+    members as materialized (select snapshot_date, entity from (select snapshot_date, entity, count(distinct date) as days, sum(value) / n as v, n from best join plan on date between ws and we where isin like 'INE%' and ws >= f and snapshot_date > we and snapshot_date <= l group by snapshot_date, entity, n)
+      where days >= n * 10 / 100.0 qualify row_number() over (partition by snapshot_date order by v desc, entity) <= 20),
+    kept as materialized (select *, price / lag(price) over (partition by entity order by date) as gap from best where entity in (select entity from members)),
+    placed as (select entity, count(*) as k from (select isin, arg_min(entity, date) as entity from kept where isin is not null group by 1) group by 1),
+    applied as materialized (select * from (select entity, date, power(0.5, k) as factor, gap from kept join placed using (entity) where date between date '1998-06-01' and date '1998-07-01' qualify row_number() over (partition by entity order by date) = 1) where abs(ln(gap / factor)) < abs(ln(gap)))
+    """.replace("{hist}", _HIST)
+
+
+@registered(_PIT_SQL + "select entity, date, round(factor, 6) as factor, round(gap, 6) as gap from applied")
+def pit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Splits that the gap of their session confirms, after three publications."""
+    return rounded(_universe(spark, sf_dir).events())
+
+
+@registered(_PIT_SQL + "select * from members")
+def pit_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _universe(spark, sf_dir).members()
+
+
+@registered(_PIT_SQL + "select k.entity, k.date, round(price * m, 6) as open, round(price * m, 6) as close, round(greatest(price - 1, price) * m, 6) as high, round(least(price + 1, price) * m, 6) as low, round(value * 10 / m, 6) as volume from (select k.*, case when a.date > k.date then factor else 1 end as m from kept k left join applied a on a.entity = k.entity) k")
+def pit_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Adjusted bars, one a day for each entity that ever was a member."""
+    return rounded(_universe(spark, sf_dir).daily().drop("symbol"))
+
+
+@registered(
+    _PIT_SQL
+    + """, last as (select entity, arg_max(symbol, date) as symbol, arg_max(isin, date) as isin, min(date) as listed_date, max(date) as last_date, list_sort(list(distinct isin) filter (isin is not null)) as isins from kept group by 1)
+    select entity, case when row_number() over (partition by symbol order by last_date desc, entity) > 1 then symbol || '~' || extract('year' from last_date) else symbol end as symbol, case when row_number() over (partition by coalesce(isin, entity) order by last_date desc, entity) = 1 then isin end as isin,
+    listed_date, last_date, case when last_date < (select max(date) from kept) - 30 then 'delisted' else 'listed' end as status, isins from last"""
+)
+def pit_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _universe(spark, sf_dir).entities()
+
+
 # -------------------------------------------------------------- store of runs
 
 
