@@ -2,10 +2,12 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from tideline.functions.columns import one_decimal
 from tideline.operators import jobs
+from tideline.plans import api
 from tideline.plans.catalog_more import SUBJECTS
 from tideline.sources import files
 
@@ -92,3 +94,31 @@ def test_numbers_go_over_ranges(spark):
     rows = spark.range(5_000).select((F.col("id") * 7 % 5_000).alias("k")).repartition(6)
     got = jobs.numbered(rows, "k", "n")
     assert got.where("n <> k + 1").count() == 0 and got.count() == 5_000
+
+
+def test_model_portfolio_of_the_latest_run_by_the_rule(spark):
+    rule = '"entry_max_weeks_in_trend": 1, "min_score": 70, "top_n_sectors": 0, "sector_exit": false, "entry_filters": "tradeable"'
+    runs = [
+        (1, None, "{%s, \"max_positions\": 3, \"exit_score_below\": 40}" % rule, "2020-01-03"), (2, 7, "{%s}" % rule, "2020-01-10"), (3, None, "{%s, \"experiment\": \"e\"}" % rule, "2020-01-10"),
+        (4, None, "{%s, \"max_positions\": 3, \"exit_score_below\": 40, \"sizing\": \"fixed\", \"position_size\": 0, \"position_pct\": 5}" % rule, "2020-01-10"), (5, None, "{broken", "2020-01-10"), (6, None, "{%s}" % rule.replace("70", "60"), "2020-01-10"), (7, None, None, None),
+    ]
+    frame = spark.createDataFrame(runs, "id long, sweep_id int, params string, end_date string").selectExpr("id", "sweep_id", "params", "cast(end_date as date) as end_date")
+    run = api.model_run(frame, "2020-01-10")
+    got = run.first()
+    assert (got.id, got.stale, got.k, got.position_size, got.position_pct, got.add_capital, got.exit_score) == (4, False, 3, None, 5.0, False, 40.0)
+    trades = spark.createDataFrame(
+        [(4, s, "S", "I", None, 50.0, 1.0, r) for s, r in ((1, "end"), (2, "end"), (3, "end"), (4, "end"), (5, "stop"))] + [(1, 9, "S", "I", None, 1.0, 1.0, "end")],
+        "run_id long, symbol_id int, symbol string, industry string, entry_date date, entry_price double, qty double, exit_reason string",
+    )
+    week = spark.createDataFrame([(1, "Bullish", 60.0, 48.0, 80.0), (2, "Bearish", 60.0, None, 80.0), (3, "Bullish", 60.0, 0.0, 39.0)], "symbol_id int, direction string, price double, st_value double, stock_score double")
+    held = api.model_holdings(run, trades, week)
+    rows = {r.symbol_id: r for r in held.collect()}
+    assert {k: r.sell for k, r in rows.items()} == {1: False, 2: True, 3: True, 4: True}  # 4 is not in the week
+    assert rows[1].change_pct == pytest.approx(20.0) and rows[1].stop_dist_pct == pytest.approx(25.0) and rows[3].stop_dist_pct is None and rows[4].change_pct is None
+    signals = spark.createDataFrame([(1, "A", 90.0, "buy"), (2, "B", 95.0, "buy"), (3, "C", 70.0, "buy"), (4, "D", 99.0, "open")], "symbol_id int, symbol string, score double, state string")
+    assert [(r.symbol, r.free_slots) for r in api.model_buys(run, held, signals).orderBy("place").collect()] == [("B", 2), ("A", 2)]
+    unlimited = run.withColumn("k", F.lit(None).cast("int"))
+    assert api.model_buys(unlimited, held, signals).count() == 3
+    stale = api.model_run(frame, "2020-01-17")
+    assert stale.first().stale and api.model_holdings(stale, trades, week).count() == 0 and api.model_buys(stale, held, signals).count() == 0
+    assert api.model_run(frame.where("id > 4"), "2020-01-10").count() == 0

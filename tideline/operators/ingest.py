@@ -133,9 +133,10 @@ def refresh_members(old: DataFrame, new: DataFrame, today: str) -> DataFrame:
     return new.join(old.select("index_id", "symbol_id", "added_on"), ["index_id", "symbol_id"], "left").withColumn("added_on", F.coalesce("added_on", F.lit(today).cast("date")))
 
 
-def index_lists(members: DataFrame, indices: DataFrame) -> DataFrame:
-    """``symbol_id, index_list``: names by category, then id, joined by ``|``."""
-    named = members.join(indices, members.index_id == indices.id).select("symbol_id", "category", "id", "name")
+def index_lists(members: DataFrame, indices: DataFrame, exclude: tuple[str, ...] = ()) -> DataFrame:
+    """``symbol_id, index_list``: names by category, then id, joined by ``|``; without the indices named in ``exclude``."""
+    shown = indices.where(~F.col("name").isin(*exclude)) if exclude else indices
+    named = members.join(shown, members.index_id == shown.id).select("symbol_id", "category", "id", "name")
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("category", "id", "name"))), lambda s: s["name"])
     return named.groupBy("symbol_id").agg(F.array_join(ordered, "|").alias("index_list"))
 

@@ -86,6 +86,12 @@ def runs_as_of(runs: DataFrame, weeks: DataFrame, stale_weeks: int) -> DataFrame
     return ahead.join(F.broadcast(weeks), "monday").where(F.col("st_week") >= F.date_sub("week_end_date", 7 * stale_weeks))
 
 
+def active_only(inputs: Market, symbols: DataFrame) -> Market:
+    """Inputs of the symbols that are active by ``symbols`` (symbol_id, is_active); benchmarks stay."""
+    active = symbols.where("is_active").select("symbol_id")
+    return Market(inputs.symbols.join(active, "symbol_id", "left_semi"), inputs.daily.join(active, "symbol_id", "left_semi"), inputs.benchmark)
+
+
 def scan(inputs: Market, cfg: Config, *, members: DataFrame | None = None, exclusions: DataFrame | None = None, index_lists: DataFrame | None = None, benchmark: str = "ALL") -> Scan:
     """Stocks, sectors and regime of every week.
 

@@ -231,9 +231,30 @@ def sector_detail(panels: DataFrame, industry: str, week: str, weeks: int = 156)
     return panels.where((F.col("industry") == industry) & (F.col("week_end_date") <= F.lit(week).cast("date"))).orderBy(F.desc("week_end_date")).limit(weeks).select("week_end_date", "index_value", "bench_value", "st_breadth")
 
 
-def stock_detail(daily: DataFrame, symbol_id: int, days: int = 520) -> DataFrame:
-    """Newest bars of one symbol with averages over its stored closes."""
-    return plain_averages(daily.where(F.col("symbol_id") == symbol_id)).orderBy(F.desc("date")).limit(days)
+def _until(rows: DataFrame, column: str, until: str | None) -> DataFrame:
+    return rows if until is None else rows.where(F.col(column) <= F.lit(until).cast("date"))
+
+
+def stock_detail(daily: DataFrame, symbol_id: int, days: int = 520, until: str | None = None) -> DataFrame:
+    """Newest bars of one symbol, up to a date, with averages over its stored closes."""
+    return plain_averages(_until(daily.where(F.col("symbol_id") == symbol_id), "date", until)).orderBy(F.desc("date")).limit(days)
+
+
+def stock_weeks(weekly: DataFrame, series: DataFrame, symbol_id: int, until: str | None = None) -> DataFrame:
+    """Weekly bars of one symbol, up to a date, with the trend where it has one."""
+    own = lambda df, *c: _until(df.where(F.col("symbol_id") == symbol_id), "week_end_date", until).select("week_end_date", *c)
+    return own(weekly, "open", "high", "low", "close", "volume").join(own(series, "st_value", "direction"), "week_end_date", "left")
+
+
+#: Weeks of a symbol's history that are shown, and that are walked so that the first of them have a state; fixed values.
+HISTORY_WEEKS, WALKED_WEEKS = 52, 156
+
+
+def stock_history(stocks: DataFrame, symbol_id: int, until: str | None = None) -> DataFrame:
+    """Newest scan weeks of one symbol with the state of the entry rule in each; the rule is out before the weeks that are walked."""
+    walked = _until(stocks.where(F.col("symbol_id") == symbol_id), "week_end_date", until).orderBy(F.desc("week_end_date")).limit(WALKED_WEEKS)
+    shown = walked.select("symbol_id", "week_end_date", "direction", "grade", "stock_score", "qualified", "sector_rank", "price")
+    return shown.join(states(walked), ["symbol_id", "week_end_date"]).orderBy(F.desc("week_end_date")).limit(HISTORY_WEEKS)
 
 
 def rebased(rows: DataFrame, key: str, date: str, value: str) -> DataFrame:
@@ -258,6 +279,50 @@ def portfolio(trades: DataFrame, stocks: DataFrame, exit_score: float) -> DataFr
     return joined.select("symbol_id", "symbol", "industry", "entry_date", "entry_price", "qty", "stock_score", "price", "stop", sell.alias("sell"), ((F.try_divide("price", "entry_price") - 1) * 100).alias("change_pct"))
 
 
+#: Newest runs outside sweeps among which the model's run is looked for; a fixed value.
+MODEL_RUNS = 150
+
+
+def model_run(runs: DataFrame, week: str) -> DataFrame:
+    """The newest run of the entry rule: ``id, end_week, stale, k, position_size, position_pct, add_capital, exit_score``, one row or none.
+
+    ``runs`` is ``id, sweep_id, params`` (JSON) and ``end_date``; experiments
+    are passed over.  A run that ends in another week is stale.  ``k`` is the
+    most positions, NULL without a limit.
+    """
+    newest = runs.where("sweep_id is null").orderBy(F.desc("id")).limit(MODEL_RUNS).withColumn("_p", F.try_parse_json("params"))
+    p = lambda name, kind: F.try_variant_get("_p", f"$.{name}", kind)
+    named = F.coalesce(p("experiment", "string"), F.lit("")) != ""
+    rule = (
+        (p("entry_max_weeks_in_trend", "double") == RULE["max_weeks"]) & (p("min_score", "double") == RULE["min_score"]) & (p("top_n_sectors", "double") == 0) & ~p("sector_exit", "boolean") & (p("entry_filters", "string") == "tradeable")
+    )
+    fixed = lambda name: F.when((p("sizing", "string") == "fixed") & (p(name, "double") > 0), p(name, "double"))
+    found = newest.where(truth(rule) & ~named).orderBy(F.desc("id")).limit(1)
+    return found.select(
+        "id", F.col("end_date").alias("end_week"), (~F.col("end_date").eqNullSafe(F.lit(week).cast("date"))).alias("stale"), F.when(p("max_positions", "int") > 0, p("max_positions", "int")).alias("k"),
+        fixed("position_size").alias("position_size"), fixed("position_pct").alias("position_pct"), truth(p("add_capital", "boolean")).alias("add_capital"), F.coalesce(p("exit_score_below", "double"), F.lit(0.0)).alias("exit_score"),
+    )
+
+
+def model_holdings(run: DataFrame, trades: DataFrame, stocks: DataFrame) -> DataFrame:
+    """Positions the model's run (one row of ``model_run``) still held at its end, against the week's rows; a stale run has none."""
+    held = trades.where("exit_reason = 'end'").join(F.broadcast(run.where("not stale").select(F.col("id").alias("run_id"), "exit_score")), "run_id")
+    now = stocks.select("symbol_id", "direction", "price", F.col("st_value").alias("stop"), F.col("stock_score").alias("score"))
+    sell = ~truth(F.col("direction") == "Bullish") | truth((F.col("exit_score") > 0) & (F.col("score") < F.col("exit_score")))
+    per_cent = lambda a, b: (F.try_divide(a, b) - 1) * 100
+    return held.join(now, "symbol_id", "left").select(
+        "run_id", "symbol_id", "symbol", "industry", "entry_date", "entry_price", "qty", "score", "price", "stop", sell.alias("sell"), per_cent("price", "entry_price").alias("change_pct"), per_cent("price", "stop").alias("stop_dist_pct")
+    )
+
+
+def model_buys(run: DataFrame, holdings: DataFrame, signals: DataFrame) -> DataFrame:
+    """``symbol_id, symbol, score, place, free_slots``: the week's buys, best score first, as many as the model has slots for; all without a limit (NULL slots)."""
+    kept = holdings.agg(F.count_if(~F.col("sell")).alias("_kept"))  # one row
+    slots = run.where("not stale").join(kept).select((F.col("k") - F.col("_kept")).alias("free_slots"))
+    buys = signals.where("state = 'buy'").select("symbol_id", "symbol", "score", F.row_number().over(Window.orderBy(F.desc("score"), "symbol")).alias("place"))  # some rows of one week
+    return buys.join(F.broadcast(slots)).where("free_slots is null or place <= free_slots")
+
+
 def list_runs(runs: DataFrame, complete_only: bool = False) -> DataFrame:
     """Runs, newest week first."""
     return (runs.where("status = 'complete'") if complete_only else runs).orderBy(F.desc("week_end_date"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideline.backtest import metrics as figures
@@ -12,9 +12,9 @@ from tideline.backtest import study
 from tideline.operators import bars, checks, history, ingest, jobs, scan, trend
 from tideline.plans import api
 from tideline.plans.catalog import TURNOVER, _r, registered, rounded, scan_config
-from tideline.plans.oracle import query
+from tideline.plans.oracle import CTES, query
 from tideline.sources import files, store
-from tideline.sources.lineage import shared_folder, version
+from tideline.sources.lineage import cut, shared_folder, version
 from tideline.sources.market import market, table
 from tideline.streaming import live
 
@@ -588,6 +588,100 @@ def api_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(api.stock_detail(market(spark, sf_dir).daily, 23))
 
 
+@registered(query(f"select w.week_end_date, {_r('open high low').replace('round(', 'round(w.')}, round(w.close, 6) as close, w.volume, round(s.st_value, 6) as st_value, s.direction from weekly w left join series s on s.symbol_id = w.symbol_id and s.week_end_date = w.week_end_date where w.symbol_id = 23 and w.week_end_date <= date '2000-06-30'", ["weekly", "series"]))
+def api_stock_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weekly bars and trend of one symbol up to a date."""
+    weekly = bars.weekly_bars(market(spark, sf_dir).daily.where("symbol_id = 23"))
+    return rounded(api.stock_weeks(weekly, trend.trend(weekly), 23, "2000-06-30"))
+
+
+@registered(
+    _with(
+        query("select w.week_end_date, r.direction, r.shown as stock_score, r.qualified, cast(r.sector_rank as integer) as sector_rank, w.label from walk w join rule_rows r on r.symbol_id = 23 and r.week_end_date = w.week_end_date order by 1 desc limit 52", ["scored"], turnover=TURNOVER),
+        f"""{_RULE_ROWS}, walked as materialized (select * from rule_rows where symbol_id = 23 and week_end_date <= date '2000-06-30' order by week_end_date desc limit 156), steps as (select week_end_date, coalesce(entry, false) as entry, coalesce(leave, false) as leave, row_number() over (order by week_end_date) as n from walked),
+        walk as (select week_end_date, n, case when entry then 'buy' end as label, entry as held from steps where n = 1
+          union all select s.week_end_date, s.n, case when w.held and s.leave then 'sell' when w.held then 'hold' when s.entry then 'buy' end, (w.held and not s.leave) or (not w.held and s.entry) from walk w join steps s on s.n = w.n + 1)""",
+    )
+)
+def api_stock_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A year of one symbol's scans up to a date, with the state of the entry rule in each week."""
+    rows = api.stock_history(_stocks(spark, sf_dir), 23, "2000-06-30")
+    return rows.select("week_end_date", "direction", "stock_score", "qualified", F.col("sector_rank").cast("int").alias("sector_rank"), "label")
+
+
+def _model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A run for every customer, in sweeps and experiments or by the entry rule, and a trade for every order."""
+    k, when = F.col("c_custkey"), F.when
+    params = F.struct(
+        when(k % 7 == 3, 1).otherwise(2).alias("entry_max_weeks_in_trend"), F.lit(70.0).alias("min_score"), F.lit(0).alias("top_n_sectors"), F.lit(False).alias("sector_exit"), F.lit("tradeable").alias("entry_filters"), when(k % 2 == 0, "e").alias("experiment"),
+        (k % 30).alias("max_positions"), F.lit("fixed").alias("sizing"), (k * 1000).alias("position_size"), (k % 60).alias("exit_score_below"), (k % 4 == 1).alias("add_capital"),
+    )
+    runs = table(spark, sf_dir, "customer").select(k.cast("long").alias("id"), when(k % 5 == 0, F.col("c_nationkey")).alias("sweep_id"), F.to_json(params).alias("params"), F.lit("1999-06-04").cast("date").alias("end_date"))
+    o = F.col("o_orderkey")
+    trades = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").cast("long").alias("run_id"), ((o % 5 + 1) * 10 + F.floor(o / 5) % 5 + 1).cast("int").alias("symbol_id"), F.lit("A").alias("symbol"), F.lit("B").alias("industry"), F.to_date("o_orderdate").alias("entry_date"),
+        (o % 50 + 50).cast("double").alias("entry_price"), (o % 90).cast("double").alias("qty"), when(F.col("o_orderstatus") == "F", "stop").otherwise("end").alias("exit_reason"),
+    )
+    return runs, trades
+
+
+_MODEL_SQL = "(select * from (select c_custkey as k, c_custkey % 5 = 0 as swept from customer) where not swept order by k desc limit 150)"
+_MODEL_RUN = f"(select k from {_MODEL_SQL} where k % 7 = 3 and k % 2 = 1 order by k desc limit 1)"
+
+
+@registered(f"select k as id, date '1999-06-04' as end_week, false as stale, cast(nullif(k % 30, 0) as integer) as k, cast(k * 1000 as double) as position_size, cast(null as double) as position_pct, k % 4 = 1 as add_capital, cast(k % 60 as double) as exit_score from {_MODEL_RUN}")
+def api_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The run that the model portfolio is of."""
+    return api.model_run(_model(spark, sf_dir)[0], "1999-06-04")
+
+
+@registered(
+    query(
+        f"""select run_id, t.symbol_id, entry_date, entry_price, qty, s.shown as score, round(s.price, 5) as price, round(s.st_value, 5) as stop, not coalesce(s.direction = 'Bullish', false) or coalesce(run_id % 60 > 0 and s.shown < run_id % 60, false) as sell, round((s.price / entry_price - 1) * 100, 5) as change_pct, round((s.price / s.st_value - 1) * 100, 5) as stop_dist_pct
+        from (select o_custkey as run_id, cast((o_orderkey % 5 + 1) * 10 + (o_orderkey // 5) % 5 + 1 as integer) as symbol_id, cast(o_orderdate as date) as entry_date, cast(o_orderkey % 50 + 50 as double) as entry_price, cast(o_orderkey % 90 as double) as qty from orders where o_orderstatus <> 'F' and o_custkey = (select k from {_MODEL_RUN})) t
+        left join (select *, round_even(stock_score * 100, 0) / 100 as shown from scored where week_end_date = date '1999-06-04') s on s.symbol_id = t.symbol_id""",
+        ["scored"], turnover=TURNOVER,
+    )
+)
+def api_model_holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the model portfolio still holds, against the week in which its run ends."""
+    runs, trades = _model(spark, sf_dir)
+    week = _stocks(spark, sf_dir).where("week_end_date = date '1999-06-04'")
+    return rounded(api.model_holdings(api.model_run(runs, "1999-06-04"), trades, week).drop("symbol", "industry"), 5)
+
+
+@registered(
+    _with(
+        query("select symbol_id, week_end_date, rs_rating, f_not_asm, index_list from rated", ["base", "daily"], turnover=TURNOVER),
+        """months as materialized (select min(date) as d, extract('month' from min(date)) as m from daily group by date_trunc('month', date)), quarters as materialized (select min(date) as d, extract('quarter' from min(date)) as q from daily group by date_trunc('quarter', date)),
+        at_week as materialized (select w.week_end_date, (select arg_max(m, d) from months where d <= w.week_end_date + 7) as m, (select arg_max(q, d) from quarters where d <= w.week_end_date) as q from (select distinct week_end_date from base) w),
+        chosen as materialized (select b.*, b.symbol_id % 4 <> m % 4 as f_not_asm, case when b.symbol_id % 2 = 0 then 'All|Even' else 'All' end as index_list from base b join at_week using (week_end_date) where b.symbol_id % 6 <> 0 and (b.symbol_id + q) % 3 <> 0),
+        rated_base as materialized ("""
+        + CTES["rs_base"][1].replace("from base", "from chosen")
+        + "), rated as ("
+        + CTES["rs"][1].replace("from rs_base", "from rated_base")
+        + ")",
+    )
+)
+def scan_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scan of active symbols only, each week of that quarter's members, with monthly exclusions and index names of which one is left out."""
+    m = market(spark, sf_dir)
+    ids = m.symbols.select("symbol_id", (F.col("symbol_id") % 6 != 0).alias("is_active"))
+    daily = cut(m.daily.select("symbol_id", "date"))
+
+    def every(unit: str, kept: Column) -> DataFrame:
+        """Symbols that traded in a month or quarter, with its first session."""
+        cells = daily.withColumn("cell", F.date_trunc(unit, "date"))
+        return cells.select("symbol_id", "cell").distinct().join(cells.groupBy("cell").agg(F.min("date").alias("d")), "cell").where(kept)
+
+    members = every("quarter", (F.col("symbol_id") + F.quarter("d")) % 3 != 0).select(F.col("d").alias("snapshot_date"), "symbol_id")
+    listed = every("month", F.col("symbol_id") % 4 == F.month("d") % 4).select(F.col("d").alias("as_of_date"), "symbol_id")
+    indices = spark.createDataFrame([(1, "All", "broad"), (2, "Even", "sectoral"), (3, "Hidden", "broad")], "id int, name string, category string")
+    named = m.symbols.select("symbol_id", F.explode(F.when(F.col("symbol_id") % 2 == 0, F.array(F.lit(1), F.lit(2), F.lit(3))).otherwise(F.array(F.lit(1), F.lit(3)))).alias("index_id"))
+    done = scan.scan(scan.active_only(m, ids), scan_config(), members=members, exclusions=listed, index_lists=ingest.index_lists(named, indices, ("Hidden",)))
+    return done.stocks.select("symbol_id", "week_end_date", "rs_rating", "f_not_asm", "index_list")
+
+
 @registered(query("select symbol_id, date, round(close / first_value(close) over (partition by symbol_id order by date) * 100, 6) as close_rebased from daily", ["daily"]))
 def api_rebased(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(api.rebased(market(spark, sf_dir).daily, "symbol_id", "date", "close").select("symbol_id", "date", "close_rebased"))
