@@ -610,6 +610,43 @@ def test_license_inheritance_from_the_nearest_directory(spark, nothing):
     assert licenses.scan(nothing.withColumn("path", F.lit("a/b"))).count() == 0
 
 
+def test_only_license_files_speak_for_a_directory(spark):
+    full = {name: text for name, text in licenses.templates() if len(text) > 500}
+    apache = "# Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.\n# You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0\n"
+    tree = {  # path: text, license, directory it comes from
+        "LICENSE": (full["MIT"], "MIT", None),
+        "readme.md": (PROSE, "MIT", ""),
+        "src/a.py": (apache + "run()\n" * 3, "Apache-2.0", None),  # a header of most of its words
+        "src/b.py": (PROSE, "MIT", ""),
+        "src/deep/c.py": (PROSE, "MIT", ""),
+        "src/deep/d.py": ("// SPDX-License-Identifier: MPL-2.0", "MPL-2.0", None),  # nothing but a tag
+        "src/deep/e.py": (PROSE, "MIT", ""),
+        "lib/COPYING.txt": ("GNU General Public License version 3", "GPL-3.0", None),  # short, but by its name
+        "lib/f.c": (PROSE, "GPL-3.0", "lib"),
+        "lib/inner/g.c": (PROSE, "GPL-3.0", "lib"),
+        "lib/inner/h.c": (apache + PROSE, "Apache-2.0", None),
+        "lib/inner/i.c": ("", "GPL-3.0", "lib"),
+        "vendor/x/legal": (full["BSD-3-Clause"], "BSD-3-Clause", None),  # by its text
+        "vendor/x/j.c": (PROSE, "BSD-3-Clause", "vendor/x"),
+        "vendor/k.c": (PROSE, "MIT", ""),
+        "vendor/x/y/z/l.c": (None, "BSD-3-Clause", "vendor/x"),
+        "vendor/y/LICENCE": (PROSE, "MIT", ""),  # the name alone is no license
+        "vendor/y/m.c": (PROSE, "MIT", ""),
+        "vendor/y/licenses/n.c": (apache + PROSE, "Apache-2.0", None),  # a folder's name is no file's
+        "vendor/y/licenses/o.c": (PROSE, "MIT", ""),
+    }
+    rows = [(i, text, path) for i, (path, (text, _, _)) in enumerate(tree.items())]
+    got = {r.path: (r.license, r.inherited_from) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, path string")).collect()}
+    assert got == {path: (name, place) for path, (_, name, place) in tree.items()}
+
+
+def test_a_header_has_no_heirs(spark):
+    header = "# Licensed under the Apache License, Version 2.0.\nimport x\nrun(x)\n"
+    rows = [(0, header, "a/s.py"), *((i, "code " * 9, f"a/{i}.py") for i in range(1, 201))]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, path string"))
+    assert got.where("license is not null").count() == 1
+
+
 def test_quotes(spark):
     rows = [
         (1, 0, "user", "Hello there\nHow are you?"), (1, 1, "bot", "> hello  THERE\n> How are you?\nFine, thanks."), (1, 2, "user", "> > Hello there\n> > How are you?\n> Fine, thanks.\nGood.\n\nAnd now?"),

@@ -3,9 +3,10 @@
 A text is compared line by line (short notices), paragraph by paragraph
 (standard headers of several lines) and as a whole (license texts) with
 templates of all three kinds; its own license is the best one at or above
-``THRESHOLD``.  A text that is a license text as a whole, or most of whose
-words are in notices and headers, is a license *file* and speaks for its
-directory; documents without a license of their own take that of the nearest
+``THRESHOLD``.  A text that as a whole is like a full license text, or that
+has a license and the file name of one, is a license *file* and speaks for its
+directory; a notice or header in a source file never does, however short the
+file is.  Documents without a license of their own take that of the nearest
 ancestor directory that has such a file, found by equality joins on the
 ancestors' paths.
 """
@@ -27,9 +28,10 @@ from pyspark.sql import functions as F
 from . import vec
 from .store import written
 
-#: Least cosine of a line, paragraph or text to a template, and share of a text's words in notices that makes it a license file.
+#: Least cosine of a line, paragraph or text to a template.
 THRESHOLD = 0.75
-FILE_SHARE = 0.5
+#: Names of license files, in either case; fixed values.
+FILE_NAME = r"(?i)(^|/)(un)?(licen[cs]e|copying|copyright|notice)[^/]*$"
 
 #: Short notices and standard headers that licenses ask for; fixed values.
 NOTICES = {
@@ -99,6 +101,12 @@ def templates() -> list[tuple[str, str]]:
     return out
 
 
+@functools.cache
+def full_texts() -> int:
+    """How many of the templates, the last ones, are full license texts."""
+    return len(templates()) - sum(len(notices) + (name != "Proprietary") for name, notices in NOTICES.items())
+
+
 @functools.cache
 def vocabulary() -> list[str]:
     return sorted({w for _, text in templates() for w in words_of(text)})
@@ -119,8 +127,8 @@ class Matcher:
                 rows[self.at[w], j] = k * self.idf[self.at[w]]
         self.matrix = rows / np.sqrt((rows**2).sum(0))
 
-    def best(self, words: list[str]) -> tuple[float, str]:
-        """Highest cosine and its license; of equal ones the first template."""
+    def best(self, words: list[str]) -> tuple[float, str, float]:
+        """Highest cosine and its license, of equal ones the first template; and the highest to a full license text."""
         known, weight, square = [], [], 0.0
         for w, k in Counter(words).items():
             i = self.at.get(w)
@@ -130,24 +138,23 @@ class Matcher:
                 known.append(i)
                 weight.append(k * self.idf[i])
         if not known:
-            return 0.0, ""
+            return 0.0, "", 0.0
         value = np.array(weight)
         score = value @ self.matrix[known] / np.sqrt(square + (value**2).sum())
-        return float(score.max()), self.names[int(score.argmax())]
+        return float(score.max()), self.names[int(score.argmax())], float(score[-full_texts() :].max())
 
     def judge(self, text: str) -> tuple[str | None, float, bool]:
-        """Own license of a text, its cosine (0 without), and whether the text is a license file."""
+        """Own license of a text, its cosine (0 without), and whether the whole is a full license text."""
         found: list[tuple[float, str]] = []
 
-        def look(words: list[str]) -> bool:
-            cosine, name = self.best(words)
+        def look(words: list[str]) -> float:
+            cosine, name, to_full = self.best(words)
             if cosine >= THRESHOLD:
                 found.append((cosine, name))
-            return cosine >= THRESHOLD
+            return to_full
 
         words = [words_of(line) for line in text.split("\n")]
-        every = sum(map(len, words))
-        covered, paragraph = 0, []
+        paragraph: list[list[str]] = []
         for line in [*words, []]:
             if line:
                 paragraph.append(line)
@@ -155,14 +162,16 @@ class Matcher:
             if paragraph:
                 joined = [w for part in paragraph for w in part]
                 if _MARKER.search(" ".join(joined)):
-                    alone = [len(part) for part in paragraph if _MARKER.search(" ".join(part)) and look(part)]
-                    covered += len(joined) if look(joined) else sum(alone)
+                    for part in paragraph:
+                        if _MARKER.search(" ".join(part)):
+                            look(part)
+                    look(joined)
                 paragraph = []
-        whole = every > 0 and look([w for line in words for w in line])
+        whole = look([w for line in words for w in line])
         if not found:
             return None, 0.0, False
         cosine, name = max(found, key=lambda f: f[0])
-        return name, cosine, whole or covered >= FILE_SHARE * every
+        return name, cosine, whole >= THRESHOLD
 
 
 def _vocabulary_hashes() -> tuple[np.ndarray, np.ndarray]:
@@ -232,7 +241,9 @@ def scan(docs: DataFrame) -> DataFrame:
     no directory and inherits nothing.  Repeated rows get one result each; an
     empty table gives an empty result.
     """
-    own = written(docs.select("doc_id", "text", "path").mapInArrow(_scan(matcher_for(docs)), "doc_id long, path string, own_license string, cosine double, is_file boolean"))
+    scanned = docs.select("doc_id", "text", "path").mapInArrow(_scan(matcher_for(docs)), "doc_id long, path string, own_license string, cosine double, is_file boolean")
+    named = F.col("own_license").isNotNull() & F.coalesce(F.col("path").rlike(FILE_NAME), F.lit(False))
+    own = written(scanned.withColumn("is_file", F.col("is_file") | named))
     directory = F.element_at(ancestors(F.col("path")), 1)
     files = own.where("is_file and path is not null")
     by_directory = files.groupBy(directory.alias("directory")).agg(F.min_by("own_license", F.struct(-F.col("cosine"), "own_license")).alias("directory_license"))
