@@ -201,6 +201,22 @@ def test_sharding_of_repeated_rows_and_clashing_names(spark):
     assert sum(map(len, slots.values())) == 3000 and all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_sharding_spreads_exactly_what_is_repeated_beyond_the_limit(spark):
+    keys = F.expr("case when id < 5000 then 1 when id < 6024 then 2 when id < 7049 then 3 else id end").alias("_key")
+    got = sharding._salted(spark.range(40_000).select(keys, "id"), 256)
+    groups = {(r._key, r._salt): r.n for r in got.groupBy("_key", "_salt").agg(F.count("*").alias("n")).collect()}
+    assert sum(groups.values()) == 40_000 and len({k for k, _ in groups}) == 40_000 - 7049 + 3
+    assert groups[2, 0] == 1024 and {k for k, s in groups if s} == {1, 3}
+    assert sum(k == 1 for k, _ in groups) == 20 and sum(k == 3 for k, _ in groups) == 5 and max(n for (k, _), n in groups.items() if k in (1, 3)) < 2 * 256
+
+
+def test_sharding_of_one_record_a_hundred_thousand_times(spark):
+    placed = sharding.sharded(spark.range(100_000).selectExpr("7L as doc_id", "'same' as text", "id"), 16)
+    assert placed.select("shard").distinct().count() == 1
+    slots = placed.agg(F.min("slot"), F.max("slot"), F.countDistinct("slot"), F.countDistinct("id")).first()
+    assert tuple(slots) == (0, 99_999, 100_000, 100_000)
+
+
 def test_sharding_slots_are_those_of_a_plain_shuffle(spark):
     rows = [(i, f"text {i}") for i in range(40)] + [(None, None)]
     got = sharding.sharded(spark.createDataFrame(rows, "doc_id long, text string"), 2, 8).collect()

@@ -18,8 +18,8 @@ from .store import shuffle_partitions, written
 #: Records and bytes of text a bucket holds on average, at most.
 BUCKET_ROWS, BUCKET_BYTES = 256, 1 << 22
 SEED = 1_729
-#: Counters that tell records which are repeated very often.
-COUNTERS = 1 << 14
+#: Buckets a record's repeats may fill before they are spread.
+REPEATED_BUCKETS = 4
 #: Buckets a task works through, at most on average.
 TASK_BUCKETS = 128
 
@@ -56,21 +56,21 @@ def fisher_yates(size: Column, *key: Column) -> Column:
 
 
 def _salted(keyed: DataFrame, bucket_rows: int) -> DataFrame:
-    """``_salt``: 0, but for records that are repeated very often a hash of the record's number.
+    """``_salt``: 0, but for records repeated more than ``REPEATED_BUCKETS * bucket_rows`` times a hash of the record's number.
 
-    Repeats are counted in ``COUNTERS`` counters, so what is brought here has
-    a fixed size.  Only where there are some the records are kept, as their
-    numbers must be the same when they are counted and when they are placed.
+    Repeats are counted exactly, by key, whatever the size of the table.  The
+    keys above the limit are written; Spark broadcasts them by the size of
+    what was written, or sorts both sides and splits the hot ones.  Only where
+    there are some the records are kept, as their numbers must be the same
+    when they are counted and when they are placed.
     """
-    counter = F.pmod("_key", F.lit(COUNTERS))
-    seen = keyed.groupBy(counter.alias("counter")).agg(F.count("*").alias("n"))
-    most = max(4 * bucket_rows, 8 * keyed.count() // COUNTERS)
-    often = {r.counter: -(-r.n // bucket_rows) for r in seen.where(F.col("n") > most).collect()}
-    if not often:
+    seen = keyed.groupBy("_key").agg(F.count("*").alias("_n")).where(F.col("_n") > REPEATED_BUCKETS * bucket_rows)
+    often = written(seen.select("_key", F.ceil(F.col("_n") / bucket_rows).alias("_parts")))
+    if often.isEmpty():
         return keyed.withColumns({"_salt": F.lit(0).cast("long"), "_row": F.lit(0).cast("long")})
-    numbered = written(keyed.withColumn("_row", F.monotonically_increasing_id()))
-    parts = F.get(F.lit(list(often.values())), (F.array_position(F.lit(list(often)), counter) - 1).cast("int"))
-    return numbered.withColumn("_salt", F.when(counter.isin(list(often)), F.pmod(F.xxhash64(F.lit(SEED + 2), "_row"), parts.cast("long"))).otherwise(0))
+    numbered = written(keyed.withColumn("_row", F.monotonically_increasing_id())).join(often, "_key", "left")
+    salt = F.when(F.col("_parts").isNotNull(), F.pmod(F.xxhash64(F.lit(SEED + 2), "_row"), "_parts")).otherwise(F.lit(0).cast("long"))
+    return numbered.withColumn("_salt", salt).drop("_parts")
 
 
 def sharded(docs: DataFrame, shards: int, bucket_rows: int = BUCKET_ROWS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -81,7 +81,7 @@ def sharded(docs: DataFrame, shards: int, bucket_rows: int = BUCKET_ROWS, bucket
     here comes back as ``input_<name>``.  A shard has as many buckets as its
     own records and bytes need.  A record goes to a bucket by ``doc_id`` and
     text, so that the order does not depend on how the input is stored; a
-    record repeated very often goes to as many buckets as it fills.  A null
+    record repeated more than four buckets' rows goes to as many buckets as it fills.  A null
     ``doc_id`` is a key like any other, a null text is an empty one; an empty
     table gives an empty result.
     """
