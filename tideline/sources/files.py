@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -144,37 +145,53 @@ def _amount(text: Column, leading: bool = False) -> Column:
     return F.rtrim(number, F.lit(".")).try_cast("double")
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often ``then`` names it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def bonus_factor(subject: Column) -> Column:
     """``b / (a + b)`` of the first clause ``bonus a:b`` (also ``bonus issue a:b`` or ``bonus - a:b``), else 1."""
     clauses = F.slice(F.split(subject, BONUS), 2, 1 << 30)
+    bare = F.transform(clauses, lambda c: F.regexp_replace(c, "^(?: +issue)? *-? *", ""))
     # what a clause has on either side of its first colon: nothing but a number on the left, a number at the beginning on the right
-    bare = lambda c: F.regexp_replace(c, "^(?: +issue)? *-? *", "")
-    left = lambda c: F.rtrim(F.substring_index(bare(c), ":", 1))
-    right = lambda c: F.regexp_extract(F.substring(bare(c), F.instr(bare(c), ":") + 1, F.lit(1 << 30)), "^ *([0-9]+)", 1)
-    fits = F.filter(clauses, lambda c: c.contains(":") & left(c).rlike("^[0-9]+$") & (right(c) != ""))
-    a, b = left(F.get(fits, F.lit(0))).try_cast("double"), right(F.get(fits, F.lit(0))).try_cast("double")
-    return F.when((a > 0) & (b > 0), b / (a + b)).otherwise(1.0)
+    left = lambda c: F.rtrim(F.substring_index(c, ":", 1))
+    right = lambda c: F.regexp_extract(F.substring(c, F.instr(c, ":") + 1, F.lit(1 << 30)), "^ *([0-9]+)", 1)
+    sides = F.transform(F.filter(bare, lambda c: c.contains(":")), lambda c: F.struct(left(c).alias("a"), right(c).alias("b")))
+    first = F.get(F.filter(sides, lambda s: s["a"].rlike("^[0-9]+$") & (s["b"] != "")), F.lit(0))
+
+    def factor(side: Column) -> Column:
+        return F.when((side["a"] > 0) & (side["b"] > 0), side["b"] / (side["a"] + side["b"])).otherwise(1.0)
+
+    return _let(first, lambda s: _let(F.struct(s["a"].try_cast("double").alias("a"), s["b"].try_cast("double").alias("b")), factor))
 
 
 def split_factor(subject: Column) -> Column:
     """New over old face value of ``split .. Rs x .. to Rs y``, also of its other words, else 1; a number without a currency mark is no face value."""
     one = FACE_VALUE[0]
     named = reduce(lambda text, word: F.replace(text, F.lit(word), F.lit(one)), FACE_VALUE[1:], subject)
-    behind = F.substring(named, F.instr(named, one) + len(one), F.lit(1 << 30))
-    # pieces between the "to"s: the first with an amount, and the first after it that begins with one
-    pieces = F.transform(F.split(behind, "to"), lambda p: F.struct(_amount(p).alias("any"), _amount(p, True).alias("new")))
-    first = F.array_position(F.transform(pieces, lambda p: p["any"].isNotNull()), True).cast("int")
-    later = F.slice(pieces, first + 1, F.greatest(F.size(pieces) - first, F.lit(0)))
-    x, y = F.get(pieces, first - 1)["any"], F.get(F.filter(later, lambda p: p["new"].isNotNull()), F.lit(0))["new"]
-    return F.when((F.instr(named, one) > 0) & (first > 0) & (x > 0) & (y > 0), y / x).otherwise(1.0)
+
+    def after(text: Column) -> Column:
+        behind = F.substring(text, F.instr(text, one) + len(one), F.lit(1 << 30))
+        # pieces between the "to"s: the first with an amount, and the first after it that begins with one
+        return _let(F.transform(F.split(behind, "to"), lambda p: F.struct(_amount(p).alias("any"), _amount(p, True).alias("new"))), amounts)
+
+    def amounts(pieces: Column) -> Column:
+        return _let(F.array_position(F.transform(pieces, lambda p: p["any"].isNotNull()), True).cast("int"), lambda first: values(pieces, first))
+
+    def values(pieces: Column, first: Column) -> Column:
+        later = F.slice(pieces, first + 1, F.greatest(F.size(pieces) - first, F.lit(0)))
+        x, y = F.get(pieces, first - 1)["any"], F.get(F.filter(later, lambda p: p["new"].isNotNull()), F.lit(0))["new"]
+        return _let(F.struct(x.alias("x"), y.alias("y")), lambda v: F.when((first > 0) & (v["x"] > 0) & (v["y"] > 0), v["y"] / v["x"]).otherwise(1.0))
+
+    return _let(named, lambda text: F.when(F.instr(text, one) > 0, after(text)).otherwise(1.0))
 
 
 def price_factor(subject: Column) -> Column:
     """What prices before an action are multiplied by: for a bonus, for a new face value, or for both; NULL for neither, and for papers that are no shares."""
-    low = F.regexp_replace(F.lower(subject), r"\s+", " ")
-    other = reduce(lambda a, b: a | b, (low.contains(w) for w in NO_SHARES))
-    factor = bonus_factor(low) * split_factor(low)
-    return F.when(~other & (factor != 1.0), factor)
+    other = lambda low: reduce(lambda a, b: a | b, (low.contains(w) for w in NO_SHARES))
+    both = lambda low: _let(bonus_factor(low) * split_factor(low), lambda f: F.when(f != 1.0, f))
+    return _let(F.regexp_replace(F.lower(subject), r"\s+", " "), lambda low: F.when(~other(low), both(low)))
 
 
 def corporate_actions(feed: DataFrame, start: str, end: str) -> DataFrame:
