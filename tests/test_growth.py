@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from tideline.operators import history, jobs
+from tideline.operators.universe_store import UniverseStore
 from tideline.sources import files
 
 
@@ -11,3 +13,37 @@ def test_price_factor_computes_each_step_once(spark):
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert [plan.count(step) for step in ("lower(", "array_position(", "-? *")] == [1, 1, 1]
     assert [r.f for r in made.collect()] == [0.25, None]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _archive(spark):
+    rows = spark.range(600).selectExpr("date_add(date'2020-01-01', cast(id / 2 as int)) as date", "concat('T', id % 2) as symbol", "'INE000000001' as isin", "cast(id % 5 + 1 as double) as value")
+    bars = rows.select("date", "symbol", "isin", "value", *(F.lit(10.0).alias(c) for c in ("open", "high", "low", "close", "volume")))
+    return bars, spark.createDataFrame([("T0", "INE000000001", 0.5)], "symbol string, isin string, factor double").selectExpr("symbol", "isin", "date'2020-06-01' as ex_date", "factor")
+
+
+def _asked(monkeypatch):
+    seen = []
+    plain = history.snapshots
+    monkeypatch.setattr(history, "snapshots", lambda rows, *more: (seen.append(_plan(rows)), plain(rows, *more))[1])
+    return seen
+
+
+def test_publication_meets_bars_and_names_once(spark, monkeypatch, tmp_path):
+    seen = _asked(monkeypatch)
+    store = UniverseStore(spark, str(tmp_path / "universe"), 5, 10.0)
+    store.publish(*_archive(spark))
+    assert len(seen) == 1 and "Join" not in seen[0]
+    assert store.entities().count() == 1 and store.daily().count() == 300  # the more traded of two symbols a day
+    best = {r.date: r.volume for r in store.daily().collect()}
+    assert len(best) == 300 and not (tmp_path / "universe" / "ranked" / "version=1").exists()
+
+
+def test_point_in_time_links_rows_once(spark, monkeypatch):
+    seen = _asked(monkeypatch)
+    built = jobs.build_point_in_time(*_archive(spark), 5, 10.0)
+    assert len(seen) == 1 and "Window" not in seen[0] and "Join" not in seen[0]
+    assert built.entities.count() == 1 and built.daily.count() == 300

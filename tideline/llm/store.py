@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
+from pyspark.sql import SparkSession
 
-from pyspark.sql import DataFrame, SparkSession
-
-from tideline.sources.lineage import cut, shared_folder
+from tideline.sources.lineage import cut, exists, remove, shared_folder, written
 
 __all__ = ["cut", "exists", "remove", "shared_folder", "shuffle_partitions", "written"]
 
@@ -14,21 +12,3 @@ __all__ = ["cut", "exists", "remove", "shared_folder", "shuffle_partitions", "wr
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
-
-def written(df: DataFrame) -> DataFrame:
-    """``df`` computed once, written to the shared folder as Parquet and read again: smaller than a checkpoint, and outlives executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """A folder of this library's own that nothing reads any more."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

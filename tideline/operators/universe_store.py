@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideline.operators import history
-from tideline.sources.lineage import cut, exists, remove
+from tideline.sources.lineage import cut, exists, remove, written
 
 BARS = "symbol string, isin string, date date, open double, high double, low double, close double, volume double, value double"
 SUMMARY = "symbol string, isin string, first date, last date"
@@ -127,8 +127,9 @@ class UniverseStore:
         """Adjusted bars of all entities that ever were members; filters on ``date`` reach the scan."""
         run = self.run(version)
         at = run.version or None
-        rows = _linked(self._quarters("bars", BARS, run.parts), self._table("names", NAMES, at), self._table("hidden", HIDDEN, at))
-        kept = rows.join(self.entities(at).select("entity"), "entity", "left_semi")
+        # names of members only, so that no other bar goes on to the joins
+        names = self._table("names", NAMES, at).join(self.entities(at).select("entity"), "entity", "left_semi").select("symbol", "start", "end", "entity")
+        kept = _linked(self._quarters("bars", BARS, run.parts), names, self._table("hidden", HIDDEN, at))
         f = factors(self.events(at)).alias("f")
         met = kept.alias("b").join(f, (F.col("b.entity") == F.col("f.entity")) & (F.col("b.date") >= F.col("f.from")) & (F.col("b.date") < F.col("f.until")), "left")
         m = F.coalesce("f.m", F.lit(1.0))
@@ -149,18 +150,22 @@ class UniverseStore:
         version = before.version + 1
         fresh = self._stage(rows, version)
         parts = before.parts | {q: version for q in fresh}
-        summary = cut(self._quarters("summary", SUMMARY, parts))
-        self._write("names", spans(summary, self.max_gap_days), version)
+        self._write("names", spans(self._quarters("summary", SUMMARY, parts), self.max_gap_days), version)
         names = self.spark.read.schema(NAMES).parquet(f"{self.path}/names/version={version}")
         bars = self._quarters("bars", BARS, parts)
-        self._write("hidden", _doubles(bars, names, summary), version)
-        linked = _linked(bars, names, self.spark.read.schema(HIDDEN).parquet(f"{self.path}/hidden/version={version}"))
+        # all bars meet their names once; what follows reads the columns it needs
+        folder = f"{self.path}/ranked/version={version}"
+        _ranked(bars, names).write.mode("overwrite").option("compression", "zstd").parquet(folder)
+        ranked = self.spark.read.parquet(folder)
+        self._write("hidden", ranked.where("_n > 1").select("symbol", "date"), version)
+        linked = ranked.where("_n = 1").drop("_n")
         self._write("members", history.snapshots(linked.select("entity", "date", "value", "isin"), self.top_n, self.min_traded_pct), version)
         members = self.spark.read.schema(MEMBERS).parquet(f"{self.path}/members/version={version}")
-        kept = linked.join(members.select("entity").distinct(), "entity", "left_semi")
+        kept = written(linked.join(members.select("entity").distinct(), "entity", "left_semi"))
         self._write("entities", entity_rows(kept), version)
         self._write("events", _applied(kept, names, events), version)
         self._run_row(version, parts)
+        remove(self.spark, folder)
         return version
 
     def _run_row(self, version: int, parts: dict[str, int]) -> None:
@@ -205,20 +210,21 @@ class UniverseStore:
                 remove(self.spark, f"{self.path}/{table}/version={v}/quarter={q}")
 
 
-def _linked(bars: DataFrame, names: DataFrame, hidden: DataFrame) -> DataFrame:
-    """Bars with their entity, one a day: a symbol has a span for each of its entities, so it meets a handful."""
+def _placed(bars: DataFrame, names: DataFrame) -> DataFrame:
+    """Bars with their entity: a symbol has a span for each of its entities, so it meets a handful."""
     b, n = bars.alias("b"), names.alias("n")
-    met = b.join(n, (F.col("b.symbol") == F.col("n.symbol")) & F.col("b.date").between(F.col("n.start"), F.col("n.end"))).select("b.*", "n.entity")
-    return met.join(hidden, ["symbol", "date"], "left_anti")
+    return b.join(n, (F.col("b.symbol") == F.col("n.symbol")) & F.col("b.date").between(F.col("n.start"), F.col("n.end"))).select("b.*", "n.entity")
 
 
-def _doubles(bars: DataFrame, names: DataFrame, summary: DataFrame) -> DataFrame:
-    """``symbol, date`` of bars beside a more traded one of the same entity and day; only quarters in which an entity has several symbols are looked at."""
-    placed = summary.alias("b").join(names.alias("n"), (F.col("b.symbol") == F.col("n.symbol")) & F.col("b.first").between(F.col("n.start"), F.col("n.end")))
-    shared = placed.select("b.symbol", "b.quarter", "n.entity").distinct().withColumn("_k", F.count("*").over(Window.partitionBy("entity", "quarter"))).where("_k > 1").select("symbol", "quarter", "entity")
+def _ranked(bars: DataFrame, names: DataFrame) -> DataFrame:
+    """Bars with their entity and their place ``_n`` among its bars of the day, the most traded first."""
     w = Window.partitionBy("entity", "date").orderBy(F.desc_nulls_last("value"), "symbol")
-    ranked = bars.select("symbol", "quarter", "date", "value").join(shared, ["symbol", "quarter"]).withColumn("_n", F.row_number().over(w))
-    return ranked.where("_n > 1").select("symbol", "date")
+    return _placed(bars, names).withColumn("_n", F.row_number().over(w))
+
+
+def _linked(bars: DataFrame, names: DataFrame, hidden: DataFrame) -> DataFrame:
+    """Bars with their entity, one a day."""
+    return _placed(bars, names).join(hidden, ["symbol", "date"], "left_anti")
 
 
 def _applied(rows: DataFrame, names: DataFrame, events: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from tideline.plans.catalog import _r, registered, rounded
 from tideline.plans.catalog_more import _HIST, _history
 from tideline.plans.oracle import query
 from tideline.sources import archive, files
-from tideline.sources.lineage import cut, shared_folder, version
+from tideline.sources.lineage import cut, shared_folder, version, written
 from tideline.sources.market import daily_returns, market, supplier_ticks, table, walk
 from tideline.streaming import live
 
@@ -90,7 +90,7 @@ def _universe(spark: SparkSession, sf_dir: str) -> UniverseStore:
     """The universe of an archive with a split of every share in June 1998, published to 1997, then for 1998, then for what follows; once for a session and its file."""
     key = (spark.sparkContext.applicationId, sf_dir, version(spark, f"{sf_dir}/lineitem.parquet"))
     if key not in _PIT:
-        h = cut(_history(spark, sf_dir).groupBy("date", "symbol", "isin").agg(F.sum("value").alias("value")))
+        h = written(_history(spark, sf_dir).groupBy("date", "symbol", "isin").agg(F.sum("value").alias("value")))
         price = (F.col("value") + 100) * F.when((F.col("date") < "1998-06-01") & F.col("isin").isNotNull(), 2.0).otherwise(1.0)
         rows = h.select("date", "symbol", "isin", "value", price.alias("open"), (price - 1).alias("high"), (price + 1).alias("low"), price.alias("close"), (F.col("value") * 10).alias("volume"))
         events = h.where("isin is not null").groupBy("isin").agg(F.min("symbol").alias("symbol")).select("symbol", "isin", F.lit("1998-06-01").cast("date").alias("ex_date"), F.lit(0.5).alias("factor"))
