@@ -95,9 +95,10 @@ def snapshots(rows: DataFrame, top_n: int, min_traded_pct: float = 80.0) -> Data
 
     ``rows`` is ``entity, date, value, isin``; ties go to the smaller entity.
     """
+    # two rows a year: no bar is dealt by its month
     plan = rebalances(rows.select("date").distinct())
     shares = rows.where(F.col("isin").startswith("INE"))
-    inside = within(plan, shares, "window_start", "window_end")
+    inside = within(F.broadcast(plan), shares, "window_start", "window_end")
     g = inside.groupBy("snapshot_date", "sessions", "entity").agg(F.countDistinct("date").alias("days"), F.sum("value").alias("value"))
     eligible = g.where(F.col("days") >= F.col("sessions") * min_traded_pct / 100).withColumn("average", F.col("value") / F.col("sessions"))
     w = Window.partitionBy("snapshot_date").orderBy(F.desc("average"), "entity")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tideline.functions.columns import monday
 from tideline.operators import bars, checks, history, ingest, trend, universe_store
 from tideline.sources import files, store
-from tideline.sources.lineage import cut
+from tideline.sources.lineage import cut, written
 
 
 @dataclass(frozen=True)
@@ -246,7 +246,7 @@ def build_point_in_time(rows: DataFrame, events: DataFrame, top_n: int, min_trad
     ``universe_store`` publishes the same tables and brings them forward.
     """
     traded = rows.where("open > 0 and high > 0 and low > 0 and close > 0")
-    linked = history.one_a_day(history.entities(traded, max_gap_days))
+    linked = written(history.one_a_day(history.entities(traded, max_gap_days)))  # each table below is made of it
     members = history.snapshots(linked.select("entity", "date", "value", "isin"), top_n, min_traded_pct)
     kept = linked.join(members.select("entity").distinct(), "entity", "left_semi")
     adjusted, applied = history.adjust(kept.select("entity", "date", "open", "high", "low", "close", "volume"), history.place_events(events, kept))
