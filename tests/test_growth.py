@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tideline.operators import history, jobs
 from tideline.operators.universe_store import UniverseStore
 from tideline.sources import files
+from tideline.sources.market import market
 
 
 def test_price_factor_computes_each_step_once(spark):
@@ -47,3 +48,10 @@ def test_point_in_time_links_rows_once(spark, monkeypatch):
     built = jobs.build_point_in_time(*_archive(spark), 5, 10.0)
     assert len(seen) == 1 and "Window" not in seen[0] and "Join" not in seen[0]
     assert built.entities.count() == 1 and built.daily.count() == 300
+
+
+def test_market_goes_through_lines_once(spark):
+    m = market(spark, "/root/testdata/sf0.001")
+    assert not any("Join" in _plan(x) or "lineitem" in str(x.inputFiles()) for x in (m.daily, m.benchmark))
+    assert "RegExp" not in _plan(m.symbols) and "regexp" not in _plan(m.symbols)
+    assert m.daily.count() > 0 and m.symbols.count() == m.symbols.distinct().count()

@@ -14,12 +14,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tideline.sources.lineage import written
+
 BENCHMARKS = ("ALL", "ALL50")
 
 
 @dataclass(frozen=True)
 class Market:
-    """Inputs of the scan, all lazy."""
+    """Inputs of the scan."""
 
     symbols: DataFrame  # symbol_id, symbol, name, industry, shares_outstanding
     daily: DataFrame  # symbol_id, date, open, high, low, close, volume, delivery_pct
@@ -84,8 +86,9 @@ def benchmark(returns: DataFrame) -> DataFrame:
 
 
 def market(spark: SparkSession, sf_dir: str) -> Market:
-    returns = daily_returns(ticks(spark, sf_dir))
-    symbols = (
+    # bars, benchmark and symbols are each read by several parts of a plan; lines and parts are gone through once for them
+    returns = written(daily_returns(ticks(spark, sf_dir)))
+    symbols = written(
         table(spark, sf_dir, "part")
         .select(F.regexp_extract("p_brand", r"(\d+)$", 1).cast("int").alias("symbol_id"), F.col("p_brand").alias("symbol"))
         .distinct()
