@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tideline.llm import secrets
 from tideline.operators import history, jobs
 from tideline.operators.universe_store import UniverseStore
 from tideline.sources import files
@@ -55,3 +56,17 @@ def test_market_goes_through_lines_once(spark):
     assert not any("Join" in _plan(x) or "lineitem" in str(x.inputFiles()) for x in (m.daily, m.benchmark))
     assert "RegExp" not in _plan(m.symbols) and "regexp" not in _plan(m.symbols)
     assert m.daily.count() > 0 and m.symbols.count() == m.symbols.distinct().count()
+
+
+def test_secrets_network_learns_from_all_windows(spark, monkeypatch):
+    rows = spark.range(9000).selectExpr("id as doc_id", "concat('see run-', sha2(cast(id as string), 224), '_x of it') as text").selectExpr("doc_id", "translate(text, 'abcdef', 'ghijkl') as text")
+    seen, learnt, plain, learn = [], [], secrets._calibrated, secrets._learn
+    monkeypatch.setattr(secrets, "table_findings", None)
+    monkeypatch.setattr(secrets, "PASSES", 1)
+    monkeypatch.setattr(secrets, "_calibrated", lambda net, table, *more: (seen.append(int(table[:, 2].sum())), plain(net, table, *more))[1])
+    monkeypatch.setattr(secrets, "_learn", lambda *a: (learnt.append(1), learn(*a))[1])
+    windows = rows.select("text").mapInArrow(secrets._all_findings, "label int, at long, codes binary").distinct()
+    held = windows.where("pmod(xxhash64(codes), 4) = 0").count()
+    assert windows.count() >= 9000 and held > secrets.MOST_LABELLED
+    secrets.network_for(rows)
+    assert seen == [held] and learnt == [1]
