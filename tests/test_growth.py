@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tideline.llm import secrets
 from tideline.operators import history, jobs
 from tideline.operators.universe_store import UniverseStore
-from tideline.sources import files
+from tideline.sources import components, files
 from tideline.sources.market import market
 
 
@@ -70,3 +70,29 @@ def test_secrets_network_learns_from_all_windows(spark, monkeypatch):
     assert windows.count() >= 9000 and held > secrets.MOST_LABELLED
     secrets.network_for(rows)
     assert seen == [held] and learnt == [1]
+
+
+def test_rounds_of_components_have_partitions_by_rows_not_by_shuffle(spark, monkeypatch):
+    seen, cut = [], components.cut
+
+    def counted(df):
+        out = cut(df)
+        seen.append(out.rdd.getNumPartitions())
+        return out
+
+    monkeypatch.setattr(components, "cut", counted)
+    edges = spark.range(120).selectExpr("id + 1 as a", "id - id % 3 as b")  # chains of three nodes that meet
+    own = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "64")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        least = spark.sparkContext.defaultParallelism
+        for rows, parts in ((components.PARTITION_ROWS, least), (5, max(least, 24))):
+            monkeypatch.setattr(components, "PARTITION_ROWS", rows)
+            seen.clear()
+            got = components.connected_components(edges)
+            assert {r.node: r.component for r in got.collect()} == dict.fromkeys(range(121), 0)
+            assert got.rdd.getNumPartitions() <= parts and len(seen) >= 9 and max(seen[1:]) == parts
+    finally:
+        for k, v in own.items():
+            spark.conf.set(k, v)
