@@ -98,3 +98,9 @@ def test_a_landing_zone_puts_bad_lines_aside(spark, tmp_path):
     assert sorted((r.wanted.day, r.symbol, r.close) for r in got.rows.collect()) == [(2, "A", 5.0), (2, "D", 5.0), (3, "A", 5.0)]
     aside = sorted((r.wanted.day, r.reason, r.text.split(",")[0]) for r in got.quarantine.collect())
     assert aside == [(2, "close", "C"), (2, "date", "B"), (2, "fields", "A"), (2, "symbol", ""), (5, "fields", "one")]
+
+
+def test_newest_files_come_first(tmp_path):
+    for day in ("20240103", "20231229", "20240105"):
+        (tmp_path / f"{day}.zip").write_bytes(b"no zip")
+    assert [s.day for s in archive.ArchiveReader({"path": str(tmp_path)}).partitions()] == [DAY(2024, 1, 5), DAY(2024, 1, 3), DAY(2023, 12, 29)]

@@ -2,7 +2,9 @@
 
 ``spark.read.format("price_archive").load(folder)`` lists the folder once, makes
 a partition of each file whose date (in its name, ``yyyymmdd``) passes the
-filters on ``date``, and reads a file in blocks inside its own task.  A file
+filters on ``date``, and reads a file in blocks inside its own task.  The
+newest come first, so that of several files that can't be read the newest, the
+likeliest to be unfinished, is met and named first.  A file
 outside the dates is never opened.  Filters on ``date`` and ``series`` are
 pushed down, where the session allows it (:func:`register` does); ``start``,
 ``end`` and ``series`` can be given as options as well.
@@ -102,7 +104,7 @@ class ArchiveReader(DataSourceReader):
                 day = dt.datetime.strptime(name[1], "%Y%m%d").date()
                 if self._wanted(day):
                     found.append(Session(f.path, day))
-        return sorted(found, key=lambda s: (s.day, s.path))
+        return sorted(found, key=lambda s: (s.day, s.path), reverse=True)
 
     def read(self, partition: Session) -> Iterator[pa.RecordBatch]:
         system, _ = _place(self.root)
