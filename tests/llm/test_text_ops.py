@@ -301,6 +301,31 @@ def test_words_of_equal_polynomials_are_told_apart(spark, library):
         assert counts["n_dup_lines"][0] == 0 == plain_counts(text)[3]
 
 
+def test_bpe_encodes_a_fragment_once(monkeypatch):
+    """Also where a corpus has more of them than a table's first slots; their numbers stay when the table grows."""
+    rng = np.random.default_rng(12)
+    texts_in = [" ".join(rows) for rows in np.array(["".join(r) for r in rng.choice(list("bcdfghjklmnpqrstvwxz"), (240_000, 9))]).reshape(100, -1)]
+    coder = bpe.ForcedBoundaryBPE(PATH)
+    plain, seen = coder._encode_fragments, Counter()
+
+    def counted(data, start, end, last):
+        seen.update((bytes(data[a:b]), bool(c)) for a, b, c in zip(start.tolist(), end.tolist(), last.tolist(), strict=True))
+        return plain(data, start, end, last)
+
+    monkeypatch.setattr(coder, "_encode_fragments", counted)
+    first, again = ([coder.encode(texts_in[k : k + 10]).ids.tolist() for k in range(0, 100, 10)] for _ in range(2))
+    assert len(seen) > 200_000 and set(seen.values()) == {1} and first == again
+
+
+def test_hashes_of_spans_tell_all_bytes_and_lengths():
+    data = np.frombuffer(b"\0" * 40 + bytes(range(256)) * 4, np.uint8)
+    spans = [(0, k) for k in range(1, 40)] + [(40 + a, 40 + a + k) for a in range(30) for k in range(1, 40)] + [(40, 40 + k) for k in (510, 511, 512, 513, 900)]
+    h = bpe._span_hashes(data, *np.array(spans).T)
+    assert len(set(h.tolist())) == len({bytes(data[a:b]) for a, b in spans})
+    moved = bpe._span_hashes(np.concatenate([np.full(3, 7, np.uint8), data, np.full(5, 9, np.uint8)]), *(np.array(spans).T + 3))
+    assert (moved == h).all()
+
+
 def test_forced_cuts_are_between_bytes_no_token_has():
     coder = bpe.ForcedBoundaryBPE(PATH)
     assert coder.inside[ord("t"), ord("h")] and not coder.inside[ord(" "), ord("a")]
@@ -501,6 +526,31 @@ def test_packing_finds_a_document_by_common_words_alone(spark, monkeypatch):
     assert len({frozenset(x) for x in found.values()}) == 1
 
 
+def test_packing_finds_the_words_and_lists_of_a_block(monkeypatch):
+    """Words with equal upper bits, before the first and after the last one; lists of all lengths."""
+    rng = np.random.default_rng(13)
+    word = np.unique(np.concatenate([np.arange(5), (1 << 48) - 1 - np.arange(5), rng.integers(0, 1 << 48, 300), (1 << 40) + np.arange(40)]).astype(np.uint64))
+    lists = [np.sort(rng.choice(1000, 1 + k % 200, replace=False)) for k in range(len(word))]
+    first = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+    block = packing.Block(np.arange(1000), word, first, np.concatenate(lists), np.arange(len(word)) + 1.0, np.ones(1000))
+    asked = np.concatenate([word, word + np.uint64(1), word - np.uint64(1), np.array([7, 1 << 47], np.uint64)]) & np.uint64((1 << 48) - 1)
+    hit, at = block.at(asked)
+    plain = {w: k for k, w in enumerate(word.tolist())}
+    assert dict(zip(hit.tolist(), at.tolist(), strict=True)) == {k: plain[w] for k, w in enumerate(asked.tolist()) if w in plain}
+    none = packing.Block(word[:0], word[:0], word[:0], word[:0], word[:0], word[:0])
+    assert len(none.at(asked)[0]) == 0
+    for dense in (1, 8, 10_000):
+        monkeypatch.setattr(packing, "DENSE", dense)
+        column, matrix = block.columns()
+        table_of, row_of, tables = block.lists(column)
+        for k, own in enumerate(lists):
+            if len(own) * dense >= 1000:
+                assert np.flatnonzero(matrix[column[k]]).tolist() == own.tolist() and set(matrix[column[k], own]) == {k + 1.0}
+            else:
+                got = tables[table_of[k]][row_of[k]]
+                assert column[k] == -1 and got[: len(own)].tolist() == own.tolist() and (got[len(own) :] == 1000).all() and len(got) < 2 * len(own)
+
+
 def test_packing_asks_the_whole_corpus(spark):
     rng = np.random.default_rng(6)
     plain = [" ".join(lexicon(rng, 30)) for _ in range(100)]

@@ -19,15 +19,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 
 from . import vec
 
-_SLOTS = 1 << 20
+#: Slots of the table of fragments at first; it doubles when it is half full.
+_SLOTS = 1 << 18
 #: Characters that are taken at once; a bound of memory for very long texts, without effect on results.
 PIECE = 1 << 20
-#: Fragments a worker remembers before it starts anew; a bound of memory, without effect on results.
-MOST_KNOWN = 200_000
+#: Fragments a worker remembers before it starts anew, at all and with their strings; bounds of memory, without effect on results.
+MOST_KNOWN, MOST_TEXTS = 1_000_000, 200_000
 _NONE = np.int64(1) << np.int64(62)
 
 
@@ -43,6 +45,34 @@ def _classes() -> np.ndarray:
     return table
 
 
+@functools.cache
+def _byte_classes() -> bytes:
+    """Classes of the ASCII characters, as a table for ``bytes.translate``."""
+    return _classes()[:0x80].tobytes() + bytes(0x80)
+
+
+#: Masks of the first 0 to 8 bytes of a word of eight.
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def _span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of short spans, eight bytes at a time; of long ones, by their bytes."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    size = end - start
+    h = vec.mix((eight[start] & _FIRST_BYTES[np.minimum(size, 8)]) + size.astype(np.uint64) * vec.U64(0x9E3779B97F4A7C15))
+    more, k = np.flatnonzero((size > 8) & (size < vec.LONG)), 8
+    while len(more):
+        h[more] = vec.mix(h[more] * vec.U64(3) + (eight[start[more] + k] & _FIRST_BYTES[np.minimum(size[more] - k, 8)]))
+        k += 8
+        more = more[size[more] > k]
+    long = np.flatnonzero(size >= vec.LONG)
+    if len(long):
+        view = memoryview(data)
+        h[long] = np.array([xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True)], np.uint64)
+    return h
+
+
 def _byte_letters() -> dict[str, int]:
     """Byte-level alphabet: printable Latin-1 stands for itself, other bytes for letters from U+0100 on."""
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -86,6 +116,7 @@ class ForcedBoundaryBPE:
             body = token.removesuffix(self.suffix) if token != self.suffix else token
             data = [letters[c] for c in body]
             self.inside[data[:-1], data[1:]] = True
+        self._forced = ~self.inside.ravel()  # by the two bytes as one number
         pairs = []
         for rank, merge in enumerate(model["merges"]):
             a, b = merge if isinstance(merge, list) else merge.split(" ")
@@ -93,10 +124,9 @@ class ForcedBoundaryBPE:
         self._size = size
         self._fill(pairs)
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
-        # fragments seen: a direct-mapped table in front of a dictionary
+        # fragments seen: an open-addressed table from their hash, which is never 0, to their number
         self._slot_key = np.zeros(_SLOTS, np.uint64)
-        self._slot_code = np.zeros(_SLOTS, np.int64)
-        self._known: dict[int, int] = {}
+        self._slot_code = np.zeros(_SLOTS, np.int32)
         self._flat = np.zeros(1 << 16, np.int32)
         self._bounds = np.zeros(1 << 12, np.int64)
         self._n = 0
@@ -167,12 +197,12 @@ class ForcedBoundaryBPE:
         symbol[tail[last]] = self.byte_id[1, data[end[last] - 1]]
         owner = np.repeat(np.arange(len(size)), size)
         done_symbol, done_owner = [], []
+        rank, to = np.full(len(symbol), _NONE), np.zeros(len(symbol), np.int64)  # of each symbol with the next one
+        fresh = np.flatnonzero(owner[1:] == owner[:-1])
         while len(symbol):
-            same = owner[1:] == owner[:-1]
-            rank, to = np.full(len(symbol), _NONE), np.zeros(len(symbol), np.int64)
-            at = np.flatnonzero(same)
-            rank[at], to[at] = self._merge(symbol[at], symbol[at + 1])
-            first = np.flatnonzero(np.concatenate([[True], ~same]))
+            rank[fresh], to[fresh] = self._merge(symbol[fresh], symbol[fresh + 1])
+            new = np.concatenate([[True], owner[1:] != owner[:-1]])
+            first = np.flatnonzero(new)
             order = np.where(rank < _NONE, (rank << np.int64(32)) + np.arange(len(symbol)), _NONE)
             best = np.minimum.reduceat(order, first)
             merging = best < _NONE
@@ -181,37 +211,64 @@ class ForcedBoundaryBPE:
             done_owner.append(owner[~live])
             where = best[merging] & np.int64(0xFFFFFFFF)
             symbol[where] = to[where]
+            rank[where] = _NONE
             live[where + 1] = False
-            symbol, owner = symbol[live], owner[live]
+            at = np.cumsum(live)[where] - 1  # where the merged ones are now
+            symbol, owner, rank, to = symbol[live], owner[live], rank[live], to[live]
+            before, after = at[at > 0] - 1, at[at + 1 < len(symbol)]
+            fresh = np.concatenate([before[owner[before] == owner[before + 1]], after[owner[after] == owner[after + 1]]])
         symbols, owners = np.concatenate(done_symbol), np.concatenate(done_owner)
         order = np.argsort(owners, kind="stable")
         return symbols[order].astype(np.int32), np.bincount(owners, minlength=len(size))
 
+    def _find(self, key: np.ndarray) -> np.ndarray:
+        """Numbers of the fragments with these hashes, -1 for new ones."""
+        slot = (key >> vec.U64(65 - len(self._slot_key).bit_length())).astype(np.int64)
+        found = self._slot_key[slot]
+        code = np.where(found == key, self._slot_code[slot], -1).astype(np.int64)
+        left = np.flatnonzero((found != key) & (found != 0))
+        while len(left):
+            at = slot[left] = (slot[left] + 1) & (len(self._slot_key) - 1)
+            found = self._slot_key[at]
+            hit = found == key[left]
+            code[left[hit]] = self._slot_code[at[hit]]
+            left = left[~hit & (found != 0)]
+        return code
+
+    def _put(self, key: np.ndarray, code: np.ndarray) -> None:
+        """Distinct new hashes with their numbers."""
+        n = len(self._slot_key)
+        while 2 * self._n > n:
+            n *= 2
+        if n > len(self._slot_key):
+            old = np.flatnonzero(self._slot_key)
+            key, code = np.concatenate([self._slot_key[old], key]), np.concatenate([self._slot_code[old], code])
+            self._slot_key, self._slot_code = np.zeros(n, np.uint64), np.zeros(n, np.int32)
+        slot = (key >> vec.U64(65 - n.bit_length())).astype(np.int64)
+        while len(key):
+            free = self._slot_key[slot] == 0
+            self._slot_key[slot[free]] = key[free]
+            put = self._slot_key[slot] == key
+            self._slot_code[slot[put]] = code[put]
+            key, code, slot = key[~put], code[~put], (slot[~put] + 1) & (n - 1)
+
     def _codes(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Number of each fragment; new ones are encoded and remembered."""
-        key = vec.mix(vec.Hasher(data).of(start, end) * vec.U64(2) + last.astype(np.uint64)) | vec.U64(1)
-        slot = (key >> vec.U64(44)).astype(np.int64)
-        code = np.where(self._slot_key[slot] == key, self._slot_code[slot], -1)
+        key = vec.mix(_span_hashes(data, start, end) * vec.U64(2) + last.astype(np.uint64)) | vec.U64(1)
+        code = self._find(key)
         miss = np.flatnonzero(code < 0)
         if len(miss):
-            unique, at, back = np.unique(key[miss], return_index=True, return_inverse=True)
-            got = np.fromiter((self._known.get(k, -1) for k in unique.tolist()), np.int64, len(unique))
-            new = np.flatnonzero(got < 0)
-            if len(new):
-                pick = miss[at[new]]
-                flat, size = self._encode_fragments(data, start[pick], end[pick], last[pick])
-                got[new] = np.arange(self._n, self._n + len(new))
-                self._append(flat, size)
-                self._known.update(zip(unique[new].tolist(), got[new].tolist(), strict=True))
-            code[miss] = got[back]
-            slot = slot[miss]
-            self._slot_key[slot], self._slot_code[slot] = key[miss], code[miss]
+            new, at, back = np.unique(key[miss], return_index=True, return_inverse=True)
+            pick = miss[at]
+            number = np.arange(self._n, self._n + len(new))
+            self._append(*self._encode_fragments(data, start[pick], end[pick], last[pick]))
+            self._put(new, number)
+            code[miss] = number[back]
         return code
 
     def _reset(self) -> None:
         keep = len(self.specials)
-        self._known.clear()
-        self._slot_key[:] = 0
+        self._slot_key, self._slot_code = np.zeros(_SLOTS, np.uint64), np.zeros(_SLOTS, np.int32)
         self._n = keep
         del self.id_text[keep:], self.token_text[keep:]
 
@@ -228,7 +285,7 @@ class ForcedBoundaryBPE:
 
     def fragments(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Fragment numbers of all texts in a row, and the bounds of each text's."""
-        if len(self._known) > MOST_KNOWN:
+        if self._n > MOST_KNOWN or len(self.id_text) > MOST_TEXTS:
             self._reset()
         codes: list[np.ndarray] = []
         owners: list[np.ndarray] = []
@@ -278,23 +335,26 @@ class ForcedBoundaryBPE:
 
     def _group(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Fragment numbers of some parts in a row, and the part each is of."""
-        joined = "\n".join([p.replace("\n", " ") for p in parts])
-        if not joined.isascii():
-            joined = unicodedata.normalize("NFC", joined)
-            joined = joined.replace("Σ", "σ")  # no final form: letters are lowered one by one
-        joined = joined.lower()
-        data = np.frombuffer(joined.encode("utf-8"), np.uint8)
-        if len(data) == 0:
+        parts = [p.replace("\n", " ") for p in parts]
+        wide = [k for k, p in enumerate(parts) if not p.isascii()]
+        for k in wide:
+            parts[k] = unicodedata.normalize("NFC", parts[k]).replace("Σ", "σ")  # no final form: letters are lowered one by one
+        parts = [p.lower() for p in parts]
+        raw = b"\n".join([p.encode("utf-8") for p in parts])
+        if not raw:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return self._cut(joined, data)
+        return self._cut("".join([parts[k] for k in wide]), raw)
 
-    def _cut(self, joined: str, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _cut(self, wide: str, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Fragments of ``raw``, of which ``wide`` has all characters beyond ASCII in their order."""
+        data = np.frombuffer(raw, np.uint8)
         lead = (data & 0xC0) != 0x80
-        if joined.isascii():
-            kind_of = _classes()[data]
-        else:
-            points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-            kind_of = _classes()[points][np.cumsum(lead) - 1]  # of every byte, its letter's
+        kind_of = np.frombuffer(raw.translate(_byte_classes()), np.uint8)
+        if wide:
+            points = np.frombuffer(wide.encode("utf-32-le"), np.uint32)
+            points = points[points >= 0x80]
+            kind_of = kind_of.copy()
+            kind_of[data >= 0x80] = np.repeat(_classes()[points], 2 + (points >= 0x800) + (points >= 0x10000))  # of every byte, its letter's
         new = np.ones(len(data), bool)
         new[1:] = (kind_of[1:] != kind_of[:-1]) | ((kind_of[1:] == 2) & lead[1:])
         quote = np.flatnonzero((data[:-1] == 0x27) & new[:-1]) if len(data) > 1 else np.zeros(0, np.int64)
@@ -310,8 +370,7 @@ class ForcedBoundaryBPE:
                 new[stop[stop < len(data)]] = True
         space = kind_of == 0
         edge = new.copy()
-        forced = ~self.inside[data[:-1], data[1:]]
-        edge[1:] |= forced
+        edge[1:] |= self._forced[data[:-1].astype(np.uint16) << 8 | data[1:]]
         start = np.flatnonzero(edge)
         end = np.append(start[1:], len(data))
         word = ~space[start]
