@@ -1,13 +1,15 @@
 """Cases with literal results: corporate actions, backfills, announcements, rounding, numbering."""
 
 import datetime as dt
+import os
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tideline.functions.columns import one_decimal
 from tideline.operators import jobs
-from tideline.plans import api
+from tideline.plans import api, catalog
 from tideline.plans.catalog_more import SUBJECTS
 from tideline.sources import files
 
@@ -122,3 +124,31 @@ def test_model_portfolio_of_the_latest_run_by_the_rule(spark):
     stale = api.model_run(frame, "2020-01-17")
     assert stale.first().stale and api.model_holdings(stale, trades, week).count() == 0 and api.model_buys(stale, held, signals).count() == 0
     assert api.model_run(frame.where("id > 4"), "2020-01-10").count() == 0
+
+
+def test_model_run_is_found_behind_any_number_of_newer_runs(spark):
+    rule = '{"entry_max_weeks_in_trend": 1, "min_score": 70, "top_n_sectors": 0, "sector_exit": false, "entry_filters": "tradeable", "exit_score_below": 40}'
+    runs = spark.range(1, 402).selectExpr("id", "cast(null as int) as sweep_id", f"case when id <= 2 then '{rule}' when id % 2 = 0 then '{{}}' end as params", "date'2020-01-10' as end_date")
+    run = api.model_run(runs, "2020-01-10")
+    assert [(r.id, r.stale, r.exit_score) for r in run.collect()] == [(2, False, 40.0)]
+    trades = spark.createDataFrame([(2, 1, "S", "I", None, 50.0, 1.0, "end")], "run_id long, symbol_id int, symbol string, industry string, entry_date date, entry_price double, qty double, exit_reason string")
+    week = spark.createDataFrame([(1, "Bullish", 60.0, 48.0, 39.0)], "symbol_id int, direction string, price double, st_value double, stock_score double")
+    held = api.model_holdings(run, trades, week)
+    assert [(r.run_id, r.symbol_id, r.sell) for r in held.collect()] == [(2, 1, True)]
+    plan = held._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 1  # once a run, and not for trades
+
+
+def test_model_holdings_are_their_sql_where_the_run_is_older_than_150_others(spark, tmp_path):
+    given = "/root/testdata/sf0.001"
+    for t in ("lineitem", "orders", "part"):
+        os.symlink(f"{given}/{t}.parquet", tmp_path / f"{t}.parquet")
+    keys = spark.range(1_000).where("id <= 100 or id % 7 <> 3")  # the newest of the rule is 87
+    keys.selectExpr("id as c_custkey", "cast(id % 25 as int) as c_nationkey").write.parquet(str(tmp_path / "customer.parquet"))
+    got = catalog.queries()["api_model_holdings"](spark, str(tmp_path)).toPandas()
+    con = duckdb.connect()
+    for t, files_of in (("lineitem", ""), ("orders", ""), ("part", ""), ("customer", "/*.parquet")):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet{files_of}'")
+    want = con.execute(catalog.oracle_sql()["api_model_holdings"]).df()
+    rows = lambda df: sorted((r.run_id, r.symbol_id, str(r.entry_date)[:10], r.qty, bool(r.sell)) for r in df.itertuples())
+    assert rows(got) == rows(want) and len(got) > 0 and set(got.run_id) == {87}

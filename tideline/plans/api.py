@@ -279,25 +279,23 @@ def portfolio(trades: DataFrame, stocks: DataFrame, exit_score: float) -> DataFr
     return joined.select("symbol_id", "symbol", "industry", "entry_date", "entry_price", "qty", "stock_score", "price", "stop", sell.alias("sell"), ((F.try_divide("price", "entry_price") - 1) * 100).alias("change_pct"))
 
 
-#: Newest runs outside sweeps among which the model's run is looked for; a fixed value.
-MODEL_RUNS = 150
-
-
 def model_run(runs: DataFrame, week: str) -> DataFrame:
     """The newest run of the entry rule: ``id, end_week, stale, k, position_size, position_pct, add_capital, exit_score``, one row or none.
 
-    ``runs`` is ``id, sweep_id, params`` (JSON) and ``end_date``; experiments
-    are passed over.  A run that ends in another week is stale.  ``k`` is the
-    most positions, NULL without a limit.
+    ``runs`` is ``id, sweep_id, params`` (JSON) and ``end_date``; it is looked
+    for among all of them, however old, and experiments are passed over.  A run
+    that ends in another week is stale.  ``k`` is the most positions, NULL
+    without a limit.
     """
-    newest = runs.where("sweep_id is null").orderBy(F.desc("id")).limit(MODEL_RUNS).withColumn("_p", F.try_parse_json("params"))
+    parsed = runs.where("sweep_id is null").withColumn("_p", F.try_parse_json("params"))
     p = lambda name, kind: F.try_variant_get("_p", f"$.{name}", kind)
     named = F.coalesce(p("experiment", "string"), F.lit("")) != ""
     rule = (
         (p("entry_max_weeks_in_trend", "double") == RULE["max_weeks"]) & (p("min_score", "double") == RULE["min_score"]) & (p("top_n_sectors", "double") == 0) & ~p("sector_exit", "boolean") & (p("entry_filters", "string") == "tradeable")
     )
     fixed = lambda name: F.when((p("sizing", "string") == "fixed") & (p(name, "double") > 0), p(name, "double"))
-    found = newest.where(truth(rule) & ~named).orderBy(F.desc("id")).limit(1)
+    # an aggregate, as a filter would be inferred for whatever is joined by the id, and parse a run once for each of its parameters
+    found = parsed.agg(F.max_by(F.struct("id", "end_date", "_p"), F.when(truth(rule) & ~named, F.col("id"))).alias("run")).where("run is not null").select("run.*")
     return found.select(
         "id", F.col("end_date").alias("end_week"), (~F.col("end_date").eqNullSafe(F.lit(week).cast("date"))).alias("stale"), F.when(p("max_positions", "int") > 0, p("max_positions", "int")).alias("k"),
         fixed("position_size").alias("position_size"), fixed("position_pct").alias("position_pct"), truth(p("add_capital", "boolean")).alias("add_capital"), F.coalesce(p("exit_score_below", "double"), F.lit(0.0)).alias("exit_score"),

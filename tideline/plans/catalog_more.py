@@ -629,6 +629,7 @@ def _model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 _MODEL_SQL = "(select * from (select c_custkey as k, c_custkey % 5 = 0 as swept from customer) where not swept order by k desc limit 150)"
 _MODEL_RUN = f"(select k from {_MODEL_SQL} where k % 7 = 3 and k % 2 = 1 order by k desc limit 1)"
+_MODEL_RUN_OF_ALL = "(select max(c_custkey) as k from customer where c_custkey % 5 <> 0 and c_custkey % 7 = 3 and c_custkey % 2 = 1)"
 
 
 @registered(f"select k as id, date '1999-06-04' as end_week, false as stale, cast(nullif(k % 30, 0) as integer) as k, cast(k * 1000 as double) as position_size, cast(null as double) as position_pct, k % 4 = 1 as add_capital, cast(k % 60 as double) as exit_score from {_MODEL_RUN}")
@@ -640,7 +641,7 @@ def api_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered(
     query(
         f"""select run_id, t.symbol_id, entry_date, entry_price, qty, s.shown as score, round(s.price, 5) as price, round(s.st_value, 5) as stop, not coalesce(s.direction = 'Bullish', false) or coalesce(run_id % 60 > 0 and s.shown < run_id % 60, false) as sell, round((s.price / entry_price - 1) * 100, 5) as change_pct, round((s.price / s.st_value - 1) * 100, 5) as stop_dist_pct
-        from (select o_custkey as run_id, cast((o_orderkey % 5 + 1) * 10 + (o_orderkey // 5) % 5 + 1 as integer) as symbol_id, cast(o_orderdate as date) as entry_date, cast(o_orderkey % 50 + 50 as double) as entry_price, cast(o_orderkey % 90 as double) as qty from orders where o_orderstatus <> 'F' and o_custkey = (select k from {_MODEL_RUN})) t
+        from (select o_custkey as run_id, cast((o_orderkey % 5 + 1) * 10 + (o_orderkey // 5) % 5 + 1 as integer) as symbol_id, cast(o_orderdate as date) as entry_date, cast(o_orderkey % 50 + 50 as double) as entry_price, cast(o_orderkey % 90 as double) as qty from orders where o_orderstatus <> 'F' and o_custkey = (select k from {_MODEL_RUN_OF_ALL})) t
         left join (select *, round_even(stock_score * 100, 0) / 100 as shown from scored where week_end_date = date '1999-06-04') s on s.symbol_id = t.symbol_id""",
         ["scored"], turnover=TURNOVER,
     )
